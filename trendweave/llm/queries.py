@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, source_mix, url_templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,8 +18,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_counts(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,5 +46,62 @@ SELECT doc_id,
        text_sha256
 FROM h
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+""",
+    "op9_url_filter": r"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (
+  SELECT rid, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (
+  SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS says
+  FROM h JOIN rules ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
+s AS (
+  SELECT h.*, fit.rule, fit.says, list_filter(string_split(path, '/'), lambda x: x <> '') AS every FROM h LEFT JOIN fit USING (rid)),
+d AS (
+  SELECT rid, host, i AS depth, every[i] AS seg, regexp_replace(every[i], '[0-9]+', '#', 'g') AS shape,
+         array_to_string(list_transform(every[1:i - 1], lambda x: regexp_replace(x, '[0-9]+', '#', 'g')), '/') AS prefix
+  FROM (SELECT *, unnest(range(1, least(len(every), 6) + 1)) AS i FROM s)),
+n AS (
+  SELECT rid, depth, seg, shape, count(*) OVER (PARTITION BY host, depth, prefix) AS p,
+         count(*) OVER (PARTITION BY host, depth, prefix, shape) AS sn, count(*) OVER (PARTITION BY host, depth, prefix, seg) AS l FROM d),
+names AS (
+  SELECT rid, list(CASE WHEN l >= 5 AND l >= 0.02::DOUBLE * p THEN seg WHEN sn >= 5 AND sn >= 0.02::DOUBLE * p THEN shape ELSE '*' END ORDER BY depth) AS names FROM n GROUP BY rid),
+t AS (
+  SELECT s.*, list_concat(coalesce(names.names, []::VARCHAR[]), CASE WHEN len(every) > 6 THEN ['**'] ELSE []::VARCHAR[] END) AS names FROM s LEFT JOIN names USING (rid)),
+nodes AS (SELECT rid, host, says, depth, array_to_string(names[1:depth], '/') AS node FROM (SELECT *, unnest(range(0, len(names) + 1)) AS depth FROM t)),
+counted AS (
+  SELECT rid, depth, count(says) OVER w AS labelled, count(CASE WHEN says = 'block' THEN 1 END) OVER w AS blocked FROM nodes WINDOW w AS (PARTITION BY host, depth, node)),
+prior AS (SELECT (count(CASE WHEN says = 'block' THEN 1 END) + 1)::DOUBLE / (count(says) + 2) AS p0 FROM t),
+lines AS (
+  SELECT rid, list_prepend({'n': -1.0::DOUBLE, 'b': any_value(p0)}, list({'n': labelled::DOUBLE, 'b': blocked::DOUBLE} ORDER BY depth)) AS line FROM counted, prior GROUP BY rid),
+judged AS (
+  SELECT rid, list_reduce(line, lambda a, x: {'n': -1.0::DOUBLE, 'b': CASE WHEN x.n > 0 AND abs(x.b - x.n * a.b) > 1.96::DOUBLE * sqrt(x.n * a.b * (1.0::DOUBLE - a.b)) THEN (x.b + 4.0::DOUBLE * a.b) / (x.n + 4.0::DOUBLE) ELSE a.b END}).b AS purity FROM lines)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= 0.7::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       host || '/' || array_to_string(names, '/') AS template
+FROM t JOIN judged USING (rid)
+""",
+    "op10_source_mix": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+r AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others,
+         row_number() OVER o AS turn
+  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)),
+v AS (SELECT *, (total - capped)::DOUBLE / others::DOUBLE AS level FROM r),
+f AS (SELECT arg_min(level, turn) AS level FROM v WHERE level * weight <= source_size * 3),
+t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, f.level * weight) AS target FROM v, f),
+p AS (
+  SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
+         (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, words - a)) + greatest(0, least(size, words - a - source_size)) + greatest(0, least(size, words - a - 2 * source_size)))::BIGINT AS taken
+FROM p
 """,
 }
