@@ -77,27 +77,74 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
-    """64-bit hash of each of the ordered, disjoint spans raw[start:end]; long inputs go piece by piece."""
+SHORT = 4096
+
+
+def _hash_short(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of spans of at most SHORT bytes, eight bytes at a time; padded has eight bytes more than the spans need."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    h = lengths.astype(np.uint64) * STEP
+    live = np.arange(len(starts))
+    at, left = starts, lengths
+    while len(live):
+        piece = eight[at]
+        part = left < 8
+        piece[part] &= (np.uint64(1) << (left[part].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[live] = mix64((h[live] ^ piece) * STEP)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def _hash_long(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Polynomial hash of long spans, in pieces of bounded size."""
+    out = np.zeros(len(starts), np.uint64)
+    base = int(STEP) | 1
+    table = powers(base, min(piece, int(lengths.max())))
+    for i, (s, n) in enumerate(zip(starts, lengths, strict=True)):
+        h = np.uint64(int(n) * int(STEP) & 0xFFFFFFFFFFFFFFFF)
+        for k in range(0, int(n), piece):
+            part = BYTE_CODE[raw[s + k : s + min(k + piece, n)]]
+            h = mix64(np.array([h ^ (part * table[: len(part)]).sum(dtype=np.uint64)], np.uint64))[0]
+        out[i] = h
+    return out
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span raw[start:end]."""
     out = np.zeros(len(starts), np.uint64)
     if not len(starts):
         return out
-    longest = int((ends - starts).max())
-    table = powers(int(STEP) | 1, longest)
-    for a, b in slices(ends - starts, piece):
-        s, n = starts[a:b], ends[a:b] - starts[a:b]
-        full = n > 0
-        if not full.any():
-            continue
-        s, m = s[full], n[full]
-        first = np.cumsum(m) - m
-        within = np.arange(int(m.sum())) - np.repeat(first, m)
-        codes = BYTE_CODE[raw[np.repeat(s, m) + within]]
-        codes *= table[within]
-        got = np.zeros(b - a, np.uint64)
-        got[full] = np.add.reduceat(codes, first)
-        out[a:b] = got
-    return mix64(out + (ends - starts).astype(np.uint64) * STEP)
+    lengths = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    short = lengths <= SHORT
+    if short.all():
+        return _hash_short(padded, starts, lengths)
+    out[short] = _hash_short(padded, starts[short], lengths[short])
+    out[~short] = _hash_long(raw, starts[~short], lengths[~short])
+    return out
+
+
+def repeats(keys: np.ndarray) -> np.ndarray:
+    """True at each key that occurs more than once."""
+    bits = max(8, len(keys).bit_length() + 2)
+    cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(cell, minlength=1 << bits)[cell] > 1)
+    order = maybe[np.argsort(keys[maybe])]
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def byte_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per document, how often each byte occurs (n x 256)."""
+    out = np.zeros((len(offsets) - 1, 256), np.int64)
+    for i in range(len(out)):
+        if offsets[i + 1] > offsets[i]:
+            out[i] = np.bincount(raw[offsets[i] : offsets[i + 1]], minlength=256)
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int, whole_short: bool) -> tuple[np.ndarray, np.ndarray]:
