@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, source_mix, token_files, url_templates
+from . import exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, source_mix, suffix_dedup, token_files, url_templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_model": op4_quality_model,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,

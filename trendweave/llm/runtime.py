@@ -52,12 +52,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back; the shuffle files of the write are dropped with it."""
+def materialize(df: DataFrame, name: str, block_bytes: int = 1 << 27) -> DataFrame:
+    """Write df to the shared folder and read it back; the shuffle files of the write are dropped with it.
+
+    block_bytes: size of a row group; small ones for tables whose rows are large.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with setting(spark, CLEANUP, "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", block_bytes).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
