@@ -7,10 +7,14 @@ the second, shifted circularly by k, gives coordinate k.  Coordinates go into ba
 band key are candidates.  Documents with equal sets (128-bit digest over the whole set and its size) form a
 class first, and only a class's representative is banded.
 
-Candidates become links without listing pairs inside a bucket.  In each round a bucket has one pivot and every
-member of another component is compared with it on full sets; links join components at once.  What pivots
-leave apart is compared pair by pair only across components, and only where the triangle inequality of the
-Jaccard distance, by the exact distances to the bucket's first pivot, allows a link.  No candidate is capped.
+Candidates become links without listing pairs inside a bucket.  Every member of a bucket is compared, on full
+sets, with the bucket's pivot P, its member with most copies; links join components at once.  A bucket whose
+members then still lie in several components is refined.  If x is not linked with P, y is any other member and
+both share no shingle outside P, then their overlap is within x and P, so a link needs
+``percent * (|x| + |y|) <= (100 + percent) * |x & P|``: only members far smaller than P can meet that, and they
+are compared directly.  All other links share a shingle outside P: the members are dealt anew by their shingles
+outside P, which are few and rare among near copies, and the same is done with those smaller buckets.  Buckets
+of at most ``small_bucket`` members are compared pair by pair across components.  No candidate is capped.
 
 With 25 bands of 5 coordinates a pair at similarity 0.85 meets in at least one band with probability 1 - 4e-7.
 Sets are compared by 64-bit shingle hashes (a false match of two shingles: about n * m / 2**64).
@@ -102,42 +106,75 @@ def _sign(width: int, bands: int, rows: int):
     return signed
 
 
+def _streamed(batches, width: int, visit):
+    """Texts sorted by (pivot, salt, role): holds one pivot's set, calls visit(rows, x, pivot, set of x, set of the pivot)."""
+    place, held = None, None
+    for batch in batches:
+        raw, offsets = buffers(batch.column("_text"))
+        pivot, salt, role, rid = (batch.column(c).to_pylist() for c in ("_pivot", "_salt", "_role", "_rid"))
+        rows: list[tuple] = []
+        for a, b in slices(np.diff(offsets), 1 << 22):
+            for i, own in enumerate(shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), a):
+                if role[i] == 0:
+                    place, held = (pivot[i], salt[i]), own
+                elif place != (pivot[i], salt[i]):
+                    raise ValueError("a pivot's text is missing")
+                else:
+                    visit(rows, rid[i], pivot[i], own, held)
+        yield rows
+
+
+def _in(own: np.ndarray, held: np.ndarray) -> np.ndarray:
+    if not len(held):
+        return np.zeros(len(own), bool)
+    at = np.searchsorted(held, own)
+    at[at == len(held)] = 0
+    return held[at] == own
+
+
 def _compare(width: int):
-    """Streams texts sorted by (pivot, salt, role): holds one pivot's set, gives shared and united counts with each member."""
+    """Shared and united counts of each member with its pivot."""
+
+    def visit(rows, x, pivot, own, held):
+        both = int(_in(own, held).sum())
+        rows.append((x, pivot, both, len(held) + len(own) - both))
 
     def compared(batches):
-        place, held = None, None
-        for batch in batches:
-            raw, offsets = buffers(batch.column("_text"))
-            pivot, salt, role, rid = (batch.column(c).to_pylist() for c in ("_pivot", "_salt", "_role", "_rid"))
-            rows = []
-            for a, b in slices(np.diff(offsets), 1 << 22):
-                for i, own in enumerate(shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), a):
-                    if role[i] == 0:
-                        place, held = (pivot[i], salt[i]), own
-                        continue
-                    if place != (pivot[i], salt[i]):
-                        raise ValueError("a pivot's text is missing")
-                    at = np.searchsorted(held, own)
-                    at[at == len(held)] = 0
-                    both = int((held[at] == own).sum()) if len(held) else 0
-                    rows.append((rid[i], pivot[i], both, len(held) + len(own) - both))
+        for rows in _streamed(batches, width, visit):
             cols = zip(*rows, strict=True) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["_x", "_pivot", "_both", "_all"])
 
     return compared
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, salt_rows: int) -> DataFrame:
-    """Exact overlap of each (x, pivot); a pivot's members are dealt in blocks, its text goes once to each."""
+def _outside(width: int):
+    """The shingles of each member that its pivot lacks."""
+
+    def visit(rows, x, pivot, own, held):
+        rows.append((x, own[~_in(own, held)]))
+
+    def listed(batches):
+        for rows in _streamed(batches, width, visit):
+            x = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows])
+            keys = np.concatenate([r[1] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(x)], ["_key", "_x"])
+
+    return listed
+
+
+def _dealt(pairs: DataFrame, texts: DataFrame, salt_rows: int) -> DataFrame:
+    """The texts of each (x, pivot): a pivot's members in blocks, its own text once before each."""
     sizes = pairs.groupBy("_pivot").agg(F.count("*").alias("_size"))
-    salts = F.expr(f"cast(ceil(_size / {salt_rows}) as int)")
-    sizes = R.materialize(sizes.withColumn("_salts", salts), "near-pivots")
+    sizes = R.materialize(sizes.withColumn("_salts", F.expr(f"cast(ceil(_size / {salt_rows}) as int)")), "near-pivots")
     members = R.attach(pairs, sizes, ["_pivot"], "_size", pairs.count(), "_x").select(F.col("_x").alias("_rid"), "_pivot", F.pmod(F.hash("_x"), F.col("_salts")).alias("_salt"), F.lit(1).alias("_role"))
     pivots = sizes.select(F.col("_pivot").alias("_rid"), "_pivot", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_role"))
     rows = members.unionByName(pivots).join(texts, "_rid")
-    dealt = rows.repartition("_pivot", "_salt").sortWithinPartitions("_pivot", "_salt", "_role", "_rid")
-    return R.materialize(dealt.mapInArrow(_compare(width), "_x long, _pivot long, _both long, _all long"), "near-verified")
+    return rows.repartition("_pivot", "_salt").sortWithinPartitions("_pivot", "_salt", "_role", "_rid")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, width: int, salt_rows: int) -> DataFrame:
+    """Exact overlap of each (x, pivot)."""
+    return R.materialize(_dealt(pairs, texts, salt_rows).mapInArrow(_compare(width), "_x long, _pivot long, _both long, _all long"), "near-verified")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,60 +204,106 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.selectExpr("a as node", "b as comp")
 
 
-def _links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, pivot_rounds: int, salt_rows: int) -> DataFrame:
-    """Links (a, b) between class representatives whose closure is that of all candidate links."""
-    bands = R.materialize(sigs.select("_x", F.explode("_bands").alias("_key")), "near-bands")
-    buckets = bands.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_x").alias("_first")).where("_size > 1")
-    buckets = R.materialize(buckets, "near-buckets")
-    total = bands.count()
-    live = R.materialize(R.attach(bands, buckets, ["_key"], "_size", total, "_x").where("_size > 1").select("_key", "_x", "_first"), "near-candidates")
-    is_link = F.col("_both") * 100 >= F.col("_all") * percent
-    pairs = R.materialize(live.where("_x <> _first").select("_x", F.col("_first").alias("_pivot")).distinct(), "near-pairs")
-    tested = _verify(pairs, texts, width, salt_rows)
-    first_tests = tested
-    labels = components(tested.where(is_link).selectExpr("_x as a", "_pivot as b"))
-    for turn in range(pivot_rounds + 1):
-        named = live.join(labels.selectExpr("node as _x", "comp"), "_x", "left").select("_key", "_x", "_first", F.coalesce("comp", "_x").alias("_comp"))
-        split = named.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), F.count("*").alias("_size")).where("_low <> _high")
-        split = R.materialize(split, "near-split")
-        live_size = live.count()
-        named = R.materialize(R.attach(named, split, ["_key"], "_size", live_size, "_x").where("_low is not null"), "near-open")
-        if named.isEmpty():
-            break
-        if turn < pivot_rounds:
-            order = F.xxhash64("_x", F.lit(turn))
-            pivots = R.materialize(named.where("_comp <> _low").groupBy("_key").agg(F.min_by(F.struct(F.col("_x").alias("p"), F.col("_comp").alias("c")), order).alias("_p"), F.max("_size").alias("_size")), "near-pivot")
-            met = R.attach(named.drop("_size"), pivots, ["_key"], "_size", live_size, "_x").where("_comp <> _p.c").select(F.col("_x").alias("a"), F.col("_p.p").alias("b"))
-        else:
-            far = first_tests.selectExpr("_x", "_pivot as _first", "1 - _both / _all as _d")
-            reach = 1 - percent / 100 + 1e-9
-            known = named.join(far, ["_x", "_first"], "left").select("_key", "_x", "_comp", F.coalesce("_d", F.lit(0.0)).alias("_d"), (F.coalesce("_d", F.lit(0.0)) > reach).alias("_off"))
-            known = R.materialize(known, "near-known")
-            other = known.select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_c"), F.col("_d").alias("_e"), F.col("_off").alias("_o"))
-            met = known.where("_off").join(other, "_key").where((F.col("_comp") != F.col("_c")) & (F.abs(F.col("_d") - F.col("_e")) <= reach) & (~F.col("_o") | (F.col("_x") < F.col("_y")))).selectExpr("_x as a", "_y as b")
-        pairs = met.selectExpr("greatest(a, b) as _x", "least(a, b) as _pivot").distinct()
-        pairs = R.materialize(pairs.join(tested.selectExpr("greatest(_x, _pivot) as _x", "least(_x, _pivot) as _pivot"), ["_x", "_pivot"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            live = named.select("_key", "_x", "_first")
-            continue
-        more = _verify(pairs, texts, width, salt_rows)
-        tested = tested.unionByName(more)
-        labels = components(tested.where(is_link).selectExpr("_x as a", "_pivot as b"))
-        live = named.select("_key", "_x", "_first")
-    return labels
+class _Links:
+    """Verified pairs so far and the components that their links make."""
 
+    def __init__(self, sigs: DataFrame, texts: DataFrame, width: int, percent: int, salt_rows: int):
+        self.sigs, self.texts, self.width, self.percent, self.salt_rows = sigs, texts, width, percent, salt_rows
+        self.tested: DataFrame | None = None
+        self.labels: DataFrame | None = None
 
-def _decide(staged: DataFrame, width: int, percent: int, bands: int, rows: int, pivot_rounds: int, salt_rows: int) -> DataFrame:
+    def test(self, pairs: DataFrame) -> None:
+        """Verify the pairs (_x, _pivot) not seen before, and join what they link."""
+        ordered = ["greatest(_x, _pivot) as _a", "least(_x, _pivot) as _b"]
+        if self.tested is not None:
+            pairs = pairs.selectExpr("*", *ordered).join(self.tested.selectExpr(*ordered), ["_a", "_b"], "left_anti")
+        pairs = R.materialize(pairs.select("_x", "_pivot").distinct(), "near-pairs")
+        if pairs.isEmpty():
+            return
+        got = _verify(pairs, self.texts, self.width, self.salt_rows)
+        self.tested = got if self.tested is None else self.tested.unionByName(got)
+        links = self.tested.where(F.col("_both") * 100 >= F.col("_all") * self.percent)
+        self.labels = components(links.selectExpr("_x as a", "_pivot as b"))
+
+    def named(self, live: DataFrame) -> DataFrame:
+        """Bucket rows with their component."""
+        if self.labels is None:
+            return live.withColumn("_comp", F.col("_x"))
+        return live.join(self.labels.selectExpr("node as _x", "comp as _label"), "_x", "left").withColumn("_comp", F.coalesce("_label", "_x")).drop("_label")
+
+    def central(self) -> DataFrame:
+        """How near each tested document is to the pivot, among its own, that most near documents were tested with."""
+        near = self.tested.where("2 * _both >= _all")
+        fame = near.groupBy("_pivot").agg(F.count("*").alias("_fame"))
+        own = near.select("_x", "_pivot", (F.col("_both") / F.col("_all")).alias("_j")).unionByName(fame.select(F.col("_pivot").alias("_x"), "_pivot", F.lit(1.0).alias("_j")))
+        own = R.materialize(own, "near-homes").join(R.materialize(fame, "near-fame"), "_pivot")
+        return R.materialize(own.groupBy("_x").agg(F.max(F.struct("_fame", "_j"))["_j"].alias("_near")), "near-central")
+
+    def open(self, live: DataFrame) -> DataFrame:
+        """The rows of buckets with several components: _key, _x, _comp, _size, _pivot and _pivot_comp."""
+        rows = self.named(live.select("_key", "_x")).join(self.sigs.select("_x", "_copies"), "_x")
+        rows = rows.withColumn("_near", F.lit(0.0)) if self.tested is None else rows.join(self.central(), "_x", "left").fillna(0.0, ["_near"])
+        rows = R.materialize(rows, "near-rows")
+        pivot = F.max(F.struct("_near", "_copies", (-F.col("_x")).alias("least"), "_comp")).alias("_p")
+        buckets = rows.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), pivot).where("_low <> _high")
+        buckets = R.materialize(buckets, "near-buckets")
+        held = R.attach(rows, buckets, ["_key"], "_size", rows.count(), "_x").where("_low is not null")
+        return R.materialize(held.select("_key", "_x", "_comp", "_size", (-F.col("_p.least")).alias("_pivot"), F.col("_p._comp").alias("_pivot_comp")), "near-open")
+
+
+def _links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, small_bucket: int, salt_rows: int, most_levels: int = 5) -> DataFrame | None:
+    """Components (node, comp) of the class representatives under all links between bucket mates."""
+    links = _Links(sigs, texts, width, percent, salt_rows)
+    live = sigs.select("_x", F.explode("_bands").alias("_key"))
+    for level in range(most_levels + 1):
+        for _ in range(2 - min(level, 1)):  # the first pivots only show which documents are central
+            rows = links.open(live)
+            if rows.isEmpty():
+                return links.labels
+            links.test(rows.where("_comp <> _pivot_comp").select("_x", "_pivot"))
+        rows = links.named(rows.drop("_comp"))
+        split = rows.groupBy("_key").agg(F.count("*").alias("_n_rows"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high")
+        rows = R.attach(rows, R.materialize(split, "near-split"), ["_key"], "_n_rows", live.count(), "_x").where("_low is not null")
+        rows = R.materialize(rows.select("_key", "_x", "_comp", "_size", "_pivot"), "near-left")
+        if rows.isEmpty():
+            break
+        few = rows if level == most_levels else rows.where(F.col("_size") <= small_bucket)
+        other = few.select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_other"))
+        pairs = few.join(other, "_key").where("_x < _y and _comp <> _other").selectExpr("_x", "_y as _pivot")
+        many = rows.where(F.col("_size") > small_bucket)
+        if level == most_levels or many.isEmpty():
+            links.test(pairs)
+            break
+        sized = many.join(sigs.select("_x", "_n"), "_x")
+        shared = links.tested.select("_x", "_pivot", "_both").unionByName(links.tested.selectExpr("_pivot as _x", "_x as _pivot", "_both"))
+        off = sized.join(shared, ["_x", "_pivot"]).withColumn("_reach", F.expr(f"(({100 + percent}L * _both) div {percent}L) - _n"))
+        least = sized.groupBy("_key").agg(F.min("_n").alias("_least"), F.max("_size").alias("_rows"))
+        most = off.groupBy("_key").agg(F.max("_reach").alias("_most"))
+        bounds = R.materialize(least.join(most, "_key").where("_most >= _least"), "near-bounds")
+        low = off.join(bounds, "_key").where("_reach >= _least").select("_key", "_x", "_comp", "_reach")
+        mates = sized.join(bounds, "_key").where("_n <= _most").select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_other"), F.col("_n").alias("_size_y"))
+        smaller = low.join(mates, "_key").where("_size_y <= _reach and _x <> _y and _comp <> _other").selectExpr("_x", "_y as _pivot")
+        beside = _dealt(R.materialize(many.where("_x <> _pivot").select("_x", "_pivot").distinct(), "near-pairs"), texts, salt_rows)
+        live = R.materialize(beside.mapInArrow(_outside(width), "_key long, _x long").distinct(), "near-outside")
+        links.test(pairs.unionByName(smaller))
+    return links.labels
+
+
+def _decide(staged: DataFrame, width: int, percent: int, bands: int, rows: int, small_bucket: int, salt_rows: int) -> DataFrame:
     texts = staged.select("_rid", "_text")
     sigs = R.materialize(texts.mapInArrow(_sign(width, bands, rows), "_rid long, _n long, _d1 long, _d2 long, _bands array<long>"), "near-signatures")
     total = sigs.count()
     key = ["_n", "_d1", "_d2"]
     classes = R.materialize(sigs.where("_n > 0").groupBy(*key).agg(F.count("*").alias("_size"), F.min("_rid").alias("_x")), "near-classes")
     members = R.attach(sigs.drop("_bands"), classes, key, "_size", total, "_rid").select("_rid", "_n", F.coalesce("_x", "_rid").alias("_x"))
-    reps = classes.select(F.col("_x").alias("_rid")).join(sigs.select("_rid", "_bands"), "_rid").select(F.col("_rid").alias("_x"), "_bands")
-    labels = _links(reps, texts, width, percent, pivot_rounds, salt_rows)
+    reps = classes.select(F.col("_x").alias("_rid"), F.col("_size").alias("_copies")).join(sigs.select("_rid", "_n", "_bands"), "_rid")
+    reps = R.materialize(reps.select(F.col("_rid").alias("_x"), "_copies", "_n", "_bands"), "near-reps")
+    labels = _links(reps, texts, width, percent, small_bucket, salt_rows)
     members = R.materialize(members, "near-members")
-    named = members.join(labels.selectExpr("node as _x", "comp"), "_x", "left").select("_rid", "_n", F.coalesce("comp", "_x").alias("_comp"))
+    if labels is None:
+        named = members.select("_rid", "_n", F.col("_x").alias("_comp"))
+    else:
+        named = members.join(labels.selectExpr("node as _x", "comp"), "_x", "left").select("_rid", "_n", F.coalesce("comp", "_x").alias("_comp"))
     named = R.materialize(named.join(staged.select("_rid", "_id"), "_rid"), "near-named")
     best = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_rid").alias("r"))).alias("_best")
     sizes = R.materialize(named.groupBy("_comp").agg(F.count("*").alias("_size"), best), "near-components")
@@ -232,10 +315,10 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> Data
     return R.materialize(base.withColumn("_rid", F.monotonically_increasing_id()), "near-text")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, pivot_rounds: int = 3, salt_rows: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small_bucket: int = 16, salt_rows: int = 64) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.  percent: the least 100 * shared / united of a link."""
     R.small_batches(docs.sparkSession)
-    out = _decide(_stage(docs, id_col, text_col, []), width, percent, bands, rows, pivot_rounds, salt_rows)
+    out = _decide(_stage(docs, id_col, text_col, []), width, percent, bands, rows, small_bucket, salt_rows)
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_best.i").alias("component_id"), F.col("_kept").alias("kept"))
 
 
@@ -244,7 +327,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     R.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     staged = _stage(docs, id_col, text_col, rest)
-    settings = {"width": 5, "percent": 80, "bands": 25, "rows": 5, "pivot_rounds": 3, "salt_rows": 64} | options
+    settings = {"width": 5, "percent": 80, "bands": 25, "rows": 5, "small_bucket": 16, "salt_rows": 64} | options
     kept = _decide(staged, **settings).where("_kept").select("_rid")
     own = {id_col: F.col("_id"), text_col: F.when(~F.col("_null"), F.col("_text"))}
     return staged.join(kept, "_rid", "left_semi").select(*[own.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
