@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that do not count in a title comparison.
 STOP_WORDS = ["the", "of", "a", "an", "and", "in", "on", "for", "to", "with", "de", "la", "le", "el"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Lower case, compatibility decomposition, no marks."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.category(c).startswith("M")))
