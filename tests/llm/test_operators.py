@@ -61,6 +61,15 @@ def test_suffix_dedup(spark, small, docs):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), int(gone[:-1].sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_names_pack_without_loss():
+    from trendweave.llm.suffix_dedup import packed_names, unpacked_names
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 5000):
+        names = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (unpacked_names(packed_names(names)) == names).all()
+
+
 def test_quality_model(spark, small):
     sf = small.replace("sf0.001", "sf0.01")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -55,6 +55,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"][:n], _tables["down"][:n]
 
 
+def packed_names(names: np.ndarray) -> bytes:
+    """Ascending names without loss: the first one, then the steps in as many byte planes as the largest step needs."""
+    steps = np.diff(names)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + names[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked_names(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    planes = raw[9:].reshape(raw[0], -1)
+    steps = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    steps[0], steps[1:, : raw[0]] = raw[1:9], planes.T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 class Names:
     """Names of the prefixes of any length at every position of a chunk, from one running sum."""
 
@@ -143,7 +158,7 @@ class Chunk:
         several = self.low != self.high
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
             part = slice(cuts[b], cuts[b + 1])
-            yield int(b), chunk, self.values[part].astype("<u8").tobytes(), np.packbits(several[part]).tobytes()
+            yield int(b), chunk, packed_names(self.values[part]), np.packbits(several[part]).tobytes()
 
     def removed(self, earlier: np.ndarray) -> np.ndarray:
         """The mask of bytes in a window of the last round that also starts in a smaller document."""
@@ -200,7 +215,7 @@ def _replies(round_: int, last: bool):
 
     def reply(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        blocks = [np.frombuffer(b.as_buffer(), "<u8") for b in table.column("names")]
+        blocks = [unpacked_names(b.as_buffer()) for b in table.column("names")]
         sizes = np.array([len(b) for b in blocks])
         names = np.concatenate(blocks)
         order = np.argsort(names, kind="stable")
