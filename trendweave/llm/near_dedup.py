@@ -10,9 +10,9 @@ class first, and only a class's representative is banded.
 Candidates become links without listing pairs inside a bucket.  Every member of a bucket is compared, on full
 sets, with the bucket's pivot P, its member with most copies; links join components at once.  A bucket whose
 members then still lie in several components is refined.  If x is not linked with P, y is any other member and
-both share no shingle outside P, then their overlap is within x and P, so a link needs
-``percent * (|x| + |y|) <= (100 + percent) * |x & P|``: only members far smaller than P can meet that, and they
-are compared directly.  All other links share a shingle outside P: the members are dealt anew by their shingles
+both share no shingle outside P, then their overlap is within both x & P and y & P, so a link needs
+``percent * (|x| + |y|) <= (100 + percent) * min(|x & P|, |y & P|)``: few members, smaller than P and nearly inside
+it, can meet that, and they are compared directly.  All other links share a shingle outside P: the members are dealt anew by their shingles
 outside P, which are few and rare among near copies, and the same is done with those smaller buckets.  Buckets
 of at most ``small_bucket`` members are compared pair by pair across components.  No candidate is capped.
 
@@ -212,18 +212,21 @@ class _Links:
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def test(self, pairs: DataFrame) -> None:
-        """Verify the pairs (_x, _pivot) not seen before, and join what they link."""
+    def test(self, pairs: DataFrame) -> bool:
+        """Verify the pairs (_x, _pivot) not seen before, and join what they link; whether any new pair is a link."""
         ordered = ["greatest(_x, _pivot) as _a", "least(_x, _pivot) as _b"]
         if self.tested is not None:
             pairs = pairs.selectExpr("*", *ordered).join(self.tested.selectExpr(*ordered), ["_a", "_b"], "left_anti")
         pairs = R.materialize(pairs.select("_x", "_pivot").distinct(), "near-pairs")
         if pairs.isEmpty():
-            return
+            return False
         got = _verify(pairs, self.texts, self.width, self.salt_rows)
         self.tested = got if self.tested is None else self.tested.unionByName(got)
-        links = self.tested.where(F.col("_both") * 100 >= F.col("_all") * self.percent)
-        self.labels = components(links.selectExpr("_x as a", "_pivot as b"))
+        linked = f"_both * 100 >= _all * {self.percent}"
+        if got.where(linked).isEmpty():
+            return False
+        self.labels = components(self.tested.where(linked).selectExpr("_x as a", "_pivot as b"))
+        return True
 
     def named(self, live: DataFrame) -> DataFrame:
         """Bucket rows with their component."""
@@ -236,55 +239,63 @@ class _Links:
         near = self.tested.where("2 * _both >= _all")
         fame = near.groupBy("_pivot").agg(F.count("*").alias("_fame"))
         own = near.select("_x", "_pivot", (F.col("_both") / F.col("_all")).alias("_j")).unionByName(fame.select(F.col("_pivot").alias("_x"), "_pivot", F.lit(1.0).alias("_j")))
-        own = R.materialize(own, "near-homes").join(R.materialize(fame, "near-fame"), "_pivot")
-        return R.materialize(own.groupBy("_x").agg(F.max(F.struct("_fame", "_j"))["_j"].alias("_near")), "near-central")
-
-    def open(self, live: DataFrame) -> DataFrame:
-        """The rows of buckets with several components: _key, _x, _comp, _size, _pivot and _pivot_comp."""
-        rows = self.named(live.select("_key", "_x")).join(self.sigs.select("_x", "_copies"), "_x")
-        rows = rows.withColumn("_near", F.lit(0.0)) if self.tested is None else rows.join(self.central(), "_x", "left").fillna(0.0, ["_near"])
-        rows = R.materialize(rows, "near-rows")
+        return own.join(fame, "_pivot").groupBy("_x").agg(F.max(F.struct("_fame", "_j"))["_j"].alias("_near"))
+
+    def open(self, live: DataFrame, total: int) -> DataFrame:
+        """The rows of buckets with several components: _key, _x, _copies, _comp, _size, _pivot and _pivot_comp; total: how many rows live has."""
+        rows = self.named(live.select("_key", "_x", "_copies"))
+        if self.tested is None:
+            rows = rows.withColumn("_near", F.lit(0.0))
+        else:
+            rows = R.materialize(rows.join(self.central(), "_x", "left").fillna(0.0, ["_near"]), "near-rows")
         pivot = F.max(F.struct("_near", "_copies", (-F.col("_x")).alias("least"), "_comp")).alias("_p")
         buckets = rows.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), pivot).where("_low <> _high")
         buckets = R.materialize(buckets, "near-buckets")
-        held = R.attach(rows, buckets, ["_key"], "_size", rows.count(), "_x").where("_low is not null")
-        return R.materialize(held.select("_key", "_x", "_comp", "_size", (-F.col("_p.least")).alias("_pivot"), F.col("_p._comp").alias("_pivot_comp")), "near-open")
+        held = R.attach(rows, buckets, ["_key"], "_size", total, "_x").where("_low is not null")
+        return R.materialize(held.select("_key", "_x", "_copies", "_comp", "_size", (-F.col("_p.least")).alias("_pivot"), F.col("_p._comp").alias("_pivot_comp")), "near-open")
 
 
 def _links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, small_bucket: int, salt_rows: int, most_levels: int = 5) -> DataFrame | None:
     """Components (node, comp) of the class representatives under all links between bucket mates."""
     links = _Links(sigs, texts, width, percent, salt_rows)
-    live = sigs.select("_x", F.explode("_bands").alias("_key"))
+    live, total = sigs.select("_x", "_copies", F.explode("_bands").alias("_key")), sigs.agg(F.sum(F.size("_bands"))).first()[0] or 0
     for level in range(most_levels + 1):
         for _ in range(2 - min(level, 1)):  # the first pivots only show which documents are central
-            rows = links.open(live)
-            if rows.isEmpty():
+            live = rows = links.open(live, total)  # a bucket of one component needs no further look
+            total = rows.count()
+            if not total:
                 return links.labels
-            links.test(rows.where("_comp <> _pivot_comp").select("_x", "_pivot"))
-        rows = links.named(rows.drop("_comp"))
-        split = rows.groupBy("_key").agg(F.count("*").alias("_n_rows"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high")
-        rows = R.attach(rows, R.materialize(split, "near-split"), ["_key"], "_n_rows", live.count(), "_x").where("_low is not null")
-        rows = R.materialize(rows.select("_key", "_x", "_comp", "_size", "_pivot"), "near-left")
+            joined = links.test(rows.where("_comp <> _pivot_comp").select("_x", "_pivot"))
+        if joined:
+            rows = links.named(rows.drop("_comp"))
+            split = rows.groupBy("_key").agg(F.count("*").alias("_n_rows"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high")
+            rows = R.attach(rows, R.materialize(split, "near-split"), ["_key"], "_n_rows", total, "_x").where("_low is not null")
+            rows = R.materialize(rows.select("_key", "_x", "_comp", "_size", "_pivot"), "near-left")
         if rows.isEmpty():
             break
-        few = rows if level == most_levels else rows.where(F.col("_size") <= small_bucket)
-        other = few.select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_other"))
-        pairs = few.join(other, "_key").where("_x < _y and _comp <> _other").selectExpr("_x", "_y as _pivot")
+        sizes = sigs.select("_x", "_n")
+        few = (rows if level == most_levels else rows.where(F.col("_size") <= small_bucket)).join(sizes, "_x")
+        other = few.select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_other"), F.col("_n").alias("_n_y"))
+        alike = f"_comp <> _other and 100 * least(_n, _n_y) >= {percent} * greatest(_n, _n_y)"  # by size alone
+        pairs = few.join(other, "_key").where(f"_x < _y and {alike}").selectExpr("_x", "_y as _pivot")
         many = rows.where(F.col("_size") > small_bucket)
         if level == most_levels or many.isEmpty():
             links.test(pairs)
             break
-        sized = many.join(sigs.select("_x", "_n"), "_x")
+        own = many.where("_x <> _pivot").select("_pivot", "_x", "_comp").distinct().join(sizes, "_x")
         shared = links.tested.select("_x", "_pivot", "_both").unionByName(links.tested.selectExpr("_pivot as _x", "_x as _pivot", "_both"))
-        off = sized.join(shared, ["_x", "_pivot"]).withColumn("_reach", F.expr(f"(({100 + percent}L * _both) div {percent}L) - _n"))
-        least = sized.groupBy("_key").agg(F.min("_n").alias("_least"), F.max("_size").alias("_rows"))
-        most = off.groupBy("_key").agg(F.max("_reach").alias("_most"))
-        bounds = R.materialize(least.join(most, "_key").where("_most >= _least"), "near-bounds")
-        low = off.join(bounds, "_key").where("_reach >= _least").select("_key", "_x", "_comp", "_reach")
-        mates = sized.join(bounds, "_key").where("_n <= _most").select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_other"), F.col("_n").alias("_size_y"))
-        smaller = low.join(mates, "_key").where("_size_y <= _reach and _x <> _y and _comp <> _other").selectExpr("_x", "_y as _pivot")
+        off = own.join(shared, ["_x", "_pivot"], "left").withColumn("_reach", F.expr(f"({100 + percent}L * coalesce(_both, _n)) div {percent}L - _n"))
+        off = R.materialize(off.where(f"100 * _reach >= {percent} * _n"), "near-off")
+        inside = off.where("_reach >= _n")  # of a pair that shares nothing outside the pivot one at least is such
+        bounds = inside.groupBy("_pivot").agg(F.min("_n").alias("_least")).join(off.groupBy("_pivot").agg(F.max("_reach").alias("_most")), "_pivot")
+        bounds = R.materialize(bounds.where("_most >= _least"), "near-bounds")
+        low = off.join(bounds, "_pivot").where("_reach >= _least").select("_pivot", "_x", "_comp", "_n", "_reach")
+        mates = inside.join(bounds, "_pivot").where("_n <= _most").select("_pivot", F.col("_x").alias("_y"), F.col("_comp").alias("_other"), F.col("_n").alias("_n_y"), F.col("_reach").alias("_reach_y"))
+        smaller = low.join(mates, "_pivot").where(f"_n_y <= _reach and _n <= _reach_y and {alike}").selectExpr("_x", "_y as _pivot")
         beside = _dealt(R.materialize(many.where("_x <> _pivot").select("_x", "_pivot").distinct(), "near-pairs"), texts, salt_rows)
-        live = R.materialize(beside.mapInArrow(_outside(width), "_key long, _x long").distinct(), "near-outside")
+        outside = beside.mapInArrow(_outside(width), "_key long, _x long").distinct()
+        live = R.materialize(outside.join(sigs.select("_x", "_copies"), "_x"), "near-outside")
+        total = live.count()
         links.test(pairs.unionByName(smaller))
     return links.labels
 
