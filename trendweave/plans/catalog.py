@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import median, month_text, pct_change, round_half_up, tail
-from ..operators import evaluation, resolve, series, text_checks
+from ..operators import evaluation, label_checks, resolve, series, text_checks
 from ..sources import activity
 from ..streaming import monthly
 
@@ -76,6 +76,22 @@ def claim_checks(spark, sf_dir):
     return text_checks.claim_report(text_checks.claims(docs, "doc_id"), text_checks.known_numbers(m), "doc_id").select("doc_id", "checked", F.size("unverified").alias("n_unverified"), F.size("ratios").alias("n_ratios"))
 
 
+def label_contradictions(spark, sf_dir):
+    """Document counts by language stand in for verdicts: a language with more than 200 documents counts as growing."""
+    docs = activity.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    verdicts = docs.where("lang is not null").groupBy("lang").agg(F.when(F.count("*") > 200, "growing").otherwise("flat").alias("label")).withColumn("basis", F.lit("documents"))
+    return label_checks.label_contradictions(docs.select("doc_id", "text"), verdicts, "doc_id").select("doc_id", "pos", "lang", "claim", "label")
+
+
+def trust_percentages(spark, sf_dir):
+    return label_checks.trust_percentages(activity.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def language_problems(spark, sf_dir):
+    d = activity.table(spark, sf_dir, "documents").select("doc_id", F.explode(label_checks.language_problems(F.col("text"), F.col("lang"), F.array().cast("array<string>"))).alias("p"))
+    return d.select("doc_id", "p.kind", F.concat_ws(" ", "p.words").alias("words"))
+
+
 def language_guesses(spark, sf_dir):
     return activity.table(spark, sf_dir, "documents").select("doc_id", text_checks.language_guess(F.coalesce("text", F.lit(""))).alias("guess"))
 
@@ -131,7 +147,7 @@ def topic_resolution(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, indexed_points, export_rows, statement_sentences, claim_checks, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution)
+    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, indexed_points, export_rows, statement_sentences, claim_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution)
 }
 
 _BASE = f"""
