@@ -77,19 +77,28 @@ def claim_checks(spark, sf_dir):
 
 
 def label_contradictions(spark, sf_dir):
-    """Document counts by language stand in for verdicts: a language with more than 200 documents counts as growing."""
-    docs = activity.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    verdicts = docs.where("lang is not null").groupBy("lang").agg(F.when(F.count("*") > 200, "growing").otherwise("flat").alias("label")).withColumn("basis", F.lit("documents"))
-    return label_checks.label_contradictions(docs.select("doc_id", "text"), verdicts, "doc_id").select("doc_id", "pos", "lang", "claim", "label")
+    """A sentence for each customer, on the language that stands in for the nation, against verdicts made of five nations."""
+    key = F.col("c_nationkey") % 5
+    word = F.element_at(F.array(*map(F.lit, ("German", "French", "Spanish", "Polish", "Turkish"))), key + 1)
+    said = F.concat(F.lit("The "), word, F.lit(" audience is "), F.when(F.col("c_custkey") % 3 == 0, "not ").otherwise(""), F.when(F.col("c_acctbal") >= 0, "growing.").otherwise("declining."))
+    docs = activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
+    at = F.col("n_nationkey")
+    lang, label = (F.element_at(F.array(*map(F.lit, x)), at % len(x) + 1) for x in (("de", "fr", "es", "pl", "tr"), ("growing", "flat", "declining")))
+    verdicts = activity.table(spark, sf_dir, "nation").where(at < 5).select(lang.alias("lang"), label.alias("label"), F.col("n_name").alias("basis"))
+    return label_checks.label_contradictions(docs, verdicts, "doc_id").select("doc_id", "said", "lang", "claim", "label", "basis")
 
 
 def trust_percentages(spark, sf_dir):
-    return label_checks.trust_percentages(activity.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    said = F.concat(F.lit("Fine; trust high ("), F.col("c_custkey") % 100, F.when(F.col("c_custkey") % 4 == 0, "%)").otherwise(")"))
+    return label_checks.trust_percentages(activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text")), "doc_id")
 
 
 def language_problems(spark, sf_dir):
-    d = activity.table(spark, sf_dir, "documents").select("doc_id", F.explode(label_checks.language_problems(F.col("text"), F.col("lang"), F.array().cast("array<string>"))).alias("p"))
-    return d.select("doc_id", "p.kind", F.concat_ws(" ", "p.words").alias("words"))
+    """Brands with and without a term of the tool, taken as German or English texts."""
+    text = F.concat("p_brand", F.element_at(F.array(*map(F.lit, (" flat", " Views", " fein"))), F.col("p_size") % 3 + 1))
+    lang = F.when(F.col("p_partkey") % 2 == 0, "de").otherwise("en")
+    problems = label_checks.language_problems(text, lang, F.array(F.lit("Brand")))
+    return activity.table(spark, sf_dir, "part").select("p_partkey", F.explode(problems).alias("p")).select("p_partkey", "p.kind", F.concat_ws(" ", "p.words").alias("words"))
 
 
 def language_guesses(spark, sf_dir):
@@ -249,3 +258,13 @@ WITH h AS (SELECT p_brand AS lang, p_type AS query, p_name || ' ' || p_partkey A
 SELECT lang, query, title FROM h QUALIFY row_number() OVER (PARTITION BY lang, query ORDER BY rank, title) <= 5""",
     "monthly_events": "SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*)::BIGINT AS views FROM events GROUP BY ALL",
 }
+
+ORACLE_SQL |= {
+    "label_contradictions": """
+WITH v AS (SELECT n_nationkey AS k, ['de', 'fr', 'es', 'pl', 'tr'][n_nationkey + 1] AS lang, ['growing', 'flat', 'declining'][n_nationkey % 3 + 1] AS label, n_name AS basis FROM nation WHERE n_nationkey < 5),
+c AS (SELECT c_custkey, c_nationkey % 5 AS k, CASE WHEN c_acctbal >= 0 THEN 'growing' ELSE 'declining' END AS claim FROM customer WHERE c_custkey % 3 <> 0)
+SELECT c_custkey AS doc_id, 'The ' || ['German', 'French', 'Spanish', 'Polish', 'Turkish'][k + 1] || ' audience is ' || claim || '.' AS said, lang, claim, label, basis
+FROM c JOIN v USING (k) WHERE (claim = 'growing') <> (label = 'growing')""",
+    "trust_percentages": "SELECT c_custkey AS doc_id, 1 AS pos, 'trust high (' || (c_custkey % 100) || '%' AS said FROM customer WHERE c_custkey % 4 = 0",
+    "language_problems": "SELECT p_partkey, 'tool_terms' AS kind, [ 'flat', 'Views'][p_size % 3 + 1] AS words FROM part WHERE p_partkey % 2 = 0 AND p_size % 3 < 2",
+}
