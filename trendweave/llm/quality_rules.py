@@ -4,9 +4,11 @@ A document's character-class histogram and its histogram of common words are com
 its language by the Jensen-Shannon distance (base 2, 0 to 1).  The references are counted over all documents
 that pass the base rules: a language's classes, and its ``common`` most frequent word buckets (words are
 lower-cased and hashed to ``buckets``; everything else is one more bin).  The 256 languages with most
-documents get a reference each, every other document uses the pooled one; a document is measured against its
-own reference and, if that rejects it, against the nearest of the others, so that a document in another
-language than its label says is not lost.  A histogram of fewer than ``min_chars`` characters or
+documents, ``min_docs`` of them that pass the base rules at least, get a reference each, every other document uses
+the pooled one.  A reference's limit for words is ``most_word_distance``, or where less, FAR_SHARE of the distance
+at which a text without any of its common words lies.  A document is measured against its own reference and, if
+that rejects it, against the nearest of the other languages' that it shares common words with (at least
+SHARED of their share in that language), so that a document in another language than its label says is not lost.  A histogram of fewer than ``min_chars`` characters or
 ``min_words`` words is not compared.
 
 Defined results: a null or empty text has no words and fails the base rule of 50 words; a null language is
@@ -28,6 +30,7 @@ from .textops import LOWER, STEP, buffers, byte_counts, code_points, hash_spans,
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "other")
 POOLED = "\x00pooled"
+FAR_SHARE, SHARED = 0.8, 0.5
 BASE = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint")]
 
 
@@ -145,12 +148,12 @@ def _gather(buckets: int):
     return counts
 
 
-def _references(texts: DataFrame, buckets: int, common: int, most_langs: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _references(texts: DataFrame, buckets: int, common: int, most_langs: int, min_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """lang -> (class shares, common buckets, their shares with the rest's last); at most most_langs + 1 entries."""
     counted = R.materialize(texts.mapInArrow(_gather(buckets), "_lang string, kind string, bin int, n long").groupBy("_lang", "kind", "bin").agg(F.sum("n").alias("n")), "rules-counts")
-    langs = [r[0] for r in counted.where("kind = 'd' and n > 0").orderBy(F.desc("n"), "_lang").limit(most_langs).collect()]
+    langs = [r[0] for r in counted.where(f"kind = 'd' and n >= {max(1, min_docs)}").orderBy(F.desc("n"), "_lang").limit(most_langs).collect()]
     pooled = counted.groupBy("kind", "bin").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("_lang"), "kind", "bin", "n")
-    kept = counted.where(F.col("_lang").isin(langs)).unionByName(pooled)
+    kept = (counted.where(F.col("_lang").isin(langs)) if langs else counted.limit(0)).unionByName(pooled)
     top = kept.withColumn("_r", F.row_number().over(Window.partitionBy("_lang", "kind").orderBy(F.desc("n"), "bin"))).where(f"kind = 'c' or (kind = 'w' and _r <= {common})")
     totals = {r[0]: r[1] for r in kept.where("kind = 'w'").groupBy("_lang").agg(F.sum("n")).collect()}
     found: dict[str, dict[str, list]] = {}
@@ -169,8 +172,11 @@ def _references(texts: DataFrame, buckets: int, common: int, most_langs: int) ->
 
 
 def _judge(references, buckets: int, min_chars: int, min_words: int, most_class: float, most_word: float):
-    where = {}
-    for lang, (_, bins, _) in references.items():
+    where, limit = {}, {}
+    for lang, (_, bins, ref) in references.items():
+        none = np.zeros((1, len(ref)))
+        none[0, -1] = 1.0
+        limit[lang] = max(1e-9, min(most_word, FAR_SHARE * float(js_distance(none, ref[None, :])[0])))
         where[lang] = np.full(buckets, len(bins), np.int64)
         where[lang][bins] = np.arange(len(bins))
 
@@ -185,7 +191,8 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
         hist = np.bincount(doc * (len(bins) + 1) + where[lang][bucket], minlength=n * (len(bins) + 1)).reshape(n, -1)
         q = hist / np.maximum(counts, 1)[:, None]
         by_word = js_distance(q, np.broadcast_to(ref, q.shape))
-        return np.where(chars >= min_chars, by_class, 0.0), np.where(counts >= min_words, by_word, 0.0)
+        by_class, by_word = np.where(chars >= min_chars, by_class, 0.0), np.where(counts >= min_words, by_word, 0.0)
+        return by_class, by_word, np.maximum(by_class / most_class, by_word / limit[lang]), 1 - q[:, -1] >= SHARED * (1 - ref[-1])
 
     def judged(batches):
         for batch in batches:
@@ -195,7 +202,7 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
             for a, b in slices(np.diff(offsets), 1 << 22):
                 base, classes, bucket, first = measure(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)
                 failed = base_failed(base[0], base[4])
-                by_class, by_word = np.zeros(b - a), np.zeros(b - a)
+                by_class, by_word, worst = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a)
 
                 def of(rows, lang, classes=classes, bucket=bucket, first=first):
                     picked = np.zeros(len(classes), bool)
@@ -207,14 +214,14 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
                     named = np.array([x if x in references else POOLED for x in langs[a:b]], object)
                     for lang in dict.fromkeys(named):
                         rows = np.flatnonzero(named == lang)
-                        by_class[rows], by_word[rows] = of(rows, lang)
-                    doubt = np.flatnonzero(~failed & ((by_class > most_class) | (by_word > most_word)))
+                        by_class[rows], by_word[rows], worst[rows], _ = of(rows, lang)
+                    doubt = np.flatnonzero(~failed & (worst > 1))
                     if len(doubt):
-                        for lang in references:
-                            c, w = of(doubt, lang)
-                            nearer = np.maximum(c / most_class, w / most_word) < np.maximum(by_class[doubt] / most_class, by_word[doubt] / most_word)
-                            by_class[doubt[nearer]], by_word[doubt[nearer]] = c[nearer], w[nearer]
-                kept = ~failed & (by_class <= most_class) & (by_word <= most_word)
+                        for lang in [x for x in references if x != POOLED]:
+                            c, w, far, shares = of(doubt, lang)
+                            nearer = shares & (far < worst[doubt])
+                            by_class[doubt[nearer]], by_word[doubt[nearer]], worst[doubt[nearer]] = c[nearer], w[nearer], far[nearer]
+                kept = ~failed & (worst <= 1)
                 parts.append([*base, failed, kept, by_class, by_word])
             names = [n for n, _ in BASE] + ["base_failed", "kept", "class_distance", "word_distance"]
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(len(names))]
@@ -225,7 +232,7 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
     return judged
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, common: int = 64, most_langs: int = 256, min_chars: int = 200, min_words: int = 100, most_class_distance: float = 0.28, most_word_distance: float = 0.42, keep: tuple[str, ...] = ()) -> DataFrame:
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, common: int = 64, most_langs: int = 256, min_chars: int = 200, min_words: int = 100, most_class_distance: float = 0.28, most_word_distance: float = 0.42, keep: tuple[str, ...] = (), min_docs: int = 30) -> DataFrame:
     """One row per document: id, the base counts, base_failed, kept, class_distance, word_distance; and the columns in ``keep`` as struct _row.
 
     Two passes over the texts, both map-only; only histograms of bounded size are shuffled.
@@ -233,7 +240,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     R.small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")
-    references = _references(docs.select(text, lang), buckets, common, most_langs)
+    references = _references(docs.select(text, lang), buckets, common, most_langs, min_docs)
     source = docs.select(F.col(id_col).alias("_id"), text, lang, *([F.struct(*keep).alias("_row")] if keep else []))
     passed = [f for f in source.schema.fields if f.name not in ("_text", "_lang")]
     counted = [T.StructField(n, T.LongType()) for n, _ in BASE]
