@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 Every position of every text is the start of a suffix; a byte goes if it lies in a ``threshold``-byte string
-that also starts in a document with a smaller id.  Names (ranks) of prefixes are sorted at growing lengths,
-L, 2L, ... up to the threshold, each name made from the pair of names of its halves; a position whose prefix
-is unique drops out, as no longer prefix of it can repeat.
+that also starts in a document with a smaller id.  Names of prefixes are sorted at growing lengths, L, 2L, ... up
+to the threshold; a position whose prefix is unique drops out, as no longer prefix of it can repeat.  Names are
+not ranks made from the pair of names of the halves: each is a 64-bit hash of the prefix, from a running sum.
 
 The first names, of about half the threshold, are not sorted for all positions.  Each threshold-byte window
 has as its minimizer the least name among the short prefixes inside it; equal windows have equal minimizers,
@@ -14,7 +14,8 @@ Documents are dealt in ascending id order into chunks of about ``chunk_bytes``;
 chunk, or a smaller place in the same one.  A chunk names a prefix once, however often it repeats there: a
 frequent passage costs a name per chunk and never a group of its own.  Names go as sorted blocks to
 ``buckets`` ranges of the name space, where Spark brings all chunks' blocks together; the answer is one bit
-per name.  Names are 64-bit fingerprints (false match of two of n windows: about n**2 / 2**65).
+per name.  Bytes go on equality of these hashes alone and are not compared (false match of two of n windows:
+about n**2 / 2**65).
 
 Defined results: a null or empty text has no bytes; rows with a repeated id are one another's equals, neither
 is smaller; rows without an id come last, in the same way; texts shorter than the threshold stay whole; an
