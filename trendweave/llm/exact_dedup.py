@@ -199,14 +199,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The text travels once, and only towards the comparison of nominated copies; a group of any size is
     dealt in blocks of about ``salt_rows`` rows, each with the reference's chunks beside it.
     """
-    R.small_batches(docs.sparkSession)
     out = _decide(_stage(docs, id_col, text_col, []), part_chars, chunk_bytes, salt_rows, prime)
     return out.select(F.col("_id").alias(id_col), F.col("_best.i").alias("keep_id"), "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 1 << 20, chunk_bytes: int = 1 << 16, salt_rows: int = 64) -> DataFrame:
     """The rows of docs that stay, with all their columns as they were."""
-    R.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     staged = _stage(docs, id_col, text_col, rest)
     kept = _decide(staged, part_chars, chunk_bytes, salt_rows, PRIME).where("kept").select("_rid")

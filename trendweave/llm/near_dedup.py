@@ -7,16 +7,20 @@ the second, shifted circularly by k, gives coordinate k.  Coordinates go into ba
 band key are candidates.  Documents with equal sets (128-bit digest over the whole set and its size) form a
 class first, and only a class's representative is banded.
 
-Candidates become links without listing pairs inside a bucket.  Every member of a bucket is compared, on full
-sets, with the bucket's pivot P, its member with most copies; links join components at once.  A bucket whose
-members then still lie in several components is refined.  If x is not linked with P, y is any other member and
-both share no shingle outside P, then their overlap is within both x & P and y & P, so a link needs
-``percent * (|x| + |y|) <= (100 + percent) * min(|x & P|, |y & P|)``: few members, smaller than P and nearly inside
-it, can meet that, and they are compared directly.  All other links share a shingle outside P: the members are dealt anew by their shingles
-outside P, which are few and rare among near copies, and the same is done with those smaller buckets.  Buckets
-of at most ``small_bucket`` members are compared pair by pair across components.  No candidate is capped.
-
-With 25 bands of 5 coordinates a pair at similarity 0.85 meets in at least one band with probability 1 - 4e-7.
+Candidates become links in three steps, none of which lists the pairs of a bucket:
+
+1. Twice, every member of a bucket is compared, on full sets, with the bucket's pivot (its member with most
+   copies, then the one with most links so far); links join components, and buckets of one component are closed.
+2. Of what is still open, the shingles are counted.  A shingle of x that no other open document has is in no
+   overlap, so with m others a link of x and y needs ``percent * (|x| + |y|) <= (100 + percent) * m``.  Most
+   documents that only share a template with others can then link with nobody and leave.
+3. The rest of a bucket meets by size: the larger document of a link looks for sizes between the threshold and
+   the bound of step 2, in cells of a grid that are part of the join key; a parity bitmap of the shingles (the
+   bits in which two bitmaps differ are at most the shingles in which the sets differ) rules out almost all
+   pairs that are no links.  What remains is compared on full sets.  Hot buckets are dealt to lanes.
+
+Every bound is exact: no candidate is capped or dropped that could be a link.  With 25 bands of 5 coordinates
+a pair at similarity 0.85 meets in at least one band with probability 1 - 4e-7, one at 0.8 with 1 - 5e-5.
 Sets are compared by 64-bit shingle hashes (a false match of two shingles: about n * m / 2**64).
 
 Defined results: null and empty texts link with nothing; rows with a repeated id are rows of their own, and of
@@ -37,6 +41,8 @@ from . import runtime as R
 from .textops import LOWER, STEP, buffers, hash_spans, mix64, shingle_hashes, slices, words_of
 
 UNIVERSE = 1 << 20
+BITS = 16  # longs of a parity bitmap
+LANE = 4096  # members of a bucket in one lane
 
 
 @cache
@@ -80,6 +86,12 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit b is set if an odd number of shingles fall on it."""
+    count = np.bincount((shingles & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=64 * BITS)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sign(width: int, bands: int, rows: int):
     weights = mix64(np.arange(1, rows + 1, dtype=np.uint64) * STEP) | np.uint64(1)
     salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
@@ -88,11 +100,12 @@ def _sign(width: int, bands: int, rows: int):
         for batch in batches:
             raw, offsets = buffers(batch.column("_text"))
             n = len(batch)
-            size, d1, d2, keys = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+            size, d1, d2, keys, bits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [], np.zeros((n, BITS), np.int64)
             for a, b in slices(np.diff(offsets), 1 << 22):
                 for i, own in enumerate(shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), a):
                     size[i] = len(own)
                     if len(own):
+                        bits[i] = parity(own)
                         d1[i] = own.sum(dtype=np.uint64).view(np.int64)
                         d2[i] = mix64(own ^ STEP).sum(dtype=np.uint64).view(np.int64)
                         parts = signature(own, bands * rows).reshape(bands, rows).astype(np.uint64)
@@ -101,7 +114,7 @@ def _sign(width: int, bands: int, rows: int):
                         keys.append(np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(size), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["_rid", "_n", "_d1", "_d2", "_bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array(size), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITS), pa.array(bits.reshape(-1)))], ["_rid", "_n", "_d1", "_d2", "_bands", "_bits"])
 
     return signed
 
@@ -147,34 +160,33 @@ def _compare(width: int):
     return compared
 
 
-def _outside(width: int):
-    """The shingles of each member that its pivot lacks."""
-
-    def visit(rows, x, pivot, own, held):
-        rows.append((x, own[~_in(own, held)]))
+def _listed(width: int):
+    """All shingles of each text."""
 
     def listed(batches):
-        for rows in _streamed(batches, width, visit):
-            x = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows])
-            keys = np.concatenate([r[1] for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(x)], ["_key", "_x"])
+        for batch in batches:
+            raw, offsets = buffers(batch.column("_text"))
+            x = batch.column("_rid").to_numpy()
+            for a, b in slices(np.diff(offsets), 1 << 22):
+                sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                keys = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(x[a:b], [len(s) for s in sets]))], ["_shingle", "_x"])
 
     return listed
 
 
-def _dealt(pairs: DataFrame, texts: DataFrame, salt_rows: int) -> DataFrame:
-    """The texts of each (x, pivot): a pivot's members in blocks, its own text once before each."""
-    sizes = pairs.groupBy("_pivot").agg(F.count("*").alias("_size"))
-    sizes = R.materialize(sizes.withColumn("_salts", F.expr(f"cast(ceil(_size / {salt_rows}) as int)")), "near-pivots")
-    members = R.attach(pairs, sizes, ["_pivot"], "_size", pairs.count(), "_x").select(F.col("_x").alias("_rid"), "_pivot", F.pmod(F.hash("_x"), F.col("_salts")).alias("_salt"), F.lit(1).alias("_role"))
-    pivots = sizes.select(F.col("_pivot").alias("_rid"), "_pivot", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.lit(0).alias("_role"))
-    rows = members.unionByName(pivots).join(texts, "_rid")
-    return rows.repartition("_pivot", "_salt").sortWithinPartitions("_pivot", "_salt", "_role", "_rid")
+def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Exact overlap of each written pair (_x, _pivot).
 
-
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, salt_rows: int) -> DataFrame:
-    """Exact overlap of each (x, pivot)."""
-    return R.materialize(_dealt(pairs, texts, salt_rows).mapInArrow(_compare(width), "_x long, _pivot long, _both long, _all long"), "near-verified")
+    The pairs of a pivot are dealt in lanes, as many as there are thousands of pairs, its own text once in each
+    lane: no lane grows with a pivot's fame, and a lane brings at most one more text for each of its pairs.
+    """
+    lanes = 1 + pairs.count() // LANE
+    dealt = pairs.select("_x", "_pivot", F.pmod(F.hash("_x"), F.lit(lanes)).alias("_salt"))
+    members = dealt.select(F.col("_x").alias("_rid"), "_pivot", "_salt", F.lit(1).alias("_role"))
+    pivots = dealt.select(F.col("_pivot").alias("_rid"), "_pivot", "_salt", F.lit(0).alias("_role")).distinct()
+    rows = members.unionByName(pivots).join(texts, "_rid").repartition("_pivot", "_salt").sortWithinPartitions("_pivot", "_salt", "_role", "_rid")
+    return R.materialize(rows.mapInArrow(_compare(width), "_x long, _pivot long, _both long, _all long"), "near-verified")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,134 +200,137 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = R.materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "cc-up")
-        while True:
+        moved = True
+        while moved:
             over = up.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
-            jumped = R.materialize(up.join(over, "comp").selectExpr("node", "_next as comp", "_next <> comp as _moved"), "cc-jump")
-            up, settled = jumped.select("node", "comp"), jumped.where("_moved").isEmpty()
-            if settled:
-                break
+            jumped = R.materialize(up.drop("_moved").join(over, "comp").selectExpr("node", "_next as comp", "_next <> comp as _moved"), "cc-jump")
+            R.drop_tables(up)
+            up, moved = jumped, not jumped.where("_moved").isEmpty()
+        x, y = up.selectExpr("node as a", "comp as _a"), up.selectExpr("node as b", "comp as _b")
+        left = R.materialize(edges.join(x, "a").join(y, "b").where("_a <> _b").selectExpr("_a as a", "_b as b").distinct(), "cc-edges")
         if labels is None:
-            labels = up
+            before, labels = (edges,), up
         else:
-            on = up.selectExpr("node as comp", "comp as _root")
-            labels = R.materialize(labels.join(on, "comp", "left").selectExpr("node", "coalesce(_root, comp) as comp"), "cc-labels")
-        a, b = up.selectExpr("node as a", "comp as _a"), up.selectExpr("node as b", "comp as _b")
-        edges = R.materialize(edges.join(a, "a").join(b, "b").where("_a <> _b").selectExpr("_a as a", "_b as b").distinct(), "cc-edges")
+            before = (edges, labels, up)
+            roots = up.selectExpr("node as comp", "comp as _root")
+            labels = R.materialize(labels.join(roots, "comp", "left").selectExpr("node", "coalesce(_root, comp) as comp"), "cc-labels")
+        R.drop_tables(*before)
+        edges = left
     return labels if labels is not None else edges.selectExpr("a as node", "b as comp")
 
 
-class _Links:
-    """Verified pairs so far and the components that their links make."""
-
-    def __init__(self, sigs: DataFrame, texts: DataFrame, width: int, percent: int, salt_rows: int):
-        self.sigs, self.texts, self.width, self.percent, self.salt_rows = sigs, texts, width, percent, salt_rows
-        self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
+def _open(rows: DataFrame, total: int) -> DataFrame:
+    """The rows (_key, _x, _n, _copies, _comp, _rank, _tried) of buckets with several components, with the bucket's _size and its pivot."""
+    first = F.max(F.struct("_rank", "_copies", (-F.col("_x")).alias("least"), "_n", "_comp")).alias("_p")
+    buckets = rows.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), first).where("_low <> _high")
+    buckets = R.materialize(buckets.select("_key", "_size", (-F.col("_p.least")).alias("_pivot"), F.col("_p._n").alias("_n_pivot"), F.col("_p._comp").alias("_comp_pivot")), "near-buckets")
+    held = R.attach(rows, buckets, ["_key"], "_size", total, "_x").where("_pivot is not null").drop("_rank")
+    held = R.materialize(held, "near-open")
+    R.drop_tables(buckets)
+    return held
+
+
+def _relabelled(rows: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket rows with the components of the links so far; the rank of a document is the number of its links."""
+    fame = links.selectExpr("explode(array(_x, _pivot)) as _x").groupBy("_x").agg(F.count("*").alias("_rank"))
+    known = labels.selectExpr("node as _x", "comp as _label").join(fame, "_x", "left")
+    named = rows.select("_key", "_x", "_n", "_copies", F.col("_pivot").alias("_tried")).join(known, "_x", "left")
+    return named.withColumn("_comp", F.coalesce("_label", "_x")).withColumn("_rank", F.coalesce("_rank", F.lit(0))).drop("_label")
+
+
+def _with_pivots(opened: DataFrame, percent: int) -> DataFrame:
+    """Each open member and its bucket's pivot, if they are of two components and their sizes allow a link."""
+    near = f"_comp <> _comp_pivot and _pivot <> _tried and 100 * least(_n, _n_pivot) >= {percent} * greatest(_n, _n_pivot)"
+    return opened.where(near).select("_x", "_pivot").distinct()
+
+
+def _bounded(opened: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """_x, _n, _bits and _reach of the open documents that can still link: the greatest size of a partner by the shingles that others have."""
+    ids = R.materialize(opened.select("_x").distinct(), "near-ids")
+    shingles = R.rows_of(texts.withColumn("_x", F.col("_rid")), ids, "_x").mapInArrow(_listed(width), "_shingle long, _x long")
+    alone = shingles.groupBy("_shingle").agg(F.count("*").alias("_df"), F.min("_x").alias("_x")).where("_df = 1").groupBy("_x").agg(F.count("*").alias("_alone"))
+    shared = R.rows_of(reps, ids, "_x").select("_x", "_n", "_bits").join(alone, "_x", "left").withColumn("_shared", F.col("_n") - F.coalesce("_alone", F.lit(0)))
+    reach = shared.where(f"100 * _shared >= {percent} * _n").withColumn("_reach", F.expr(f"({100 + percent} * _shared) div {percent} - _n"))
+    out = R.materialize(reach.select("_x", "_n", "_bits", "_reach"), "near-bounds")
+    R.drop_tables(ids)
+    return out
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Verify the pairs (_x, _pivot) not seen before, and join what they link; whether any new pair is a link."""
-        ordered = ["greatest(_x, _pivot) as _a", "least(_x, _pivot) as _b"]
-        if self.tested is not None:
-            pairs = pairs.selectExpr("*", *ordered).join(self.tested.selectExpr(*ordered), ["_a", "_b"], "left_anti")
-        pairs = R.materialize(pairs.select("_x", "_pivot").distinct(), "near-pairs")
-        if pairs.isEmpty():
-            return False
-        got = _verify(pairs, self.texts, self.width, self.salt_rows)
-        self.tested = got if self.tested is None else self.tested.unionByName(got)
-        linked = f"_both * 100 >= _all * {self.percent}"
-        if got.where(linked).isEmpty():
-            return False
-        self.labels = components(self.tested.where(linked).selectExpr("_x as a", "_pivot as b"))
-        return True
 
-    def named(self, live: DataFrame) -> DataFrame:
-        """Bucket rows with their component."""
-        if self.labels is None:
-            return live.withColumn("_comp", F.col("_x"))
-        return live.join(self.labels.selectExpr("node as _x", "comp as _label"), "_x", "left").withColumn("_comp", F.coalesce("_label", "_x")).drop("_label")
-
-    def central(self) -> DataFrame:
-        """How near each tested document is to the pivot, among its own, that most near documents were tested with."""
-        near = self.tested.where("2 * _both >= _all")
-        fame = near.groupBy("_pivot").agg(F.count("*").alias("_fame"))
-        own = near.select("_x", "_pivot", (F.col("_both") / F.col("_all")).alias("_j")).unionByName(fame.select(F.col("_pivot").alias("_x"), "_pivot", F.lit(1.0).alias("_j")))
-        return own.join(fame, "_pivot").groupBy("_x").agg(F.max(F.struct("_fame", "_j"))["_j"].alias("_near"))
-
-    def open(self, live: DataFrame, total: int) -> DataFrame:
-        """The rows of buckets with several components: _key, _x, _copies, _comp, _size, _pivot and _pivot_comp; total: how many rows live has."""
-        rows = self.named(live.select("_key", "_x", "_copies"))
-        if self.tested is None:
-            rows = rows.withColumn("_near", F.lit(0.0))
-        else:
-            rows = R.materialize(rows.join(self.central(), "_x", "left").fillna(0.0, ["_near"]), "near-rows")
-        pivot = F.max(F.struct("_near", "_copies", (-F.col("_x")).alias("least"), "_comp")).alias("_p")
-        buckets = rows.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), pivot).where("_low <> _high")
-        buckets = R.materialize(buckets, "near-buckets")
-        held = R.attach(rows, buckets, ["_key"], "_size", total, "_x").where("_low is not null")
-        return R.materialize(held.select("_key", "_x", "_copies", "_comp", "_size", (-F.col("_p.least")).alias("_pivot"), F.col("_p._comp").alias("_pivot_comp")), "near-open")
+def _by_size(opened: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """Pairs (_x, _pivot) of a bucket and different components that the bounds allow; _x is the larger."""
+    cell = lambda c: F.floor(F.ln(c) * 10)
+    lanes = F.expr(f"cast(1 + _size div {LANE} as int)")
+    rows = opened.select("_key", "_x", "_comp", "_size").join(bounds, "_x")
+    least, most = F.expr(f"({percent} * _n + 99) div 100"), F.least("_n", "_reach")
+    large = rows.where(most >= least).withColumn("_cell", F.explode(F.sequence(cell(least), cell(most)))).withColumn("_lane", F.pmod(F.hash("_x"), lanes))
+    small = rows.withColumn("_lane", F.explode(F.sequence(F.lit(0), lanes - 1))).select("_key", cell(F.col("_n")).alias("_cell"), "_lane", *[F.col(c).alias(f"{c}_y") for c in ("_x", "_comp", "_n", "_reach", "_bits")])
+    differ = F.expr(" + ".join(f"bit_count(_bits[{i}] ^ _bits_y[{i}])" for i in range(BITS)))
+    fit = F.expr(f"_comp <> _comp_y and (_n_y < _n or _n_y = _n and _x_y < _x) and _n_y <= _reach and _n <= _reach_y and 100 * _n_y >= {percent} * _n")
+    alike = differ * (100 + percent) <= (F.col("_n") + F.col("_n_y")) * (100 - percent)
+    return large.join(small, ["_key", "_cell", "_lane"]).where(fit & alike).select("_x", F.col("_x_y").alias("_pivot")).distinct()
 
 
-def _links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, small_bucket: int, salt_rows: int, most_levels: int = 5) -> DataFrame | None:
+def _components(reps: DataFrame, staged: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Components (node, comp) of the class representatives under all links between bucket mates."""
-    links = _Links(sigs, texts, width, percent, salt_rows)
-    live, total = sigs.select("_x", "_copies", F.explode("_bands").alias("_key")), sigs.agg(F.sum(F.size("_bands"))).first()[0] or 0
-    for level in range(most_levels + 1):
-        for _ in range(2 - min(level, 1)):  # the first pivots only show which documents are central
-            live = rows = links.open(live, total)  # a bucket of one component needs no further look
-            total = rows.count()
-            if not total:
-                return links.labels
-            joined = links.test(rows.where("_comp <> _pivot_comp").select("_x", "_pivot"))
-        if joined:
-            rows = links.named(rows.drop("_comp"))
-            split = rows.groupBy("_key").agg(F.count("*").alias("_n_rows"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high")
-            rows = R.attach(rows, R.materialize(split, "near-split"), ["_key"], "_n_rows", total, "_x").where("_low is not null")
-            rows = R.materialize(rows.select("_key", "_x", "_comp", "_size", "_pivot"), "near-left")
-        if rows.isEmpty():
-            break
-        sizes = sigs.select("_x", "_n")
-        few = (rows if level == most_levels else rows.where(F.col("_size") <= small_bucket)).join(sizes, "_x")
-        other = few.select("_key", F.col("_x").alias("_y"), F.col("_comp").alias("_other"), F.col("_n").alias("_n_y"))
-        alike = f"_comp <> _other and 100 * least(_n, _n_y) >= {percent} * greatest(_n, _n_y)"  # by size alone
-        pairs = few.join(other, "_key").where(f"_x < _y and {alike}").selectExpr("_x", "_y as _pivot")
-        many = rows.where(F.col("_size") > small_bucket)
-        if level == most_levels or many.isEmpty():
-            links.test(pairs)
+    every = reps.select("_x", "_n", "_copies", F.explode("_bands").alias("_key")).withColumn("_comp", F.col("_x")).withColumn("_rank", F.lit(0).cast("long")).withColumn("_tried", F.lit(-1).cast("long"))
+    total = reps.agg(F.sum(F.size("_bands"))).first()[0] or 0
+    opened = _open(every, total)
+    ids = R.materialize(opened.select(F.col("_x").alias("_rid")).distinct(), "near-ids")
+    texts = R.materialize(R.rows_of(staged.select("_rid", "_text"), ids, "_rid"), "near-candidates")
+    R.drop_tables(ids)
+    linked = f"_both * 100 >= _all * {percent}"
+    tables, links, labels = [], None, None
+
+    def found(pairs: DataFrame) -> bool:
+        """Verify the pairs; whether they bring links, which then change the components."""
+        nonlocal links, labels
+        pairs = R.materialize(pairs, "near-pairs")
+        got = _verify(pairs, texts, width)
+        tables.append(got)
+        R.drop_tables(pairs)
+        new = got.where(linked).select("_x", "_pivot")
+        if new.isEmpty():
+            return False
+        links = new if links is None else links.unionByName(new)
+        if labels is not None:
+            R.drop_tables(labels)
+        labels = components(links.selectExpr("_x as a", "_pivot as b"))
+        return True
+
+    total = opened.count()
+    for _ in range(2):
+        if not total or not found(_with_pivots(opened, percent)):
             break
-        own = many.where("_x <> _pivot").select("_pivot", "_x", "_comp").distinct().join(sizes, "_x")
-        shared = links.tested.select("_x", "_pivot", "_both").unionByName(links.tested.selectExpr("_pivot as _x", "_x as _pivot", "_both"))
-        off = own.join(shared, ["_x", "_pivot"], "left").withColumn("_reach", F.expr(f"({100 + percent}L * coalesce(_both, _n)) div {percent}L - _n"))
-        off = R.materialize(off.where(f"100 * _reach >= {percent} * _n"), "near-off")
-        inside = off.where("_reach >= _n")  # of a pair that shares nothing outside the pivot one at least is such
-        bounds = inside.groupBy("_pivot").agg(F.min("_n").alias("_least")).join(off.groupBy("_pivot").agg(F.max("_reach").alias("_most")), "_pivot")
-        bounds = R.materialize(bounds.where("_most >= _least"), "near-bounds")
-        low = off.join(bounds, "_pivot").where("_reach >= _least").select("_pivot", "_x", "_comp", "_n", "_reach")
-        mates = inside.join(bounds, "_pivot").where("_n <= _most").select("_pivot", F.col("_x").alias("_y"), F.col("_comp").alias("_other"), F.col("_n").alias("_n_y"), F.col("_reach").alias("_reach_y"))
-        smaller = low.join(mates, "_pivot").where(f"_n_y <= _reach and _n <= _reach_y and {alike}").selectExpr("_x", "_y as _pivot")
-        beside = _dealt(R.materialize(many.where("_x <> _pivot").select("_x", "_pivot").distinct(), "near-pairs"), texts, salt_rows)
-        outside = beside.mapInArrow(_outside(width), "_key long, _x long").distinct()
-        live = R.materialize(outside.join(sigs.select("_x", "_copies"), "_x"), "near-outside")
-        total = live.count()
-        links.test(pairs.unionByName(smaller))
-    return links.labels
-
-
-def _decide(staged: DataFrame, width: int, percent: int, bands: int, rows: int, small_bucket: int, salt_rows: int) -> DataFrame:
-    texts = staged.select("_rid", "_text")
-    sigs = R.materialize(texts.mapInArrow(_sign(width, bands, rows), "_rid long, _n long, _d1 long, _d2 long, _bands array<long>"), "near-signatures")
+        before, opened = opened, _open(_relabelled(opened, links, labels), total)
+        R.drop_tables(before)
+        total = opened.count()
+    if total:
+        bounds = _bounded(opened, reps, texts, width, percent)
+        found(_by_size(opened, bounds, percent))
+        R.drop_tables(bounds)
+    R.drop_tables(opened, texts, *tables)
+    return labels
+
+
+def _decide(staged: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    signed = staged.select("_rid", "_text").mapInArrow(_sign(width, bands, rows), "_rid long, _n long, _d1 long, _d2 long, _bands array<long>, _bits array<long>")
+    sigs = R.materialize(signed, "near-signatures")
     total = sigs.count()
     key = ["_n", "_d1", "_d2"]
     classes = R.materialize(sigs.where("_n > 0").groupBy(*key).agg(F.count("*").alias("_size"), F.min("_rid").alias("_x")), "near-classes")
-    members = R.attach(sigs.drop("_bands"), classes, key, "_size", total, "_rid").select("_rid", "_n", F.coalesce("_x", "_rid").alias("_x"))
-    reps = classes.select(F.col("_x").alias("_rid"), F.col("_size").alias("_copies")).join(sigs.select("_rid", "_n", "_bands"), "_rid")
-    reps = R.materialize(reps.select(F.col("_rid").alias("_x"), "_copies", "_n", "_bands"), "near-reps")
-    labels = _links(reps, texts, width, percent, small_bucket, salt_rows)
+    members = R.attach(sigs.select("_rid", *key), classes, key, "_size", total, "_rid").select("_rid", "_n", F.coalesce("_x", "_rid").alias("_x"))
     members = R.materialize(members, "near-members")
+    reps = classes.select(F.col("_x").alias("_rid"), F.col("_size").alias("_copies")).join(sigs.select("_rid", "_n", "_bands", "_bits"), "_rid")
+    reps = R.materialize(reps.withColumnRenamed("_rid", "_x"), "near-reps")
+    R.drop_tables(sigs, classes)
+    labels = _components(reps, staged, width, percent)
+    R.drop_tables(reps)
     if labels is None:
         named = members.select("_rid", "_n", F.col("_x").alias("_comp"))
     else:
         named = members.join(labels.selectExpr("node as _x", "comp"), "_x", "left").select("_rid", "_n", F.coalesce("comp", "_x").alias("_comp"))
     named = R.materialize(named.join(staged.select("_rid", "_id"), "_rid"), "near-named")
+    R.drop_tables(members, *([] if labels is None else [labels]))
     best = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_rid").alias("r"))).alias("_best")
     sizes = R.materialize(named.groupBy("_comp").agg(F.count("*").alias("_size"), best), "near-components")
     return R.attach(named, sizes, ["_comp"], "_size", total, "_rid").withColumn("_kept", F.expr("_best.r = _rid"))
@@ -326,19 +341,18 @@ def _stage(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> Data
     return R.materialize(base.withColumn("_rid", F.monotonically_increasing_id()), "near-text")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, small_bucket: int = 16, salt_rows: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.  percent: the least 100 * shared / united of a link."""
-    R.small_batches(docs.sparkSession)
-    out = _decide(_stage(docs, id_col, text_col, []), width, percent, bands, rows, small_bucket, salt_rows)
+    staged = _stage(docs, id_col, text_col, [])
+    out = _decide(staged, width, percent, bands, rows)
+    R.drop_tables(staged)
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_best.i").alias("component_id"), F.col("_kept").alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
     """One document of each component, all columns as they were."""
-    R.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     staged = _stage(docs, id_col, text_col, rest)
-    settings = {"width": 5, "percent": 80, "bands": 25, "rows": 5, "small_bucket": 16, "salt_rows": 64} | options
-    kept = _decide(staged, **settings).where("_kept").select("_rid")
+    kept = _decide(staged, width, percent, bands, rows).where("_kept").select("_rid")
     own = {id_col: F.col("_id"), text_col: F.when(~F.col("_null"), F.col("_text"))}
     return staged.join(kept, "_rid", "left_semi").select(*[own.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])

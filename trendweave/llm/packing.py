@@ -169,7 +169,6 @@ def _place(runs: Plan):
 def pack_documents(docs: DataFrame, vocab_name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = 1024) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, 16 bits each where the vocabulary allows, else 32), sequence_id, offset."""
     spark = docs.sparkSession
-    R.small_batches(spark)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_rid", F.monotonically_increasing_id())
     id_type = docs.schema[id_col].dataType.simpleString()
     cut = texts.mapInArrow(_cut(vocabulary(vocab_name), end_id, capacity), f"_id {id_type}, _rid long, piece int, start long, length long, ids binary")

@@ -177,7 +177,6 @@ def _score(forest: Forest | None):
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    R.small_batches(docs.sparkSession)
     forest = learn(docs, labels, id_col, text_col, label_col=label_col, max_rows=max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])

@@ -237,7 +237,6 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two passes over the texts, both map-only; only histograms of bounded size are shuffled.
     """
-    R.small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")
     references = _references(docs.select(text, lang), buckets, common, most_langs, min_docs)

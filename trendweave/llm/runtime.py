@@ -6,6 +6,8 @@ executor costs the running tasks only.  A table is written once and re-read by e
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,24 +18,28 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BROADCAST_ROWS = 1 << 18
 _local: list[str] = []
+_made: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, or a temp folder where it is unset (tests)."""
+    """Folder for intermediate tables: spark.checkpoint.dir; where it is unset, a temp folder, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="trendweave-"))
-        import atexit
-
         atexit.register(shutil.rmtree, _local[0], True)
     return "file://" + _local[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/trendweave/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/trendweave/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
 @contextmanager
@@ -46,12 +52,6 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small; a session that sets its own size keeps it."""
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, str(rows))
-
-
 def materialize(df: DataFrame, name: str, block_bytes: int = 1 << 27) -> DataFrame:
     """Write df to the shared folder and read it back; the shuffle files of the write are dropped with it.
 
@@ -61,17 +61,55 @@ def materialize(df: DataFrame, name: str, block_bytes: int = 1 << 27) -> DataFra
     path = scratch_path(spark, name)
     with setting(spark, CLEANUP, "true"):
         df.write.option("compression", "zstd").option("parquet.block.size", block_bytes).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _made.discard(path)
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """The folders of this module that a frame reads."""
+    folders = {re.sub(r"^file:/+", "/", f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+    return {p for p in _made if re.sub(r"^file:/+", "/", p) in folders}
 
 
 def drop_tables(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
+    """Delete tables of ``materialize`` that nothing reads any more; other frames are left alone."""
     for t in tables:
-        spark = t.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
-            if "/trendweave/" in f:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if t.__dict__.get("scratch") in _made:
+            _delete(t.sparkSession, t.scratch)
+
+
+class Leftovers:
+    """Tables that frames already handed out still read: kept until the next step, then dropped unless its input reads them."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+    def release(self, docs: DataFrame) -> None:
+        """Drop what earlier steps left, but for what ``docs`` reads."""
+        for path in (self.paths & _made) - _read_by(docs):
+            _delete(docs.sparkSession, path)
+        self.paths &= _made
+
+    @contextmanager
+    def step(self, docs: DataFrame):
+        """Releases earlier tables, and notes those that are made inside and not dropped there."""
+        self.release(docs)
+        before = set(_made)
+        yield
+        self.paths |= _made - before
+
+
+def rows_of(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ``few``, a written table of distinct keys: broadcast while it is small, else shuffled."""
+    few = few.select(key)
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, key, "left_semi")
 
 
 def attach(members: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: str) -> DataFrame:

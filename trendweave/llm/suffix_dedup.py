@@ -296,7 +296,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input (one for ``bucket_bytes`` of text, at least 128), so no task's share does.
     """
     spark = docs.sparkSession
-    R.small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     ordered = texts.repartitionByRange(F.col("_id").asc_nulls_last()).sortWithinPartitions(F.col("_id").asc_nulls_last())
     chunks = R.materialize(ordered.mapInArrow(_chunked(chunk_bytes), "chunk long, ids array<long>, lengths array<long>, text binary"), "suffix-chunks", block_bytes=1 << 24)
