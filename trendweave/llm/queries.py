@@ -132,12 +132,26 @@ r AS (
 v AS (SELECT *, (total - capped)::DOUBLE / others::DOUBLE AS level FROM r),
 f AS (SELECT arg_min(level, turn) AS level FROM v WHERE level * weight <= source_size * 3),
 t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, f.level * weight) AS target FROM v, f),
+c AS (
+  SELECT *, sum(floor(target + 0.5)::BIGINT) OVER ()::BIGINT AS n_words, sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY source NULLS LAST)::BIGINT AS upto FROM t),
+e AS (SELECT *, greatest(1, least(128, n_words // 4096)) AS block, floor(upto::DOUBLE / n_words::DOUBLE * 2147483648.0::DOUBLE)::BIGINT AS hi FROM c WHERE target >= 0.5),
+g AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM e),
+points AS (SELECT i, (i * 1327217885) % 2147483648 AS v FROM (SELECT unnest(range(m)) AS i FROM (SELECT max((n_words + block - 1) // block) AS m FROM e))),
+slots AS (SELECT source, i AS position, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS k FROM points JOIN g ON v >= lo AND v < hi),
+fallen AS (SELECT source, count(*) AS n FROM slots GROUP BY source),
+size_of AS (SELECT coalesce(max(block), 1)::BIGINT AS block FROM e),
+given AS (
+  SELECT t.source, t.source_size, t.target, size_of.block, least(t.source_size * 3, coalesce(fallen.n, 0) * size_of.block)::BIGINT AS words
+  FROM t CROSS JOIN size_of LEFT JOIN fallen ON fallen.source IS NOT DISTINCT FROM t.source),
 p AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
+  SELECT d.*, given.source_size, given.target, given.block, given.words,
          (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, words - a)) + greatest(0, least(size, words - a - source_size)) + greatest(0, least(size, words - a - 2 * source_size)))::BIGINT AS taken
-FROM p
+  FROM d JOIN given ON d.source IS NOT DISTINCT FROM given.source),
+q AS (SELECT p.*, epoch, a + epoch * source_size AS f, greatest(0, least(size, words - a - epoch * source_size)) AS part FROM p, range(3) x(epoch)),
+r3 AS (
+  SELECT rid, doc_id, source, size, source_size, target, sum(part)::BIGINT AS taken, any_value(a // block) AS kf,
+         sum(CASE WHEN part > 0 THEN (f + part - 1) // block - f // block + 1 ELSE 0 END)::BIGINT AS n_slots FROM q GROUP BY ALL)
+SELECT doc_id, size, source_size, target, taken, coalesce(position, -1)::BIGINT AS first_position, n_slots
+FROM r3 LEFT JOIN slots ON taken > 0 AND slots.source IS NOT DISTINCT FROM r3.source AND slots.k = kf
 """,
 }
