@@ -123,7 +123,6 @@ def _ids(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 

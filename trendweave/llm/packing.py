@@ -5,7 +5,8 @@ be shorter).  Only the histogram of piece lengths comes to the driver: at most `
 of up to three lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by
 non-negative least squares and rounded down; what remains is packed by best fit decreasing, on the histogram
 too.  The plan says, for each length, which runs of pieces go to which sequences and offsets.  Each piece then
-finds its rank among those of its length by two-level counting in Spark, and its place by that rank.
+finds its rank among those of its length by two-level counting in Spark, and its place by that rank.  Pieces of
+full length are sequences of their own (with negative ids) and need neither plan nor shuffle.
 
 Defined results: a null or empty text is one piece holding the end id; rows with a repeated id are rows of
 their own; an empty table gives an empty result; other columns are ignored.
@@ -172,20 +173,23 @@ def pack_documents(docs: DataFrame, vocab_name: str = "byte_bpe_50k.json", id_co
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_rid", F.monotonically_increasing_id())
     id_type = docs.schema[id_col].dataType.simpleString()
     cut = texts.mapInArrow(_cut(vocabulary(vocab_name), end_id, capacity), f"_id {id_type}, _rid long, piece int, start long, length long, ids binary")
-    pieces_ = R.materialize(cut, "pack-pieces")
+    pieces_ = R.materialize(cut.withColumn("_pid", F.monotonically_increasing_id()), "pack-pieces")
     counted = pieces_.groupBy("length").count().collect()  # at most one row per length
     counts = np.zeros(capacity + 1, np.int64)
     for r in counted:
         counts[r["length"]] = r["count"]
+    counts[capacity] = 0  # a full piece is a sequence of its own
     _, runs = plan(counts)
-    sizes = spark.createDataFrame([(int(a), int(min(4096, -(-counts[a] // 128)))) for a in np.flatnonzero(counts)], "length long, _buckets int")
+    sizes = spark.createDataFrame([(int(a), int(-(-counts[a] // 128))) for a in np.flatnonzero(counts)], "length long, _buckets int")
     bucketed = pieces_.select("_rid", "piece", "length").join(F.broadcast(sizes), "length").withColumn("_bucket", F.pmod(F.hash("_rid", "piece"), F.col("_buckets"))).drop("_buckets")
     ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = R.materialize(bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "pack-buckets").withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     own = Window.partitionBy("length", "_bucket").orderBy("_rid", "piece")
     ranked = bucketed.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.row_number().over(own) - 1)
     placed = ranked.select("_rid", "piece", _place(runs)("length", "_rank").alias("_at"))
-    return pieces_.join(placed, ["_rid", "piece"]).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids", "_at.sequence_id", "_at.offset")
+    shared = pieces_.where(F.col("length") < capacity).join(placed, ["_rid", "piece"])
+    full = pieces_.where(F.col("length") == capacity).withColumn("_at", F.struct((-F.col("_pid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    return shared.unionByName(full).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids", "_at.sequence_id", "_at.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

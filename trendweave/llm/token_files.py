@@ -108,8 +108,9 @@ def _write_shards(folder: str, vocab: str, end_id: int, seq_len: int, batch_sequ
 def write_tokens(docs: DataFrame, folder: str, vocab: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, seq_len: int = 1024, batch_sequences: int = 256) -> DataFrame:
     """Write the files; the manifest: shard (ascending with the ids), uri, n_docs, n_tokens, first_token."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    ordered = texts.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    order = [F.col("_id").asc_nulls_first(), F.col("_tie")]  # rows of one id, or without id, may fall to several files
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order, "_text").drop("_tie")
     shards = ordered.mapInArrow(_write_shards(folder, vocab, end_id, seq_len, batch_sequences), "shard long, uri string, n_docs long, n_tokens long")
     rows = R.materialize(shards, "token-manifest").orderBy("shard").collect()  # a row per file
     first, out = 0, []

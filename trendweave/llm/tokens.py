@@ -3,7 +3,8 @@
 A text whose code points are all below 256 is cut at the vocabulary's own pre-token bounds, which no merge
 crosses (the classes of letters, digits and white space are written out for that range); its case is
 folded first where the vocabulary folds it.  Any other text is cut where white space follows a visible
-character, or, with white space beyond ASCII in it, not at all.
+character, or, with white space beyond ASCII in it, not at all; a text that holds the string of an added token
+is encoded whole.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ def vocabulary(name: str) -> str:
 class Pieces(dict):
     """piece -> its ids as bytes; the pieces used last are kept, at most twice MOST_PIECES."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.fold = self.tokenizer.normalizer is not None
         self.cut = WORD_ENDS if self.fold else BYTE_LEVEL
         self.older: dict[str, bytes] = {}
@@ -64,6 +67,8 @@ class Pieces(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self.encoded(text)
         if text.isascii() or not BEYOND.search(text):
             return b"".join(map(self.__getitem__, self.cut.findall(text.lower() if self.fold else text)))
         if WIDE_SPACE.search(text):
@@ -72,11 +77,14 @@ class Pieces(dict):
 
 
 @cache
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(path: str, plain_specials: bool = False) -> Pieces:
+    return Pieces(path, plain_specials)
+
 
+def encode(path: str, texts: list[str], end_id: int, plain_specials: bool = False) -> list[bytes]:
+    """The ids of each text and ``end_id``, as little-endian unsigned 32-bit integers.
 
-def encode(path: str, texts: list[str], end_id: int) -> list[bytes]:
-    """The ids of each text and ``end_id``, as little-endian unsigned 32-bit integers."""
-    known, end = pieces(path), int(end_id).to_bytes(4, "little")
+    The strings of special tokens in a text become those tokens, as in the library; plain_specials: they are ordinary text.
+    """
+    known, end = pieces(path, plain_specials), int(end_id).to_bytes(4, "little")
     return [known.ids(text) + end for text in texts]
