@@ -170,7 +170,7 @@ def _decide(staged: DataFrame, part_chars: int, chunk_bytes: int, salt_rows: int
     facts = R.materialize(_facts(staged, part_chars, prime), "exact-facts")
     total = facts.count()
     key = ["f1", "f2", "n"]
-    left, classes = facts.select("_rid", *key), None
+    left, classes, tables = facts.select("_rid", *key), None, [facts]
     while True:
         groups = R.materialize(left.groupBy(*key).agg(F.count("*").alias("_size"), F.min("_rid").alias("_ref")), "exact-groups")
         members = R.attach(left, groups, key, "_size", total, "_rid").select("_rid", "_ref", "_size")
@@ -180,6 +180,7 @@ def _decide(staged: DataFrame, part_chars: int, chunk_bytes: int, salt_rows: int
         chunks = copies.unionByName(refs).join(staged.select("_rid", "_text"), "_rid").mapInArrow(_chunks(chunk_bytes), "_ref long, _salt int, _part int, _role int, _rid long, _bytes binary")
         compared = chunks.repartition("_ref", "_salt").sortWithinPartitions("_ref", "_salt", "_part", "_role", "_rid").mapInArrow(_differing, "_rid long")
         bad = R.materialize(compared.distinct(), "exact-differing")
+        tables += [groups, bad]
         good = members.select("_rid", "_ref")
         done = bad.isEmpty()
         good = good if done else good.join(bad, "_rid", "left_anti")
@@ -187,7 +188,9 @@ def _decide(staged: DataFrame, part_chars: int, chunk_bytes: int, salt_rows: int
         if done:
             break
         left = R.materialize(left.join(bad, "_rid", "left_semi"), "exact-left")
+        tables.append(left)
     rows = R.materialize(facts.join(classes, "_rid").select("_rid", "_ref", "_id", "_points", "_sha"), "exact-classes")
+    R.drop_tables(*tables)
     best = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_rid").alias("r"))).alias("_best")
     sizes = R.materialize(rows.groupBy("_ref").agg(F.count("*").alias("group_size"), best), "exact-sizes")
     return R.attach(rows, sizes, ["_ref"], "group_size", total, "_rid").withColumn("kept", F.expr("_best.r = _rid"))
@@ -199,7 +202,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The text travels once, and only towards the comparison of nominated copies; a group of any size is
     dealt in blocks of about ``salt_rows`` rows, each with the reference's chunks beside it.
     """
-    out = _decide(_stage(docs, id_col, text_col, []), part_chars, chunk_bytes, salt_rows, prime)
+    staged = _stage(docs, id_col, text_col, [])
+    out = _decide(staged, part_chars, chunk_bytes, salt_rows, prime)
+    R.drop_tables(staged)
     return out.select(F.col("_id").alias(id_col), F.col("_best.i").alias("keep_id"), "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 

@@ -178,10 +178,10 @@ def _listed(width: int):
 def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Exact overlap of each written pair (_x, _pivot).
 
-    The pairs of a pivot are dealt in lanes, as many as there are thousands of pairs, its own text once in each
-    lane: no lane grows with a pivot's fame, and a lane brings at most one more text for each of its pairs.
+    The pairs of a pivot are dealt in lanes, one for each 256 pairs of the table, its own text once in each lane:
+    no lane grows with a pivot's fame, and a lane brings at most one more text for each of its pairs.
     """
-    lanes = 1 + pairs.count() // LANE
+    lanes = 1 + pairs.count() // 256
     dealt = pairs.select("_x", "_pivot", F.pmod(F.hash("_x"), F.lit(lanes)).alias("_salt"))
     members = dealt.select(F.col("_x").alias("_rid"), "_pivot", "_salt", F.lit(1).alias("_role"))
     pivots = dealt.select(F.col("_pivot").alias("_rid"), "_pivot", "_salt", F.lit(0).alias("_role")).distinct()
@@ -224,8 +224,7 @@ def _open(rows: DataFrame, total: int) -> DataFrame:
     first = F.max(F.struct("_rank", "_copies", (-F.col("_x")).alias("least"), "_n", "_comp")).alias("_p")
     buckets = rows.groupBy("_key").agg(F.count("*").alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"), first).where("_low <> _high")
     buckets = R.materialize(buckets.select("_key", "_size", (-F.col("_p.least")).alias("_pivot"), F.col("_p._n").alias("_n_pivot"), F.col("_p._comp").alias("_comp_pivot")), "near-buckets")
-    held = R.attach(rows, buckets, ["_key"], "_size", total, "_x").where("_pivot is not null").drop("_rank")
-    held = R.materialize(held, "near-open")
+    held = R.materialize(R.members_of(rows.drop("_rank"), buckets, ["_key"], "_size", total), "near-open")
     R.drop_tables(buckets)
     return held
 

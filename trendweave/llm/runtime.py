@@ -131,3 +131,10 @@ def attach(members: DataFrame, groups: DataFrame, keys: list[str], size: str, to
         .withColumn("_group", F.coalesce("_heavy", "_light"))
         .select(*members.columns, *[F.col(f"_group.{v}").alias(v) for v in values])
     )
+
+
+def members_of(members: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner form of ``attach``, for groups that few of the members belong to: each member of a group with its row."""
+    floor = max(64, total // 1000)
+    heavy, light = groups.where(F.col(size) >= floor), groups.where(F.col(size) < floor)
+    return members.join(F.broadcast(heavy), keys).unionByName(members.join(light, keys))
