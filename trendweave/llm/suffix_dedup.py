@@ -1,21 +1,26 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by sorting names of prefixes of growing length.
 
 Every position of every text is the start of a suffix; a byte goes if it lies in a ``threshold``-byte string
-that also starts in a document with a smaller id.  Names of prefixes are sorted at growing lengths, L, 2L, ... up
-to the threshold; a position whose prefix is unique drops out, as no longer prefix of it can repeat.  Names are
-not ranks made from the pair of names of the halves: each is a 64-bit hash of the prefix, from a running sum.
-
-The first names, of about half the threshold, are not sorted for all positions.  Each threshold-byte window
-has as its minimizer the least name among the short prefixes inside it; equal windows have equal minimizers,
-so windows whose minimizer occurs in one document alone drop out at once, and only minimizers, about one for
-thirteen bytes, take part in that first sort.
-
-Documents are dealt in ascending id order into chunks of about ``chunk_bytes``; so "a smaller id" is an earlier
-chunk, or a smaller place in the same one.  A chunk names a prefix once, however often it repeats there: a
-frequent passage costs a name per chunk and never a group of its own.  Names go as sorted blocks to
-``buckets`` ranges of the name space, where Spark brings all chunks' blocks together; the answer is one bit
-per name.  Bytes go on equality of these hashes alone and are not compared (false match of two of n windows:
-about n**2 / 2**65).
+(a window) that also starts in a document with a smaller id.  Three rounds name ever longer strings, Spark sorts
+the names, and what is unique or settled drops out before the next:
+
+1. grams of about half the threshold.  Each window has as its minimizer the least name among the grams inside
+   it; equal windows have equal minimizers, so only minimizers, about one for thirteen bytes, are sorted, and
+   windows whose minimizer occurs in one document alone drop out.
+2. runs: neighbouring windows with one minimizer, as one string.  If a smaller document has the whole run, all
+   its windows go at once.  (The least document with a window never has its run settled so, as a smaller one
+   would then have the window; so the next round still finds each window's least document.)
+3. the windows of the runs that are left.
+
+This is not prefix doubling with ranks: Spark sorts no pairs of ranks.  A name is an 80-bit hash of its string,
+from two running sums, which keeps names of any length computable from the text alone; nothing but one or two
+bits per name comes back.  Bytes go on equality of names and are not compared (false match of two of n windows
+of the last round: about n**2 / 2**81).
+
+Documents are dealt in ascending id order into chunks of about ``chunk_bytes``.  A chunk names a string once,
+however often it repeats there: a frequent passage costs a name per chunk and never a group of its own.  Names
+go as sorted blocks to ``buckets`` ranges of the name space, where Spark brings all chunks' blocks together.
+Rows of one id may fall into several chunks: a name carries whether a smaller id than the chunk's last has it.
 
 Defined results: a null or empty text has no bytes; rows with a repeated id are one another's equals, neither
 is smaller; rows without an id come last, in the same way; texts shorter than the threshold stay whole; an
@@ -32,28 +37,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import runtime as R
-from .textops import mix64
+from .textops import STEP, mix64
 
 NO_ID = np.iinfo(np.int64).max
 _rng = np.random.Generator(np.random.PCG64(50))
 CODES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-BASE = 0x9E3779B97F4A7C15
+MORE_CODES = _rng.integers(0, 2**32, 256, dtype=np.uint32)
+BASE, MORE_BASE = 0x9E3779B97F4A7C15, 0x85EBCA6B
 CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("text", pa.binary())])
-REQUEST = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("several", pa.binary())])
-REPLY = pa.schema([("chunk", pa.int64()), ("round", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-REQUEST_DDL, REPLY_DDL = "bucket int, chunk long, names binary, several binary", "chunk long, round int, bucket int, bits binary"
+REQUEST = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("names", pa.binary()), ("more", pa.binary()), ("flags", pa.binary())])
+REPLY = pa.schema([("chunk", pa.int64()), ("round", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("below", pa.binary())])
+REQUEST_DDL = "bucket int, chunk long, first_id long, last_id long, names binary, more binary, flags binary"
+REPLY_DDL = "chunk long, round int, bucket int, bits binary, below binary"
+GRAMS, RUNS, WINDOWS = range(3)
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; kept, and made longer when asked for."""
+def _powers(n: int) -> tuple[np.ndarray, ...]:
+    """Powers of both bases and of their inverses; kept, and made longer when asked for."""
     if len(_tables.get("up", ())) < n:
         size = max(n, 1 << 21)
-        for key, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base))
+        for key, base, kind in (("up", BASE, np.uint64), ("down", pow(BASE, -1, 1 << 64), np.uint64), ("more_up", MORE_BASE, np.uint32), ("more_down", pow(MORE_BASE, -1, 1 << 32), np.uint32)):
+            steps = np.full(size, kind(base))
             steps[0] = 1
             _tables[key] = np.multiply.accumulate(steps)
-    return _tables["up"][:n], _tables["down"][:n]
+    return tuple(_tables[k][:n] for k in ("up", "down", "more_up", "more_down"))
 
 
 def packed_names(names: np.ndarray) -> bytes:
@@ -72,15 +80,20 @@ def unpacked_names(data) -> np.ndarray:
 
 
 class Names:
-    """Names of the prefixes of any length at every position of a chunk, from one running sum."""
+    """Names of the strings of any length at every position of a chunk, from running sums."""
 
     def __init__(self, raw: np.ndarray):
-        up, self.down = _powers(max(1, len(raw)))
+        up, self.down, more_up, self.more_down = _powers(max(1, len(raw)))
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(CODES[raw] * up[: len(raw)], out=self.sums[1:])
+        self.more_sums = np.zeros(len(raw) + 1, np.uint32)
+        np.cumsum(MORE_CODES[raw] * more_up[: len(raw)], out=self.more_sums[1:])
 
-    def at(self, positions: np.ndarray, length: int) -> np.ndarray:
-        return mix64((self.sums[positions + length] - self.sums[positions]) * self.down[positions])
+    def at(self, positions: np.ndarray, lengths) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits, and 16 more, of the strings at positions."""
+        names = mix64((self.sums[positions + lengths] - self.sums[positions]) * self.down[positions] + np.uint64(STEP) * np.asarray(lengths, np.uint64))
+        more = (self.more_sums[positions + lengths] - self.more_sums[positions]) * self.more_down[positions]
+        return names, (more * np.uint32(0xC2B2AE35) >> np.uint32(16)).astype(np.uint16)
 
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
@@ -99,28 +112,27 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def lengths_of(threshold: int) -> list[int]:
-    """The prefix lengths of the rounds: the first at most 32, then doubled up to the threshold."""
-    first = threshold
-    while first > 32:
-        first = -(-first // 2)
-    out = [first]
-    while out[-1] < threshold:
-        out.append(min(2 * out[-1], threshold))
-    return out
+class Named:
+    """Distinct names in order, the index of each string among them, and the least and greatest place of each."""
 
+    def __init__(self, values: np.ndarray, more: np.ndarray, places: np.ndarray):
+        order = np.lexsort((more, values))
+        values, more = values[order], more[order]
+        new = np.concatenate([[True], (values[1:] != values[:-1]) | (more[1:] != more[:-1])]) if len(order) else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        self.inverse = np.empty(len(values), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.values, self.more, self.places = values[heads], more[heads], places
+        self.low = np.minimum.reduceat(places[order], heads) if len(heads) else places[:0]
+        self.high = np.maximum.reduceat(places[order], heads) if len(heads) else places[:0]
 
-def _named(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, index of each value among them, and the least and greatest place of each."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
-    inverse = np.empty(len(values), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    if not len(heads):
-        return ordered, inverse, places[:0], places[:0]
-    return ordered[heads], inverse, np.minimum.reduceat(places[order], heads), np.maximum.reduceat(places[order], heads)
+    def earlier(self, bits: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Per string, whether a smaller document has it.
+
+        bits: an earlier chunk has the name; below: with a smaller id than the first one here.
+        """
+        there = np.where(self.places == 0, below[self.inverse], bits[self.inverse])
+        return there | (self.places > self.low[self.inverse])
 
 
 class Chunk:
@@ -130,48 +142,58 @@ class Chunk:
         self.ids = np.array(row["ids"], np.int64)
         self.lengths = np.array(row["lengths"], np.int64)
         self.raw = np.frombuffer(row["text"], np.uint8)
-        self.threshold, self.rounds = threshold, lengths_of(threshold)
+        self.threshold = threshold
         self.names = Names(self.raw)
         self.ends = np.cumsum(self.lengths)
+        self.edge = np.zeros(len(self.raw) + 1, np.int32)
         _, place = np.unique(self.ids, return_inverse=True)
         left = np.repeat(self.ends, self.lengths) - np.arange(len(self.raw))
-        self.starts = np.flatnonzero(left >= threshold)
-        self.places = np.repeat(place.astype(np.int32), self.lengths)[self.starts]
-        first = self.rounds[0]
-        least = sliding_least(self.names.all(first), threshold - first + 1)[self.starts]
-        self.change = np.concatenate([[True], (least[1:] != least[:-1]) | (self.places[1:] != self.places[:-1])]) if len(least) else np.zeros(0, bool)
-        self.values, self.inverse, self.low, self.high = _named(least[self.change], self.places[self.change])
-
-    def answer(self, bits: np.ndarray) -> None:
-        """Drop the windows whose name is unique and name the next, doubled prefixes."""
-        alive = bits[self.inverse]
-        if self.change is not None:
-            alive = alive[np.cumsum(self.change) - 1]
-            self.change = None
-        self.starts, self.places = self.starts[alive], self.places[alive]
-
-    def rename(self, length: int) -> None:
-        self.values, self.inverse, self.low, self.high = _named(self.names.at(self.starts, length), self.places)
-
-    def requests(self, chunk: int, bits: int):
-        bucket = (self.values >> np.uint64(64 - bits)).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        several = self.low != self.high
+        starts = np.flatnonzero(left >= threshold)
+        places = np.repeat(place.astype(np.int32), self.lengths)[starts]
+        gram = min(32, -(-threshold // 2))
+        least = sliding_least(self.names.all(gram), threshold - gram + 1)[starts]
+        change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(least) else np.zeros(0, np.int64)
+        self.starts, self.counts = starts[change], np.diff(np.append(change, len(starts)))
+        self.named = Named(least[change], np.zeros(len(change), np.uint16), places[change])
+
+    def answer(self, round_: int, bits: np.ndarray, below: np.ndarray) -> None:
+        """Take in the answers of a round, and name what is left for the next."""
+        if round_ == GRAMS:
+            alive = bits[self.named.inverse]
+            self.starts, self.counts, places = self.starts[alive], self.counts[alive], self.named.places[alive]
+            self.named = Named(*self.names.at(self.starts, self.counts - 1 + self.threshold), places)
+            return
+        go = self.named.earlier(bits, below)
+        np.add.at(self.edge, self.starts[go], 1)
+        np.add.at(self.edge, self.starts[go] + self.counts[go] - 1 + self.threshold, -1)
+        if round_ == RUNS:
+            stay, n = ~go, self.counts[~go]
+            first = np.repeat(self.starts[stay] - np.cumsum(n) + n, n)
+            self.starts = first + np.arange(len(first))
+            self.counts = np.ones(len(first), np.int64)
+            self.named = Named(*self.names.at(self.starts, self.threshold), np.repeat(self.named.places[stay], n))
+
+    def requests(self, chunk: int, round_: int, bits: int):
+        """Blocks of names by bucket; flags: several documents here have it, or after the first round, one below the last id."""
+        named = self.named
+        cuts = np.searchsorted((named.values >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+        flags = named.low != named.high if round_ == GRAMS else self.ids[self._by_place()[named.low]] < self.ids[-1]
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
             part = slice(cuts[b], cuts[b + 1])
-            yield int(b), chunk, packed_names(self.values[part]), np.packbits(several[part]).tobytes()
+            more = b"" if round_ == GRAMS else named.more[part].astype("<u2").tobytes()
+            yield int(b), chunk, int(self.ids[0]), int(self.ids[-1]), packed_names(named.values[part]), more, np.packbits(flags[part]).tobytes()
+
+    def _by_place(self) -> np.ndarray:
+        """A row of each distinct id, ascending."""
+        return np.unique(self.ids, return_index=True)[1]
 
-    def removed(self, earlier: np.ndarray) -> np.ndarray:
-        """The mask of bytes in a window of the last round that also starts in a smaller document."""
-        go = earlier[self.inverse] | (self.places > self.low[self.inverse])
-        edge = np.zeros(len(self.raw) + 1, np.int32)
-        np.add.at(edge, self.starts[go], 1)
-        np.add.at(edge, self.starts[go] + self.threshold, -1)
-        return np.cumsum(edge[:-1]) > 0
+    def removed(self) -> np.ndarray:
+        """The mask of bytes in a window that also starts in a smaller document."""
+        return np.cumsum(self.edge[:-1]) > 0
 
 
 def _chunked(chunk_bytes: int):
-    """Whole documents in order, gathered to about chunk_bytes; equal ids stay together."""
+    """Whole documents in order, gathered to about chunk_bytes."""
 
     def gather(batches):
         ids, texts, held, number = [], [], 0, 0
@@ -186,7 +208,7 @@ def _chunked(chunk_bytes: int):
         for batch in batches:
             for i, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
                 i = NO_ID if i is None else i
-                if held >= chunk_bytes and i != ids[-1]:
+                if held >= chunk_bytes:
                     yield row()
                 ids.append(i)
                 texts.append(text.as_buffer().to_pybytes())
@@ -206,51 +228,60 @@ def _first_requests(threshold: int, bits: int):
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield _requests(list(Chunk(row, threshold).requests(row["chunk"], bits)), REQUEST)
+                yield _requests(list(Chunk(row, threshold).requests(row["chunk"], GRAMS, bits)), REQUEST)
 
     return ask
 
 
-def _replies(round_: int, last: bool):
-    """One bucket: all chunks' names sorted; a bit per name, set if another document has it, or in the last round an earlier chunk."""
+def _flags(column, sizes) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n).astype(bool) for x, n in zip(column, sizes, strict=True)])
+
+
+def _replies(round_: int):
+    """One bucket: all chunks' names sorted; a bit per name, set in the first round if another document has it, later if
+    an earlier chunk has it; and whether one has it with a smaller id than this chunk's first."""
 
     def reply(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         blocks = [unpacked_names(b.as_buffer()) for b in table.column("names")]
         sizes = np.array([len(b) for b in blocks])
-        names = np.concatenate(blocks)
-        order = np.argsort(names, kind="stable")
-        ordered = names[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        if last:
-            hit = ~new
+        names, flags = np.concatenate(blocks), _flags(table.column("flags"), sizes)
+        if round_ == GRAMS:
+            order = np.argsort(names, kind="stable")
+            new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
         else:
-            heads = np.flatnonzero(new)
-            several = np.concatenate([np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=n).astype(bool) for s, n in zip(table.column("several"), sizes, strict=True)])
-            group = np.cumsum(new) - 1
-            hit = ((np.diff(np.append(heads, len(order))) > 1) | np.logical_or.reduceat(several[order], heads))[group]
-        bits = np.empty(len(order), bool)
-        bits[order] = hit
-        cuts = np.cumsum(sizes)[:-1]
-        packed = [np.packbits(b).tobytes() for b in np.split(bits, cuts)]
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table([table.column("chunk"), pa.array([round_] * len(sizes), pa.int32()), pa.array([bucket] * len(sizes), pa.int32()), pa.array(packed, pa.binary())], schema=REPLY)
+            more = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in table.column("more")])
+            order = np.lexsort((more, names))
+            new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (more[order][1:] != more[order][:-1])])
+        heads, group, flags = np.flatnonzero(new), np.cumsum(new) - 1, flags[order]
+        if round_ == GRAMS:
+            hit = ((np.diff(np.append(heads, len(order))) > 1) | np.logical_or.reduceat(flags, heads))[group]
+            under = np.zeros(0, bool)
+        else:
+            hit = ~new
+            first, last = (np.repeat(np.asarray(table.column(c)), sizes)[order] for c in ("first_id", "last_id"))
+            before = np.cumsum(flags) - flags  # flags of the names before, in all and in this group
+            under = hit & ((last[heads][group] < first) | (before > before[heads][group]))
+        packed = []
+        for found in (hit, under):
+            bits = np.zeros(len(order), bool)
+            if len(found):
+                bits[order] = found
+            packed.append([np.packbits(b).tobytes() if len(found) else b"" for b in np.split(bits, np.cumsum(sizes)[:-1])])
+        n, bucket = len(sizes), table.column("bucket")[0].as_py()
+        return pa.table([table.column("chunk"), pa.array([round_] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), *[pa.array(p, pa.binary()) for p in packed]], schema=REPLY)
 
     return reply
 
 
 def _replay(chunk: Chunk, replies: pa.Table, rounds: int, bits: int) -> None:
     """Bring a chunk to the state after the first ``rounds`` answers."""
+    rows = sorted(zip(*(replies.column(c).to_pylist() for c in ("round", "bucket", "bits", "below")), strict=True))
     for r in range(rounds):
-        chunk.answer(_bits(chunk, replies, r, bits))
-        chunk.rename(chunk.rounds[r + 1])
-
-
-def _bits(chunk: Chunk, replies: pa.Table, round_: int, bits: int) -> np.ndarray:
-    own = sorted((b, x) for r, b, x in zip(*(replies.column(c).to_pylist() for c in ("round", "bucket", "bits")), strict=True) if r == round_)
-    sizes = np.bincount((chunk.values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    parts = [np.unpackbits(np.frombuffer(x, np.uint8), count=sizes[b]).astype(bool) for b, x in own]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+        sizes = np.bincount((chunk.named.values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        own = [(x, y, sizes[b]) for k, b, x, y in rows if k == r]
+        hit, under = (np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(x[i], np.uint8), count=x[2]).astype(bool) for x in own if x[i]]]) for i in (0, 1))
+        chunk.answer(r, hit, under)
 
 
 def _next_requests(threshold: int, done: int, bits: int):
@@ -259,7 +290,7 @@ def _next_requests(threshold: int, done: int, bits: int):
         for row in left.to_pylist():
             chunk = Chunk(row, threshold)
             _replay(chunk, right, done, bits)
-            rows += chunk.requests(row["chunk"], bits)
+            rows += chunk.requests(row["chunk"], done, bits)
         return pa.Table.from_batches([_requests(rows, REQUEST)])
 
     return ask
@@ -274,9 +305,8 @@ def _results(threshold: int, bits: int):
         ids, n_bytes, spans, kept = [], [], [], []
         for row in left.to_pylist():
             chunk = Chunk(row, threshold)
-            rounds = len(chunk.rounds) - 1
-            _replay(chunk, right, rounds, bits)
-            gone = chunk.removed(_bits(chunk, right, rounds, bits))
+            _replay(chunk, right, WINDOWS + 1, bits)
+            gone = chunk.removed()
             for i, a, b in zip(chunk.ids.tolist(), chunk.ends - chunk.lengths, chunk.ends, strict=True):
                 own = gone[a:b]
                 step = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
@@ -292,24 +322,24 @@ def _results(threshold: int, bits: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, chunk_bytes: int = 1 << 20, bucket_bytes: int = 1 << 23) -> DataFrame:
     """One row per document: id, n_bytes, spans (removed runs of bytes, start and end), kept (the other bytes).
 
-    Between rounds only the texts and one bit per name are joined, by chunk; buckets grow in number with the
+    Between rounds only the texts and the bits of the names are joined, by chunk; buckets grow in number with the
     input (one for ``bucket_bytes`` of text, at least 128), so no task's share does.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    ordered = texts.repartitionByRange(F.col("_id").asc_nulls_last()).sortWithinPartitions(F.col("_id").asc_nulls_last())
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    order = [F.col("_id").asc_nulls_last(), F.col("_tie")]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     chunks = R.materialize(ordered.mapInArrow(_chunked(chunk_bytes), "chunk long, ids array<long>, lengths array<long>, text binary"), "suffix-chunks", block_bytes=1 << 24)
     total = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(7, (int(total) // bucket_bytes).bit_length())
-    rounds = lengths_of(threshold)
     replies = None
     with R.setting(spark, R.BATCH_ROWS, "4"):
-        for r in range(len(rounds)):
-            if r == 0:
+        for r in (GRAMS, RUNS, WINDOWS):
+            if r == GRAMS:
                 asked = chunks.mapInArrow(_first_requests(threshold, bits), REQUEST_DDL)
             else:
                 asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_next_requests(threshold, r, bits), REQUEST_DDL)
-            got = R.materialize(asked.groupBy("bucket").applyInArrow(_replies(r, r == len(rounds) - 1), REPLY_DDL), "suffix-replies")
+            got = R.materialize(asked.groupBy("bucket").applyInArrow(_replies(r), REPLY_DDL), "suffix-replies")
             replies = got if replies is None else replies.unionByName(got)
     schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     done = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_results(threshold, bits), schema)
