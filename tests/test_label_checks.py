@@ -22,6 +22,8 @@ def test_contradictions(spark):
     verdicts = spark.createDataFrame(VERDICTS, "lang string, label string, basis string")
     got = {r["doc_id"]: (r["lang"], r["claim"]) for r in label_checks.label_contradictions(docs, verdicts, "doc_id").collect()}
     assert got == {i: w for i, w in enumerate(SAID.values()) if w}
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id = 0").withColumn("doc_id", docs["doc_id"] + 1))
+    assert label_checks.label_contradictions(again, verdicts, "doc_id").count() == 2 * len(got) + 1
     twice = verdicts.unionByName(verdicts.where("lang = 'tr'"))
     assert label_checks.label_contradictions(docs, twice, "doc_id").isEmpty()
     assert label_checks.label_contradictions(docs, verdicts.where("false"), "doc_id").isEmpty()

@@ -27,8 +27,49 @@ def test_unverified_equals_all_pairs(spark):
     c = spark.createDataFrame(stated, "doc_id long, pos int, raw string, value double, signed boolean, percent boolean, ratio boolean")
     k = spark.createDataFrame(known, "percent boolean, known double")
     limit = lambda x, p: abs(x) * 0.025 if abs(x) >= 100 else 0.55 if p or abs(x) >= 10 else max(0.05, abs(x) * 0.02)
-    want = {i for _, i, _, v, s, p, _ in stated if not any(q == p and abs(abs(v) - abs(x)) <= limit(x, p) and not (s and v and x and (v > 0) != (x > 0)) for q, x in known)}
-    assert {r["pos"] for r in text_checks.unverified(c, k).collect()} == want
+    want = {(v, s, p) for _, i, _, v, s, p, _ in stated if not any(q == p and abs(abs(v) - abs(x)) <= limit(x, p) and not (s and v and x and (v > 0) != (x > 0)) for q, x in known)}
+    assert {(r["value"], r["signed"], r["percent"]) for r in text_checks.unverified(c, k).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("text", "unverified", "ratios"),
+    [
+        ("it is 4 times as many", [], ["4×"]),  # a known number 4.0 does not allow a ratio
+        ("spikes are 2.5x their neighbours, a shift 20×", [], []),
+        ("2.52x and 2.509x", [], ["2.52×"]),
+        ("grew 77% and 78 %, then 77%", ["77%", "78 %"], []),
+        ("about 4.0 of 37%", [], []),
+        ("years 2024, 2025-09 and 2025–26; 3 languages; per 1M views", None, None),
+        ("у 18 разів, на 5-кратн", [], ["18×", "5×"]),
+    ],
+)
+def test_claim_report(spark, text, unverified, ratios):
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "fell 36.8 %"), (2, None), (3, "")], "doc_id long, text string")
+    known = spark.createDataFrame([(True, 36.8), (False, 4.0), (False, 2.4)], "percent boolean, known double")
+    got = [(r["doc_id"], r["unverified"], r["ratios"]) for r in text_checks.claim_report(text_checks.claims(docs, "doc_id"), known, "doc_id").collect()]
+    assert sorted(got) == sorted([(1, [], [])] + ([] if unverified is None else 2 * [(1, unverified, ratios)]))
+
+
+def test_claims_of_documents(spark, small):
+    """The number pattern on whole texts at once, by another engine and without the cuts."""
+    import regex
+
+    space = "[\\s\u00a0\u202f]"
+    number = regex.compile(rf"(?i)(?<![\p{{L}}\d.,])([-+−–]?)(\d{{1,3}}(?:[ \u00a0\u202f,]\d{{3}})+|\d+)(?:[.,](\d+))?{space}?(%|pp\b|п\.{space}?п\.|k\b|тис\.?|m\b|млн)?")
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = {}
+    for r in docs.collect():
+        t = regex.sub(rf"(?<![\d.])(?:19|20)\d\d{space}?[-–—−]{space}?(?:(?:19|20)\d\d|\d\d)(?:-\d\d)?(?![\d%])", " ", r["text"] or "")
+        t = regex.sub(r"(?<![\d.,])(?:19|20)\d\d(?![\d%])", " ", t)
+        t = regex.sub(rf"(?i)(\d){space}?[-–—]{space}?(\d+(?:[.,]\d+)?){space}?(%|pp\b|п\.{space}?п\.)", r"\1\3 \2\3", t)
+        t = regex.sub(rf"(\d){space}?[-–—]{space}?(?=\d)", r"\1; ", t)
+        for m in number.finditer(t):
+            value = float(regex.sub("[ \u00a0\u202f,]", "", m[2]) + ("." + m[3] if m[3] else ""))
+            if m[4] or m[3] or value > 12:
+                want[r["doc_id"]] = want.get(r["doc_id"], 0) + 1
+    got = {r["doc_id"]: r["count"] for r in text_checks.claims(docs, "doc_id").where("not ratio").groupBy("doc_id").count().collect()}
+    ratios = {r["doc_id"] for r in text_checks.claims(docs, "doc_id").where("ratio").select("doc_id").collect()}
+    assert {i: n for i, n in got.items() if i not in ratios} == {i: n for i, n in want.items() if i not in ratios} and len(got) > 10
 
 
 def test_notes(spark):

@@ -88,7 +88,7 @@ def directions(text: Column, words: str) -> Column:
 
 
 def split_sentences(docs: DataFrame, id_col: str, text_col: str, ends: str = SENTENCE_END) -> DataFrame:
-    rows = docs.select(id_col, F.posexplode(F.split(F.col(text_col), ends)).alias("pos", "sentence"))
+    rows = docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(F.col(text_col), ends)).alias("pos", "sentence"))
     return rows.withColumn("sentence", F.regexp_replace("sentence", rf"^{SPACE}+|{SPACE}+$", "")).where("sentence <> ''")
 
 
@@ -123,7 +123,7 @@ def label_contradictions(docs: DataFrame, verdicts: DataFrame, id_col: str, text
 
     verdicts: lang, label, basis.  A sentence that names several analysed languages or both directions is left alone;
     so is every text when a language has several verdicts, as sentences then name topics.  A null or empty text
-    contradicts nothing.
+    contradicts nothing; rows with a repeated id are judged one by one.
     """
     rows = split_sentences(docs, id_col, text_col)
     rows = rows.withColumns({"_up": directions(F.col("sentence"), UP), "_down": directions(F.col("sentence"), DOWN)}).where("(_up > 0) <> (_down > 0)")
@@ -131,7 +131,7 @@ def label_contradictions(docs: DataFrame, verdicts: DataFrame, id_col: str, text
     known = verdicts.groupBy("lang").agg(F.first("label").alias("label"), F.first("basis").alias("basis"), F.count("*").alias("_n"))
     several = known.where("_n > 1").limit(1).select(F.lit(1).alias("_one"))
     met = named.join(known, "lang").withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one", "left_anti")
-    one = met.groupBy(id_col, "pos").agg(F.count("*").alias("_langs"), F.first(F.struct("sentence", "lang", "_up", "label", "basis")).alias("s")).where("_langs = 1")
+    one = met.groupBy("_row", id_col, "pos").agg(F.count("*").alias("_langs"), F.first(F.struct("sentence", "lang", "_up", "label", "basis")).alias("s")).where("_langs = 1")
     claim = F.when(F.col("s._up") > 0, "growing").otherwise("declining")
     wrong = ((F.col("claim") == "growing") & (F.col("label") != "growing")) | ((F.col("claim") == "declining") & (F.col("label") == "growing"))
     return one.select(id_col, "pos", F.substring("s.sentence", 1, 90).alias("said"), "s.lang", claim.alias("claim"), "s.label", "s.basis").where(wrong)

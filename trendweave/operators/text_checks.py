@@ -13,7 +13,7 @@ UNIT_RANGE = rf"(?iu)(\d){SPACE}?[-–—]{SPACE}?(\d+(?:[.,]\d+)?){SPACE}?(%|pp
 RANGE = rf"(\d){SPACE}?[-–—]{SPACE}?(?=\d)"
 UNITS = rf"%|pp\b|п\.{SPACE}?п\.|k\b|тис\.?|m\b|млн"
 RATIO = rf"{SPACE}?(?:×|x(?!\p{{L}})|times(?!\p{{L}})|-fold|-кратн|раз(?:и|ів|а)?(?!\p{{L}}))"
-NUMBER = rf"(?iu)(?<![\p{{L}}\d.,])([-+−–]?)(\d{{1,3}}(?:[   ,]\d{{3}})+|\d+)(?:[.,](\d+))?{SPACE}?({UNITS})?(?=({RATIO})?)"
+NUMBER = rf"([-+−–]?)(\d{{1,3}}(?:[   ,]\d{{3}})+|\d+)(?:[.,](\d+))?{SPACE}?({UNITS})?({RATIO})?"
 KNOWN_PERCENT = [10.0, 15.0, 30.0, 40.0]
 KNOWN_NUMBERS = [100.0, 2.5, 40.0, 70.0, 300.0, 1000.0]
 KNOWN_RATIOS = [2.5, 20.0]
@@ -21,31 +21,36 @@ SENTENCE_END = rf"(?<=[.!?;]){SPACE}+|\n+|[|]"
 
 
 def claims(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """One row per number stated in a text: id, pos, raw, value, signed, percent, ratio.
+    """One row per number stated in a text: id, _row, pos, raw, value, signed, percent, ratio.
 
     Years, ranges of years and dates are no claims, nor are whole numbers up to 12 without a unit or "1M" as a
-    unit.  Null and empty texts state nothing.
+    unit.  Null and empty texts state nothing.  _row tells rows of a repeated id apart; pos is the place in the text.
+
+    Long stretches without a digit are cut first, and a number is found once, as a whole; its parts are taken from
+    the short match.
     """
-    t = F.regexp_replace(F.col(text_col), YEAR_RANGE, " ")
+    t = F.regexp_replace(F.col(text_col), "([^0-9]{16})[^0-9]+([^0-9]{4})", "$1 $2")
+    t = F.regexp_replace(t, YEAR_RANGE, " ")
     t = F.regexp_replace(t, YEAR, " ")
     t = F.regexp_replace(t, UNIT_RANGE, "$1$3 $2$3")
     t = F.regexp_replace(t, RANGE, "$1; ")
-    d = docs.select(F.col(id_col), t.alias("_t"))
-    parts = {n: F.regexp_extract_all("_t", F.lit(NUMBER), F.lit(i)) for i, n in enumerate(("raw", "sign", "whole", "part", "unit", "times"))}
-    d = d.select(id_col, F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in parts.items()])).alias("pos", "m"))
-    unit = F.lower(F.regexp_replace("m.unit", r"\.", ""))
-    digits = F.concat(F.regexp_replace("m.whole", r"[   ,]", ""), F.when(F.col("m.part") != "", F.concat(F.lit("."), "m.part")).otherwise(""))
-    d = d.withColumns({"_unit": unit, "_base": digits.try_cast("double")})
+    d = docs.where(F.col(text_col).rlike("[0-9]")).select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), t.alias("_t"))
+    d = d.select(id_col, "_row", F.posexplode(F.regexp_extract_all("_t", F.lit(rf"(?iu)(?<![\p{{L}}\d.,]){NUMBER}"), F.lit(0))).alias("pos", "m"))
+    part = {n: F.regexp_extract("m", f"(?iu)^{NUMBER}$", i) for i, n in enumerate(("sign", "whole", "part", "unit", "times"), 1)}
+    unit = F.lower(F.regexp_replace("unit", r"\.", ""))
+    digits = F.concat(F.regexp_replace("whole", r"[ \u00a0\u202f,]", ""), F.when(F.col("part") != "", F.concat(F.lit("."), "part")).otherwise(""))
+    d = d.withColumns(part).withColumns({"_unit": unit, "_base": digits.try_cast("double")})
     times = F.when(F.col("_unit").isin("k", "тис"), 1e3).when(F.col("_unit").isin("m", "млн"), 1e6).otherwise(1.0)
     percent = F.col("_unit").startswith("pp") | F.col("_unit").startswith("п") | (F.col("_unit") == "%")
-    ratio = ~percent & (times == 1.0) & (F.col("m.times") != "")
-    minus = F.col("m.sign").isin("-", "−", "–")
+    ratio = ~percent & (times == 1.0) & (F.col("times") != "")
+    minus = F.col("sign").isin("-", "−", "–")
     value = F.when(minus & ~ratio, -1.0).otherwise(1.0) * F.col("_base") * times
     d = d.withColumns({"_x": times, "percent": percent, "ratio": ratio, "value": value})
-    small = ~F.col("percent") & ~F.col("ratio") & (F.col("_x") == 1.0) & (F.col("m.part") == "") & (F.abs("value") <= 12)
+    small = ~F.col("percent") & ~F.col("ratio") & (F.col("_x") == 1.0) & (F.col("part") == "") & (F.abs("value") <= 12)
     unit_only = (F.col("_x") == 1e6) & (F.col("_base") == 1.0)
-    raw = F.when(F.col("ratio"), F.concat(F.trim("m.raw"), F.lit("×"))).otherwise(F.trim("m.raw"))
-    return d.where(F.col("_base").isNotNull() & ~small & ~unit_only).select(id_col, "pos", raw.alias("raw"), "value", (~F.col("ratio") & (F.col("m.sign") != "")).alias("signed"), "percent", "ratio")
+    plain = F.expr("trim(substring(m, 1, length(m) - length(times)))")
+    raw = F.when(F.col("ratio"), F.concat(plain, F.lit("×"))).otherwise(plain)
+    return d.where(F.col("_base").isNotNull() & ~small & ~unit_only).select(id_col, "_row", "pos", raw.alias("raw"), "value", (~F.col("ratio") & (F.col("sign") != "")).alias("signed"), "percent", "ratio")
 
 
 def tolerance(known: Column, percent: Column) -> Column:
@@ -67,11 +72,12 @@ def known_numbers(metrics: DataFrame, ranking: DataFrame | None = None) -> DataF
 
 
 def unverified(stated: DataFrame, known: DataFrame) -> DataFrame:
-    """The claims that no known number of their pool is near.
+    """The distinct (value, signed, percent) among plain claims that no known number of their pool is near.
 
     The range condition becomes an equi-join: a claim and a known number within tolerance lie in the same or in
-    neighbouring cells of a grid that is logarithmic from 10 up (cells of 5 %) and 0.6 wide below, so a claim meets
-    a bounded part of the known numbers instead of all of them.
+    neighbouring cells of a grid that is logarithmic from 10 up (cells of 6 %) and 0.6 wide below, so a claim meets
+    a bounded part of the known numbers instead of all of them.  Each distinct claim is looked up once, however
+    many texts state it.
     """
 
     def cell(x: Column) -> Column:
@@ -82,18 +88,24 @@ def unverified(stated: DataFrame, known: DataFrame) -> DataFrame:
     low, high = F.greatest(F.abs("known") - F.col("_t"), F.lit(0.0)), F.abs("known") + F.col("_t")
     near_ten = F.when((low < 10) & (high >= 10), F.concat(F.sequence(cell(low), F.lit(16).cast("long")), F.sequence(cell(F.lit(10.0)), cell(high)))).otherwise(F.sequence(cell(low), cell(high)))
     k = k.withColumn("_cell", F.explode(near_ten)).withColumnRenamed("percent", "_percent")
-    c = stated.where(~(F.col("ratio") & (F.least(*[F.abs(F.col("value") - x) for x in KNOWN_RATIOS]) <= 0.01))).withColumn("_cell", cell(F.col("value")))
+    c = stated.where("not ratio").select("value", "signed", "percent").distinct().withColumn("_cell", cell(F.col("value")))
     fits = (F.col("percent") == F.col("_percent")) & (c["_cell"] == k["_cell"]) & (F.abs(F.abs("value") - F.abs("known")) <= F.col("_t"))
     same = ~F.col("signed") | (F.col("value") == 0) | (F.col("known") == 0) | (F.signum("value") == F.signum("known"))
     return c.join(k, fits & same, "left_anti").drop("_cell")
 
 
 def claim_report(stated: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    """Per text: numbers checked, distinct unverified ones and ratios in the order in which they appear."""
-    wrong = unverified(stated, known).select(id_col, "pos", F.lit(True).alias("_wrong"))
-    rows = stated.join(wrong, [id_col, "pos"], "left")
+    """Per row of the texts: numbers checked, distinct unverified ones and ratios in the order in which they appear.
+
+    A ratio is only ever allowed by the list of known ratios, never by a known number.  Rows that state nothing do
+    not appear; rows with a repeated id are reported one by one.
+    """
+    wrong = unverified(stated, known).withColumn("_wrong", F.lit(True))
+    rows = stated.join(wrong, ["value", "signed", "percent"], "left")
+    odd = F.least(*[F.abs(F.col("value") - x) for x in KNOWN_RATIOS]) >= 0.01
     listed = lambda cond: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("pos", "raw")))), lambda x: x["raw"]))
-    return rows.groupBy(id_col).agg(F.count("*").alias("checked"), listed(F.col("_wrong") & ~F.col("ratio")).alias("unverified"), listed(F.col("_wrong") & F.col("ratio")).alias("ratios"))
+    out = rows.groupBy("_row", id_col).agg(F.count("*").alias("checked"), listed(F.col("_wrong") & ~F.col("ratio")).alias("unverified"), listed(F.col("ratio") & odd).alias("ratios"))
+    return out.drop("_row")
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
