@@ -60,6 +60,10 @@ NOTES = {
 }
 
 
+#: Variables that are numbers, not texts: their decimals keep the point.
+AS_NUMBERS = ["raw", "rel"]
+
+
 def template(key: Column, lang: str = "en") -> Column:
     """The template of a note key; a language without templates uses English."""
     known = NOTES.get(lang, NOTES["en"])
@@ -67,9 +71,17 @@ def template(key: Column, lang: str = "en") -> Column:
 
 
 def fill(text: Column, variables: Column, lang: str = "en") -> Column:
-    """Replace {name} by map<string,string> variables; unknown names stay.  Decimals take a comma in languages with templates other than English."""
-    shown = F.transform(F.map_entries(variables), lambda e: F.struct(e["key"].alias("k"), (F.when(e["value"].rlike(r"^\d+\.\d+$"), F.replace(e["value"], F.lit("."), F.lit(","))).otherwise(e["value"]) if lang in NOTES and lang != "en" else e["value"]).alias("v")))
-    return F.aggregate(shown, text, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["k"], F.lit("}")), F.coalesce(e["v"], F.lit("null"))))
+    """Replace {name} by map<string,string> variables; unknown names stay.
+
+    Decimals take a comma in languages with templates other than English, but for the variables in AS_NUMBERS.
+    """
+
+    def shown(e):
+        comma = e["value"].rlike(r"^\d+\.\d+$") & ~e["key"].isin(AS_NUMBERS)
+        local = F.when(comma, F.replace(e["value"], F.lit("."), F.lit(","))).otherwise(e["value"]) if lang in NOTES and lang != "en" else e["value"]
+        return F.struct(e["key"].alias("k"), local.alias("v"))
+
+    return F.aggregate(F.transform(F.map_entries(variables), shown), text, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["k"], F.lit("}")), F.coalesce(e["v"], F.lit("null"))))
 
 
 def render(note: Column, lang: str = "en") -> Column:

@@ -58,3 +58,17 @@ def month_text(index: Column) -> Column:
 
 def month_index(date: Column) -> Column:
     return (F.year(date) * 12 + F.month(date) - 1).cast("int")
+
+
+def number_text(x: Column, digits: int = 1) -> Column:
+    """A number rounded to ``digits`` decimals as text, whole numbers without a point, never with an exponent."""
+    whole = x.cast("decimal(38,0)").cast("string")
+    return F.when(x == F.floor(x), whole).otherwise(x.cast(f"decimal(38,{digits})").cast("string"))
+
+
+def local_number(x: Column, digits: int = 0, lang: str = "en") -> Column:
+    """A number with at most ``digits`` decimals and grouped thousands, as English ("27,791", "4.2") or Ukrainian texts write it."""
+    text = F.format_number(round_half_up(x, digits), digits)
+    if digits:
+        text = F.regexp_replace(text, r"\.?0+$", "")
+    return F.translate(text, ",.", "\u00a0,") if lang == "uk" else text

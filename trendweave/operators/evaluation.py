@@ -31,8 +31,46 @@ def delta(stats_: DataFrame, keys: list[str], config: str = "config", with_: str
     return a.join(b, keys).select(*keys, round_half_up(F.col("_a") - F.col("_b"), 2).alias("delta"))
 
 
-def turns(messages: DataFrame, conv: str = "conv_id", line: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Adds ``segment``: 0 before the first non-empty user message, then one more at each."""
-    prompt = (F.col(role) == "user") & (F.trim(F.coalesce(text, F.lit(""))) != "")
-    w = Window.partitionBy(conv).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("segment", F.sum(F.coalesce(prompt, F.lit(False)).cast("int")).over(w))
+def summary(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Per configuration: passed/total of all runs, and mean and deviation of pass rate, seconds, tokens and calls.
+
+    runs: the keys, passed, total, seconds, tokens, calls; a run without a figure does not count for it.
+    """
+    rate = F.col("passed") / F.nullif(F.col("total"), F.lit(0))
+    figures = {"pass_rate": rate, "seconds": F.col("seconds"), "tokens": F.col("tokens"), "calls": F.col("calls")}
+    x = {n: F.when(~F.isnan(c.cast("double")), c.cast("double")) for n, c in figures.items()}
+    each = [f(c).alias(f"{n}_{k}") for n, c in x.items() for k, f in (("mean", lambda c: round_half_up(F.avg(c), 2)), ("stddev", lambda c: round_half_up(F.stddev_pop(c), 2)))]
+    return runs.groupBy(*keys).agg(F.concat_ws("/", F.sum("passed").cast("string"), F.sum("total").cast("string")).alias("assertions"), F.count("*").alias("runs"), *each)
+
+
+def benchmark(runs: DataFrame, eval_: str = "eval", config: str = "config", with_: str = "with", without: str = "without") -> DataFrame:
+    """One row: the summary of the paired runs with, of the runs without, and the differences of their means.
+
+    Runs with count for the pair only if the same eval has a run without.
+    """
+    base = runs.where(F.col(config) == without)
+    paired = runs.where(F.col(config) == with_).join(base.select(eval_).distinct(), eval_, "left_semi")
+    a, b = (summary(r.withColumn("_one", F.lit(1)), ["_one"]) for r in (paired, base))
+    names = [c for c in a.columns if c != "_one"]
+    both = a.join(b.select("_one", *[F.col(c).alias(f"base_{c}") for c in names]), "_one")
+    delta_ = [round_half_up(F.col(c) - F.col(f"base_{c}"), 2).alias(c.replace("_mean", "_delta")) for c in names if c.endswith("_mean")]
+    return both.select(*names, *[f"base_{c}" for c in names], *delta_)
+
+
+FOLLOW_UP = "Follow-up message from the same user"  # fixed value: what marks a follow-up
+
+
+def turns(messages: DataFrame, conv: str = "conv_id", line: str = "turn", role: str = "role", text: str = "text", marker: str = FOLLOW_UP) -> DataFrame:
+    """Adds ``segment``: 0 before the first non-empty user message, 1 from it on, and one more at each later user message with the marker.
+
+    Lines that tie are taken in the order of their texts; rows without a conversation are one conversation.
+    """
+    said = F.coalesce(F.col(text), F.lit(""))
+    user = F.coalesce(F.col(role) == "user", F.lit(False))
+    w = Window.partitionBy(conv).orderBy(line, text).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.sum((user & (F.trim(said) != "")).cast("int")).over(w)
+    rows = messages.withColumn("_filled", filled)
+    opens = F.col("_filled") == 1
+    first = user & (F.trim(said) != "") & opens
+    later = user & (F.col("_filled") > 1) & F.contains(said, F.lit(marker))
+    return rows.withColumn("segment", F.sum((first | later).cast("int")).over(w)).drop("_filled")

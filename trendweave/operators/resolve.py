@@ -37,11 +37,12 @@ def resolve(topics: DataFrame, langs: list[str], hits: DataFrame, links: DataFra
     """One row per topic and language: source, anchor, issue, article, method, confidence, candidates.
 
     topics: (topic); explicit: (topic, lang, title) pins.  A pinned title wins, then a link from the anchor, then
-    the best local hit; a local hit is sure only if it links back to the anchor.  Nulls in any table match nothing.
+    the best local hit; a local hit is sure only if it links back to the anchor.  Nulls in any table match nothing;
+    of several links or pins of a place the least title counts.
     """
     spark = topics.sparkSession
     wanted = spark.createDataFrame([(i, x) for i, x in enumerate(langs)], "_order int, lang string")
-    pins = (explicit if explicit is not None else spark.createDataFrame([], "topic string, lang string, title string")).select("topic", "lang", F.col("title").alias("_pin")).where("_pin is not null").dropDuplicates(["topic", "lang"])
+    pins = (explicit if explicit is not None else spark.createDataFrame([], "topic string, lang string, title string")).select("topic", "lang", F.col("title").alias("_pin")).where("_pin is not null").groupBy("topic", "lang").agg(F.min("_pin").alias("_pin"))
     pinned = pins.join(F.broadcast(wanted), "lang").groupBy("topic").agg(F.count("*").alias("_pinned"))
     own = F.lit(source) if source else F.when(looks_latin(F.col("topic")), "en").otherwise(langs[0])
     top = hits.where("rank <= 5").groupBy("lang", "query").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("_h")).select("lang", "query", F.transform("_h", lambda h: h["title"]).alias("_hits"))
@@ -53,12 +54,12 @@ def resolve(topics: DataFrame, langs: list[str], hits: DataFrame, links: DataFra
     t = t.withColumn("issue", F.when(unsure & F.col("_many"), "disambiguation").when(unsure & ~title_matches(F.col("topic"), F.col("anchor")), "title-mismatch"))
     others = F.when(F.size("_hits") > 1, F.slice("_hits", 2, 4)).otherwise(F.array().cast("array<string>"))
     t = t.withColumn("_others", F.when(F.col("issue") == "title-mismatch", F.slice("_hits", 1, 5)).when(F.col("issue") == "disambiguation", others))
-    forward = links.select(F.col("src_lang").alias("source"), F.col("src_title").alias("anchor"), F.col("dst_lang").alias("lang"), F.col("dst_title").alias("_link")).dropDuplicates(["source", "anchor", "lang"])
+    forward = links.select(F.col("src_lang").alias("source"), F.col("src_title").alias("anchor"), F.col("dst_lang").alias("lang"), F.col("dst_title").alias("_link")).groupBy("source", "anchor", "lang").agg(F.min("_link").alias("_link"))
     self_link = t.select("source", "anchor", F.col("source").alias("lang"), F.col("anchor").alias("_link")).where("anchor is not null").distinct()
     forward = forward.join(self_link, ["source", "anchor", "lang"], "left_anti").unionByName(self_link)
     rows = t.crossJoin(F.broadcast(wanted)).join(pins, ["topic", "lang"], "left").join(forward, ["source", "anchor", "lang"], "left")
     rows = rows.join(top.select("lang", F.col("query").alias("topic"), F.col("_hits").alias("_local")), ["lang", "topic"], "left").withColumn("_best", F.get("_local", F.lit(0)))
-    back = links.select(F.col("src_lang").alias("lang"), F.col("src_title").alias("_best"), F.col("dst_lang").alias("source"), F.col("dst_title").alias("_back")).dropDuplicates(["lang", "_best", "source"])
+    back = links.select(F.col("src_lang").alias("lang"), F.col("src_title").alias("_best"), F.col("dst_lang").alias("source"), F.col("dst_title").alias("_back")).groupBy("lang", "_best", "source").agg(F.min("_back").alias("_back"))
     rows = rows.join(back, ["lang", "_best", "source"], "left")
     many, off = F.coalesce(F.col("issue") == "disambiguation", F.lit(False)), F.col("issue").isNotNull()
     method = F.when(F.col("_pin").isNotNull(), "explicit").when(many, "none").when(F.col("_link").isNotNull(), "langlink").when(F.col("_best").isNotNull(), "search").otherwise("none")
@@ -83,8 +84,67 @@ def accepted(resolved: DataFrame, include_low: bool = False) -> tuple[DataFrame,
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
+def unknown_pins(pins: DataFrame, langs: list[str]) -> DataFrame:
+    """The pins (topic, lang, title) of languages that are not asked for."""
+    return pins.where(~F.col("lang").isin(langs) | F.col("lang").isNull())
+
+
+def with_redirects(links: DataFrame, redirects: DataFrame) -> DataFrame:
+    """The links of every title, and of the titles that lead to it; redirects: lang, title, target.  Of several targets the least counts."""
+    to = redirects.groupBy("lang", "title").agg(F.min("target").alias("target"))
+    via = to.select(F.col("lang").alias("src_lang"), F.col("target").alias("src_title"), F.col("title").alias("_from"))
+    more = links.join(via, ["src_lang", "src_title"]).select("src_lang", F.col("_from").alias("src_title"), "dst_lang", "dst_title")
+    self_ = to.select(F.col("lang").alias("src_lang"), F.col("title").alias("src_title"), F.col("lang").alias("dst_lang"), F.col("target").alias("dst_title"))
+    return links.unionByName(more).unionByName(self_).distinct()
+
+
+def exclusions(resolved: DataFrame, include_low: bool = False) -> DataFrame:
+    """topic, lang, reason, search_hits of the rows that are not analysed, worded as reports show them."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    none = F.array().cast("array<string>")
+    hits = F.coalesce("candidates", none)
+    ambiguous, missing = F.col("article").isNull() & (F.col("issue") == "disambiguation"), F.col("article").isNull()
+    low = F.lit(False) if include_low else F.col("confidence") == "low"
+    other = low & (F.col("issue") == "title-mismatch")
+    # The wording of the reasons.
+    reason = (
+        F.when(ambiguous, F.concat(quoted("topic"), F.lit(" is ambiguous (disambiguation page) — re-run with a specific English title")))
+        .when(missing, "no article found")
+        .when(other, F.concat(F.lit("no article titled "), quoted("topic"), F.lit(" — the closest is "), quoted("article"), F.lit(" (a different subject?)")))
+        .when(low, "no article linked to the topic (text search only)")
+    )
+    shown = F.when(ambiguous, F.slice(hits, 1, 5)).when(missing, none).when(other, F.slice(F.coalesce("candidates", F.array("article")), 1, 5)).otherwise(F.slice(F.concat(F.array("article"), hits), 1, 4))
+    return resolved.select("topic", "lang", reason.alias("reason"), shown.alias("search_hits")).where("reason is not null")
+
+
+def warnings(resolved: DataFrame, viewed: DataFrame | None = None, include_low: bool = False) -> DataFrame:
+    """kind, topic, lang, text: what a reader must know of rows that are analysed or left out.
+
+    viewed: the (topic, lang) with views; analysed rows without any are told as "no_data".  Kinds of a topic have no lang.
+    """
+    used, out = accepted(resolved, include_low)
+    used = used.withColumn("_where", F.concat_ws("@", "topic", "lang"))
+    if viewed is not None:
+        seen = viewed.select("topic", "lang").distinct()
+        lost = used.join(seen, ["topic", "lang"], "left_anti")
+        used = used.join(seen, ["topic", "lang"], "left_semi")
+    # The wording of the warnings.
+    by_search = used.where("confidence <> 'high'").select(
+        F.lit("matched_by_search").alias("kind"), "topic", "lang",
+        F.format_string('%s: "%s" was matched by text search (%s confidence) — verify it is the topic, or pin a title with --articles %s="<Title>"', "_where", "article", "confidence", "lang").alias("text"),
+    )
+    topics = resolved.groupBy("topic").agg(F.max("issue").alias("issue"), F.max("anchor").alias("anchor")).where("issue is not null")
+    of_topic = topics.select(F.col("issue").alias("kind"), "topic", F.lit(None).cast("string").alias("lang"), F.format_string('"%s": the first hit is "%s"', "topic", "anchor").alias("text"))
+    plain = out.where("reason in ('no article found', 'low confidence')")
+    left_out = plain.select(F.lit("excluded").alias("kind"), "topic", "lang", F.format_string("excluded %s@%s: no article on this topic in this edition", "topic", "lang").alias("text"))
+    every = by_search.unionByName(of_topic).unionByName(left_out)
+    if viewed is not None:
+        every = every.unionByName(lost.select(F.lit("no_data").alias("kind"), "topic", "lang", F.format_string('%s: "%s" has no pageview data in this period', "_where", "article").alias("text")))
+    return every
+
+
 def series_names(rows: DataFrame) -> DataFrame:
-    """Adds ``name``: "topic (lang)", the topic or the language, whichever tells the series of the table apart."""
+    """Adds ``name``: "topic (lang)", the topic or the language, whichever tells the series of the table apart; repeated rows get one name."""
     counts = rows.agg(F.count_distinct("topic").alias("_t"), F.count_distinct("lang").alias("_l"))  # one row
     name = F.when((F.col("_t") > 1) & (F.col("_l") > 1), F.format_string("%s (%s)", "topic", "lang")).when(F.col("_t") > 1, F.col("topic")).otherwise(F.col("lang"))
     return rows.crossJoin(F.broadcast(counts)).withColumn("name", name).drop("_t", "_l")

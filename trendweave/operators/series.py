@@ -1,7 +1,7 @@
 """Metrics of monthly series: gap filling, growth, trend, spikes, level shifts, shares, trust, verdict, ranking.
 
 One shuffle brings a series' months together (at most 135 of them); everything after that is expressions on its
-arrays, inside whole-stage code.  Edition totals are one row per edition and meet the series in an equi-join.
+arrays: no further shuffle, but higher-order functions are interpreted, not compiled.  Edition totals are one row per edition and meet the series in an equi-join.
 
 Months are indexes (12 * year + month - 1).  A null measure means "not computable".  Of several rows of a month
 the one with the greatest ``ordinal`` counts, or the greatest views where there is no such column; all count as
@@ -10,11 +10,11 @@ records for completeness.  Series without a row in ``user`` do not appear.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..functions.numbers import let, mean, median, month_text, pct_change, round_half_up, tail, total
+from ..functions.numbers import let, local_number, mean, median, month_text, number_text, pct_change, round_half_up, tail, total
 
 KEY = ["topic", "lang"]
 # Windows, thresholds and penalties of the metrics.
@@ -182,7 +182,7 @@ def series_metrics(user: DataFrame, automated: DataFrame | None = None, editions
     penalties = F.aggregate("notes_", F.lit(0), lambda a, x: a + x["points"])
     base = F.greatest(F.lit(0), F.lit(100) - penalties)
     score = F.when(opposite, F.greatest(F.lit(0), base - 10)).otherwise(base)
-    shown = lambda x: F.coalesce(round_half_up(x).cast("string"), F.lit("null"))
+    shown = lambda x: F.coalesce(number_text(round_half_up(x)), F.lit("null"))
     extra = _note(opposite, 10, "rawVsRelative", raw=shown(F.col("robust_")), rel=shown(F.col("relative_")), ed=shown(F.col("edition_")))
     g = F.coalesce("relative_", "robust_", F.col("trend_.annual"))
     basis = _first(
@@ -229,14 +229,57 @@ def series_metrics(user: DataFrame, automated: DataFrame | None = None, editions
 
 
 def ranking(metrics: DataFrame) -> DataFrame:
-    """Metrics with their rounded score; order by score descending, then by the input's order (here the key)."""
+    """Score and why of every series; order by score descending, then by the input's order (here the key).
+
+    Repeated rows are scored one by one.
+    """
     g = F.coalesce("relative_growth", "robust_growth", "trend_annual", F.lit(0.0))
     clamped = F.greatest(F.lit(CLAMP[0]), F.least(g, F.lit(CLAMP[1])))
     score = (clamped + 50) * (F.col("trust") / 100.0) + F.log10(F.coalesce("per_million", F.lit(0.0)) + 1) * 10
-    why = F.concat(F.col("verdict"), F.lit(" ("), F.col("basis"), F.lit("), trust "), F.col("trust_label"))
+    level = F.when(F.col("per_million").isNotNull(), F.concat(number_text(F.col("per_million")), F.lit(" views per 1M edition views"))).otherwise(F.concat(F.col("avg_last12").cast("string"), F.lit(" views/month")))
+    why = F.concat(F.col("verdict"), F.lit(" ("), F.col("basis"), F.lit("), trust "), F.col("trust_label"), F.lit(", "), level)
     return metrics.select(*KEY, F.floor(score + 0.5).cast("long").alias("score"), why.alias("why"))
 
 
+def places(ranked: DataFrame) -> DataFrame:
+    """Adds ``place`` among all series: by score descending, ties in the order of the key.
+
+    Scores are whole numbers of a small range: the series of greater scores are counted (a row per score), and
+    only series of one score are put in order, so no task sees all of them.
+    """
+    counts = ranked.groupBy("score").agg(F.count("*").alias("_n"))  # a row per score
+    ahead = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("score", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("score").orderBy(*KEY))
+    return ranked.join(before, "score").withColumn("place", F.col("_ahead") + own).drop("_ahead")
+
+
+def summary_rows(metrics: DataFrame) -> DataFrame:
+    """The short form of every series: verdict with its basis, growth figures, spikes and peak as texts."""
+    return metrics.select(
+        *KEY,
+        F.concat("verdict", F.lit(" — "), "basis").alias("verdict"),
+        "relative_growth", "robust_growth", "edition_growth", "yoy", "trend_annual", "r2",
+        F.col("avg_last12").alias("human_views_per_month"),
+        "per_million", "bot_share",
+        F.when(F.size("spikes") > 0, F.concat_ws(", ", "spikes")).otherwise("none").alias("spike_months"),
+        F.concat("peak_month", F.lit(": "), F.col("peak_views").cast("string")).alias("peak"),
+        F.concat("trust_label", F.lit(" ("), F.col("trust").cast("string"), F.lit(")")).alias("trust"),
+    )
+
+
+def report_rows(metrics: DataFrame, normalized: bool = True, lang: str = "en") -> DataFrame:
+    """The figures of a report's table as texts of a language; columns by whether views are set against their edition."""
+    percent = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.concat(F.when(F.col(c) > 0, "+").otherwise(""), local_number(F.col(c), 1, lang), F.lit("%")))
+    views = local_number(F.col("avg_last12").cast("double"), 0, lang).alias("views")
+    trust = F.concat_ws(" ", "trust_label", F.col("trust").cast("string")).alias("trust")
+    if normalized:
+        rate = F.when(F.col("per_million").isNull(), "—").otherwise(local_number(F.col("per_million"), 1, lang)).alias("per_million")
+        return metrics.select(*KEY, views, rate, percent("relative_growth").alias("relative"), percent("robust_growth").alias("raw"), percent("edition_growth").alias("edition"), "verdict", trust)
+    total12 = local_number(F.col("total_last12").cast("double"), 0, lang).alias("total")
+    return metrics.select(*KEY, views, total12, percent("robust_growth").alias("raw"), percent("yoy").alias("yoy"), percent("trend_annual").alias("trend"), "verdict", trust)
+
+
 def rebase(values: DataFrame, keys: list[str] = KEY, base: int | None = None) -> DataFrame:
     """Adds ``indexed``: views per series as percent of the median of all, or of the first ``base``, values; of the positive ones where that is 0."""
     v = F.col("views")

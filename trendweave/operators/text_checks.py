@@ -108,6 +108,20 @@ def claim_report(stated: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     return out.drop("_row")
 
 
+def draft_verdicts(docs: DataFrame, known: DataFrame, contradictions: DataFrame, language: Column, id_col: str, text_col: str = "text") -> DataFrame:
+    """Per draft: its claim report, how many sentences contradict a label, how many kinds of language problems, and whether all is well.
+
+    docs: one row per draft id; known: the numbers of all analyses it may cite; contradictions: rows of
+    ``label_contradictions``; language: an expression over the draft's row.  A draft that states nothing has no problem there.
+    """
+    numbers = claim_report(claims(docs.select(id_col, text_col), id_col, text_col), known, id_col)
+    labels = contradictions.groupBy(id_col).agg(F.count("*").alias("n_labels"))
+    none = F.array().cast("array<string>")
+    rows = docs.select(id_col, F.size(language).alias("n_language")).join(numbers, id_col, "left").join(labels, id_col, "left")
+    rows = rows.withColumns({"checked": F.coalesce("checked", F.lit(0)), "n_labels": F.coalesce("n_labels", F.lit(0)).cast("int"), "unverified": F.coalesce("unverified", none), "ratios": F.coalesce("ratios", none)})
+    return rows.withColumn("ok", F.size("unverified") + F.size("ratios") + F.col("n_labels") + F.col("n_language") == 0)
+
+
 def sentences(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """One row per sentence: id, pos, sentence; cut after . ! ? ; and white space, at line ends and bars."""
     return docs.select(id_col, F.posexplode(F.split(F.col(text_col), SENTENCE_END)).alias("pos", "sentence")).where("trim(sentence) <> ''")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import notes
 from ..functions.numbers import median, month_text, pct_change, round_half_up, tail
-from ..operators import evaluation, label_checks, resolve, series, text_checks
+from ..operators import evaluation, label_checks, periods, resolve, series, text_checks, transcripts
 from ..sources import activity
 from ..streaming import monthly
 
@@ -50,8 +51,21 @@ def edition_growth(spark, sf_dir):
 
 
 def ranked_series(spark, sf_dir):
-    r = series.ranking(_metrics(spark, sf_dir)).drop("why")
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "lang")))
+    """All series in one order, with the reason for the score."""
+    return series.places(series.ranking(_metrics(spark, sf_dir)))
+
+
+def series_reasons(spark, sf_dir):
+    """The reasons of the trust score and the basis of the verdict, as texts."""
+    return _metrics(spark, sf_dir).select("topic", "lang", F.concat_ws(" | ", "reasons").alias("reasons"), "basis")
+
+
+def summary_rows(spark, sf_dir):
+    return series.summary_rows(_metrics(spark, sf_dir))
+
+
+def report_rows(spark, sf_dir):
+    return series.report_rows(_metrics(spark, sf_dir), True, "uk")
 
 
 def indexed_points(spark, sf_dir):
@@ -61,8 +75,10 @@ def indexed_points(spark, sf_dir):
 
 
 def export_rows(spark, sf_dir):
+    """The rate in thousandths, as its text is rounded to two decimals by each engine in its own way at halves."""
     d = series.long_rows(_metrics(spark, sf_dir))
-    return d.select("topic", "lang", "month", "views_user", (F.col("views_per_million") != "").alias("has_rate"))
+    rate = F.when(F.col("views_per_million") != "", F.col("views_per_million").cast("double"))
+    return d.select("topic", "lang", "month", "views_user", F.coalesce(F.floor(rate / 10), F.lit(-1)).cast("long").alias("rate_tens"))
 
 
 def statement_sentences(spark, sf_dir):
@@ -76,16 +92,116 @@ def claim_checks(spark, sf_dir):
     return text_checks.claim_report(text_checks.claims(docs, "doc_id"), text_checks.known_numbers(m), "doc_id").select("doc_id", "checked", F.size("unverified").alias("n_unverified"), F.size("ratios").alias("n_ratios"))
 
 
+NATION_LANGS = ["de", "fr", "es", "pl", "tr", "uk", "cs", "sk", "id", "pt", "it", "ru", "ja", "zh", "ar", "nl", "sv", "ro", "hu", "ko", "el", "bg", "fi", "da", "he"]
+NATION_WORDS = ["German", "French", "Spanish", "Polish", "Turkish", "Ukrainian", "Czech", "Slovak", "Indonesian", "Portuguese", "Italian", "Russian", "Japanese", "Chinese", "Arabic", "Dutch", "Swedish", "Romanian", "Hungarian", "Korean", "Greek", "Bulgarian", "Finnish", "Danish", "Hebrew"]
+
+
+def _of(values, key):
+    return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+
+
+def _nation_verdicts(spark, sf_dir):
+    at = F.col("n_nationkey")
+    return activity.table(spark, sf_dir, "nation").select(_of(NATION_LANGS, at).alias("lang"), _of(("growing", "flat", "declining"), at % 3).alias("label"), F.col("n_name").alias("basis"))
+
+
 def label_contradictions(spark, sf_dir):
-    """A sentence for each customer, on the language that stands in for the nation, against verdicts made of five nations."""
-    key = F.col("c_nationkey") % 5
-    word = F.element_at(F.array(*map(F.lit, ("German", "French", "Spanish", "Polish", "Turkish"))), key + 1)
-    said = F.concat(F.lit("The "), word, F.lit(" audience is "), F.when(F.col("c_custkey") % 3 == 0, "not ").otherwise(""), F.when(F.col("c_acctbal") >= 0, "growing.").otherwise("declining."))
+    """A sentence for each customer, on the language that stands in for the nation, against verdicts made of all nations."""
+    said = F.concat(F.lit("The "), _of(NATION_WORDS, F.col("c_nationkey")), F.lit(" audience is "), F.when(F.col("c_custkey") % 3 == 0, "not ").otherwise(""), F.when(F.col("c_acctbal") >= 0, "growing.").otherwise("declining."))
     docs = activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
-    at = F.col("n_nationkey")
-    lang, label = (F.element_at(F.array(*map(F.lit, x)), at % len(x) + 1) for x in (("de", "fr", "es", "pl", "tr"), ("growing", "flat", "declining")))
-    verdicts = activity.table(spark, sf_dir, "nation").where(at < 5).select(lang.alias("lang"), label.alias("label"), F.col("n_name").alias("basis"))
-    return label_checks.label_contradictions(docs, verdicts, "doc_id").select("doc_id", "said", "lang", "claim", "label", "basis")
+    return label_checks.label_contradictions(docs, _nation_verdicts(spark, sf_dir), "doc_id").select("doc_id", "said", "lang", "claim", "label", "basis")
+
+
+def draft_checks(spark, sf_dir):
+    """Drafts made of customers, against figures made of suppliers: the combined verdict on numbers, labels and language."""
+    n = F.floor(F.col("c_acctbal") / 10) * 10
+    said = F.concat(F.lit("The "), _of(NATION_WORDS, F.col("c_nationkey")), F.lit(" audience is growing: "), F.abs(n).cast("long").cast("string"), F.lit(" readers"), F.when(F.col("c_custkey") % 4 == 0, ", 3 times more.").otherwise("."))
+    docs = activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
+    known = activity.table(spark, sf_dir, "supplier").select(F.lit(False).alias("percent"), F.abs(F.floor("s_acctbal")).cast("double").alias("known"))
+    lang = F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en")
+    checked = text_checks.draft_verdicts(docs, known, label_checks.label_contradictions(docs, _nation_verdicts(spark, sf_dir), "doc_id"), label_checks.language_problems(F.col("text"), lang, F.array().cast("array<string>")), "doc_id")
+    return checked.select("doc_id", "checked", F.size("unverified").alias("n_unverified"), F.size("ratios").alias("n_ratios"), "n_labels", "n_language", "ok")
+
+
+def periods_asked(spark, sf_dir):
+    """A request for each customer: some with months, a start, an end or a mistake."""
+    k = F.col("c_custkey")
+    today = F.date_add(F.lit("2016-01-31").cast("date"), (k * 7 % 3000).cast("int"))
+    months = F.when(k % 3 > 0, (k % 140).cast("int"))
+    start = F.when(k % 5 == 0, F.lit("2014-03-01")).when(k % 7 == 0, F.lit("20170501")).when(k % 11 == 0, F.lit("last year"))
+    end = F.when(k % 4 == 0, F.lit("2018-12-31"))
+    p = periods.period(today, months, start, end)
+    return activity.table(spark, sf_dir, "customer").select("c_custkey", p.alias("p")).select("c_custkey", *[F.coalesce(f"p.{c}", F.lit("")).alias(f"{c}_day") for c in ("start", "end")], F.coalesce("p.problem", F.lit("")).alias("problem"))
+
+
+def _resolved_parts(spark, sf_dir):
+    k = F.col("p_partkey")
+    article = F.when(k % 5 > 0, F.col("p_name"))
+    return activity.table(spark, sf_dir, "part").select(
+        F.concat_ws(" ", "p_type", k.cast("string")).alias("topic"), _of(("en", "uk", "de"), k % 3).alias("lang"), F.lit("en").alias("source"), F.col("p_brand").alias("anchor"),
+        F.when(k % 7 == 0, "disambiguation").when(k % 7 == 1, "title-mismatch").alias("issue"), article.alias("article"), F.lit("search").alias("method"),
+        _of(("high", "medium", "low"), k % 11 % 3).alias("confidence"), F.when(k % 2 == 0, F.array("p_brand", "p_type", "p_name")).alias("candidates"),
+    )
+
+
+def exclusions(spark, sf_dir):
+    rows = resolve.exclusions(_resolved_parts(spark, sf_dir))
+    return rows.select("topic", "lang", "reason", F.concat_ws("; ", "search_hits").alias("search_hits"))
+
+
+def resolution_warnings(spark, sf_dir):
+    """Kinds of warnings of each row; every 13th analysed row has no views."""
+    rows = _resolved_parts(spark, sf_dir)
+    viewed = rows.where(F.length("topic") % 13 > 0).select("topic", "lang")
+    told = resolve.warnings(rows, viewed)
+    return told.select("kind", "topic", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+
+
+def _lines(spark, sf_dir):
+    """Conversations as transcript lines: assistants call a tool and write, users bring its result."""
+    k = F.col("turn")
+    use = F.struct(F.lit("tool_use").alias("type"), F.when(k % 4 == 1, "Bash").otherwise("Read").alias("name"), F.concat(F.lit("t"), k.cast("string")).alias("id"), F.struct(F.concat(F.lit("node  scripts/report.ts --n "), k.cast("string")).alias("command")).alias("input"))
+    said = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), (k - 1).cast("string")).alias("tool_use_id"), (F.length("text") % 2 == 0).alias("is_error"), F.concat(F.lit("Exit "), F.length("text").cast("string")).alias("content"))
+    message = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("m1").alias("model"), F.array(F.to_json(use), F.to_json(said)).alias("content")))).otherwise(F.to_json(F.struct(F.array(F.to_json(result)).alias("content"))))
+    message = F.regexp_replace(F.replace(F.replace(message, F.lit('["{'), F.lit("[{")), F.lit('}"]'), F.lit("}]")), r'\}","\{', "},{")
+    plain = F.when(F.col("role") == "system", F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.replace(message, F.lit('\\"'), F.lit('"')))
+    return activity.table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("run"), F.col("turn").alias("line"), F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("type"), plain.alias("message"))
+
+
+def tool_calls(spark, sf_dir):
+    calls = transcripts.tool_calls(transcripts.blocks(_lines(spark, sf_dir)))
+    return calls.select("run", "call", "tool", "id", "input", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def tool_results(spark, sf_dir):
+    got = transcripts.results(transcripts.blocks(_lines(spark, sf_dir)), "scripts/report.ts")
+    return got.select("run", "id", F.coalesce("result", F.lit("")).alias("result"))
+
+
+def transcript_summaries(spark, sf_dir):
+    rows = transcripts.summary(transcripts.blocks(_lines(spark, sf_dir)))
+    return rows.select("run", F.concat_ws(",", "models").alias("models"), "tool_calls", "failed_calls")
+
+
+def _runs(spark, sf_dir):
+    """A run for each type of event and configuration: events are checks, passed where their value is above the middle."""
+    e = activity.table(spark, sf_dir, "events").where("value is not null").withColumn("config", F.when(F.col("user_id") % 2 == 0, "with").otherwise("without"))
+    runs = e.groupBy(F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")).alias("eval"), "config")
+    return runs.agg(F.sum((F.col("value") > 50).cast("long")).alias("passed"), F.count("*").alias("total"), F.max("value").alias("seconds"), F.count_distinct("user_id").cast("double").alias("tokens"), F.when(F.count("*") % 5 > 0, F.min("value")).alias("calls"))
+
+
+def benchmark_summary(spark, sf_dir):
+    return evaluation.benchmark(_runs(spark, sf_dir).where("eval not like '%-6' or config = 'with'"))
+
+
+def statement_claims(spark, sf_dir):
+    """Claims of short statements made of line items, each with its number, sign and unit."""
+    l = activity.table(spark, sf_dir, "lineitem")
+    said = F.concat(F.lit("Part "), F.when(F.col("l_linenumber") % 2 == 0, "fell -").otherwise("rose +"), F.col("l_quantity").cast("int").cast("string"), _of((" %", "k", " times", ""), F.col("l_partkey") % 4), F.lit(" of "), F.col("l_suppkey").cast("string"), F.lit("."))
+    docs = l.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", said.alias("text"))
+    keyed = docs.select(F.struct("doc_id", "l_linenumber").alias("k"), "text")
+    return text_checks.claims(keyed, "k").select("k.doc_id", "k.l_linenumber", "pos", "raw", "value", "signed", "percent", "ratio")
 
 
 def trust_percentages(spark, sf_dir):
@@ -120,7 +236,7 @@ def config_delta(spark, sf_dir):
 
 
 def turn_segments(spark, sf_dir):
-    t = evaluation.turns(activity.table(spark, sf_dir, "conversations"))
+    t = evaluation.turns(activity.table(spark, sf_dir, "conversations"), marker="the")
     return t.groupBy("conv_id", "segment").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 
@@ -156,7 +272,7 @@ def topic_resolution(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, indexed_points, export_rows, statement_sentences, claim_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution)
+    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary)
 }
 
 _BASE = f"""
@@ -218,6 +334,62 @@ z AS (
 """
 _LABEL = "CASE WHEN trust >= 70 THEN 'high' WHEN trust >= 40 THEN 'medium' ELSE 'low' END"
 
+
+def _said(key: str, **parts: str) -> str:
+    """SQL of a note's text; parts: SQL of its variables."""
+    out = "'" + notes.NOTES["en"][key].replace("'", "''") + "'"
+    for name, sql in parts.items():
+        out = out.replace("{" + name + "}", f"' || ({sql}) || '")
+    return out
+
+
+def _num(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN ({x})::DECIMAL(38,0)::VARCHAR ELSE ({x})::DECIMAL(38,1)::VARCHAR END"
+
+
+def _sign(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN '+' WHEN {x} < 0 THEN '-' ELSE '' END || floor(abs({x}) + 0.5)::BIGINT::VARCHAR || '%'"
+
+
+def _tenth(x: str) -> str:
+    return f"floor({x} * 10 + 0.5) / 10"
+
+
+def _local(x: str) -> str:
+    """A number of at most one decimal as Ukrainian text."""
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || replace(format('{{:,}}', floor(abs({x}) + 0.01)::BIGINT), ',', chr(160)) || CASE WHEN round((abs({x}) - floor(abs({x}) + 0.01)) * 10) > 0 THEN ',' || round((abs({x}) - floor(abs({x}) + 0.01)) * 10)::INT ELSE '' END"
+
+
+_PCT = "floor({} * 100 + 0.5)::BIGINT::VARCHAR"
+_INNER = f"""CASE WHEN g IS NULL THEN {_said('basisNone')}
+  WHEN rg IS NOT NULL THEN {_said('basisRelative', rel=_sign('rg'), ed=f"coalesce({_sign('eg')}, 'n/a')", raw=f"coalesce({_sign('rob')}, 'n/a')")}
+  WHEN rob IS NOT NULL THEN {_said('basisMedian', raw=_sign('rob'))} ELSE {_said('basisTrend', g=_sign('g'))} END"""
+_OPPOSITE = "abs(rg) > 10 AND abs(rob) > 10 AND sign(rg) <> sign(rob)"
+_TEXTS = (
+    _BASE
+    + f""",
+ends AS (SELECT topic, lang, i, month, v, median(v) OVER (PARTITION BY topic, lang ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS md FROM flags),
+jump AS (
+  SELECT topic, lang, coalesce(min(month) FILTER (v > greatest(5 * m1, 1) AND md > greatest(5 * m1, 1)), min(month)) AS jm, floor(any_value(m1) + 0.5)::BIGINT::VARCHAR AS jf, floor(any_value(m3) + 0.5)::BIGINT::VARCHAR AS jt
+  FROM ends JOIN x USING (topic, lang) GROUP BY ALL),
+words AS (
+  SELECT topic, lang, CASE WHEN shift THEN {_said('basisShift', month='jm', to='jt', **{'from': 'jf'})} WHEN g BETWEEN -10 AND 10 THEN {_said('flat', g=_sign('g'), inner=_INNER)} ELSE {_INNER} END AS basis,
+    array_to_string(list_filter([
+      CASE WHEN shift THEN {_said('levelShift', month='jm', to='jt', **{'from': 'jf'})} END,
+      CASE WHEN late >= 3 THEN {_said('lateStart', first="lpad((a // 12)::VARCHAR, 4, '0') || '-' || lpad((a % 12 + 1)::VARCHAR, 2, '0')", months='late::VARCHAR')} END,
+      CASE WHEN n < 6 THEN {_said('months6', months='n::VARCHAR')} WHEN n < 12 THEN {_said('months12', months='n::VARCHAR')} WHEN n < 24 THEN {_said('months24', months='n::VARCHAR')} END,
+      CASE WHEN comp < 0.95::DOUBLE THEN {_said('gaps', pct=_PCT.format('comp'))} END,
+      CASE WHEN ss > 0.15::DOUBLE THEN {_said('spikesMany', pct=_PCT.format('ss'))} WHEN ss > 0.05::DOUBLE THEN {_said('spikesSome', pct=_PCT.format('ss'))} END,
+      CASE WHEN yoy > 10 AND rob < 0 THEN {_said('spikeDriven')} END,
+      CASE WHEN bs > 0.4::DOUBLE THEN {_said('bots40', pct=_PCT.format('bs'))} WHEN bs > 0.3::DOUBLE THEN {_said('bots30', pct=_PCT.format('bs'))} WHEN bs > 0.15::DOUBLE THEN {_said('bots15', pct=_PCT.format('bs'))} END,
+      CASE WHEN r2 < 0.2::DOUBLE THEN {_said('noisy', rsq="printf('%.2f', r2)")} END,
+      CASE WHEN av < 300 THEN {_said('lowVolume', n='floor(av + 0.5)::BIGINT::VARCHAR')} END,
+      CASE WHEN {_OPPOSITE} THEN {_said('rawVsRelative', raw=_num(_tenth('rob')), rel=_num(_tenth('rg')), ed=f"coalesce({_num(_tenth('eg'))}, 'null')")} END
+    ], lambda w: w IS NOT NULL), ' | ') AS reasons FROM y JOIN jump USING (topic, lang))
+"""
+)
+_VIEWS = f"CASE WHEN per_million IS NOT NULL THEN {_num('per_million')} || ' views per 1M edition views' ELSE avg_last12 || ' views/month' END"
+
 ORACLE_SQL: dict[str, str] = {
     "series_metrics": _BASE + f"SELECT *, {_LABEL} AS trust_label FROM z",
     "dense_points": _BASE + "SELECT topic, lang, month, v AS views FROM pts",
@@ -231,15 +403,29 @@ hit AS (SELECT topic, lang, min(month) AS month FROM rest JOIN lv USING (topic,
 SELECT topic, lang, coalesce(hit.month, head) AS month, floor(m1 + 0.5)::BIGINT AS level_from, floor(m3 + 0.5)::BIGINT AS level_to
 FROM lv LEFT JOIN hit USING (topic, lang) WHERE n >= 8 AND m3 >= 100 AND NOT (m1 > 0 AND m3 / m1 <= 20)""",
     "edition_growth": _BASE + "SELECT lang, floor(eg * 10 + 0.5) / 10 AS edition_growth, m12 AS median_last12 FROM edg",
-    "ranked_series": _BASE
-    + """,
-s AS (SELECT topic, lang, floor((greatest(-50, least(coalesce(relative_growth, robust_growth, trend_annual, 0), 200)) + 50) * (trust / 100.0::DOUBLE) + log10(coalesce(per_million, 0) + 1) * 10 + 0.5)::BIGINT AS score FROM z)
-SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, lang)::INT AS place FROM s""",
+    "ranked_series": _TEXTS
+    + f""",
+s AS (
+  SELECT topic, lang, floor((greatest(-50, least(coalesce(relative_growth, robust_growth, trend_annual, 0), 200)) + 50) * (trust / 100.0::DOUBLE) + log10(coalesce(per_million, 0) + 1) * 10 + 0.5)::BIGINT AS score,
+         verdict || ' (' || basis || '), trust ' || {_LABEL} || ', ' || {_VIEWS} AS why FROM z JOIN words USING (topic, lang))
+SELECT *, row_number() OVER (ORDER BY score DESC, topic, lang)::BIGINT AS place FROM s""",
+    "series_reasons": _TEXTS + "SELECT topic, lang, reasons, basis FROM words",
+    "summary_rows": _TEXTS
+    + f""",
+sp AS (SELECT topic, lang, string_agg(month, ', ' ORDER BY mi) AS m FROM flags WHERE spike GROUP BY ALL)
+SELECT topic, lang, verdict || ' — ' || basis AS verdict, relative_growth, robust_growth, edition_growth, yoy, trend_annual, r2, avg_last12 AS human_views_per_month, per_million, bot_share,
+       coalesce(sp.m, 'none') AS spike_months, peak_month || ': ' || peak_views AS peak, {_LABEL} || ' (' || trust || ')' AS trust
+FROM z JOIN words USING (topic, lang) LEFT JOIN sp USING (topic, lang)""",
+    "report_rows": _BASE
+    + f"""
+SELECT topic, lang, {_local('avg_last12')} AS views, coalesce({_local('per_million')}, '—') AS per_million,
+       {', '.join(f"coalesce(CASE WHEN {c} > 0 THEN '+' ELSE '' END || {_local(c)} || '%', '—') AS {n}" for c, n in (('relative_growth', 'relative'), ('robust_growth', 'raw'), ('edition_growth', 'edition')))},
+       verdict, {_LABEL} || ' ' || trust AS trust FROM z""",
     "indexed_points": _BASE
     + """,
 m AS (SELECT topic, lang, CASE WHEN median(v) > 0 THEN median(v) ELSE median(v) FILTER (v > 0) END AS md FROM pts GROUP BY ALL)
 SELECT topic, lang, month, floor((CASE WHEN md > 0 THEN v / md * 100 ELSE v END) * 100 + 0.5) / 100 AS indexed FROM pts JOIN m USING (topic, lang)""",
-    "export_rows": _BASE + "SELECT topic, lang, month, pts.v::BIGINT AS views_user, ed.v IS NOT NULL AS has_rate FROM pts LEFT JOIN ed USING (lang, mi)",
+    "export_rows": _BASE + "SELECT topic, lang, month, pts.v::BIGINT AS views_user, coalesce(floor(floor(pts.v / ed.v * 1e8 + 0.5) / 1000), -1)::BIGINT AS rate_tens FROM pts LEFT JOIN ed USING (lang, mi)",
     "language_guesses": r"""
 SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[іїєґІЇЄҐ]') THEN 'uk' WHEN regexp_matches(coalesce(text, ''), '\p{Cyrillic}') THEN NULL
        WHEN NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]') THEN 'en' END AS guess FROM documents""",
@@ -251,8 +437,10 @@ SELECT p_partkey, CASE WHEN s = '' THEN 'analysis' ELSE s END AS slug, CASE WHEN
 WITH m AS (SELECT event_type, user_id % 2 = 0 AS w, floor(avg(value) * 100 + 0.5) / 100 AS mean FROM events GROUP BY ALL)
 SELECT a.event_type, floor((a.mean - b.mean) * 100 + 0.5) / 100 AS delta FROM m a JOIN m b USING (event_type) WHERE a.w AND NOT b.w""",
     "turn_segments": """
-WITH s AS (SELECT *, sum((role = 'user' AND trim(coalesce(text, '')) <> '')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations)
-SELECT conv_id, segment::BIGINT AS segment, count(*) AS n, min(turn) AS first_turn FROM s GROUP BY 1, 2""",
+WITH f AS (SELECT *, role = 'user' AND trim(coalesce(text, '')) <> '' AS filled, contains(coalesce(text, ''), 'the') AS marked FROM conversations),
+o AS (SELECT conv_id, min(turn) AS first FROM f WHERE filled GROUP BY 1),
+s AS (SELECT f.*, sum((filled AND (turn = first OR marked))::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM f LEFT JOIN o USING (conv_id))
+SELECT conv_id, coalesce(segment, 0)::BIGINT AS segment, count(*) AS n, min(turn) AS first_turn FROM s GROUP BY 1, 2""",
     "search_top_hits": """
 WITH h AS (SELECT p_brand AS lang, p_type AS query, p_name || ' ' || p_partkey AS title, -p_retailprice AS rank FROM part)
 SELECT lang, query, title FROM h QUALIFY row_number() OVER (PARTITION BY lang, query ORDER BY rank, title) <= 5""",
@@ -260,11 +448,83 @@ SELECT lang, query, title FROM h QUALIFY row_number() OVER (PARTITION BY lang, q
 }
 
 ORACLE_SQL |= {
-    "label_contradictions": """
-WITH v AS (SELECT n_nationkey AS k, ['de', 'fr', 'es', 'pl', 'tr'][n_nationkey + 1] AS lang, ['growing', 'flat', 'declining'][n_nationkey % 3 + 1] AS label, n_name AS basis FROM nation WHERE n_nationkey < 5),
-c AS (SELECT c_custkey, c_nationkey % 5 AS k, CASE WHEN c_acctbal >= 0 THEN 'growing' ELSE 'declining' END AS claim FROM customer WHERE c_custkey % 3 <> 0)
-SELECT c_custkey AS doc_id, 'The ' || ['German', 'French', 'Spanish', 'Polish', 'Turkish'][k + 1] || ' audience is ' || claim || '.' AS said, lang, claim, label, basis
+    "label_contradictions": f"""
+WITH v AS (SELECT n_nationkey AS k, {NATION_LANGS}[n_nationkey + 1] AS lang, ['growing', 'flat', 'declining'][n_nationkey % 3 + 1] AS label, n_name AS basis FROM nation),
+c AS (SELECT c_custkey, c_nationkey AS k, CASE WHEN c_acctbal >= 0 THEN 'growing' ELSE 'declining' END AS claim FROM customer WHERE c_custkey % 3 <> 0)
+SELECT c_custkey AS doc_id, 'The ' || {NATION_WORDS}[k + 1] || ' audience is ' || claim || '.' AS said, lang, claim, label, basis
 FROM c JOIN v USING (k) WHERE (claim = 'growing') <> (label = 'growing')""",
+    "draft_checks": """
+WITH d AS (SELECT c_custkey AS doc_id, c_nationkey AS k, abs(floor(c_acctbal / 10) * 10)::BIGINT AS n FROM customer),
+known AS (SELECT DISTINCT abs(floor(s_acctbal))::DOUBLE AS x FROM supplier),
+near AS (SELECT DISTINCT n FROM (SELECT DISTINCT n FROM d) JOIN known ON abs(n - x) <= CASE WHEN x >= 100 THEN x * 0.025::DOUBLE WHEN x >= 10 THEN 0.55::DOUBLE ELSE greatest(0.05::DOUBLE, x * 0.02::DOUBLE) END),
+c AS (SELECT d.*, n > 12 AND NOT n BETWEEN 1900 AND 2099 AS said, near.n IS NULL AS alone FROM d LEFT JOIN near USING (n)),
+r AS (SELECT doc_id, said::BIGINT + (doc_id % 4 = 0)::BIGINT AS checked, (said AND alone)::INT AS n_unverified, (doc_id % 4 = 0)::INT AS n_ratios, (k % 3 <> 0)::INT AS n_labels, (doc_id % 2 = 0)::INT AS n_language FROM c)
+SELECT *, n_unverified + n_ratios + n_labels + n_language = 0 AS ok FROM r""",
+    "statement_sentences": r"""
+WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?;])[ \t\n\x0B\f\r\x{A0}\x{202F}]+', '\1' || chr(1), 'g'), '\n+|[|]', chr(1), 'g'), chr(1))) AS s FROM documents)
+SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_points FROM t WHERE trim(s) <> '' GROUP BY 1""",
+    "statement_claims": """
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber, l_quantity::INT AS q, l_partkey % 4 AS u, l_suppkey AS o, l_linenumber % 2 = 0 AS down FROM lineitem),
+a AS (
+  SELECT doc_id, l_linenumber, 0 AS pos, CASE WHEN down THEN '-' ELSE '+' END || q || [' %', 'k', '×', ''][u + 1] AS raw,
+         q::DOUBLE * CASE WHEN u = 1 THEN 1000 ELSE 1 END * CASE WHEN down AND u <> 2 THEN -1 ELSE 1 END AS value, u <> 2 AS signed, u = 0 AS percent, u = 2 AS ratio
+  FROM l),
+b AS (SELECT doc_id, l_linenumber, 1 AS pos, o::VARCHAR AS raw, o::DOUBLE AS value, false AS signed, false AS percent, false AS ratio FROM l WHERE o NOT BETWEEN 1900 AND 2099)
+SELECT * FROM a WHERE percent OR ratio OR abs(value) > 12 UNION ALL SELECT * FROM b WHERE value > 12""",
+    "periods_asked": """
+WITH r AS (
+  SELECT c_custkey, date_trunc('month', DATE '2016-01-31' + (c_custkey * 7 % 3000)::INT)::DATE AS m, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 140)::INT END AS months,
+         CASE WHEN c_custkey % 5 = 0 THEN '2014-03-01' WHEN c_custkey % 7 = 0 THEN '20170501' WHEN c_custkey % 11 = 0 THEN 'last year' END AS s, CASE WHEN c_custkey % 4 = 0 THEN '2018-12-31' END AS e FROM customer),
+d AS (
+  SELECT c_custkey, s = 'last year' AS bad, months, greatest('20150701', coalesce(replace(s, '-', ''), strftime(m - to_months(coalesce(months, 24)), '%Y%m%d'))) AS a, coalesce(replace(e, '-', ''), strftime(m - 1, '%Y%m%d')) AS b FROM r),
+p AS (SELECT *, CASE WHEN bad THEN 'bad day' WHEN months < 1 OR months > 135 THEN 'bad number of months' WHEN a >= b THEN 'start not before end' ELSE '' END AS problem FROM d)
+SELECT c_custkey, CASE WHEN problem = '' THEN a ELSE '' END AS start_day, CASE WHEN problem = '' THEN b ELSE '' END AS end_day, problem FROM p""",
+    "exclusions": """
+WITH r AS (
+  SELECT p_partkey AS k, p_type || ' ' || p_partkey AS topic, ['en', 'uk', 'de'][p_partkey % 3 + 1] AS lang, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS article, p_partkey % 7 AS i, p_partkey % 11 % 3 = 2 AS low,
+         CASE WHEN p_partkey % 2 = 0 THEN [p_brand, p_type, p_name] END AS hits FROM part)
+SELECT topic, lang,
+  CASE WHEN article IS NULL AND i = 0 THEN '"' || topic || '" is ambiguous (disambiguation page) — re-run with a specific English title' WHEN article IS NULL THEN 'no article found'
+       WHEN i = 1 THEN 'no article titled "' || topic || '" — the closest is "' || article || '" (a different subject?)' ELSE 'no article linked to the topic (text search only)' END AS reason,
+  array_to_string(CASE WHEN article IS NULL AND i = 0 THEN coalesce(hits, []) WHEN article IS NULL THEN [] WHEN i = 1 THEN coalesce(hits, [article]) ELSE list_concat([article], coalesce(hits, [])) END, '; ') AS search_hits
+FROM r WHERE article IS NULL OR low""",
+    "resolution_warnings": """
+WITH r AS (
+  SELECT p_type || ' ' || p_partkey AS topic, ['en', 'uk', 'de'][p_partkey % 3 + 1] AS lang, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS article, p_partkey % 7 AS i, ['high', 'medium', 'low'][p_partkey % 11 % 3 + 1] AS c, p_brand FROM part),
+u AS (SELECT *, topic || '@' || lang AS w, length(topic) % 13 > 0 AS seen FROM r WHERE article IS NOT NULL AND c <> 'low')
+SELECT 'matched_by_search' AS kind, topic, lang, w || ': "' || article || '" was matched by text search (' || c || ' confidence) — verify it is the topic, or pin a title with --articles ' || lang || '="<Title>"' AS text FROM u WHERE seen AND c <> 'high'
+UNION ALL SELECT 'no_data', topic, lang, w || ': "' || article || '" has no pageview data in this period' FROM u WHERE NOT seen
+UNION ALL SELECT CASE WHEN i = 0 THEN 'disambiguation' ELSE 'title-mismatch' END, topic, '', '"' || topic || '": the first hit is "' || p_brand || '"' FROM r WHERE i < 2
+UNION ALL SELECT 'excluded', topic, lang, 'excluded ' || topic || '@' || lang || ': no article on this topic in this edition' FROM r WHERE (article IS NULL AND i <> 0) OR (article IS NOT NULL AND c = 'low' AND i <> 1)""",
+    "tool_calls": """
+WITH l AS (SELECT conv_id AS run, turn, role, length(text) AS n FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY run ORDER BY turn) AS call FROM l),
+e AS (SELECT run, call, arg_max('Exit ' || n, turn) AS error FROM c WHERE role = 'user' AND n % 2 = 0 GROUP BY ALL)
+SELECT run, call::BIGINT AS call, CASE WHEN turn % 4 = 1 THEN 'Bash' ELSE 'Read' END AS tool, 't' || turn AS id, 'node scripts/report.ts --n ' || turn AS input, coalesce(error, '') AS error
+FROM c LEFT JOIN e USING (run, call) WHERE role = 'assistant'""",
+    "tool_results": """
+WITH l AS (SELECT conv_id AS run, turn, role, length(text) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT a.run, 't' || a.turn AS id, coalesce('Exit ' || b.n, '') AS result FROM l a LEFT JOIN l b ON b.run = a.run AND b.turn = a.turn + 1 AND b.role = 'user' WHERE a.role = 'assistant'""",
+    "transcript_summaries": """
+WITH l AS (SELECT conv_id AS run, turn, role, length(text) AS n FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY run ORDER BY turn) AS call FROM l)
+SELECT run, CASE WHEN bool_or(role = 'assistant') THEN 'm1' ELSE '' END AS models, count(*) FILTER (role = 'assistant') AS tool_calls, count(DISTINCT CASE WHEN role = 'user' AND n % 2 = 0 AND call > 0 THEN call END) AS failed_calls
+FROM c GROUP BY run""",
+    "benchmark_summary": """
+WITH e AS (SELECT event_type || '-' || user_id % 7 AS eval, user_id % 2 = 0 AS w, user_id, value FROM events WHERE value IS NOT NULL),
+r AS (
+  SELECT eval, w, sum((value > 50)::INT) AS passed, count(*) AS total, max(value) AS seconds, count(DISTINCT user_id)::DOUBLE AS tokens, CASE WHEN count(*) % 5 > 0 THEN min(value) END AS calls
+  FROM e GROUP BY ALL HAVING eval NOT LIKE '%-6' OR w),
+k AS (SELECT *, passed::DOUBLE / total AS rate FROM r WHERE NOT w OR eval IN (SELECT eval FROM r WHERE NOT w)),
+s AS (
+  SELECT w, sum(passed)::BIGINT || '/' || sum(total)::BIGINT AS assertions, count(*) AS runs, """
+    + ", ".join(f"floor(avg({c}) * 100 + 0.5) / 100 AS {n}_mean, floor(stddev_pop({c}) * 100 + 0.5) / 100 AS {n}_stddev" for c, n in (("rate", "pass_rate"), ("seconds", "seconds"), ("tokens", "tokens"), ("calls", "calls")))
+    + """ FROM k GROUP BY w)
+SELECT a.* EXCLUDE (w), """
+    + ", ".join(f"b.{c} AS base_{c}" for c in ("assertions", "runs", *(f"{n}_{x}" for n in ("pass_rate", "seconds", "tokens", "calls") for x in ("mean", "stddev"))))
+    + ", "
+    + ", ".join(f"floor((a.{n}_mean - b.{n}_mean) * 100 + 0.5) / 100 AS {n}_delta" for n in ("pass_rate", "seconds", "tokens", "calls"))
+    + " FROM s a, s b WHERE a.w AND NOT b.w",
     "trust_percentages": "SELECT c_custkey AS doc_id, 1 AS pos, 'trust high (' || (c_custkey % 100) || '%' AS said FROM customer WHERE c_custkey % 4 = 0",
     "language_problems": "SELECT p_partkey, 'tool_terms' AS kind, [ 'flat', 'Views'][p_size % 3 + 1] AS words FROM part WHERE p_partkey % 2 = 0 AND p_size % 3 < 2",
 }

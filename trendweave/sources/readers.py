@@ -15,6 +15,7 @@ SERIES = (
 )
 ANALYSIS = f"topics array<string>, langs array<string>, period struct<start:string,`end`:string>, normalized boolean, series array<{SERIES}>, ranking array<struct<name:string,score:double,why:string>>, excluded array<struct<topic:string,lang:string,reason:string,searchHits:array<string>>>, warnings array<string>"
 TRANSCRIPT = "type string, message string"
+GRADING = "summary struct<pass_rate:double,passed:long,total:long>"
 TURN = "duration_ms double, total_tokens double, tool_calls double"
 
 
@@ -31,6 +32,16 @@ def transcripts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(TRANSCRIPT).json(paths)
 
 
+def gradings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per grading file: file, pass_rate, passed, total."""
+    return spark.read.schema(GRADING).json(paths, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "summary.*")
+
+
+def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per text file: file, text."""
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
 def timings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per turn of each timing file, whether flat or with a list of turns."""
     raw = spark.read.schema(f"{TURN}, turns array<struct<duration_ms:double,total_tokens:double,tool_calls:double>>").json(paths, multiLine=True)
