@@ -98,17 +98,25 @@ s AS (
 d AS (
   SELECT rid, host, i AS depth, every[i] AS seg, regexp_replace(every[i], '[0-9]+', '#', 'g') AS shape,
          array_to_string(list_transform(every[1:i - 1], lambda x: regexp_replace(x, '[0-9]+', '#', 'g')), '/') AS prefix
-  FROM (SELECT *, unnest(range(1, least(len(every), 6) + 1)) AS i FROM s)),
+  FROM (SELECT *, unnest(range(1, len(every) + 1)) AS i FROM s)),
 n AS (
   SELECT rid, depth, seg, shape, count(*) OVER (PARTITION BY host, depth, prefix) AS p,
          count(*) OVER (PARTITION BY host, depth, prefix, shape) AS sn, count(*) OVER (PARTITION BY host, depth, prefix, seg) AS l FROM d),
 names AS (
   SELECT rid, list(CASE WHEN l >= 5 AND l >= 0.02::DOUBLE * p THEN seg WHEN sn >= 5 AND sn >= 0.02::DOUBLE * p THEN shape ELSE '*' END ORDER BY depth) AS names FROM n GROUP BY rid),
 t AS (
-  SELECT s.*, list_concat(coalesce(names.names, []::VARCHAR[]), CASE WHEN len(every) > 6 THEN ['**'] ELSE []::VARCHAR[] END) AS names FROM s LEFT JOIN names USING (rid)),
-nodes AS (SELECT rid, host, says, depth, array_to_string(names[1:depth], '/') AS node FROM (SELECT *, unnest(range(0, len(names) + 1)) AS depth FROM t)),
-counted AS (
-  SELECT rid, depth, count(says) OVER w AS labelled, count(CASE WHEN says = 'block' THEN 1 END) OVER w AS blocked FROM nodes WINDOW w AS (PARTITION BY host, depth, node)),
+  SELECT s.*, coalesce(names.names, []::VARCHAR[]) AS names FROM s LEFT JOIN names USING (rid)),
+nodes AS (SELECT rid, host, says, depth, array_to_string(names[1:depth], '/') AS node, CASE WHEN depth > 0 THEN array_to_string(names[1:depth - 1], '/') END AS parent FROM (SELECT *, unnest(range(0, len(names) + 1)) AS depth FROM t)),
+tree AS (SELECT host, depth, node, parent, count(says)::DOUBLE AS n, count(CASE WHEN says = 'block' THEN 1 END)::DOUBLE AS b FROM nodes GROUP BY ALL),
+beside AS (
+  SELECT c.*, CASE WHEN c.n > 0 AND abs(c.b - c.n * (p.b / nullif(p.n, 0))) > 1.96::DOUBLE * sqrt(c.n * (p.b / nullif(p.n, 0)) * (1.0::DOUBLE - p.b / nullif(p.n, 0))) THEN CASE WHEN c.b > c.n * (p.b / p.n) THEN 1 ELSE -1 END END AS side
+  FROM tree c LEFT JOIN tree p ON p.host = c.host AND p.depth = c.depth - 1 AND p.node = c.parent),
+sides AS (SELECT host, depth, parent, side, sum(n) AS sn, sum(b) AS sb FROM beside WHERE side IS NOT NULL GROUP BY ALL),
+merged AS (
+  SELECT beside.host, beside.depth, node, CASE WHEN alike THEN sn ELSE n END AS labelled, CASE WHEN alike THEN sb ELSE b END AS blocked
+  FROM (SELECT beside.*, sn, sb, coalesce(NOT abs(b - n * (sb / sn)) > 1.96::DOUBLE * sqrt(n * (sb / sn) * (1.0::DOUBLE - sb / sn)), false) AS alike
+        FROM beside LEFT JOIN sides ON sides.host = beside.host AND sides.depth = beside.depth AND sides.parent = beside.parent AND sides.side = beside.side) beside),
+counted AS (SELECT rid, depth, labelled, blocked FROM nodes JOIN merged USING (host, depth, node)),
 prior AS (SELECT (count(CASE WHEN says = 'block' THEN 1 END) + 1)::DOUBLE / (count(says) + 2) AS p0 FROM t),
 lines AS (
   SELECT rid, list_prepend({'n': -1.0::DOUBLE, 'b': any_value(p0)}, list({'n': labelled::DOUBLE, 'b': blocked::DOUBLE} ORDER BY depth)) AS line FROM counted, prior GROUP BY rid),
