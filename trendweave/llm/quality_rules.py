@@ -3,9 +3,9 @@
 A document's character-class histogram and its histogram of common words are compared with a reference of
 its language by the Jensen-Shannon distance (base 2, 0 to 1).  The references are counted over all documents
 that pass the base rules: a language's classes, and its ``common`` most frequent word buckets (words are
-lower-cased and hashed to ``buckets``; everything else is one more bin).  The 256 languages with most
-documents, ``min_docs`` of them that pass the base rules at least, get a reference each, every other document uses
-the pooled one.  A reference's limit for words is ``most_word_distance``, or where less, FAR_SHARE of the distance
+lower-cased and hashed to ``buckets``; everything else is one more bin).  Every language gets a reference that has
+``min_docs`` documents that pass the base rules and at least one in MOST_LANGS of all of them (so there can be no
+more than MOST_LANGS references, about 1 KB each); the others' documents use the pooled one.  A reference's limit for words is ``most_word_distance``, or where less, FAR_SHARE of the distance
 at which a text without any of its common words lies.  A document is measured against its own reference and, if
 that rejects it, against the nearest of the other languages' that it shares common words with (at least
 SHARED of their share in that language), so that a document in another language than its label says is not lost.  A histogram of fewer than ``min_chars`` characters or
@@ -31,13 +31,16 @@ SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "other")
 POOLED = "\x00pooled"
 FAR_SHARE, SHARED = 0.8, 0.5
+MOST_LANGS = 1 << 14
+HELD_LANGS = 512  # languages whose counts a task holds before it hands them on
 BASE = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint")]
 
 
 def _class_table() -> np.ndarray:
     table = np.full(256, 7, np.uint8)
     table[ord("a") : ord("z") + 1] = 0
-    table[0xC2:] = 0  # a code point beyond ASCII counts by its first byte, as a letter
+    table[0xC3:] = 0  # a code point beyond ASCII counts by its first byte: as a letter,
+    table[0xE2], table[0xF0:] = 7, 7  # but for general punctuation, arrows, symbols and emoji
     table[ord("A") : ord("Z") + 1] = 1
     table[ord("0") : ord("9") + 1] = 2
     table[[9, 10, 11, 12, 13, 32]] = 3
@@ -117,6 +120,20 @@ def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
 def _gather(buckets: int):
     """Rows (lang, kind, bin, n): class and word counts of a task's documents that pass the base rules."""
 
+    def rows(words, kinds, docs):
+        for lang in docs:
+            at = np.flatnonzero(words[lang])
+            n = len(at) + len(CLASSES) + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * n, pa.string()),
+                    pa.array(["w"] * len(at) + ["c"] * len(CLASSES) + ["d"], pa.string()),
+                    pa.array(np.concatenate([at, np.arange(len(CLASSES)), [0]]).astype(np.int32)),
+                    pa.array(np.concatenate([words[lang][at], kinds[lang], [docs[lang]]]).astype(np.int64)),
+                ],
+                ["_lang", "kind", "bin", "n"],
+            )
+
     def counts(batches):
         words: dict[str, np.ndarray] = {}
         kinds: dict[str, np.ndarray] = {}
@@ -132,26 +149,19 @@ def _gather(buckets: int):
                     docs[lang] = docs.get(lang, 0) + int(own.sum())
                     words[lang] = words.get(lang, 0) + np.bincount(bucket[np.repeat(own, np.diff(first))], minlength=buckets)
                     kinds[lang] = kinds.get(lang, 0) + classes[own].sum(axis=0)
-        for lang in docs:
-            at = np.flatnonzero(words[lang])
-            n = len(at) + len(CLASSES) + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * n, pa.string()),
-                    pa.array(["w"] * len(at) + ["c"] * len(CLASSES) + ["d"], pa.string()),
-                    pa.array(np.concatenate([at, np.arange(len(CLASSES)), [0]]).astype(np.int32)),
-                    pa.array(np.concatenate([words[lang][at], kinds[lang], [docs[lang]]]).astype(np.int64)),
-                ],
-                ["_lang", "kind", "bin", "n"],
-            )
+                    if len(docs) >= HELD_LANGS:
+                        yield from rows(words, kinds, docs)
+                        words, kinds, docs = {}, {}, {}
+        yield from rows(words, kinds, docs)
 
     return counts
 
 
-def _references(texts: DataFrame, buckets: int, common: int, most_langs: int, min_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang -> (class shares, common buckets, their shares with the rest's last); at most most_langs + 1 entries."""
+def _references(texts: DataFrame, buckets: int, common: int, min_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """lang -> (class shares, common buckets, their shares with the rest's last); at most MOST_LANGS + 1 entries."""
     counted = R.materialize(texts.mapInArrow(_gather(buckets), "_lang string, kind string, bin int, n long").groupBy("_lang", "kind", "bin").agg(F.sum("n").alias("n")), "rules-counts")
-    langs = [r[0] for r in counted.where(f"kind = 'd' and n >= {max(1, min_docs)}").orderBy(F.desc("n"), "_lang").limit(most_langs).collect()]
+    n_docs = counted.where("kind = 'd'").agg(F.sum("n")).first()[0] or 0
+    langs = [r[0] for r in counted.where(f"kind = 'd' and n >= {max(1, min_docs)} and n * {MOST_LANGS}L >= {n_docs}L").collect()]  # at most MOST_LANGS
     pooled = counted.groupBy("kind", "bin").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("_lang"), "kind", "bin", "n")
     kept = (counted.where(F.col("_lang").isin(langs)) if langs else counted.limit(0)).unionByName(pooled)
     top = kept.withColumn("_r", F.row_number().over(Window.partitionBy("_lang", "kind").orderBy(F.desc("n"), "bin"))).where(f"kind = 'c' or (kind = 'w' and _r <= {common})")
@@ -177,8 +187,7 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
         none = np.zeros((1, len(ref)))
         none[0, -1] = 1.0
         limit[lang] = max(1e-9, min(most_word, FAR_SHARE * float(js_distance(none, ref[None, :])[0])))
-        where[lang] = np.full(buckets, len(bins), np.int64)
-        where[lang][bins] = np.arange(len(bins))
+        where[lang] = bins
 
     def distances(lang, classes, bucket, own_first):
         shares, bins, ref = references[lang]
@@ -188,7 +197,9 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
         by_class = js_distance(p, np.broadcast_to(shares, p.shape))
         counts = np.diff(own_first)
         doc = np.repeat(np.arange(n), counts)
-        hist = np.bincount(doc * (len(bins) + 1) + where[lang][bucket], minlength=n * (len(bins) + 1)).reshape(n, -1)
+        at = np.searchsorted(where[lang], bucket)
+        at = np.where(where[lang][np.minimum(at, len(bins) - 1)] == bucket, at, len(bins))
+        hist = np.bincount(doc * (len(bins) + 1) + at, minlength=n * (len(bins) + 1)).reshape(n, -1)
         q = hist / np.maximum(counts, 1)[:, None]
         by_word = js_distance(q, np.broadcast_to(ref, q.shape))
         by_class, by_word = np.where(chars >= min_chars, by_class, 0.0), np.where(counts >= min_words, by_word, 0.0)
@@ -232,14 +243,14 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
     return judged
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, common: int = 64, most_langs: int = 256, min_chars: int = 200, min_words: int = 100, most_class_distance: float = 0.28, most_word_distance: float = 0.42, keep: tuple[str, ...] = (), min_docs: int = 30) -> DataFrame:
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 4096, common: int = 64, min_chars: int = 200, min_words: int = 100, most_class_distance: float = 0.28, most_word_distance: float = 0.42, keep: tuple[str, ...] = (), min_docs: int = 30) -> DataFrame:
     """One row per document: id, the base counts, base_failed, kept, class_distance, word_distance; and the columns in ``keep`` as struct _row.
 
     Two passes over the texts, both map-only; only histograms of bounded size are shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")
-    references = _references(docs.select(text, lang), buckets, common, most_langs, min_docs)
+    references = _references(docs.select(text, lang), buckets, common, min_docs)
     source = docs.select(F.col(id_col).alias("_id"), text, lang, *([F.struct(*keep).alias("_row")] if keep else []))
     passed = [f for f in source.schema.fields if f.name not in ("_text", "_lang")]
     counted = [T.StructField(n, T.LongType()) for n, _ in BASE]
