@@ -75,9 +75,11 @@ def test_only_own_tables_are_dropped(spark, tmp_path):
     with pytest.raises(Exception, match=r"PATH_NOT_FOUND|FAILED_READ_FILE|not exist"):
         spark.read.parquet(made.scratch).count()
     left = runtime.Leftovers()
-    with left.step(mine):
+    with left.step(mine, 0):
         first = runtime.materialize(mine, "test")
-    with left.step(first.where("id > 1")):
+    with left.step(first.where("id > 1"), 1):
         assert first.count() == 5
-    left.release(mine)
+    left.release(mine, 0)
+    assert first.count() == 5
+    left.release(mine, 1)
     assert first.scratch not in runtime._made

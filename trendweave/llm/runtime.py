@@ -86,24 +86,25 @@ def drop_tables(*tables: DataFrame) -> None:
 
 
 class Leftovers:
-    """Tables that frames already handed out still read: kept until the next step, then dropped unless its input reads them."""
+    """Tables that frames already handed out still read, by the number of their step: a later step drops those of earlier ones, unless its input reads them."""
 
     def __init__(self):
-        self.paths: set[str] = set()
+        self.steps: dict[str, int] = {}
 
-    def release(self, docs: DataFrame) -> None:
-        """Drop what earlier steps left, but for what ``docs`` reads."""
-        for path in (self.paths & _made) - _read_by(docs):
+    def release(self, docs: DataFrame, number: int) -> None:
+        """Drop what the steps before ``number`` left, but for what ``docs`` reads."""
+        self.steps = {p: k for p, k in self.steps.items() if p in _made}
+        old = {p for p, k in self.steps.items() if k < number}
+        for path in old - _read_by(docs) if old else ():
             _delete(docs.sparkSession, path)
-        self.paths &= _made
 
     @contextmanager
-    def step(self, docs: DataFrame):
-        """Releases earlier tables, and notes those that are made inside and not dropped there."""
-        self.release(docs)
+    def step(self, docs: DataFrame, number: int):
+        """Releases earlier steps' tables, and notes those that are made inside and not dropped there."""
+        self.release(docs, number)
         before = set(_made)
         yield
-        self.paths |= _made - before
+        self.steps |= dict.fromkeys(_made - before, number)
 
 
 def rows_of(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
