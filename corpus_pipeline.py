@@ -9,7 +9,7 @@ reread as the next stage's docs.  All but the last return the columns of ``docs`
 4. source_mix     - documents are repeated or dropped until every source meets its target weight
 5. packing        - all documents become pieces placed in sequences of 1024 tokens
 
-Every stage works on all rows its predecessor kept.  A stage's frame can be read until the next stage is called on
+Every stage works on all rows its predecessor kept.  A stage's frame can be read until a later stage is called on
 something else than that frame.  Nulls, empty texts, repeated rows and empty tables are
 treated as the operators' docstrings say; further columns travel through stages 1 to 4 unchanged.
 """
@@ -21,33 +21,33 @@ from pyspark.sql import functions as F
 
 from trendweave.llm import exact_dedup, near_dedup, packing, quality_rules, runtime, source_mix
 
-#: Tables that the frame of the last stage still reads; the next stage drops them, unless its input reads them too.
+#: Tables that the frame of a stage still reads; a later stage drops them, unless its input reads them too.
 LEFTOVERS = runtime.Leftovers()
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with LEFTOVERS.step(docs):
+    with LEFTOVERS.step(docs, 0):
         return quality_rules.keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with LEFTOVERS.step(docs):
+    with LEFTOVERS.step(docs, 1):
         return exact_dedup.deduplicate(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with LEFTOVERS.step(docs):
+    with LEFTOVERS.step(docs, 2):
         return near_dedup.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with LEFTOVERS.step(docs):
+    with LEFTOVERS.step(docs, 3):
         return source_mix.mix_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, sequence_id, offset, ids (base64 of the packed token ids)."""
-    LEFTOVERS.release(docs)
+    LEFTOVERS.release(docs, 4)
     return packing.pack_documents(docs).withColumn("ids", F.base64("ids"))
 
 
