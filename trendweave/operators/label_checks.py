@@ -71,6 +71,25 @@ LATIN_SITE = r"(?<![\p{L}.])wikipedi\p{L}*"
 LATIN_WORD = r"(?<![\p{L}\d_./\\@#'’-])[a-z][a-z'’-]*[a-z](?![\p{L}\d_/\\@-])(?!\.\p{L})"
 QUOTED = r'"[^"\n]*"|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]'
 TOOL_TERMS = ["flat", "growing", "declining", "insufficient-data", "trust", "high", "medium", "low", "yoy", "views", "verdict", "relativegrowth", "robustgrowth", "editiongrowth", "permillion", "botshare", "spikemonths"]
+UKRAINIAN_TERMS = {
+    "flat": "без змін",
+    "growing": "зростає",
+    "declining": "спадає",
+    "insufficient-data": "мало даних",
+    "trust": "довіра",
+    "high": "висока",
+    "medium": "середня",
+    "low": "низька",
+    "yoy": "р/р",
+    "views": "переглядів",
+    "verdict": "висновок",
+    "relativegrowth": "відносна зміна",
+    "robustgrowth": "зміна переглядів",
+    "editiongrowth": "зміна всього розділу",
+    "permillion": "на 1 млн переглядів",
+    "botshare": "частка ботів",
+    "spikemonths": "місяці-сплески",
+}
 OTHER_CODES = ["en", "kk", "rm", "no", "nb", "lv", "et", "sl", "hi", "th", "ms", "ca", "eu", "gl", "az", "uz", "hy"]
 
 
@@ -159,3 +178,11 @@ def language_problems(text: Column, lang: Column, names: Column, most: int = 8)
     ]
     all_ = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(on, F.slice(F.array_distinct(F.transform(w, F.trim)), 1, most)).otherwise(F.array().cast("array<string>")).alias("words")) for k, on, w in kinds])
     return F.filter(all_, lambda p: F.size(p["words"]) > 0)
+
+
+def term_hints(words: Column, lang: Column) -> Column:
+    """Translations of tool terms found in a text, "term → translation", each once; null for languages but Ukrainian and where none is known."""
+    table = F.create_map(*[F.lit(x) for pair in UKRAINIAN_TERMS.items() for x in pair])
+    known = F.filter(F.array_distinct(F.transform(words, F.lower)), lambda w: w.isin(list(UKRAINIAN_TERMS)))
+    hints = F.array_join(F.transform(known, lambda w: F.concat(w, F.lit(" → "), F.element_at(table, w))), ", ")
+    return F.when((lang == "uk") & (F.size(known) > 0), hints)

@@ -13,6 +13,36 @@ from pyspark.sql import types as T
 STOP_WORDS = ["the", "of", "a", "an", "and", "in", "on", "for", "to", "with", "de", "la", "le", "el"]
 
 
+# Whose readers an edition mostly measures.
+READERS = {
+    "en": "readers worldwide",
+    "de": "Germany, Austria, Switzerland",
+    "fr": "France, Belgium, Switzerland, Canada, Francophone Africa",
+    "it": "Italy, Switzerland",
+    "es": "Spain, Latin America, the US",
+    "pt": "Brazil, Portugal, Lusophone Africa",
+    "nl": "the Netherlands, Flanders",
+    "ru": "Russia, Belarus, Kazakhstan and other post-Soviet countries",
+    "ar": "the Arab world",
+    "sv": "Sweden, Finland",
+    "zh": "Taiwan, Hong Kong, Singapore, Malaysia and the diaspora — Wikipedia is blocked in mainland China",
+    "kk": "Kazakhstan, where many people read ru instead",
+    "uk": "Ukraine, where many people also read ru or en",
+    "sr": "Serbia, Bosnia, Montenegro",
+    "ms": "Malaysia, Brunei",
+    "rm": "Switzerland (Graubünden) — a very small edition",
+}
+
+
+def readers_note(langs: Column) -> Column:
+    """The note on the readers of an array of editions, in its order; null if none of them is known."""
+    known = F.filter(langs, lambda x: x.isin(list(READERS)))
+    table = F.create_map(*[F.lit(x) for pair in READERS.items() for x in pair])
+    listed = F.array_join(F.transform(known, lambda x: F.concat(x, F.lit(": "), F.element_at(table, x))), "; ")
+    text = F.concat(F.lit("Editions are not countries — "), listed, F.lit(". If the user asked about a country, say whose readers each edition mostly measures."))
+    return F.when(F.size(known) > 0, text)
+
+
 @F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Lower case, compatibility decomposition, no marks."""

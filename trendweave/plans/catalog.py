@@ -270,9 +270,32 @@ def topic_resolution(spark, sf_dir):
     return resolve.resolve(topics, ["en", "uk", "de", "fr"], hits, links, props).drop("candidates")
 
 
+def wire_views(spark, sf_dir):
+    """Views of one edition and two articles within some months, from wire rows."""
+    rows = activity.pageviews(activity.wire_rows(spark, sf_dir), "x3.wikipedia", articles=["Order 1-URGENT", "Order 5-LOW"], first="1995-03", last="1997-11")
+    return rows.groupBy("article", month_text(F.col("month")).alias("month")).agg(F.sum("views").alias("views"))
+
+
+def edition_views(spark, sf_dir):
+    rows = activity.edition_totals(activity.wire_rows(spark, sf_dir))
+    return rows.select("lang", month_text(F.col("month")).alias("month"), "views")
+
+
+def readers_notes(spark, sf_dir):
+    k = F.col("n_nationkey")
+    langs = F.array(_of(NATION_LANGS, k), _of(NATION_LANGS, k * 7 % 25), F.when(k % 3 == 0, "en").otherwise("zz"))
+    return activity.table(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(resolve.readers_note(langs), F.lit("")).alias("note"))
+
+
+def term_hints(spark, sf_dir):
+    k = F.col("p_partkey")
+    words = F.array(_of([t.capitalize() for t in label_checks.UKRAINIAN_TERMS], k % 17), F.col("p_brand"), _of(list(label_checks.UKRAINIAN_TERMS), k % 5))
+    return activity.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(label_checks.term_hints(words, F.when(k % 4 > 0, "uk").otherwise("de")), F.lit("")).alias("hints"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary)
+    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints)
 }
 
 _BASE = f"""
@@ -528,3 +551,20 @@ SELECT a.* EXCLUDE (w), """
     "trust_percentages": "SELECT c_custkey AS doc_id, 1 AS pos, 'trust high (' || (c_custkey % 100) || '%' AS said FROM customer WHERE c_custkey % 4 = 0",
     "language_problems": "SELECT p_partkey, 'tool_terms' AS kind, [ 'flat', 'Views'][p_size % 3 + 1] AS words FROM part WHERE p_partkey % 2 = 0 AND p_size % 3 < 2",
 }
+
+_WIRE = "SELECT 'x' || c_nationkey AS lang, o_orderdate AS d, floor(o_totalprice)::BIGINT AS v, 'Order ' || o_orderpriority AS article FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'"
+_TERMS = list(label_checks.UKRAINIAN_TERMS.items())
+ORACLE_SQL |= {
+    "wire_views": f"""
+WITH w AS ({_WIRE})
+SELECT article, strftime(d, '%Y-%m') AS month, sum(v)::BIGINT AS views FROM w WHERE lang = 'x3' AND article IN ('Order 1-URGENT', 'Order 5-LOW') AND strftime(d, '%Y-%m') BETWEEN '1995-03' AND '1997-11' GROUP BY ALL""",
+    "edition_views": f"WITH w AS ({_WIRE}) SELECT lang, strftime(d, '%Y-%m') AS month, sum(v)::BIGINT AS views FROM w GROUP BY ALL",
+    "readers_notes": f"""
+WITH r(lang, said) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in resolve.READERS.items())}),
+l AS (SELECT n_nationkey AS k, unnest([{NATION_LANGS}[n_nationkey + 1], {NATION_LANGS}[n_nationkey * 7 % 25 + 1], CASE WHEN n_nationkey % 3 = 0 THEN 'en' ELSE 'zz' END]) AS lang, unnest([1, 2, 3]) AS i FROM nation),
+n AS (SELECT k, string_agg(lang || ': ' || said, '; ' ORDER BY i) AS s FROM l JOIN r USING (lang) GROUP BY k)
+SELECT n_nationkey, coalesce('Editions are not countries — ' || s || '. If the user asked about a country, say whose readers each edition mostly measures.', '') AS note FROM nation LEFT JOIN n ON k = n_nationkey""",
+    "term_hints": f"""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 17 AS a, p_partkey % 5 AS b FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '' ELSE {[f'{a} → {b}' for a, b in _TERMS]}[a + 1] || CASE WHEN a = b THEN '' ELSE ', ' || {[f'{a} → {b}' for a, b in _TERMS]}[b + 1] END END AS hints FROM p""",
+}
