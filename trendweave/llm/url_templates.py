@@ -77,24 +77,24 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     segments = F.filter(F.split("_path", "/"), lambda s: s != "")
     staged = R.materialize(urls.select("*", rule_of(rules).alias("_rule"), segments.alias("_segs")).withColumn("_rid", F.monotonically_increasing_id()), "url-rows")
     down = Window.partitionBy("_rid").orderBy("_depth")
-    deep = staged.select("_rid", "_host", F.posexplode("_segs").alias("_depth", "_seg")).withColumn("_shape", F.regexp_replace("_seg", "[0-9]+", "#"))
+    deep = staged.select("_rid", "_host", F.col("_rule.says").alias("_says"), F.posexplode("_segs").alias("_depth", "_seg")).withColumn("_shape", F.regexp_replace("_seg", "[0-9]+", "#"))
     above = F.coalesce(F.bit_xor(F.xxhash64("_shape", "_depth")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     deep = deep.withColumn("_prefix", above)
-    asked = deep.select("_rid", "_host", "_depth", "_seg", "_shape", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.concat_ws("/", F.lit(k), F.col("_depth").cast("string"), F.col("_prefix").cast("string"), v).alias("key")) for k, v in (("P", F.lit("")), ("S", F.col("_shape")), ("L", F.col("_seg")))])).alias("_ask"))
-    asked = R.materialize(asked.select("_rid", "_host", "_depth", "_seg", "_shape", "_ask.kind", "_ask.key"), "url-segments")
+    asked = deep.select("_rid", "_host", "_says", "_depth", "_seg", "_shape", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.concat_ws("/", F.lit(k), F.col("_depth").cast("string"), F.col("_prefix").cast("string"), v).alias("key")) for k, v in (("P", F.lit("")), ("S", F.col("_shape")), ("L", F.col("_seg")))])).alias("_ask"))
+    asked = R.materialize(asked.select("_rid", "_host", "_says", "_depth", "_seg", "_shape", "_ask.kind", "_ask.key"), "url-segments")
     support = R.materialize(asked.groupBy("_host", "key").agg(F.count("*").alias("_n")), "url-support")
     answered = R.attach(asked, support, ["_host", "key"], "_n", asked.count(), "_rid")
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("_n")))
-    known = answered.groupBy("_rid", "_host", "_depth", "_seg", "_shape").agg(of("P").alias("_p"), of("S").alias("_s"), of("L").alias("_l"))
+    known = answered.groupBy("_rid", "_host", "_says", "_depth", "_seg", "_shape").agg(of("P").alias("_p"), of("S").alias("_s"), of("L").alias("_l"))
     often = lambda c: (F.col(c) >= min_support) & (F.col(c) >= min_share * F.col("_p"))
     name = F.when(often("_l"), F.col("_seg")).when(often("_s"), F.col("_shape")).otherwise(F.lit("*"))
-    named = R.materialize(known.select("_rid", "_host", "_depth", name.alias("_name")), "url-names")
+    named = R.materialize(known.select("_rid", "_host", "_says", "_depth", name.alias("_name")), "url-names")
     R.drop_tables(asked, support)
     paths = named.groupBy("_rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("_depth", "_name"))), lambda s: s["_name"]).alias("_names"))
     pages_in = staged.join(paths, "_rid", "left").select("_rid", "_id", "_host", "_path", "_rule", F.coalesce("_names", F.array().cast("array<string>")).alias("_names"))
     pages_in = R.materialize(pages_in, "url-templates")
     below = named.withColumn("_node", F.bit_xor(F.xxhash64("_name", "_depth")).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_parent", F.coalesce(F.lag("_node").over(down), F.lit(0)))
-    below = below.select("_rid", "_host", (F.col("_depth") + 1).alias("_at"), "_node", "_parent").join(staged.select("_rid", F.col("_rule.says").alias("_says")), "_rid")
+    below = below.select("_rid", "_host", (F.col("_depth") + 1).alias("_at"), "_node", "_parent", "_says")
     roots = staged.select("_rid", "_host", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_node"), F.lit(None).cast("long").alias("_parent"), F.col("_rule.says").alias("_says"))
     nodes = R.materialize(roots.unionByName(below.select(roots.columns)), "url-nodes")
     R.drop_tables(staged, named)
