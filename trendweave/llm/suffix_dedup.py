@@ -154,7 +154,8 @@ class Chunk:
         least = sliding_least(self.names.all(gram), threshold - gram + 1)[starts]
         change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(least) else np.zeros(0, np.int64)
         self.starts, self.counts = starts[change], np.diff(np.append(change, len(starts)))
-        self.named = Named(least[change], np.zeros(len(change), np.uint16), places[change])
+        names = mix64(least[change] ^ STEP)  # least names are small ones: mixed anew, they spread over all buckets
+        self.named = Named(names, np.zeros(len(change), np.uint16), places[change])
 
     def answer(self, round_: int, bits: np.ndarray, below: np.ndarray) -> None:
         """Take in the answers of a round, and name what is left for the next."""
