@@ -37,10 +37,9 @@ def median(values: Column) -> Column:
 
     def middle(s):
         n = F.size(s)
-        k = F.shiftright(n, 1)
-        return F.when(n == 0, 0.0).when(n % 2 == 1, F.get(s, k)).otherwise((F.get(s, k - 1) + F.get(s, k)) / 2)
+        return F.coalesce((F.get(s, F.shiftright(n - 1, 1)) + F.get(s, F.shiftright(n, 1))) / 2, F.lit(0.0))
 
-    return let(F.array_sort(values), middle)
+    return let(F.sort_array(values), middle)
 
 
 def tail(values: Column, length: int, skip: int = 0) -> Column:

@@ -144,7 +144,7 @@ def series_metrics(user: DataFrame, automated: DataFrame | None = None, editions
         d = d.withColumn("bots", empty_map)
     if editions is not None:
         totals = _by_month(editions, ["lang"], "totals").select("lang", "totals")
-        ordered = F.transform(F.array_sort(F.map_entries("totals")), lambda e: e["value"])
+        ordered = F.transform(F.sort_array(F.map_entries("totals")), lambda e: e["value"])
         totals = totals.withColumn("edition_", yearly(ordered, lambda a, b: pct_change(median(a), median(b))))
         d = d.join(totals, "lang", "left")
     else:
