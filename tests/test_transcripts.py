@@ -8,7 +8,7 @@ from trendweave.operators import evaluation, periods, resolve, series, transcrip
 def _lines(spark):
     said = [
         ("user", "Do it"),
-        ("assistant", [{"type": "text", "text": "first"}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "node  a.ts\n--x"}}]),
+        ("assistant", [{"type": "text", "text": "first"}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "make  it\n--x"}}]),
         ("user", [{"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": "bad\nthing"}]),
         ("assistant", [{"type": "tool_use", "id": "t2", "input": {"q": 1}}]),
         ("user", [{"type": "tool_result", "tool_use_id": "t2", "content": [{"type": "text", "text": "{}"}]}]),
@@ -21,9 +21,9 @@ def _lines(spark):
 def test_transcripts(spark):
     rows = transcripts.blocks(_lines(spark))
     calls = [(r["call"], r["tool"], r["input"], r["error"]) for r in transcripts.tool_calls(rows).orderBy("call").collect()]
-    assert calls == [(1, "Bash", "node a.ts --x", "bad thing"), (2, "?", '{"q":1}', None)]
+    assert calls == [(1, "Bash", "make it --x", "bad thing"), (2, "?", '{"q":1}', None)]
     assert [r.asDict() for r in transcripts.summary(rows).collect()] == [{"run": "r", "models": ["m"], "final_chars": 7, "tool_calls": 2, "failed_calls": 1}]
-    assert [(r["id"], r["result"]) for r in transcripts.results(rows, "a.ts").collect()] == [("t1", "bad\nthing")]
+    assert [(r["id"], r["result"]) for r in transcripts.results(rows, "make").collect()] == [("t1", "bad\nthing")]
 
 
 def test_turns(spark):

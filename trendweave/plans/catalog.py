@@ -160,7 +160,7 @@ def resolution_warnings(spark, sf_dir):
 def _lines(spark, sf_dir):
     """Conversations as transcript lines: assistants call a tool and write, users bring its result."""
     k = F.col("turn")
-    use = F.struct(F.lit("tool_use").alias("type"), F.when(k % 4 == 1, "Bash").otherwise("Read").alias("name"), F.concat(F.lit("t"), k.cast("string")).alias("id"), F.struct(F.concat(F.lit("node  scripts/report.ts --n "), k.cast("string")).alias("command")).alias("input"))
+    use = F.struct(F.lit("tool_use").alias("type"), F.when(k % 4 == 1, "Bash").otherwise("Read").alias("name"), F.concat(F.lit("t"), k.cast("string")).alias("id"), F.struct(F.concat(F.lit("make  report --n "), k.cast("string")).alias("command")).alias("input"))
     said = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
     result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), (k - 1).cast("string")).alias("tool_use_id"), (F.length("text") % 2 == 0).alias("is_error"), F.concat(F.lit("Exit "), F.length("text").cast("string")).alias("content"))
     message = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("m1").alias("model"), F.array(F.to_json(use), F.to_json(said)).alias("content")))).otherwise(F.to_json(F.struct(F.array(F.to_json(result)).alias("content"))))
@@ -175,7 +175,7 @@ def tool_calls(spark, sf_dir):
 
 
 def tool_results(spark, sf_dir):
-    got = transcripts.results(transcripts.blocks(_lines(spark, sf_dir)), "scripts/report.ts")
+    got = transcripts.results(transcripts.blocks(_lines(spark, sf_dir)), "report")
     return got.select("run", "id", F.coalesce("result", F.lit("")).alias("result"))
 
 
@@ -523,7 +523,7 @@ UNION ALL SELECT 'excluded', topic, lang, 'excluded ' || topic || '@' || lang ||
 WITH l AS (SELECT conv_id AS run, turn, role, length(text) AS n FROM conversations WHERE text IS NOT NULL),
 c AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY run ORDER BY turn) AS call FROM l),
 e AS (SELECT run, call, arg_max('Exit ' || n, turn) AS error FROM c WHERE role = 'user' AND n % 2 = 0 GROUP BY ALL)
-SELECT run, call::BIGINT AS call, CASE WHEN turn % 4 = 1 THEN 'Bash' ELSE 'Read' END AS tool, 't' || turn AS id, 'node scripts/report.ts --n ' || turn AS input, coalesce(error, '') AS error
+SELECT run, call::BIGINT AS call, CASE WHEN turn % 4 = 1 THEN 'Bash' ELSE 'Read' END AS tool, 't' || turn AS id, 'make report --n ' || turn AS input, coalesce(error, '') AS error
 FROM c LEFT JOIN e USING (run, call) WHERE role = 'assistant'""",
     "tool_results": """
 WITH l AS (SELECT conv_id AS run, turn, role, length(text) AS n FROM conversations WHERE text IS NOT NULL)
