@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import runtime as R
 from .quality_rules import CLASS_MATRIX, CLASSES, duplicate_lines, repeated_words
 from .textops import LOWER, STEP, buffers, byte_counts, hash_spans, mix64, slices, words_of
 

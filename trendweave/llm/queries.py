@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exact_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, source_mix, suffix_dedup, token_files, url_templates
 
