@@ -567,4 +567,21 @@ SELECT n_nationkey, coalesce('Editions are not countries — ' || s || '. If the
     "term_hints": f"""
 WITH p AS (SELECT p_partkey AS k, p_partkey % 17 AS a, p_partkey % 5 AS b FROM part)
 SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '' ELSE {[f'{a} → {b}' for a, b in _TERMS]}[a + 1] || CASE WHEN a = b THEN '' ELSE ', ' || {[f'{a} → {b}' for a, b in _TERMS]}[b + 1] END END AS hints FROM p""",
+    "topic_resolution": """
+WITH p AS (
+  SELECT p_type AS query, p_partkey AS k, p_size, right(p_brand, 1) AS b FROM part),
+h AS (
+  SELECT list_extract(['en', 'uk', 'de', 'fr', 'es', 'pl', 'it', 'pt', 'nl', 'sv'], b::INT + 1) AS lang, query, k, CASE WHEN k % 7 = 0 THEN 'other' ELSE query END || ' (' || k || ')' AS title,
+         row_number() OVER (PARTITION BY b, query ORDER BY p_size, k) AS rank FROM p WHERE b BETWEEN '0' AND '9'),
+best AS (SELECT lang, query, title, k FROM h WHERE rank = 1),
+a AS (
+  SELECT t.query AS topic, best.title AS anchor, CASE WHEN best.k % 11 = 0 THEN 'disambiguation' WHEN best.k % 7 = 0 THEN 'title-mismatch' END AS issue
+  FROM (SELECT DISTINCT query FROM p) t LEFT JOIN best ON best.query = t.query AND best.lang = 'en'),
+r AS (
+  SELECT a.*, l.lang, best.title AS own, CASE WHEN l.lang = 'en' THEN anchor WHEN anchor IS NOT NULL AND best.k % 3 = 0 THEN best.title END AS link, best.k % 3 = 1 AND anchor IS NOT NULL AND l.lang <> 'en' AS back
+  FROM a CROSS JOIN (VALUES ('en'), ('uk'), ('de'), ('fr')) l(lang) LEFT JOIN best ON best.query = a.topic AND best.lang = l.lang),
+m AS (SELECT *, CASE WHEN issue = 'disambiguation' THEN 'none' WHEN link IS NOT NULL THEN 'langlink' WHEN own IS NOT NULL THEN 'search' ELSE 'none' END AS method FROM r)
+SELECT topic, lang, 'en' AS source, anchor, issue, CASE method WHEN 'langlink' THEN link WHEN 'search' THEN own END AS article, method,
+       CASE method WHEN 'langlink' THEN CASE WHEN issue = 'title-mismatch' THEN 'low' ELSE 'high' END WHEN 'search' THEN CASE WHEN lang = 'en' THEN 'medium' WHEN back AND issue IS NULL THEN 'high' ELSE 'low' END ELSE 'low' END AS confidence
+FROM m""",
 }
