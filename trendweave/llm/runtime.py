@@ -72,10 +72,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     _made.discard(path)
 
 
+def _plain(path: str) -> str:
+    """A path without its scheme and host, as the default file system may be named or not."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+
+
 def _read_by(df: DataFrame) -> set[str]:
     """The folders of this module that a frame reads."""
-    folders = {re.sub(r"^file:/+", "/", f.rsplit("/", 1)[0]) for f in df.inputFiles()}
-    return {p for p in _made if re.sub(r"^file:/+", "/", p) in folders}
+    folders = {_plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+    return {p for p in _made if _plain(p) in folders}
 
 
 def drop_tables(*tables: DataFrame) -> None:
