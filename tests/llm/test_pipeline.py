@@ -122,7 +122,7 @@ def copies(rows):
         free = free - full if full else set()
     words = {s: math.floor(target[s] + 0.5) for s in sources}
     all_words = sum(words.values())
-    block = max(1, min(128, all_words // 4096))
+    block = max(1, min(64, all_words // 65536))
     edges, upto = [], 0
     for s in sources:
         if words[s]:

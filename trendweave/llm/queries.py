@@ -141,7 +141,7 @@ f AS (SELECT arg_min(level, turn) AS level FROM v WHERE level * weight <= source
 t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, f.level * weight) AS target FROM v, f),
 c AS (
   SELECT *, sum(floor(target + 0.5)::BIGINT) OVER ()::BIGINT AS n_words, sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY source NULLS LAST)::BIGINT AS upto FROM t),
-e AS (SELECT *, greatest(1, least(128, n_words // 4096)) AS block, floor(upto::DOUBLE / n_words::DOUBLE * 2147483648.0::DOUBLE)::BIGINT AS hi FROM c WHERE target >= 0.5),
+e AS (SELECT *, greatest(1, least(64, n_words // 65536)) AS block, floor(upto::DOUBLE / n_words::DOUBLE * 2147483648.0::DOUBLE)::BIGINT AS hi FROM c WHERE target >= 0.5),
 g AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo FROM e),
 points AS (SELECT i, (i * 1327217885) % 2147483648 AS v FROM (SELECT unnest(range(m)) AS i FROM (SELECT max((n_words + block - 1) // block) AS m FROM e))),
 slots AS (SELECT source, i AS position, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS k FROM points JOIN g ON v >= lo AND v < hi),

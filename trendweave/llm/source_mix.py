@@ -28,7 +28,7 @@ from . import runtime as R
 WORD = r"[^\x20\x09-\x0D]+"
 SPAN = 1 << 31
 GOLDEN = 1327217885  # the odd number next to SPAN divided by the golden ratio
-MANY = 4096
+MANY = 1 << 16
 
 
 def _targets(sizes: DataFrame, max_epochs: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _placed(staged: DataFrame, block_words: int, max_epochs: int) -> tuple[DataF
     return placed, slots, block
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 128, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: for each slot of the schedule, by position, which words of which documents it takes."""
     placed, slots, block = _placed(R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes"), block_words, max_epochs)
     spans = (
@@ -117,7 +117,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return taken.select("position", F.col("_source").alias(source_col), F.col("_epoch").alias("epoch"), F.col("_id").alias(id_col), (F.col("_a") - F.col("_from")).alias("from_word"), (F.col("_b") - F.col("_from")).alias("to_word"))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 128, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """Per document: id, size, source_size, target of its source, words the mix takes of it, first position (-1: none) and number of slots."""
     staged = R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes")
     return _counts(staged, block_words, max_epochs).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "taken", "first_position", "n_slots")
@@ -134,7 +134,7 @@ def _counts(staged: DataFrame, block_words: int, max_epochs: int) -> DataFrame:
     return rows.join(slots.withColumnRenamed("position", "first_position"), ["_src", "_k"], "left").fillna(-1, ["first_position"])
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 128, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The documents as the mix repeats or drops them, all columns: as many copies as it takes of their words, to the nearest whole.
 
     Documents without a word carry no weight in a mix and stay once.
