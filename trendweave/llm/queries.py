@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, source_mix, suffix_dedup, token_files, url_templates
+from . import exact_dedup, hard_negatives, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, source_mix, spelling_variants, suffix_dedup, token_files, url_templates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +59,23 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(_read(spark, sf_dir, "documents"))
 
 
+def _worn(doc_id: Column, run: Column) -> Column:
+    """The contract's runs: one in 31, by a checksum of id and run, has lost a letter."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    k = (h % F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), k), F.substring(run, k + 2, F.length(run)))).otherwise(run)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(_read(spark, sf_dir, "documents"), change=_worn))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -70,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
     "op11_language_id": op11_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,5 +185,47 @@ r3 AS (
          sum(CASE WHEN part > 0 THEN (f + part - 1) // block - f // block + 1 ELSE 0 END)::BIGINT AS n_slots FROM q GROUP BY ALL)
 SELECT doc_id, size, source_size, target, taken, coalesce(position, -1)::BIGINT AS first_position, n_slots
 FROM r3 LEFT JOIN slots ON taken > 0 AND slots.source IS NOT DISTINCT FROM r3.source AND slots.k = kf
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS t),
+runs AS (
+  SELECT id, run, count(*) AS times FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))),
+         lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS h FROM runs, tab),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.v = b.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS k FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN near END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM best WHERE k = 1) b ON b.word = w.word),
+chain AS (
+  SELECT word, coalesce(form, word) AS last FROM formed
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.last WHERE formed.form IS NOT NULL),
+depth AS (SELECT chain.word, last FROM chain JOIN formed ON formed.word = chain.last WHERE formed.form IS NULL)
+SELECT formed.word, form, depth.last AS root, n, n_near, form_n FROM formed JOIN depth ON depth.word = formed.word
+""",
+    "op13_hard_negatives": r"""
+WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = e.label AS same, e.rid, e.vec_id, list_inner_product(a.v, e.v)::BIGINT AS score
+  FROM e a, e WHERE a.vec_id % 100 = 0 AND a.rid <> e.rid),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id, s.rid) AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
 }
