@@ -21,14 +21,14 @@ def test_claims(spark):
     assert [got.get(i, []) for i in range(len(SAID) + 1)] == [*SAID.values(), []]
 
 
-def test_unverified_equals_all_pairs(spark):
+def test_verified_equals_all_pairs(spark):
     known = [(True, 36.8), (True, 10.0), (False, 12345.0), (False, 2.5), (False, 9.9), (False, 10.4)]
     stated = [(1, i, str(v), v, s, p, False) for i, (v, s, p) in enumerate([(37.0, False, True), (-37.0, True, True), (12500.0, False, False), (13000.0, False, False), (10.0, False, False), (2.4, False, False), (10.2, True, True), (0.0, False, False)])]
     c = spark.createDataFrame(stated, "doc_id long, pos int, raw string, value double, signed boolean, percent boolean, ratio boolean")
     k = spark.createDataFrame(known, "percent boolean, known double")
     limit = lambda x, p: abs(x) * 0.025 if abs(x) >= 100 else 0.55 if p or abs(x) >= 10 else max(0.05, abs(x) * 0.02)
-    want = {(v, s, p) for _, i, _, v, s, p, _ in stated if not any(q == p and abs(abs(v) - abs(x)) <= limit(x, p) and not (s and v and x and (v > 0) != (x > 0)) for q, x in known)}
-    assert {(r["value"], r["signed"], r["percent"]) for r in text_checks.unverified(c, k).collect()} == want
+    want = {(v, s, p) for _, i, _, v, s, p, _ in stated if any(q == p and abs(abs(v) - abs(x)) <= limit(x, p) and not (s and v and x and (v > 0) != (x > 0)) for q, x in known)}
+    assert {(r["value"], r["signed"], r["percent"]) for r in text_checks.verified(c, k).collect()} == want
 
 
 @pytest.mark.parametrize(

@@ -126,15 +126,37 @@ def trust_percentages(docs: DataFrame, id_col: str, text_col: str = "text") -> D
     return rows.select(id_col, "pos", said.alias("said"))
 
 
-def edition_excuses(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """One row per sentence that explains a change by the whole edition though some verdict rests on the share of its views: id, pos, said."""
+def edition_excuses(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str = "text", cited: DataFrame | None = None) -> DataFrame:
+    """One row per sentence that explains a change by the whole edition though some verdict rests on the share of its views: id, pos, said.
+
+    cited: id, analysis of the drafts, with verdicts by analysis; without it every text is held against all verdicts.
+    """
     rows = split_sentences(docs, id_col, text_col, rf"(?<=[.!?;]){SPACE}+|\n+")
     excuse = F.lit(False)
     for pattern in EXCUSES:
         excuse = excuse | F.col("sentence").rlike(f"(?iu){pattern}")
-    rows = rows.where(excuse & ~F.col("sentence").rlike(f"(?iu){RAW_NUMBERS}")).withColumn("_one", F.lit(1))
-    shared = verdicts.where(F.col("basis").contains("share of edition views")).limit(1).select(F.lit(1).alias("_one"))
-    return rows.join(F.broadcast(shared), "_one", "left_semi").select(id_col, "pos", F.substring("sentence", 1, 90).alias("said"))
+    rows = rows.where(excuse & ~F.col("sentence").rlike(f"(?iu){RAW_NUMBERS}"))
+    shared = verdicts.where(F.col("basis").contains("share of edition views"))
+    if cited is None:
+        one = F.broadcast(shared.limit(1).select(F.lit(1).alias("_one")))
+        rows = rows.withColumn("_one", F.lit(1)).join(one, "_one", "left_semi")
+    else:
+        rows = rows.join(cited.join(shared.select("analysis").distinct(), "analysis", "left_semi").select(id_col).distinct(), id_col, "left_semi")
+    return rows.select(id_col, "pos", F.substring("sentence", 1, 90).alias("said"))
+
+
+def _opinions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Sentences that tell one direction, a row for each language they name."""
+    rows = split_sentences(docs, id_col, text_col)
+    rows = rows.withColumns({"_up": directions(F.col("sentence"), UP), "_down": directions(F.col("sentence"), DOWN)}).where("(_up > 0) <> (_down > 0)")
+    return rows.withColumn("lang", F.explode(F.array_distinct(named_languages(F.col("sentence")))))
+
+
+def _contradicting(met: DataFrame, id_col: str) -> DataFrame:
+    one = met.groupBy("_row", id_col, "pos").agg(F.count("*").alias("_langs"), F.first(F.struct("sentence", "lang", "_up", "label", "basis")).alias("s")).where("_langs = 1")
+    claim = F.when(F.col("s._up") > 0, "growing").otherwise("declining")
+    wrong = ((F.col("claim") == "growing") & (F.col("label") != "growing")) | ((F.col("claim") == "declining") & (F.col("label") == "growing"))
+    return one.select(id_col, "pos", F.substring("s.sentence", 1, 90).alias("said"), "s.lang", claim.alias("claim"), "s.label", "s.basis").where(wrong)
 
 
 def label_contradictions(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -144,16 +166,32 @@ def label_contradictions(docs: DataFrame, verdicts: DataFrame, id_col: str, text
     so is every text when a language has several verdicts, as sentences then name topics.  A null or empty text
     contradicts nothing; rows with a repeated id are judged one by one.
     """
-    rows = split_sentences(docs, id_col, text_col)
-    rows = rows.withColumns({"_up": directions(F.col("sentence"), UP), "_down": directions(F.col("sentence"), DOWN)}).where("(_up > 0) <> (_down > 0)")
-    named = rows.withColumn("lang", F.explode(F.array_distinct(named_languages(F.col("sentence")))))
     known = verdicts.groupBy("lang").agg(F.first("label").alias("label"), F.first("basis").alias("basis"), F.count("*").alias("_n"))
     several = known.where("_n > 1").limit(1).select(F.lit(1).alias("_one"))
-    met = named.join(known, "lang").withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one", "left_anti")
-    one = met.groupBy("_row", id_col, "pos").agg(F.count("*").alias("_langs"), F.first(F.struct("sentence", "lang", "_up", "label", "basis")).alias("s")).where("_langs = 1")
-    claim = F.when(F.col("s._up") > 0, "growing").otherwise("declining")
-    wrong = ((F.col("claim") == "growing") & (F.col("label") != "growing")) | ((F.col("claim") == "declining") & (F.col("label") == "growing"))
-    return one.select(id_col, "pos", F.substring("s.sentence", 1, 90).alias("said"), "s.lang", claim.alias("claim"), "s.label", "s.basis").where(wrong)
+    met = _opinions(docs, id_col, text_col).join(known, "lang").withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one", "left_anti")
+    return _contradicting(met, id_col)
+
+
+def draft_contradictions(docs: DataFrame, cited: DataFrame, verdicts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """``label_contradictions`` of drafts against the analyses each of them cites; a draft whose analyses have a language twice is left alone.
+
+    cited: id, analysis; verdicts: analysis, lang, label, basis.
+    """
+    links = cited.select(id_col, "analysis").distinct()
+    held = verdicts.groupBy("analysis").agg(F.count("*").alias("_n"), F.collect_set("lang").alias("_langs"))  # as many as there are languages
+    all_ = links.join(held, "analysis").groupBy(id_col).agg(F.sum("_n").alias("_n"), F.size(F.array_distinct(F.flatten(F.collect_list("_langs")))).alias("_langs"))
+    clear = all_.where("_n = _langs").select(id_col)
+    met = _opinions(docs, id_col, text_col).join(clear, id_col, "left_semi").join(links, id_col).join(verdicts.select("analysis", "lang", "label", "basis"), ["analysis", "lang"])
+    return _contradicting(met, id_col)
+
+
+def draft_labels(docs: DataFrame, cited: DataFrame, verdicts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """All that is wrong with a draft's words on its verdicts: id, kind (trust, excuse, contradiction), pos, said."""
+    kinds = {"trust": trust_percentages(docs, id_col, text_col), "excuse": edition_excuses(docs, verdicts, id_col, text_col, cited), "contradiction": draft_contradictions(docs, cited, verdicts, id_col, text_col)}
+    first, *rest = (found_.select(id_col, F.lit(kind).alias("kind"), "pos", "said") for kind, found_ in kinds.items())
+    for r in rest:
+        first = first.unionByName(r)
+    return first
 
 
 def language_problems(text: Column, lang: Column, names: Column, most: int = 8) -> Column:

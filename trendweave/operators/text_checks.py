@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import nearest
+
 # Separators, units and patterns of numbers in prose, and the constants that explanations may use.
 SPACE = r"[\s  ]"
 YEAR_RANGE = rf"(?<![\d.])(?:19|20)\d{{2}}{SPACE}?[-–—−]{SPACE}?(?:(?:19|20)\d{{2}}|\d{{2}})(?:-\d{{2}})?(?![\d%])"
@@ -58,40 +60,56 @@ def tolerance(known: Column, percent: Column) -> Column:
     return F.when(k >= 100, k * 0.025).when(percent | (k >= 10), 0.55).otherwise(F.greatest(F.lit(0.05), k * 0.02))
 
 
-def known_numbers(metrics: DataFrame, ranking: DataFrame | None = None) -> DataFrame:
-    """(percent, known): every number of an analysis a text may state, once each."""
+def allowed(value: Column, signed: Column, percent: Column) -> Column:
+    """Whether a number is one of the constants that explanations may use."""
+    near = lambda k: F.abs(F.abs(value) - k) <= tolerance(k, percent)
+    listed = lambda xs: F.exists(F.array(*map(F.lit, xs)), near)
+    return (~signed | (value >= 0)) & F.when(percent, listed(KNOWN_PERCENT)).otherwise(listed(KNOWN_NUMBERS))
+
+
+def known_numbers(metrics: DataFrame, ranking: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, percent, known): every number of an analysis a text may state, once each; keys: what tells analyses apart."""
+    keys = keys or []
     pct = [F.col(c).cast("double") for c in ("yoy", "robust_growth", "relative_growth", "edition_growth", "trend_annual")] + [F.col(c) * 100 for c in ("bot_share", "spike_share", "completeness")]
     num = [F.col(c).cast("double") for c in ("r2", "avg_last12", "total_last12", "per_million", "trust", "months", "peak_views")]
     points = F.concat(F.transform("points", lambda p: p["views"]), F.coalesce(F.transform("per_million_points", lambda p: p["per_million"]), F.array().cast("array<double>")))
-    spark = metrics.sparkSession
-    fixed = spark.createDataFrame([(True, x) for x in KNOWN_PERCENT] + [(False, x) for x in KNOWN_NUMBERS], "percent boolean, known double")
-    all_ = metrics.select(F.lit(True).alias("percent"), F.explode(F.array(*pct)).alias("known")).unionByName(metrics.select(F.lit(False).alias("percent"), F.explode(F.concat(F.array(*num), points)).alias("known"))).unionByName(fixed)
+    held = lambda percent, x: F.transform(x, lambda k: F.struct(F.lit(percent).alias("percent"), k.alias("known")))
+    every = F.concat(held(True, F.array(*pct)), held(False, F.concat(F.array(*num), points)))
+    all_ = metrics.select(*keys, F.explode(every).alias("_k")).select(*keys, "_k.*")
     if ranking is not None:
-        all_ = all_.unionByName(ranking.select(F.lit(False).alias("percent"), F.col("score").cast("double").alias("known")))
+        all_ = all_.unionByName(ranking.select(*keys, F.lit(False).alias("percent"), F.col("score").cast("double").alias("known")))
     return all_.where("known is not null").distinct()
 
 
-def unverified(stated: DataFrame, known: DataFrame) -> DataFrame:
-    """The distinct (value, signed, percent) among plain claims that no known number of their pool is near.
+REACH = [(0.0, 11.0), (9.0, 101.0), (97.0, float("inf"))]  # of the known numbers below 10, below 100 and above: the values they may be near
 
-    The range condition becomes an equi-join: a claim and a known number within tolerance lie in the same or in
-    neighbouring cells of a grid that is logarithmic from 10 up (cells of 6 %) and 0.6 wide below, so a claim meets
-    a bounded part of the known numbers instead of all of them.  Each distinct claim is looked up once, however
-    many texts state it.
-    """
 
-    def cell(x: Column) -> Column:
-        a = F.abs(x)
-        return F.when(a >= 10, F.floor(F.ln(a) / F.log(F.lit(1.06))) + 1000).otherwise(F.floor(a / 0.6)).cast("long")
+def verified(stated: DataFrame, known: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The distinct (keys, value, signed, percent) of plain claims that a known number of their pool is near.
 
-    k = known.withColumn("_t", tolerance(F.col("known"), F.col("percent")))
-    low, high = F.greatest(F.abs("known") - F.col("_t"), F.lit(0.0)), F.abs("known") + F.col("_t")
-    near_ten = F.when((low < 10) & (high >= 10), F.concat(F.sequence(cell(low), F.lit(16).cast("long")), F.sequence(cell(F.lit(10.0)), cell(high)))).otherwise(F.sequence(cell(low), cell(high)))
-    k = k.withColumn("_cell", F.explode(near_ten)).withColumnRenamed("percent", "_percent")
-    c = stated.where("not ratio").select("value", "signed", "percent").distinct().withColumn("_cell", cell(F.col("value")))
-    fits = (F.col("percent") == F.col("_percent")) & (c["_cell"] == k["_cell"]) & (F.abs(F.abs("value") - F.abs("known")) <= F.col("_t"))
-    same = ~F.col("signed") | (F.col("value") == 0) | (F.col("known") == 0) | (F.signum("value") == F.signum("known"))
-    return c.join(k, fits & same, "left_anti").drop("_cell")
+    How near counts grows with the known number, by one rule below 10, one below 100 and one above.  Under each rule, of
+    the numbers of a sign, only the nearest at or below and the nearest at or above a claim can be near enough,
+    so these two are looked up, for each distinct claim once.
+    """
+    keys = keys or []
+    size = lambda c: F.abs(F.col(c))
+    side = lambda c, both: F.explode(F.when(both, F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.signum(c).cast("int"))))
+    pool = known.select(*keys, "percent", F.when(size("known") < 10, 0).when(size("known") < 100, 1).otherwise(2).alias("_rule"), side("known", F.col("known") == 0).alias("_side"), size("known").alias("_size"))
+    asked = stated.where("not ratio").select(*keys, "value", "signed", "percent").distinct()
+    rules = F.array_compact(F.array(*[F.when((size("value") >= a) & (size("value") < b), F.lit(i)) for i, (a, b) in enumerate(REACH)]))
+    asked = asked.withColumn("_rule", F.explode(rules)).withColumn("_side", side("value", ~F.col("signed") | (F.col("value") == 0))).withColumn("_size", size("value"))
+    found = nearest(asked, pool, [*keys, "percent", "_rule", "_side"], "_size")
+    fits = (F.col("_size") - F.col("below") <= tolerance(F.col("below"), F.col("percent"))) | (F.col("above") - F.col("_size") <= tolerance(F.col("above"), F.col("percent")))
+    return found.where(fits).select(*keys, "value", "signed", "percent").distinct()
+
+
+def _reported(stated: DataFrame, fine: DataFrame, on: list[str], id_col: str) -> DataFrame:
+    rows = stated.join(fine.withColumn("_fine", F.lit(True)), on, "left")
+    wrong = ~F.coalesce("_fine", F.lit(False)) & ~F.col("ratio") & ~allowed(F.col("value"), F.col("signed"), F.col("percent"))
+    odd = F.least(*[F.abs(F.col("value") - x) for x in KNOWN_RATIOS]) >= 0.01
+    listed = lambda cond: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("pos", "raw")))), lambda x: x["raw"]))
+    out = rows.groupBy("_row", id_col).agg(F.count("*").alias("checked"), listed(wrong).alias("unverified"), listed(F.col("ratio") & odd).alias("ratios"))
+    return out.drop("_row")
 
 
 def claim_report(stated: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
@@ -100,26 +118,20 @@ def claim_report(stated: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
     A ratio is only ever allowed by the list of known ratios, never by a known number.  Rows that state nothing do
     not appear; rows with a repeated id are reported one by one.
     """
-    wrong = unverified(stated, known).withColumn("_wrong", F.lit(True))
-    rows = stated.join(wrong, ["value", "signed", "percent"], "left")
-    odd = F.least(*[F.abs(F.col("value") - x) for x in KNOWN_RATIOS]) >= 0.01
-    listed = lambda cond: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("pos", "raw")))), lambda x: x["raw"]))
-    out = rows.groupBy("_row", id_col).agg(F.count("*").alias("checked"), listed(F.col("_wrong") & ~F.col("ratio")).alias("unverified"), listed(F.col("ratio") & odd).alias("ratios"))
-    return out.drop("_row")
+    return _reported(stated, verified(stated, known), ["value", "signed", "percent"], id_col)
 
 
-def draft_verdicts(docs: DataFrame, known: DataFrame, contradictions: DataFrame, language: Column, id_col: str, text_col: str = "text") -> DataFrame:
-    """Per draft: its claim report, how many sentences contradict a label, how many kinds of language problems, and whether all is well.
+def draft_report(stated: DataFrame, cited: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """``claim_report`` of drafts that cite analyses: a number counts if it is in one of the draft's own analyses.
 
-    docs: one row per draft id; known: the numbers of all analyses it may cite; contradictions: rows of
-    ``label_contradictions``; language: an expression over the draft's row.  A draft that states nothing has no problem there.
+    cited: id, analysis; known: analysis, percent, known.  A draft that cites nothing may state the constants only.
     """
-    numbers = claim_report(claims(docs.select(id_col, text_col), id_col, text_col), known, id_col)
-    labels = contradictions.groupBy(id_col).agg(F.count("*").alias("n_labels"))
-    none = F.array().cast("array<string>")
-    rows = docs.select(id_col, F.size(language).alias("n_language")).join(numbers, id_col, "left").join(labels, id_col, "left")
-    rows = rows.withColumns({"checked": F.coalesce("checked", F.lit(0)), "n_labels": F.coalesce("n_labels", F.lit(0)).cast("int"), "unverified": F.coalesce("unverified", none), "ratios": F.coalesce("ratios", none)})
-    return rows.withColumn("ok", F.size("unverified") + F.size("ratios") + F.col("n_labels") + F.col("n_language") == 0)
+    links = cited.select(id_col, "analysis").where("analysis is not null").distinct()
+    plain = stated.where("not ratio").select(id_col, "value", "signed", "percent", "ratio").distinct()
+    pairs = plain.where(~allowed(F.col("value"), F.col("signed"), F.col("percent"))).join(links, id_col)
+    near = verified(pairs, known, ["analysis"])
+    fine = pairs.join(near, ["analysis", "value", "signed", "percent"], "left_semi").select(id_col, "value", "signed", "percent").distinct()
+    return _reported(stated, fine, [id_col, "value", "signed", "percent"], id_col)
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -138,10 +150,10 @@ def capped(text: Column, length: int) -> Column:
 
 def masked(text: Column, names: Column) -> Column:
     """The text without placeholders, code spans, links, paths and proper names (longest first)."""
-    t = F.regexp_replace(text, r"\{\w+\}", " ")
+    t = F.regexp_replace(text, r"\{[a-z]+\}", " ")
     t = F.regexp_replace(t, r"`[^`]*`", " ")
     t = F.regexp_replace(t, r"https?://\S+", " ")
-    t = F.regexp_replace(t, r"[\w.-]*/[\w./-]+", " ")
+    t = F.regexp_replace(t, r"(?:[\w.-]*/)+[\w.-]+", " ")
     longest = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
     return F.aggregate(longest, t, lambda a, n: F.regexp_replace(a, F.concat(F.lit("(?iu)\\Q"), n, F.lit("\\E")), F.lit(" ")))
 
@@ -163,5 +175,6 @@ def is_lang_code(text: Column) -> Column:
 
 
 def pinned(text: Column) -> Column:
-    """Struct (lang, title) of "lang=Title"; the title may hold further equals signs."""
-    return F.struct(F.regexp_extract(text, "^([^=]+)=(.*)$", 1).alias("lang"), F.regexp_extract(text, "^([^=]+)=(.*)$", 2).alias("title"))
+    """Struct (lang, title) of "lang=Title", both trimmed; the title may hold further equals signs."""
+    part = lambda i: F.trim(F.regexp_extract(text, "^([^=]+)=(.*)$", i))
+    return F.struct(part(1).alias("lang"), part(2).alias("title"))

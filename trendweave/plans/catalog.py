@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notes
 from ..functions.numbers import median, month_text, pct_change, round_half_up, tail
-from ..operators import evaluation, label_checks, periods, resolve, series, text_checks, transcripts
+from ..operators import drafts, evaluation, label_checks, periods, resolve, series, text_checks, transcripts
 from ..sources import activity
 from ..streaming import monthly
 
@@ -112,15 +112,31 @@ def label_contradictions(spark, sf_dir):
     return label_checks.label_contradictions(docs, _nation_verdicts(spark, sf_dir), "doc_id").select("doc_id", "said", "lang", "claim", "label", "basis")
 
 
-def draft_checks(spark, sf_dir):
-    """Drafts made of customers, against figures made of suppliers: the combined verdict on numbers, labels and language."""
+def _drafts(spark, sf_dir):
+    """Drafts made of customers on the nation that stands in for a language; the regions are the analyses, and every third draft cites two."""
+    k = F.col("c_custkey")
     n = F.floor(F.col("c_acctbal") / 10) * 10
-    said = F.concat(F.lit("The "), _of(NATION_WORDS, F.col("c_nationkey")), F.lit(" audience is growing: "), F.abs(n).cast("long").cast("string"), F.lit(" readers"), F.when(F.col("c_custkey") % 4 == 0, ", 3 times more.").otherwise("."))
-    docs = activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
-    known = activity.table(spark, sf_dir, "supplier").select(F.lit(False).alias("percent"), F.abs(F.floor("s_acctbal")).cast("double").alias("known"))
-    lang = F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en")
-    checked = text_checks.draft_verdicts(docs, known, label_checks.label_contradictions(docs, _nation_verdicts(spark, sf_dir), "doc_id"), label_checks.language_problems(F.col("text"), lang, F.array().cast("array<string>")), "doc_id")
-    return checked.select("doc_id", "checked", F.size("unverified").alias("n_unverified"), F.size("ratios").alias("n_ratios"), "n_labels", "n_language", "ok")
+    tail_ = F.concat(F.when(k % 4 == 0, ", 3 times more.").otherwise("."), F.when(k % 5 == 0, " Trust high (90%).").otherwise(""), F.when(k % 6 == 0, " The change is due to the platform.").otherwise(""))
+    said = F.concat(F.lit("The "), _of(NATION_WORDS, F.col("c_nationkey")), F.lit(" audience is growing: "), F.abs(n).cast("long").cast("string"), F.lit(" readers"), tail_)
+    rows = activity.table(spark, sf_dir, "customer").join(activity.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    docs = rows.select(k.alias("doc_id"), said.alias("text"), F.when(k % 7 == 0, "de").otherwise("en").alias("lang"), F.col("n_regionkey").alias("_region"))
+    own = F.array(F.col("_region"), F.when(F.col("doc_id") % 3 == 0, (F.col("_region") + 1) % 5))
+    return docs.drop("_region"), docs.select("doc_id", F.explode(F.array_compact(own)).alias("analysis"))
+
+
+def draft_checks(spark, sf_dir):
+    """Drafts against their own analyses: numbers of suppliers, verdicts of nations (one language twice), names of regions."""
+    docs, cited = _drafts(spark, sf_dir)
+    nation, at = activity.table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    supplied = activity.table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == at)
+    known = supplied.select(F.col("n_regionkey").alias("analysis"), F.lit(False).alias("percent"), F.abs(F.floor("s_acctbal")).cast("double").alias("known"))
+    known = known.unionByName(nation.select(F.col("n_regionkey").alias("analysis"), F.lit(True).alias("percent"), F.lit(90.0).alias("known")).where("analysis > 1"))
+    basis = F.when(F.col("n_regionkey") == 1, "share of edition views").otherwise("raw views")
+    verdicts = nation.select(F.col("n_regionkey").alias("analysis"), _of(NATION_LANGS, at % 24).alias("lang"), _of(("growing", "flat", "declining"), at % 3).alias("label"), basis.alias("basis"))
+    names = nation.where("n_regionkey = 2").select(F.col("n_regionkey").alias("analysis"), F.lit("growing").alias("name"))
+    checked = drafts.draft_verdicts(docs, cited, known, verdicts, names, "doc_id")
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("unverified", "ratios")]
+    return checked.select("doc_id", "checked", *sizes, "n_trust", "n_excuse", "n_contradiction", F.size("language").alias("n_language"), "ok")
 
 
 def periods_asked(spark, sf_dir):
@@ -476,13 +492,24 @@ WITH v AS (SELECT n_nationkey AS k, {NATION_LANGS}[n_nationkey + 1] AS lang, ['g
 c AS (SELECT c_custkey, c_nationkey AS k, CASE WHEN c_acctbal >= 0 THEN 'growing' ELSE 'declining' END AS claim FROM customer WHERE c_custkey % 3 <> 0)
 SELECT c_custkey AS doc_id, 'The ' || {NATION_WORDS}[k + 1] || ' audience is ' || claim || '.' AS said, lang, claim, label, basis
 FROM c JOIN v USING (k) WHERE (claim = 'growing') <> (label = 'growing')""",
-    "draft_checks": """
-WITH d AS (SELECT c_custkey AS doc_id, c_nationkey AS k, abs(floor(c_acctbal / 10) * 10)::BIGINT AS n FROM customer),
-known AS (SELECT DISTINCT abs(floor(s_acctbal))::DOUBLE AS x FROM supplier),
-near AS (SELECT DISTINCT n FROM (SELECT DISTINCT n FROM d) JOIN known ON abs(n - x) <= CASE WHEN x >= 100 THEN x * 0.025::DOUBLE WHEN x >= 10 THEN 0.55::DOUBLE ELSE greatest(0.05::DOUBLE, x * 0.02::DOUBLE) END),
-c AS (SELECT d.*, n > 12 AND NOT n BETWEEN 1900 AND 2099 AS said, near.n IS NULL AS alone FROM d LEFT JOIN near USING (n)),
-r AS (SELECT doc_id, said::BIGINT + (doc_id % 4 = 0)::BIGINT AS checked, (said AND alone)::INT AS n_unverified, (doc_id % 4 = 0)::INT AS n_ratios, (k % 3 <> 0)::INT AS n_labels, (doc_id % 2 = 0)::INT AS n_language FROM c)
-SELECT *, n_unverified + n_ratios + n_labels + n_language = 0 AS ok FROM r""",
+    "draft_checks": f"""
+WITH d AS (
+  SELECT c_custkey AS doc_id, c_nationkey AS k, n_regionkey AS r, abs(floor(c_acctbal / 10) * 10)::BIGINT AS n, {NATION_LANGS}[c_nationkey + 1] AS named FROM customer JOIN nation ON c_nationkey = n_nationkey),
+cited AS (SELECT doc_id, r AS analysis FROM d UNION SELECT doc_id, (r + 1) % 5 FROM d WHERE doc_id % 3 = 0),
+pool AS (SELECT DISTINCT n_regionkey AS analysis, abs(floor(s_acctbal))::DOUBLE AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT r, x::DOUBLE FROM range(5) t(r), unnest([100, 2.5, 40, 70, 300, 1000]) u(x)),
+near AS (
+  SELECT DISTINCT doc_id FROM d JOIN cited USING (doc_id) JOIN pool USING (analysis)
+  WHERE abs(n - x) <= CASE WHEN x >= 100 THEN x * 0.025::DOUBLE WHEN x >= 10 THEN 0.55::DOUBLE ELSE greatest(0.05::DOUBLE, x * 0.02::DOUBLE) END),
+v AS (SELECT n_regionkey AS analysis, {NATION_LANGS}[n_nationkey % 24 + 1] AS lang, n_nationkey % 3 AS label FROM nation),
+seen AS (SELECT doc_id, count(*) AS n_series, count(DISTINCT lang) AS n_langs, list(lang) AS langs, list(label) AS labels, max((analysis = 1)::INT) AS shared, max((analysis = 2)::INT) AS quoted, max((analysis > 1)::INT) AS ninety FROM cited JOIN v USING (analysis) GROUP BY 1),
+r AS (
+  SELECT d.doc_id, (n > 12 AND n NOT BETWEEN 1900 AND 2099)::INT AS said, doc_id IN (SELECT doc_id FROM near) AS fine, seen.*,
+         CASE WHEN list_position(langs, named) > 0 THEN labels[list_position(langs, named)] END AS label FROM d JOIN seen USING (doc_id)),
+f AS (
+  SELECT doc_id, said::BIGINT + (doc_id % 4 = 0)::BIGINT + (doc_id % 5 = 0)::BIGINT AS checked, (said = 1 AND NOT fine)::INT + (doc_id % 5 = 0 AND ninety = 0)::INT AS n_unverified, (doc_id % 4 = 0)::INT AS n_ratios,
+         (doc_id % 5 = 0)::INT AS n_trust, (doc_id % 6 = 0 AND shared = 1)::INT AS n_excuse, (n_series = n_langs AND coalesce(label <> 0, false))::INT AS n_contradiction,
+         (doc_id % 7 = 0 AND (quoted = 0 OR doc_id % 5 = 0))::INT AS n_language FROM r)
+SELECT *, n_unverified + n_ratios + n_trust + n_excuse + n_contradiction + n_language = 0 AS ok FROM f""",
     "statement_sentences": r"""
 WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?;])[ \t\n\x0B\f\r\x{A0}\x{202F}]+', '\1' || chr(1), 'g'), '\n+|[|]', chr(1), 'g'), chr(1))) AS s FROM documents)
 SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_points FROM t WHERE trim(s) <> '' GROUP BY 1""",
