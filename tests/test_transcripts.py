@@ -45,10 +45,6 @@ def test_periods(spark):
     assert [r["problem"] for r in got[3:]] == ["bad number of months", "bad day", "start not before end", "start not before end"]
 
 
-def test_redirects_and_pins(spark):
-    links = spark.createDataFrame([("en", "Chess", "de", "Schach")], "src_lang string, src_title string, dst_lang string, dst_title string")
-    redirects = spark.createDataFrame([("en", "Chess game", "Chess"), ("en", None, "Chess")], "lang string, title string, target string")
-    got = {(r["src_title"], r["dst_lang"], r["dst_title"]) for r in resolve.with_redirects(links, redirects).where("src_title is not null").collect()}
-    assert got == {("Chess", "de", "Schach"), ("Chess game", "de", "Schach"), ("Chess game", "en", "Chess")}
+def test_unknown_pins(spark):
     pins = spark.createDataFrame([("t", "en", "A"), ("t", "xx", "B"), ("t", None, "C")], "topic string, lang string, title string")
     assert {r["title"] for r in resolve.unknown_pins(pins, ["en", "de"]).collect()} == {"B", "C"}

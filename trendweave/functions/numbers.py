@@ -71,3 +71,33 @@ def local_number(x: Column, digits: int = 0, lang: str = "en") -> Column:
     if digits:
         text = F.regexp_replace(text, r"\.?0+$", "")
     return F.translate(text, ",.", "\u00a0,") if lang == "uk" else text
+
+
+def fixed_text(x: Column, digits: int = 2) -> Column:
+    """A number with exactly ``digits`` (at most 3) decimals, rounded by its exact binary value; halves away from zero.
+
+    The number is mantissa * 2**exponent, and mantissa * 10**digits still fits a long: what is shifted out of it decides
+    the last digit, so 1.005 (a little below) gives 1.00 and 1.125 (exactly half) 1.13.  From 1e21 on, and for infinite
+    numbers, the text is the number's own.
+    """
+    if not 0 <= digits <= 3:
+        raise ValueError("digits must be 0 to 3")
+    size = F.abs(x.cast("double"))
+    two = lambda k: F.pow(F.lit(2.0), k.cast("double"))
+
+    def cut(e: Column) -> Column:
+        """From the place e of the highest bit: the scaled mantissa without what lies below its last digit."""
+        mantissa = (size * two(52 - e)).cast("long") * F.lit(10**digits).cast("long")
+        drop = (52 - e).cast("int")
+        half = F.expr("1L")
+        kept = lambda m, k: F.call_function("shiftright", m, k) + F.call_function("shiftright", m, k - 1).bitwiseAND(half)
+        return F.when(drop > 63, F.lit(0).cast("long")).when(drop > 0, let(F.struct(mantissa.alias("m"), drop.alias("k")), lambda s: kept(s["m"], s["k"])))
+
+    guess = F.floor(F.log2(size))
+    place = let(guess, lambda g: g + F.when(size < two(g), -1).when(size >= two(g + 1), 1).otherwise(0))
+    small = let(place, cut)
+    units = small.cast("decimal(38,0)") if digits == 0 else (small.cast("decimal(38,0)") / F.lit(10**digits).cast("decimal(38,0)")).cast(f"decimal(38,{digits})")
+    exact = let(place, lambda e: (size * two(52 - e)).cast("long").cast("decimal(20,0)") * two(e - 52).cast("long").cast("decimal(18,0)")).cast("decimal(38,0)")
+    zeros = "." + "0" * digits if digits else ""
+    text = F.when(size < 1e-9, F.lit("0" + zeros)).when(size < 2.0**52, units.cast("string")).when(size < 1e21, F.concat(exact.cast("string"), F.lit(zeros)))
+    return F.when(size < 1e21, F.concat(F.when(x < 0, "-").otherwise(""), text)).otherwise(x.cast("string"))

@@ -34,9 +34,10 @@ def delta(stats_: DataFrame, keys: list[str], config: str = "config", with_: str
 def summary(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Per configuration: passed/total of all runs, and mean and deviation of pass rate, seconds, tokens and calls.
 
-    runs: the keys, passed, total, seconds, tokens, calls; a run without a figure does not count for it.
+    runs: the keys, passed, total, seconds, tokens, calls, and pass_rate where gradings state it (else it is passed of
+    total); a run without a figure does not count for it.
     """
-    rate = F.col("passed") / F.nullif(F.col("total"), F.lit(0))
+    rate = F.col("pass_rate") if "pass_rate" in runs.columns else F.col("passed") / F.nullif(F.col("total"), F.lit(0))
     figures = {"pass_rate": rate, "seconds": F.col("seconds"), "tokens": F.col("tokens"), "calls": F.col("calls")}
     x = {n: F.when(~F.isnan(c.cast("double")), c.cast("double")) for n, c in figures.items()}
     each = [f(c).alias(f"{n}_{k}") for n, c in x.items() for k, f in (("mean", lambda c: round_half_up(F.avg(c), 2)), ("stddev", lambda c: round_half_up(F.stddev_pop(c), 2)))]
@@ -57,6 +58,31 @@ def benchmark(runs: DataFrame, eval_: str = "eval", config: str = "config", with
     return both.select(*names, *[f"base_{c}" for c in names], *delta_)
 
 
+RUN_FILE = r"/(eval-[^/]+)/([^/]+)/[^/]+$"  # fixed value: eval and configuration of a file
+
+
+def runs_of_files(gradings: DataFrame, timings: DataFrame) -> DataFrame:
+    """One row per graded run: eval, config, pass_rate, passed, total, turns, seconds, tokens, calls.
+
+    gradings: file, pass_rate, passed, total; timings: file, turn, duration_ms, total_tokens, tool_calls.  Eval and
+    configuration are folders of the path.  Durations and calls of the turns add up, tokens are the most of any turn;
+    where a turn lacks a figure, or the run has no timing, it is null.
+    """
+    key = lambda i: F.regexp_extract("file", RUN_FILE, i)
+    placed = lambda t: t.withColumns({"eval": key(1), "config": key(2)}).where("eval <> ''")
+    whole = lambda c, f: F.when(F.count(c) == F.count("*"), f(c))
+    timed = placed(timings).groupBy("eval", "config").agg(F.count("*").alias("turns"), (whole("duration_ms", F.sum) / 1000).alias("seconds"), whole("total_tokens", F.max).alias("tokens"), whole("tool_calls", F.sum).alias("calls"))
+    graded = placed(gradings).select("eval", "config", "pass_rate", "passed", "total")
+    return graded.join(timed, ["eval", "config"], "left").fillna(1, ["turns"])
+
+
+def per_eval(runs: DataFrame, with_: str, without: str) -> DataFrame:
+    """Every eval that has a run with, its figures, and those of its run without (null where there is none)."""
+    figures = ["pass_rate", "passed", "total", "turns", "seconds", "tokens", "calls"]
+    base = runs.where(F.col("config") == without).select("eval", *[F.col(c).alias(f"base_{c}") for c in figures])
+    return runs.where(F.col("config") == with_).select("eval", *figures).join(base, "eval", "left")
+
+
 FOLLOW_UP = "Follow-up message from the same user"  # fixed value: what marks a follow-up
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.durable import durable
+
 # Words that do not count in a title comparison.
 STOP_WORDS = ["the", "of", "a", "an", "and", "in", "on", "for", "to", "with", "de", "la", "le", "el"]
 
@@ -63,34 +65,42 @@ def looks_latin(topic: Column) -> Column:
     return ~topic.rlike(r"[^\x{0000}-\x{024F}\s\p{P}]")
 
 
-def resolve(topics: DataFrame, langs: list[str], hits: DataFrame, links: DataFrame, props: DataFrame, explicit: DataFrame | None = None, source: str | None = None) -> DataFrame:
+def resolve(topics: DataFrame, langs: list[str], hits: DataFrame, links: DataFrame, props: DataFrame, explicit: DataFrame | None = None, source: str | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """One row per topic and language: source, anchor, issue, article, method, confidence, candidates.
 
-    topics: (topic); explicit: (topic, lang, title) pins.  A pinned title wins, then a link from the anchor, then
-    the best local hit; a local hit is sure only if it links back to the anchor.  Nulls in any table match nothing;
-    of several links or pins of a place the least title counts.
+    topics: (topic); explicit: (topic, lang, title) pins, with an optional column ``ordinal``.  A pinned title wins, then a
+    link from the anchor, then the best local hit; a local hit is sure only if it links back to the anchor.
+    redirects: (lang, title, target); links and properties are those of the page that a title leads to in the end, and
+    the article of the source is that page's title, while titles are compared with the anchor as it was found.
+    Nulls in any table match nothing; of several links of a place the least title counts, of several pins the last
+    one, or the least without ``ordinal``.
     """
     spark = topics.sparkSession
     wanted = spark.createDataFrame([(i, x) for i, x in enumerate(langs)], "_order int, lang string")
-    pins = (explicit if explicit is not None else spark.createDataFrame([], "topic string, lang string, title string")).select("topic", "lang", F.col("title").alias("_pin")).where("_pin is not null").groupBy("topic", "lang").agg(F.min("_pin").alias("_pin"))
+    pins = (explicit if explicit is not None else spark.createDataFrame([], "topic string, lang string, title string"))
+    told = F.max_by("title", "ordinal") if "ordinal" in pins.columns else F.min("title")
+    pins = pins.where("title is not null").groupBy("topic", "lang").agg(told.alias("_pin"))
     pinned = pins.join(F.broadcast(wanted), "lang").groupBy("topic").agg(F.count("*").alias("_pinned"))
     own = F.lit(source) if source else F.when(looks_latin(F.col("topic")), "en").otherwise(langs[0])
     top = hits.where("rank <= 5").groupBy("lang", "query").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("_h")).select("lang", "query", F.transform("_h", lambda h: h["title"]).alias("_hits"))
     t = topics.select("topic").distinct().withColumn("source", own).join(pinned, "topic", "left")
     t = t.join(top.select(F.col("lang").alias("source"), F.col("query").alias("topic"), "_hits"), ["source", "topic"], "left").withColumn("anchor", F.get("_hits", F.lit(0)))
-    marked = props.where("is_disambiguation").select(F.col("lang").alias("source"), F.col("title").alias("anchor"), F.lit(True).alias("_many")).distinct()
-    t = t.join(marked, ["source", "anchor"], "left")
+    pages = canonical(redirects) if redirects is not None else spark.createDataFrame([], "lang string, title string, target string")
+    t = t.join(pages.select(F.col("lang").alias("source"), F.col("title").alias("anchor"), F.col("target").alias("_page")), ["source", "anchor"], "left").withColumn("_page", F.coalesce("_page", "anchor"))
+    marked = props.where("is_disambiguation").select(F.col("lang").alias("source"), F.col("title").alias("_page"), F.lit(True).alias("_many")).distinct()
+    t = t.join(marked, ["source", "_page"], "left")
     unsure = F.col("anchor").isNotNull() & (F.coalesce("_pinned", F.lit(0)) < len(langs))
     t = t.withColumn("issue", F.when(unsure & F.col("_many"), "disambiguation").when(unsure & ~title_matches(F.col("topic"), F.col("anchor")), "title-mismatch"))
     others = F.when(F.size("_hits") > 1, F.slice("_hits", 2, 4)).otherwise(F.array().cast("array<string>"))
     t = t.withColumn("_others", F.when(F.col("issue") == "title-mismatch", F.slice("_hits", 1, 5)).when(F.col("issue") == "disambiguation", others))
-    forward = links.select(F.col("src_lang").alias("source"), F.col("src_title").alias("anchor"), F.col("dst_lang").alias("lang"), F.col("dst_title").alias("_link")).groupBy("source", "anchor", "lang").agg(F.min("_link").alias("_link"))
-    self_link = t.select("source", "anchor", F.col("source").alias("lang"), F.col("anchor").alias("_link")).where("anchor is not null").distinct()
-    forward = forward.join(self_link, ["source", "anchor", "lang"], "left_anti").unionByName(self_link)
-    rows = t.crossJoin(F.broadcast(wanted)).join(pins, ["topic", "lang"], "left").join(forward, ["source", "anchor", "lang"], "left")
+    forward = links.select(F.col("src_lang").alias("source"), F.col("src_title").alias("_page"), F.col("dst_lang").alias("lang"), F.col("dst_title").alias("_link")).groupBy("source", "_page", "lang").agg(F.min("_link").alias("_link"))
+    self_link = t.select("source", "_page", F.col("source").alias("lang"), F.col("_page").alias("_link")).where("_page is not null").distinct()
+    forward = forward.join(self_link, ["source", "_page", "lang"], "left_anti").unionByName(self_link)
+    rows = t.crossJoin(F.broadcast(wanted)).join(pins, ["topic", "lang"], "left").join(forward, ["source", "_page", "lang"], "left")
     rows = rows.join(top.select("lang", F.col("query").alias("topic"), F.col("_hits").alias("_local")), ["lang", "topic"], "left").withColumn("_best", F.get("_local", F.lit(0)))
-    back = links.select(F.col("src_lang").alias("lang"), F.col("src_title").alias("_best"), F.col("dst_lang").alias("source"), F.col("dst_title").alias("_back")).groupBy("lang", "_best", "source").agg(F.min("_back").alias("_back"))
-    rows = rows.join(back, ["lang", "_best", "source"], "left")
+    rows = rows.join(pages.select("lang", F.col("title").alias("_best"), F.col("target").alias("_led")), ["lang", "_best"], "left").withColumn("_led", F.coalesce("_led", "_best"))
+    back = links.select(F.col("src_lang").alias("lang"), F.col("src_title").alias("_led"), F.col("dst_lang").alias("source"), F.col("dst_title").alias("_back")).groupBy("lang", "_led", "source").agg(F.min("_back").alias("_back"))
+    rows = rows.join(back, ["lang", "_led", "source"], "left")
     many, off = F.coalesce(F.col("issue") == "disambiguation", F.lit(False)), F.col("issue").isNotNull()
     method = F.when(F.col("_pin").isNotNull(), "explicit").when(many, "none").when(F.col("_link").isNotNull(), "langlink").when(F.col("_best").isNotNull(), "search").otherwise("none")
     linked = F.when(F.coalesce(F.col("issue") == "title-mismatch", F.lit(False)), "low").otherwise("high")
@@ -119,13 +129,22 @@ def unknown_pins(pins: DataFrame, langs: list[str]) -> DataFrame:
     return pins.where(~F.col("lang").isin(langs) | F.col("lang").isNull())
 
 
-def with_redirects(links: DataFrame, redirects: DataFrame) -> DataFrame:
-    """The links of every title, and of the titles that lead to it; redirects: lang, title, target.  Of several targets the least counts."""
-    to = redirects.groupBy("lang", "title").agg(F.min("target").alias("target"))
-    via = to.select(F.col("lang").alias("src_lang"), F.col("target").alias("src_title"), F.col("title").alias("_from"))
-    more = links.join(via, ["src_lang", "src_title"]).select("src_lang", F.col("_from").alias("src_title"), "dst_lang", "dst_title")
-    self_ = to.select(F.col("lang").alias("src_lang"), F.col("title").alias("src_title"), F.col("lang").alias("dst_lang"), F.col("target").alias("dst_title"))
-    return links.unionByName(more).unionByName(self_).distinct()
+def canonical(redirects: DataFrame) -> DataFrame:
+    """lang, title, target: where every redirect leads in the end; titles on a cycle, or leading into one, keep their own name and have no row.
+
+    redirects: lang, title, target; of several targets the least counts.  Pointers double: after k rounds each knows the
+    page 2**k steps on, so a chain takes as many rounds as its length has bits.  Once a round settles no title, those
+    left over never end.
+    """
+    kept = redirects.where("lang is not null and title is not null and target is not null").groupBy("lang", "title").agg(F.min("target").alias("target"))
+    held, before = durable(kept), None
+    while True:
+        on = held.select("lang", F.col("title").alias("target"), F.col("target").alias("_next"))
+        step = durable(held.select("lang", "title", "target").join(on, ["lang", "target"], "left").select("lang", "title", F.coalesce("_next", "target").alias("target"), F.col("_next").isNull().alias("_ends")))
+        left = step.where("not _ends").count()
+        if left in (0, before):
+            return step.where("_ends").drop("_ends")
+        held, before = step, left
 
 
 def exclusions(resolved: DataFrame, include_low: bool = False) -> DataFrame:
@@ -163,19 +182,32 @@ def warnings(resolved: DataFrame, viewed: DataFrame | None = None, include_low:
         F.lit("matched_by_search").alias("kind"), "topic", "lang",
         F.format_string('%s: "%s" was matched by text search (%s confidence) — verify it is the topic, or pin a title with --articles %s="<Title>"', "_where", "article", "confidence", "lang").alias("text"),
     )
-    topics = resolved.groupBy("topic").agg(F.max("issue").alias("issue"), F.max("anchor").alias("anchor")).where("issue is not null")
-    of_topic = topics.select(F.col("issue").alias("kind"), "topic", F.lit(None).cast("string").alias("lang"), F.format_string('"%s": the first hit is "%s"', "topic", "anchor").alias("text"))
-    plain = out.where("reason in ('no article found', 'low confidence')")
-    left_out = plain.select(F.lit("excluded").alias("kind"), "topic", "lang", F.format_string("excluded %s@%s: no article on this topic in this edition", "topic", "lang").alias("text"))
+    topics = resolved.where("issue is not null").groupBy("topic").agg(F.max("issue").alias("issue"), F.max("anchor").alias("anchor"), F.max("candidates").alias("_hits"))
+    shown = F.array_join(F.transform(F.slice(F.coalesce("_hits", F.array().cast("array<string>")), 1, 3), lambda h: F.concat(F.lit('"'), h, F.lit('"'))), ", ")
+    ambiguous = F.concat(F.format_string('"%s" is ambiguous: Wikipedia\'s "%s" is a disambiguation page, so nothing was analysed. Re-run with the specific English title you mean, e.g. ', "topic", "anchor"), shown, F.lit("."))
+    other = F.format_string(
+        '"%s" has no Wikipedia article of its own: the closest is "%s", a different subject, so it was excluded. Tell the user there is no article for "%s"; only if they agree, analyse "%s" as a clearly labelled proxy (--topic "%s").',
+        "topic", "anchor", "topic", "anchor", "anchor",
+    )
+    of_topic = topics.select(F.col("issue").alias("kind"), "topic", F.lit(None).cast("string").alias("lang"), F.when(F.col("issue") == "disambiguation", ambiguous).otherwise(other).alias("text"))
+    plain = out.where("reason in ('no article found', 'low confidence')").groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("@", "topic", "lang"))), ", ").alias("_list"))
+    left_out = plain.select(
+        F.lit("excluded").alias("kind"), "topic", F.lit(None).cast("string").alias("lang"),
+        F.format_string("excluded %s: no article on this topic in those editions (Wikipedia cannot measure interest there; not proof of low demand).", "_list").alias("text"),
+    )
     every = by_search.unionByName(of_topic).unionByName(left_out)
     if viewed is not None:
         every = every.unionByName(lost.select(F.lit("no_data").alias("kind"), "topic", "lang", F.format_string('%s: "%s" has no pageview data in this period', "_where", "article").alias("text")))
     return every
 
 
-def series_names(rows: DataFrame) -> DataFrame:
-    """Adds ``name``: "topic (lang)", the topic or the language, whichever tells the series of the table apart; repeated rows get one name."""
-    counts = rows.agg(F.count_distinct("topic").alias("_t"), F.count_distinct("lang").alias("_l"))  # one row
+def series_names(rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Adds ``name``: "topic (lang)", the topic or the language, by how many topics and languages were asked for.
+
+    asked: the (topic, lang) asked for, whether or not they are among the rows; without it the rows' own count.
+    Repeated rows get one name.
+    """
+    counts = (rows if asked is None else asked).agg(F.count_distinct("topic").alias("_t"), F.count_distinct("lang").alias("_l"))  # one row
     name = F.when((F.col("_t") > 1) & (F.col("_l") > 1), F.format_string("%s (%s)", "topic", "lang")).when(F.col("_t") > 1, F.col("topic")).otherwise(F.col("lang"))
     return rows.crossJoin(F.broadcast(counts)).withColumn("name", name).drop("_t", "_l")
 

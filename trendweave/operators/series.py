@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..functions.numbers import let, local_number, mean, median, month_text, number_text, pct_change, round_half_up, tail, total
+from ..functions.numbers import fixed_text, let, local_number, mean, median, month_text, number_text, pct_change, round_half_up, tail, total
+from .ordering import numbered
 
 KEY = ["topic", "lang"]
 # Windows, thresholds and penalties of the metrics.
@@ -241,17 +242,12 @@ def ranking(metrics: DataFrame) -> DataFrame:
     return metrics.select(*KEY, F.floor(score + 0.5).cast("long").alias("score"), why.alias("why"))
 
 
-def places(ranked: DataFrame) -> DataFrame:
-    """Adds ``place`` among all series: by score descending, ties in the order of the key.
+def places(ranked: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """Adds ``place`` among all series: by score descending, equal ones in the order of ``ties`` (the key; or the input's own order, if a column holds it).
 
-    Scores are whole numbers of a small range: the series of greater scores are counted (a row per score), and
-    only series of one score are put in order, so no task sees all of them.
+    Series of one score are split among tasks like any others: places come from counts of ranges of the whole order.
     """
-    counts = ranked.groupBy("score").agg(F.count("*").alias("_n"))  # a row per score
-    ahead = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("score", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    own = F.row_number().over(Window.partitionBy("score").orderBy(*KEY))
-    return ranked.join(before, "score").withColumn("place", F.col("_ahead") + own).drop("_ahead")
+    return numbered(ranked, [F.desc("score"), *[F.col(c) for c in ties or KEY]])
 
 
 def summary_rows(metrics: DataFrame) -> DataFrame:
@@ -294,7 +290,7 @@ def long_rows(metrics: DataFrame) -> DataFrame:
     rates = F.map_from_entries(F.transform("per_million_points", lambda p: F.struct(p["month"], p["per_million"])))
     rate = F.try_element_at("_rates", F.col("p.month"))
     rows = metrics.withColumn("_rates", rates).select(*KEY, "_rates", F.explode("points").alias("p"))
-    return rows.select(*KEY, F.col("p.month").alias("month"), F.col("p.views").cast("long").alias("views_user"), F.when(rate.isNotNull(), F.format_string("%.2f", rate)).otherwise("").alias("views_per_million"))
+    return rows.select(*KEY, F.col("p.month").alias("month"), F.col("p.views").cast("long").alias("views_user"), F.coalesce(fixed_text(rate, 2), F.lit("")).alias("views_per_million"))
 
 
 def csv_lines(rows: DataFrame, name: Column, article: Column) -> DataFrame:

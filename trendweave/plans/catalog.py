@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import notes
 from ..functions.numbers import median, month_text, pct_change, round_half_up, tail
-from ..operators import drafts, evaluation, label_checks, periods, resolve, series, text_checks, transcripts
+from ..operators import charts, documents, drafts, evaluation, label_checks, periods, resolve, series, text_checks, transcripts
 from ..sources import activity
-from ..streaming import monthly
+from ..sources.durable import shared_folder
+from ..streaming import incremental, monthly
 
 LAST = 2001 * 12 + 6  # requested window of the stand-in: 1995-01 .. 2001-07
 START = 1995 * 12
@@ -75,10 +77,8 @@ def indexed_points(spark, sf_dir):
 
 
 def export_rows(spark, sf_dir):
-    """The rate in thousandths, as its text is rounded to two decimals by each engine in its own way at halves."""
-    d = series.long_rows(_metrics(spark, sf_dir))
-    rate = F.when(F.col("views_per_million") != "", F.col("views_per_million").cast("double"))
-    return d.select("topic", "lang", "month", "views_user", F.coalesce(F.floor(rate / 10), F.lit(-1)).cast("long").alias("rate_tens"))
+    """The long export with its rates as texts."""
+    return series.long_rows(_metrics(spark, sf_dir)).select("topic", "lang", "month", "views_user", "views_per_million")
 
 
 def statement_sentences(spark, sf_dir):
@@ -286,6 +286,77 @@ def topic_resolution(spark, sf_dir):
     return resolve.resolve(topics, ["en", "uk", "de", "fr"], hits, links, props).drop("candidates")
 
 
+def _sessions(spark, sf_dir):
+    """Conversations as sessions: users bring results that name an analysis and end in JSON, assistants call, write and hand back."""
+    k, n = F.col("turn"), F.length("text")
+    result = F.concat(F.lit('noted {"analysis": "out/'), (n % 3).cast("string"), F.lit('/analysis.json", "ok": '), F.when(n % 2 == 0, "true").otherwise("false"), F.lit(', "pages": '), (n % 5).cast("string"), F.lit("}"))
+    block = lambda **x: F.to_json(F.struct(*[v.alias(c) for c, v in x.items()]))
+    said = block(type=F.lit("text"), text=F.concat(F.when(n % 4 == 0, "again ").otherwise("so "), n.cast("string")))
+    got = block(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("t"), (k - 1).cast("string")), content=result)
+    use = block(type=F.lit("tool_use"), name=F.when(n % 7 == 0, "SubagentHandback").otherwise("Bash"), id=F.concat(F.lit("t"), k.cast("string")), input=F.struct(F.concat(F.lit("make report "), k.cast("string")).alias("command"), F.concat(F.lit("handed "), n.cast("string")).alias("message")))
+    wrote = block(type=F.lit("text"), text=F.concat(F.lit("answer "), n.cast("string")))
+    listed = F.when(F.col("role") == "assistant", F.concat_ws(",", use, wrote)).otherwise(F.concat_ws(",", said, got))
+    return activity.table(spark, sf_dir, "conversations").where("text is not null and role <> 'system'").select(F.col("conv_id").alias("run"), k.alias("line"), F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("type"), F.concat(F.lit('{"content":['), listed, F.lit("]}")).alias("message"))
+
+
+def turn_checks(spark, sf_dir):
+    """Turns of sessions: prompts, answers, calls, analyses so far and what reports said."""
+    rows = transcripts.turn_rollup(transcripts.blocks(_sessions(spark, sf_dir)), "report", marker="again")
+    report = lambda r: F.concat_ws(":", r["command"], F.coalesce(r["ok"].cast("string"), F.lit("-")), F.coalesce(r["pages"].cast("string"), F.lit("-")))
+    return rows.select("run", "turn", "prompt", "answer", "tool_calls", *[F.concat_ws(",", c).alias(c) for c in ("analyses", "known")], F.array_join(F.transform("reports", report), ",").alias("reports"))
+
+
+LATIN, GREEK_AND_CYRILLIC = [(0x21, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC)], [(0x370, 0x3FF), (0x400, 0x52F)]
+
+
+def script_choices(spark, sf_dir):
+    """The face that can draw each document: Latin ones in the base face, Greek and Cyrillic in the other."""
+    s = charts.script_support(F.col("text"), LATIN, [*LATIN, *GREEK_AND_CYRILLIC])
+    return activity.table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.choice", F.array_join("s.offending", "").alias("offending"))
+
+
+def label_places(spark, sf_dir):
+    """Customers as labels of a chart for each nation and segment, as high as their balance."""
+    rows = activity.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", F.floor(F.col("c_acctbal") / 20).cast("double").alias("y"))
+    return charts.placed_labels(rows, ["c_nationkey", "c_mktsegment"], "y", 500.0, ["c_custkey"])
+
+
+def incremental_metrics(spark, sf_dir):
+    """Events followed as a stream, a file at a time: months, views and the last month's views of each type."""
+    folder = f"{shared_folder(spark)}/followed-{uuid.uuid4().hex}"
+    given = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(given).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+
+    def compute(rows):
+        return rows.groupBy("event_type").agg(F.count("*").alias("months"), F.sum("views").alias("views"), F.max_by("views", "month").alias("last_views"))
+
+    incremental.follow(events, ["event_type"], folder, compute).awaitTermination()
+    return incremental.current(spark.read.parquet(f"{folder}/metrics"), ["event_type"])
+
+
+def redirected_titles(spark, sf_dir):
+    """Parts that lead to the next one: chains of up to eight, and cycles of six with what leads into them."""
+    k = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    to = F.when(k % 50 == 40, k - 5).when(k % 9 > 0, k + 1)
+    redirects = activity.table(spark, sf_dir, "part").select(F.lit("en").alias("lang"), name(k).alias("title"), name(to).alias("target"))
+    return resolve.canonical(redirects).select("title", "target")
+
+
+def analysis_documents(spark, sf_dir):
+    """A nested document for each topic, through JSON and back, as one flat table of its series and ranking."""
+    m = _metrics(spark, sf_dir)
+    order = Window.partitionBy("run")
+    rows = m.withColumn("run", F.col("topic")).withColumn("position", F.row_number().over(order.orderBy("lang")) - 1)
+    ranked = series.ranking(m).withColumn("run", F.col("topic")).withColumn("position", F.row_number().over(order.orderBy(F.desc("score"), "lang")) - 1)
+    runs = m.groupBy(F.col("topic").alias("run")).agg(F.array(F.first("topic")).alias("topics"), F.array_sort(F.collect_set("lang")).alias("langs")).withColumn("normalized", F.lit(True))
+    docs = documents.analysis_documents(runs, documents.series_fields(rows, F.col("lang"), ["run", "position"]), ranked.select("run", "position", F.col("lang").alias("name"), F.col("score").cast("double"), "why"))
+    back = docs.select("run", F.to_json(F.struct(*[c for c in docs.columns if c != "run"])).alias("j")).select("run", F.from_json("j", documents.ANALYSIS).alias("d")).select("run", "d.*")
+    tables = documents.document_tables(back)
+    flat = tables["series"].select("run", F.lit("series").alias("part"), "position", "name", F.col("verdict.label").alias("said"), F.col("relativeGrowth").alias("value"), F.size("points").alias("n"))
+    return flat.unionByName(tables["ranking"].select("run", F.lit("ranking").alias("part"), "position", "name", F.col("why").alias("said"), F.col("score").alias("value"), F.lit(0).alias("n")))
+
+
 def wire_views(spark, sf_dir):
     """Views of one edition and two articles within some months, from wire rows."""
     rows = activity.pageviews(activity.wire_rows(spark, sf_dir), "x3.wikipedia", articles=["Order 1-URGENT", "Order 5-LOW"], first="1995-03", last="1997-11")
@@ -311,7 +382,7 @@ def term_hints(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints)
+    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints, redirected_titles, analysis_documents, turn_checks, script_choices, label_places, incremental_metrics)
 }
 
 _BASE = f"""
@@ -464,7 +535,7 @@ SELECT topic, lang, {_local('avg_last12')} AS views, coalesce({_local('per_milli
     + """,
 m AS (SELECT topic, lang, CASE WHEN median(v) > 0 THEN median(v) ELSE median(v) FILTER (v > 0) END AS md FROM pts GROUP BY ALL)
 SELECT topic, lang, month, floor((CASE WHEN md > 0 THEN v / md * 100 ELSE v END) * 100 + 0.5) / 100 AS indexed FROM pts JOIN m USING (topic, lang)""",
-    "export_rows": _BASE + "SELECT topic, lang, month, pts.v::BIGINT AS views_user, coalesce(floor(floor(pts.v / ed.v * 1e8 + 0.5) / 1000), -1)::BIGINT AS rate_tens FROM pts LEFT JOIN ed USING (lang, mi)",
+    "export_rows": _BASE + "SELECT topic, lang, month, pts.v::BIGINT AS views_user, coalesce(printf('%.2f', pts.v / ed.v * 1e6), '') AS views_per_million FROM pts LEFT JOIN ed USING (lang, mi)",
     "language_guesses": r"""
 SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[іїєґІЇЄҐ]') THEN 'uk' WHEN regexp_matches(coalesce(text, ''), '\p{Cyrillic}') THEN NULL
        WHEN NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]') THEN 'en' END AS guess FROM documents""",
@@ -540,12 +611,13 @@ SELECT topic, lang,
 FROM r WHERE article IS NULL OR low""",
     "resolution_warnings": """
 WITH r AS (
-  SELECT p_type || ' ' || p_partkey AS topic, ['en', 'uk', 'de'][p_partkey % 3 + 1] AS lang, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS article, p_partkey % 7 AS i, ['high', 'medium', 'low'][p_partkey % 11 % 3 + 1] AS c, p_brand FROM part),
+  SELECT p_type || ' ' || p_partkey AS topic, ['en', 'uk', 'de'][p_partkey % 3 + 1] AS lang, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS article, p_partkey % 7 AS i, ['high', 'medium', 'low'][p_partkey % 11 % 3 + 1] AS c, p_brand, CASE WHEN p_partkey % 2 = 0 THEN '"' || p_brand || '", "' || p_type || '", "' || p_name || '"' ELSE '' END AS hits FROM part),
 u AS (SELECT *, topic || '@' || lang AS w, length(topic) % 13 > 0 AS seen FROM r WHERE article IS NOT NULL AND c <> 'low')
 SELECT 'matched_by_search' AS kind, topic, lang, w || ': "' || article || '" was matched by text search (' || c || ' confidence) — verify it is the topic, or pin a title with --articles ' || lang || '="<Title>"' AS text FROM u WHERE seen AND c <> 'high'
 UNION ALL SELECT 'no_data', topic, lang, w || ': "' || article || '" has no pageview data in this period' FROM u WHERE NOT seen
-UNION ALL SELECT CASE WHEN i = 0 THEN 'disambiguation' ELSE 'title-mismatch' END, topic, '', '"' || topic || '": the first hit is "' || p_brand || '"' FROM r WHERE i < 2
-UNION ALL SELECT 'excluded', topic, lang, 'excluded ' || topic || '@' || lang || ': no article on this topic in this edition' FROM r WHERE (article IS NULL AND i <> 0) OR (article IS NOT NULL AND c = 'low' AND i <> 1)""",
+UNION ALL SELECT 'disambiguation', topic, '', '"' || topic || '" is ambiguous: Wikipedia''s "' || p_brand || '" is a disambiguation page, so nothing was analysed. Re-run with the specific English title you mean, e.g. ' || hits || '.' FROM r WHERE i = 0
+UNION ALL SELECT 'title-mismatch', topic, '', '"' || topic || '" has no Wikipedia article of its own: the closest is "' || p_brand || '", a different subject, so it was excluded. Tell the user there is no article for "' || topic || '"; only if they agree, analyse "' || p_brand || '" as a clearly labelled proxy (--topic "' || p_brand || '").' FROM r WHERE i = 1
+UNION ALL SELECT 'excluded', topic, '', 'excluded ' || topic || '@' || lang || ': no article on this topic in those editions (Wikipedia cannot measure interest there; not proof of low demand).' FROM r WHERE (article IS NULL AND i <> 0) OR (article IS NOT NULL AND c = 'low' AND i <> 1)""",
     "tool_calls": """
 WITH l AS (SELECT conv_id AS run, turn, role, length(text) AS n FROM conversations WHERE text IS NOT NULL),
 c AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY run ORDER BY turn) AS call FROM l),
@@ -594,6 +666,48 @@ SELECT n_nationkey, coalesce('Editions are not countries — ' || s || '. If the
     "term_hints": f"""
 WITH p AS (SELECT p_partkey AS k, p_partkey % 17 AS a, p_partkey % 5 AS b FROM part)
 SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '' ELSE {[f'{a} → {b}' for a, b in _TERMS]}[a + 1] || CASE WHEN a = b THEN '' ELSE ', ' || {[f'{a} → {b}' for a, b in _TERMS]}[b + 1] END END AS hints FROM p""",
+    "script_choices": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, list_sort(list_distinct(regexp_extract_all(t, '[^\x{21}-\x{7E}\x{A1}-\x{24F}\x{2010}-\x{2027}\x{20AC}\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]'))) AS lacks FROM t)
+SELECT doc_id, array_to_string(lacks, '') AS offending,
+       CASE WHEN regexp_matches(t, '[\x{590}-\x{DFF}\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFE}]') THEN 'none' WHEN len(lacks) = 0 THEN 'base'
+            WHEN NOT regexp_matches(array_to_string(lacks, ''), '[^\x{370}-\x{52F}]') THEN 'fallback' ELSE 'none' END AS choice FROM o""",
+    "label_places": """
+WITH r AS (SELECT c_nationkey, c_mktsegment, c_custkey, floor(c_acctbal / 20) AS y FROM customer),
+l AS (SELECT c_nationkey, c_mktsegment, list(c_custkey ORDER BY y, c_custkey) AS ks, list(y ORDER BY y, c_custkey) AS ys FROM r GROUP BY ALL),
+d AS (SELECT *, list_reduce(list_transform(ys, lambda y: [y]), lambda a, y: list_append(a, greatest(y[1], a[-1] + 13))) AS down FROM l),
+u AS (SELECT *, list_reduce(list_transform(list_prepend(507.0::DOUBLE, list_reverse(down)), lambda y: [y]), lambda a, y: list_append(a, least(y[1], a[-1] - 13))) AS up FROM d)
+SELECT c_nationkey, c_mktsegment, unnest(ks) AS c_custkey, unnest(ys) AS y, unnest(list_reverse(up[2:])) AS label_y FROM u""",
+    "incremental_metrics": """
+WITH m AS (SELECT event_type, date_trunc('month', ts) AS month, count(*) AS views FROM events GROUP BY ALL)
+SELECT event_type, count(*) AS months, sum(views)::BIGINT AS views, arg_max(views, month) AS last_views FROM m GROUP BY 1""",
+    "turn_checks": """
+WITH l AS (SELECT conv_id AS run, turn AS line, role = 'assistant' AS a, length(text) AS n FROM conversations WHERE text IS NOT NULL AND role <> 'system'),
+o AS (SELECT *, NOT a AND (n % 4 = 0 OR row_number() OVER (PARTITION BY run, a ORDER BY line) = 1) AS opens FROM l),
+t AS (SELECT *, sum(opens::INT) OVER (PARTITION BY run ORDER BY line)::BIGINT AS turn, lag(a) OVER (PARTITION BY run ORDER BY line) AND lag(line) OVER (PARTITION BY run ORDER BY line) = line - 1 AS after FROM o),
+files AS (SELECT run, turn, n % 3 AS f, min(line) AS line FROM t WHERE NOT a AND turn > 0 GROUP BY ALL),
+firsts AS (SELECT run, f, min(turn) AS turn, arg_min(line, turn) AS line FROM files GROUP BY ALL),
+g AS (
+  SELECT run, turn, any_value(CASE WHEN n % 4 = 0 THEN 'again ' ELSE 'so ' END || n ORDER BY line) FILTER (opens) AS prompt, count(*) FILTER (a) AS tool_calls,
+         coalesce(arg_max('handed ' || n, line) FILTER (a AND n % 7 = 0), arg_min('answer ' || n, line) FILTER (a), '') AS answer,
+         coalesce(string_agg('make report ' || line - 1 || ':' || (n % 2 = 0)::VARCHAR || ':' || n % 5, ',' ORDER BY line) FILTER (NOT a AND after), '') AS reports
+  FROM t WHERE turn > 0 GROUP BY ALL)
+SELECT run, turn, prompt, answer, tool_calls, reports,
+       (SELECT string_agg('out/' || f || '/analysis.json', ',' ORDER BY line) FROM files WHERE files.run = g.run AND files.turn = g.turn) AS analyses,
+       (SELECT string_agg('out/' || f || '/analysis.json', ',' ORDER BY line) FROM firsts WHERE firsts.run = g.run AND firsts.turn <= g.turn) AS known
+FROM g""",
+    "redirected_titles": """
+WITH RECURSIVE r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 40 THEN p_partkey - 5 WHEN p_partkey % 9 > 0 THEN p_partkey + 1 END AS t FROM part),
+walk AS (SELECT k, t AS page, 1 AS n FROM r WHERE t IS NOT NULL UNION ALL SELECT walk.k, r.t, n + 1 FROM walk JOIN r ON r.k = walk.page WHERE r.t IS NOT NULL AND n < 64)
+SELECT 'p' || k AS title, 'p' || page AS target FROM walk WHERE page NOT IN (SELECT k FROM r WHERE t IS NOT NULL)""",
+    "analysis_documents": _TEXTS
+    + f""",
+s AS (
+  SELECT topic, lang, floor((greatest(-50, least(coalesce(relative_growth, robust_growth, trend_annual, 0), 200)) + 50) * (trust / 100.0::DOUBLE) + log10(coalesce(per_million, 0) + 1) * 10 + 0.5)::DOUBLE AS score,
+         verdict || ' (' || basis || '), trust ' || {_LABEL} || ', ' || {_VIEWS} AS why FROM z JOIN words USING (topic, lang)),
+c AS (SELECT topic, lang, count(*)::INT AS n FROM pts GROUP BY ALL)
+SELECT topic AS run, 'series' AS part, (row_number() OVER (PARTITION BY topic ORDER BY lang) - 1)::INT AS position, lang AS name, verdict AS said, relative_growth AS value, n FROM z JOIN c USING (topic, lang)
+UNION ALL SELECT topic, 'ranking', (row_number() OVER (PARTITION BY topic ORDER BY score DESC, lang) - 1)::INT, lang, why, score, 0 FROM s""",
     "topic_resolution": """
 WITH p AS (
   SELECT p_type AS query, p_partkey AS k, p_size, right(p_brand, 1) AS b FROM part),

@@ -7,15 +7,11 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df as they were computed once; partitions and the order within them stay.
-
-    The folder is ``spark.checkpoint.dir``; where it is unset, a temp folder, on a local master only.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for such rows: ``spark.checkpoint.dir``; where it is unset, a temp folder, on a local master only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,4 +22,10 @@ def durable(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, own, True)
             folder = "file://" + own
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of df as they were computed once; partitions and the order within them stay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

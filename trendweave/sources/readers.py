@@ -13,15 +13,15 @@ SERIES = (
     f"peakMonth:{POINT},botShare:double,trust:struct<score:int,label:string,reasons:array<string>,notes:array<{NOTE}>>,"
     f"verdict:struct<label:string,basis:string,note:{NOTE}>,points:array<{POINT}>,levelShift:struct<month:string,`from`:double,`to`:double>,perMillionSeries:array<{POINT}>,spikes:array<string>>"
 )
-ANALYSIS = f"topics array<string>, langs array<string>, period struct<start:string,`end`:string>, normalized boolean, series array<{SERIES}>, ranking array<struct<name:string,score:double,why:string>>, excluded array<struct<topic:string,lang:string,reason:string,searchHits:array<string>>>, warnings array<string>"
+ANALYSIS = f"topics array<string>, langs array<string>, period struct<start:string,`end`:string>, normalized boolean, series array<{SERIES}>, ranking array<struct<name:string,score:double,why:string>>, excluded array<struct<topic:string,lang:string,reason:string,searchHits:array<string>>>, warnings array<string>, outDir string, files struct<chart:string,chartIndexed:string,csv:string,analysis:string>"
 TRANSCRIPT = "type string, message string"
 GRADING = "summary struct<pass_rate:double,passed:long,total:long>"
 TURN = "duration_ms double, total_tokens double, tool_calls double"
 
 
-def analyses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per analysis document; fields that older files lack are null."""
-    return spark.read.schema(ANALYSIS).json(paths, multiLine=True)
+def analyses(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """One row per analysis document, of files that hold one each or, with ``lines``, one per line; fields that older files lack are null."""
+    return spark.read.schema(ANALYSIS).json(paths, multiLine=not lines)
 
 
 def series_of(documents: DataFrame) -> DataFrame:
@@ -67,6 +67,6 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.text(path)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One JSON document per series."""
-    metrics.write.json(path)
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One analysis document per line; null fields are left out."""
+    documents.write.json(path)
