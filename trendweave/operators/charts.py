@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Code points that need shaping (right-to-left, Indic and South-East Asian scripts and their presentation forms).
 SHAPED = [(0x0590, 0x08FF), (0x0900, 0x0DFF), (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFF)]
-SPACES = [(0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
+SPACES = [(0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 GAP, MARGIN = 13.0, 6.0  # fixed values: distance of labels, and of the lowest from the bottom edge
 
 
@@ -29,11 +29,8 @@ def placed_labels(labels: DataFrame, chart: list[str], y: str, height: float, or
     return rows.withColumn("label_y", F.when(~F.col("_none"), F.least(up, floor) + F.col("_i") * gap)).drop("_none", "_i", "_n", "_free", "_down")
 
 
-def _within(code: Column, ranges: list[tuple[int, int]]) -> Column:
-    found = F.lit(False)
-    for a, b in ranges:
-        found = found | code.between(a, b)
-    return found
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
 def script_support(text: Column, base: list[tuple[int, int]], fallback: list[tuple[int, int]] | None = None) -> Column:
@@ -41,10 +38,11 @@ def script_support(text: Column, base: list[tuple[int, int]], fallback: list[tup
 
     base, fallback: ranges of code points that each face covers.  Characters that need shaping rule both out.  offending:
     the different characters, in code-point order, that need shaping or that the base face lacks; white space is in
-    every face.  A null text is an empty one.
+    every face.  A null text is an empty one.  Patterns leave of a text what offends, so few characters are taken apart.
     """
-    letters = F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: (c != "") & ~_within(F.ascii(c), SPACES))))
-    some = lambda ranges: F.exists(letters, lambda c: ~_within(F.ascii(c), ranges))
-    shaped = F.exists(letters, lambda c: _within(F.ascii(c), SHAPED))
-    choice = F.when(shaped, "none").when(~some(base), "base").when(~some(fallback), "fallback") if fallback else F.when(shaped, "none").when(~some(base), "base")
-    return F.struct(choice.otherwise("none").alias("choice"), F.filter(letters, lambda c: _within(F.ascii(c), SHAPED) | ~_within(F.ascii(c), base)).alias("offending"))
+    t = F.coalesce(text, F.lit(""))
+    odd = F.regexp_replace(t, f"[{_class([*SPACES, *base])}&&[^{_class(SHAPED)}]]+", "")
+    shaped = t.rlike(f"[{_class(SHAPED)}]")
+    other = ~odd.rlike(f"[^{_class(fallback)}]") if fallback else F.lit(False)
+    choice = F.when(shaped, "none").when(odd == "", "base").when(other, "fallback").otherwise("none")
+    return F.struct(choice.alias("choice"), F.array_sort(F.array_distinct(F.filter(F.split(odd, ""), lambda c: c != ""))).alias("offending"))

@@ -668,9 +668,9 @@ WITH p AS (SELECT p_partkey AS k, p_partkey % 17 AS a, p_partkey % 5 AS b FROM p
 SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '' ELSE {[f'{a} → {b}' for a, b in _TERMS]}[a + 1] || CASE WHEN a = b THEN '' ELSE ', ' || {[f'{a} → {b}' for a, b in _TERMS]}[b + 1] END END AS hints FROM p""",
     "script_choices": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-o AS (SELECT doc_id, t, list_sort(list_distinct(regexp_extract_all(t, '[^\x{21}-\x{7E}\x{A1}-\x{24F}\x{2010}-\x{2027}\x{20AC}\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]'))) AS lacks FROM t)
+o AS (SELECT doc_id, t, list_sort(list_distinct(regexp_extract_all(t, '[^\x{21}-\x{7E}\x{A1}-\x{24F}\x{2010}-\x{2027}\x{20AC}\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))) AS lacks FROM t)
 SELECT doc_id, array_to_string(lacks, '') AS offending,
-       CASE WHEN regexp_matches(t, '[\x{590}-\x{DFF}\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFE}]') THEN 'none' WHEN len(lacks) = 0 THEN 'base'
+       CASE WHEN regexp_matches(t, '[\x{590}-\x{DFF}\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]') THEN 'none' WHEN len(lacks) = 0 THEN 'base'
             WHEN NOT regexp_matches(array_to_string(lacks, ''), '[^\x{370}-\x{52F}]') THEN 'fallback' ELSE 'none' END AS choice FROM o""",
     "label_places": """
 WITH r AS (SELECT c_nationkey, c_mktsegment, c_custkey, floor(c_acctbal / 20) AS y FROM customer),
