@@ -17,7 +17,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def parts(docs):
-    return source_mix.mixture(docs).collect()
+    return source_mix.mixture(docs, block_words=16).collect()
 
 
 def test_prefixes_are_near_the_targets(docs, parts):
@@ -25,7 +25,7 @@ def test_prefixes_are_near_the_targets(docs, parts):
     total = sum(targets.values())
     owner = {r["position"]: r["source"] for r in parts}
     n_slots = max(owner) + 1
-    assert n_slots - len(owner) <= 2 * len(targets)  # only slots beyond a source's last epoch stay empty
+    assert n_slots == len(owner) == sum(-(-int(t + 0.5) // 16) for t in targets.values())  # every slot is visited once
     seen = Counter()
     for n in range(n_slots):
         seen[owner.get(n, "void")] += 1
@@ -53,16 +53,31 @@ def test_counts_follow_from_the_slots(docs, parts):
             taken[r["doc_id"]] += r["to_word"] - r["from_word"]
             slots[r["doc_id"]].add((r["epoch"], r["position"]))
             first[r["doc_id"]] = min(first.get(r["doc_id"], 1 << 60), r["position"])
-    for r in source_mix.mix_counts(docs).where("doc_id <> 7").collect():
+    for r in source_mix.mix_counts(docs, block_words=16).where("doc_id <> 7").collect():
         i = r["doc_id"]
         assert (r["taken"], r["n_slots"], r["first_position"]) == (taken[i], len(slots[i]), first.get(i, -1)) and r["taken"] <= 3 * r["size"]
 
 
+def test_every_source_gives_its_target(spark, docs):
+    """Small sources as well as large ones, to the word, whatever the block."""
+    rows = [(i, "w " * 1200, "large") for i in range(1000)] + [(2000 + i, "word", f"tiny{i}") for i in range(6)] + [(3000, "two words", None), (3001, None, "none")]
+    for table, block in ((docs, 16), (docs, 1024), (spark.createDataFrame(rows, "doc_id long, text string, source string"), 1024)):
+        got, targets = Counter(), {}
+        for r in source_mix.mix_counts(table.withColumn("text", F.col("text")), block_words=block).select("taken", "source_size", "target", "size").collect():
+            assert r["taken"] <= 3 * r["size"]
+            got[r["source_size"], r["target"]] += r["taken"]
+            targets[r["source_size"], r["target"]] = r["target"]
+        sources = Counter((r["source_size"], r["target"]) for r in source_mix.mix_counts(table, block_words=block).join(table.select("doc_id", "source"), "doc_id").select("source", "source_size", "target").distinct().collect())
+        assert all(got[k] == sources[k] * int(t + 0.5) for k, t in targets.items())
+    whole = {r["source"]: r["n"] for r in source_mix.mixture(docs, block_words=16).groupBy("source").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()}
+    assert whole == {r["source"]: int(r["target"] + 0.5) for r in source_mix.mix_counts(docs).join(docs.select("doc_id", "source"), "doc_id").select("source", "target").distinct().collect()}
+
+
 def test_schedule_decides(docs, monkeypatch):
-    before = {(r["doc_id"], r["first_position"]) for r in source_mix.mix_counts(docs).collect()}
-    assert before == {(r["doc_id"], r["first_position"]) for r in source_mix.mix_counts(docs).collect()}
+    before = {(r["doc_id"], r["first_position"]) for r in source_mix.mix_counts(docs, block_words=16).collect()}
+    assert before == {(r["doc_id"], r["first_position"]) for r in source_mix.mix_counts(docs, block_words=16).collect()}
     monkeypatch.setattr(source_mix, "GOLDEN", 12345)
-    assert before != {(r["doc_id"], r["first_position"]) for r in source_mix.mix_counts(docs).collect()}
+    assert before != {(r["doc_id"], r["first_position"]) for r in source_mix.mix_counts(docs, block_words=16).collect()}
 
 
 def test_mixed_documents(docs):

@@ -2,16 +2,15 @@
 
 Sizes are words.  Sources in code point order (null last) weigh 1, 2, 3, repeating, and share the sum of
 all sizes; a target stops at ``max_epochs`` times its source's size and the excess goes to the others by
-weight.  The schedule has as many slots as the targets have blocks of equal size (``block_words``, smaller where
-that would make fewer than MANY slots).  Slot i belongs to the source in whose part of the cumulative targets the
-i-th golden-ratio point lies; slots are ranked per source, and slot k takes the k-th block of the source's
-shuffled stream, which starts again from its beginning when it ends, ``max_epochs`` times at most.  So after any
-number of slots each source is within a few blocks of its share, and what a document gives follows from the
-slots that fell to its source.
+weight.  A source has a slot for each ``block_words`` words of its target, the last one for what is left of it, so
+a target of one word has a slot as well, and every source gives its target, rounded to a whole word.  The N slots of all
+sources lie side by side; the schedule visits them in golden-ratio steps modulo N, by a step without a common factor with N,
+so that each is visited once.  Slots are ranked per source by their position in the schedule, and slot k takes the k-th block
+of the source's shuffled stream, which starts again from its beginning when it ends, ``max_epochs`` times at
+most.  So after any number of slots each source is within a few blocks of its share.
 
-The points are integers, i * GOLDEN modulo 2**31, and so exact at every size.  Points and parts meet in cells that
-hold equally many points; ranks are counted in stripes of the schedule.  Only figures of sources (one row each)
-pass through one task.
+Steps are whole numbers and exact up to 2**40 slots.  Slots and sources meet in cells that hold equally many slots; ranks
+are counted in stripes of the schedule.  Only figures of sources (one row each) pass through one task.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own; rows with
 a repeated id count as rows of their own; ties in the shuffle break by id and size, so reruns agree; an
@@ -20,6 +19,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from . import runtime as R
 WORD = r"[^\x20\x09-\x0D]+"
 SPAN = 1 << 31
 GOLDEN = 1327217885  # the odd number next to SPAN divided by the golden ratio
-MANY = 1 << 16
+BLOCK_WORDS = 1024
 
 
 def _targets(sizes: DataFrame, max_epochs: int) -> DataFrame:
@@ -52,27 +53,33 @@ def _targets(sizes: DataFrame, max_epochs: int) -> DataFrame:
     return w.withColumn("_target", target).withColumn("_words", F.floor(F.col("_target") + 0.5).cast("long")).select("_src", "_source", "_source_size", "_target", "_words")
 
 
-def _schedule(targets: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame, int]:
-    """Slots (_src, _k, position) with their rank in the source; the sources that have slots and how many; and the size of a block."""
+def golden_step(n: int) -> int:
+    """The first whole number from n divided by the golden ratio on that has no common factor with n."""
+    step = n * GOLDEN // SPAN
+    while gcd(step, n) != 1:
+        step += 1
+    return step
+
+
+def _schedule(targets: DataFrame, block_words: int) -> DataFrame:
+    """Slots (_src, _k, position) with their rank in the source."""
     spark = targets.sparkSession
-    need = targets.where("_words > 0")
-    n_sources, n_words = need.agg(F.count("*"), F.coalesce(F.sum("_words"), F.lit(0))).first()
-    block = max(1, min(block_words, n_words // MANY))
-    n_slots = -(-n_words // block)
-    cells = 1 << max(12, (4 * n_sources - 1).bit_length())
+    need = targets.where("_words > 0").withColumn("_slots", F.expr(f"(_words + {block_words - 1}L) div {block_words}L"))
+    n_sources, n_slots = need.agg(F.count("*"), F.coalesce(F.sum("_slots"), F.lit(0))).first()
+    back = pow(golden_step(n_slots), -1, n_slots) if n_slots else 0  # from a slot to its position
+    wide = max(1, n_slots >> max(12, (4 * n_sources - 1).bit_length()))
     line = Window.partitionBy(F.lit(0)).orderBy(F.col("_source").asc_nulls_last())
-    spans = need.withColumn("_hi", F.floor(F.sum("_words").over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("double") / float(max(1, n_words)) * float(SPAN)))
-    spans = spans.withColumn("_lo", F.coalesce(F.lag("_hi").over(line), F.lit(0))).where("_lo < _hi")
-    spans = spans.select("_src", "_lo", "_hi", F.explode(F.expr(f"sequence(_lo div {SPAN // cells}L, (_hi - 1) div {SPAN // cells}L)")).alias("_cell"))
-    points = spark.range(n_slots).withColumn("_v", F.expr(f"(id % {SPAN}L) * {GOLDEN}L % {SPAN}L")).withColumn("_cell", F.expr(f"_v div {SPAN // cells}L"))
+    spans = need.withColumn("_hi", F.sum("_slots").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_slots"))
+    spans = spans.select("_src", "_lo", "_hi", F.explode(F.expr(f"sequence(_lo div {wide}L, (_hi - 1) div {wide}L)")).alias("_cell"))
+    position = F.expr(f"((id * {back >> 20}L % {max(1, n_slots)}L) * {1 << 20}L + id * {back & ((1 << 20) - 1)}L) % {max(1, n_slots)}L")
+    points = spark.range(n_slots).select("id", position.alias("position"), F.expr(f"id div {wide}L").alias("_cell"))
     stripe = max(16, int(n_slots**0.5))
-    hits = points.join(spans, "_cell").where("_v >= _lo and _v < _hi").select("_src", F.col("id").alias("position"), F.expr(f"id div {stripe}L").alias("_stripe"))
+    hits = points.join(spans, "_cell").where("id >= _lo and id < _hi").select("_src", "position", F.expr(f"position div {stripe}L").alias("_stripe"))
     counted = R.materialize(hits.groupBy("_src", "_stripe").agg(F.count("*").alias("_n")), "mix-stripes")
     ahead = Window.partitionBy("_src").orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
     before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     own = Window.partitionBy("_src", "_stripe").orderBy("position")
-    slots = hits.join(before, ["_src", "_stripe"]).select("_src", (F.col("_before") + F.row_number().over(own) - 1).alias("_k"), "position")
-    return slots, counted.groupBy("_src").agg(F.sum("_n").alias("_slots")), block
+    return hits.join(before, ["_src", "_stripe"]).select("_src", (F.col("_before") + F.row_number().over(own) - 1).alias("_k"), "position")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, rest: list[str]) -> DataFrame:
@@ -82,16 +89,15 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), key.alias("_key"), src.alias("_src"), F.substring(key, 1, 3).alias("_bucket"), *([F.struct(*rest).alias("_row")] if rest else [])).withColumn("_rid", F.monotonically_increasing_id())
 
 
-def _placed(staged: DataFrame, block_words: int, max_epochs: int) -> tuple[DataFrame, DataFrame, int]:
-    """Documents with their source's figures and place in its stream; the schedule; and the size of a block.
+def _placed(staged: DataFrame, block_words: int, max_epochs: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their source's figures and place in its stream; and the schedule.
 
     _given: the words that the slots of the source take from its stream.
     """
     sums = R.materialize(staged.groupBy("_src", "_source", "_bucket").agg(F.sum("_size").alias("_in_bucket")), "mix-buckets")
     targets = R.materialize(_targets(sums.groupBy("_src", "_source").agg(F.sum("_in_bucket").alias("_source_size")), max_epochs), "mix-targets")
-    slots, fallen, block = _schedule(targets, block_words)
-    given = F.least(F.coalesce("_slots", F.lit(0)) * block, F.col("_source_size") * max_epochs)
-    sources = targets.join(fallen, "_src", "left").select("_src", "_source_size", "_target", given.alias("_given"))
+    slots = _schedule(targets, block_words)
+    sources = targets.select("_src", "_source_size", "_target", F.col("_words").alias("_given"))
     ahead = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = sums.withColumn("_ahead", F.coalesce(F.sum("_in_bucket").over(ahead), F.lit(0))).select("_src", "_bucket", "_ahead").join(sources, "_src")
     own = Window.partitionBy("_src", "_bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,25 +105,25 @@ def _placed(staged: DataFrame, block_words: int, max_epochs: int) -> tuple[DataF
     start = F.col("_ahead") + F.sum("_size").over(own) - F.col("_size")
     placed = R.materialize(rows.select("_rid", "_id", "_src", "_source", "_size", "_source_size", "_target", "_given", start.alias("_start")), "mix-placed")
     R.drop_tables(sums)
-    return placed, slots, block
+    return placed, slots
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: for each slot of the schedule, by position, which words of which documents it takes."""
-    placed, slots, block = _placed(R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes"), block_words, max_epochs)
+    placed, slots = _placed(R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes"), block_words, max_epochs)
     spans = (
         placed.where("_size > 0 and _given > 0")
         .withColumn("_epoch", F.explode(F.expr("sequence(0L, (_given - 1) div _source_size)")))
         .withColumn("_from", F.expr("_epoch * _source_size + _start"))
         .withColumn("_to", F.expr("least(_from + _size, _given)"))
         .where("_from < _given")
-        .withColumn("_k", F.explode(F.expr(f"sequence(_from div {block}L, (_to - 1) div {block}L)")))
+        .withColumn("_k", F.explode(F.expr(f"sequence(_from div {block_words}L, (_to - 1) div {block_words}L)")))
     )
-    taken = spans.join(slots, ["_src", "_k"]).withColumns({"_a": F.expr(f"greatest(_from, _k * {block}L)"), "_b": F.expr(f"least(_to, (_k + 1) * {block}L)")})
+    taken = spans.join(slots, ["_src", "_k"]).withColumns({"_a": F.expr(f"greatest(_from, _k * {block_words}L)"), "_b": F.expr(f"least(_to, (_k + 1) * {block_words}L)")})
     return taken.select("position", F.col("_source").alias(source_col), F.col("_epoch").alias("epoch"), F.col("_id").alias(id_col), (F.col("_a") - F.col("_from")).alias("from_word"), (F.col("_b") - F.col("_from")).alias("to_word"))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """Per document: id, size, source_size, target of its source, words the mix takes of it, first position (-1: none) and number of slots."""
     staged = R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes")
     return _counts(staged, block_words, max_epochs).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "taken", "first_position", "n_slots")
@@ -125,16 +131,16 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _counts(staged: DataFrame, block_words: int, max_epochs: int) -> DataFrame:
     """Every epoch of a document as its part of what the source gives, and the slot that its first word falls to."""
-    placed, slots, block = _placed(staged, block_words, max_epochs)
+    placed, slots = _placed(staged, block_words, max_epochs)
     part = lambda e: f"greatest(0L, least(_size, _given - _start - {e} * _source_size))"
-    over = lambda e: f"if({part(e)} > 0, (_start + {e} * _source_size + {part(e)} - 1) div {block}L - (_start + {e} * _source_size) div {block}L + 1, 0L)"
+    over = lambda e: f"if({part(e)} > 0, (_start + {e} * _source_size + {part(e)} - 1) div {block_words}L - (_start + {e} * _source_size) div {block_words}L + 1, 0L)"
     sums = {c: F.expr(" + ".join(f(e) for e in range(max_epochs))) for c, f in (("taken", part), ("n_slots", over))}
-    first = F.when(F.col("taken") > 0, F.expr(f"_start div {block}L"))
+    first = F.when(F.col("taken") > 0, F.expr(f"_start div {block_words}L"))
     rows = placed.withColumns(sums).withColumn("_k", first)
     return rows.join(slots.withColumnRenamed("position", "first_position"), ["_src", "_k"], "left").fillna(-1, ["first_position"])
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The documents as the mix repeats or drops them, all columns: as many copies as it takes of their words, to the nearest whole.
 
     Documents without a word carry no weight in a mix and stay once.
