@@ -3,13 +3,17 @@
 A document's character-class histogram and its histogram of common words are compared with a reference of
 its language by the Jensen-Shannon distance (base 2, 0 to 1).  The references are counted over all documents
 that pass the base rules: a language's classes, and its ``common`` most frequent word buckets (words are
-lower-cased and hashed to ``buckets``; everything else is one more bin).  Every language gets a reference that has
-``min_docs`` documents that pass the base rules and at least one in MOST_LANGS of all of them (so there can be no
-more than MOST_LANGS references, about 1 KB each); the others' documents use the pooled one.  A reference's limit for words is ``most_word_distance``, or where less, FAR_SHARE of the distance
-at which a text without any of its common words lies.  A document is measured against its own reference and, if
-that rejects it, against the nearest of the other languages' that it shares common words with (at least
-SHARED of their share in that language), so that a document in another language than its label says is not lost.  A histogram of fewer than ``min_chars`` characters or
-``min_words`` words is not compared.
+lower-cased and hashed to ``buckets``; everything else is one more bin).  Every language with ``min_docs`` documents that
+pass the base rules has a reference of its own, whatever the size of the others; documents of languages with fewer, too few to
+tell how they are written, use the pooled one.  A reference's limit for words is ``most_word_distance``, or where less,
+FAR_SHARE of the distance at which a text without any of its common words lies.  A document is measured against its own
+reference and, if that rejects it, against the nearest of the other languages' that it shares common words with (at
+least SHARED of their share in that language), so that a document in another language than its label says is not
+lost.  A histogram of fewer than ``min_chars`` characters or ``min_words`` words is not compared.
+
+References are rows of a table, about 1 KB each.  Tasks hold up to about MOST_LANGS of them; where there are more, languages are
+dealt to blocks by hash, the documents of each block are measured against it, and the rejected ones against every
+other block in turn, with the same result.
 
 Defined results: a null or empty text has no words and fails the base rule of 50 words; a null language is
 one of its own; repeated rows are judged alike and all returned; an empty table gives an empty result; other
@@ -18,9 +22,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +39,7 @@ POOLED = "\x00pooled"
 FAR_SHARE, SHARED = 0.8, 0.5
 MOST_LANGS = 1 << 14
 HELD_LANGS = 512  # languages whose counts a task holds before it hands them on
+VERDICTS = ["base_failed", "kept", "class_distance", "word_distance", "_worst"]
 BASE = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint")]
 
 
@@ -157,31 +164,39 @@ def _gather(buckets: int):
     return counts
 
 
-def _references(texts: DataFrame, buckets: int, common: int, min_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang -> (class shares, common buckets, their shares with the rest's last); at most MOST_LANGS + 1 entries."""
+def _references(texts: DataFrame, buckets: int, common: int, min_docs: int) -> DataFrame:
+    """A written row per language: _lang, total (words), counts (kind, bin and number of its classes and common words)."""
     counted = R.materialize(texts.mapInArrow(_gather(buckets), "_lang string, kind string, bin int, n long").groupBy("_lang", "kind", "bin").agg(F.sum("n").alias("n")), "rules-counts")
-    n_docs = counted.where("kind = 'd'").agg(F.sum("n")).first()[0] or 0
-    langs = [r[0] for r in counted.where(f"kind = 'd' and n >= {max(1, min_docs)} and n * {MOST_LANGS}L >= {n_docs}L").collect()]  # at most MOST_LANGS
+    enough = counted.where(f"kind = 'd' and n >= {max(1, min_docs)}").select("_lang")
     pooled = counted.groupBy("kind", "bin").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("_lang"), "kind", "bin", "n")
-    kept = (counted.where(F.col("_lang").isin(langs)) if langs else counted.limit(0)).unionByName(pooled)
-    top = kept.withColumn("_r", F.row_number().over(Window.partitionBy("_lang", "kind").orderBy(F.desc("n"), "bin"))).where(f"kind = 'c' or (kind = 'w' and _r <= {common})")
-    totals = {r[0]: r[1] for r in kept.where("kind = 'w'").groupBy("_lang").agg(F.sum("n")).collect()}
-    found: dict[str, dict[str, list]] = {}
-    for r in top.collect():  # at most (languages + 1) * (common + classes) rows
-        found.setdefault(r["_lang"], {"w": [], "c": []})[r["kind"]].append((r["bin"], r["n"]))
+    kept = counted.join(enough, "_lang", "left_semi").unionByName(pooled).where("kind <> 'd'")
+    ranked = kept.withColumns({"_r": F.row_number().over(Window.partitionBy("_lang", "kind").orderBy(F.desc("n"), "bin")), "_t": F.sum("n").over(Window.partitionBy("_lang", "kind"))})
+    top = ranked.where(f"kind = 'c' or _r <= {common}")
+    refs = R.materialize(top.groupBy("_lang").agg(F.max(F.when(F.col("kind") == "w", F.col("_t"))).alias("total"), F.collect_list(F.struct("kind", "bin", "n")).alias("counts")).where("total > 0"), "rules-references")
+    R.drop_tables(counted)
+    return refs
+
+
+def _block_of(lang: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(lang), F.lit(blocks))
+
+
+def _loaded(refs: DataFrame, block: int, blocks: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """lang -> (class shares, common buckets, their shares with the rest's last) of a block of references, and the pooled one."""
     out = {}
-    for lang, got in found.items():
+    for r in refs.where((_block_of(F.col("_lang"), blocks) == block) | (F.col("_lang") == POOLED)).collect():  # about MOST_LANGS at most
         classes = np.zeros(len(CLASSES))
-        for k, n in got["c"]:
-            classes[k] = n
-        if not got["w"] or not classes.sum():
-            continue
-        bins, n = (np.array(x) for x in zip(*sorted(got["w"]), strict=True))
-        out[lang] = classes / classes.sum(), bins.astype(np.int64), np.append(n, totals[lang] - n.sum()) / totals[lang]
+        words = sorted((x["bin"], x["n"]) for x in r["counts"] if x["kind"] == "w")
+        for x in r["counts"]:
+            if x["kind"] == "c":
+                classes[x["bin"]] = x["n"]
+        bins, n = (np.array(x) for x in zip(*words, strict=True))
+        out[r["_lang"]] = classes / classes.sum(), bins.astype(np.int64), np.append(n, r["total"] - n.sum()) / r["total"]
     return out
 
 
-def _judge(references, buckets: int, min_chars: int, min_words: int, most_class: float, most_word: float):
+def _judge(references, buckets: int, min_chars: int, min_words: int, most_class: float, most_word: float, own: bool = True, others: bool = True):
+    """own: measures documents against the reference of their language; others: those that it rejects, or without ``own`` all, against the rest."""
     where, limit = {}, {}
     for lang, (_, bins, ref) in references.items():
         none = np.zeros((1, len(ref)))
@@ -221,24 +236,26 @@ def _judge(references, buckets: int, min_chars: int, min_words: int, most_class:
                     counts = np.diff(first)
                     return distances(lang, classes[rows], bucket[np.repeat(picked, counts)], np.concatenate([[0], np.cumsum(counts[rows])]))
 
-                if references:
+                if not own:
+                    worst[:] = np.inf
+                elif references:
                     named = np.array([x if x in references else POOLED for x in langs[a:b]], object)
                     for lang in dict.fromkeys(named):
                         rows = np.flatnonzero(named == lang)
                         by_class[rows], by_word[rows], worst[rows], _ = of(rows, lang)
-                    doubt = np.flatnonzero(~failed & (worst > 1))
-                    if len(doubt):
-                        for lang in [x for x in references if x != POOLED]:
-                            c, w, far, shares = of(doubt, lang)
-                            nearer = shares & (far < worst[doubt])
-                            by_class[doubt[nearer]], by_word[doubt[nearer]], worst[doubt[nearer]] = c[nearer], w[nearer], far[nearer]
+                doubt = np.flatnonzero(~failed & (worst > 1))
+                if others and len(doubt):
+                    for lang in [x for x in references if x != POOLED]:
+                        c, w, far, shares = of(doubt, lang)
+                        nearer = shares & (far < worst[doubt])
+                        by_class[doubt[nearer]], by_word[doubt[nearer]], worst[doubt[nearer]] = c[nearer], w[nearer], far[nearer]
                 kept = ~failed & (worst <= 1)
-                parts.append([*base, failed, kept, by_class, by_word])
-            names = [n for n, _ in BASE] + ["base_failed", "kept", "class_distance", "word_distance"]
+                parts.append([*base, failed, kept, by_class, by_word, worst])
+            names = [n for n, _ in BASE] + VERDICTS
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(len(names))]
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            others = [i for i, c in enumerate(batch.schema.names) if c not in ("_text", "_lang")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in others], *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)]], [*[batch.schema.names[i] for i in others], *names])
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
+            rest = [i for i, c in enumerate(batch.schema.names) if c not in ("_text", "_lang")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)]], [*[batch.schema.names[i] for i in rest], *names])
 
     return judged
 
@@ -250,17 +267,38 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")
-    references = _references(docs.select(text, lang), buckets, common, min_docs)
+    refs = _references(docs.select(text, lang), buckets, common, min_docs)
     source = docs.select(F.col(id_col).alias("_id"), text, lang, *([F.struct(*keep).alias("_row")] if keep else []))
-    passed = [f for f in source.schema.fields if f.name not in ("_text", "_lang")]
-    counted = [T.StructField(n, T.LongType()) for n, _ in BASE]
-    verdicts = [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())]
-    schema = T.StructType([*passed, *counted, *verdicts])
-    out = source.mapInArrow(_judge(references, buckets, min_chars, min_words, most_class_distance, most_word_distance), schema)
-    names = [n for n, _ in BASE] + ["base_failed", "kept", "class_distance", "word_distance"]
+    blocks = -(-refs.count() // MOST_LANGS)
+    options = (buckets, min_chars, min_words, most_class_distance, most_word_distance)
+    out = _judged(source, _loaded(refs, 0, 1), *options) if blocks <= 1 else _in_blocks(source, refs, blocks, options)
+    R.drop_tables(refs)
+    names = [n for n, _ in BASE] + VERDICTS[:-1]
     return out.select(F.col("_id").alias(id_col), *names, *(["_row"] if keep else []))
 
 
+def _judged(rows: DataFrame, references, *options, **ways) -> DataFrame:
+    passed = [f for f in rows.schema.fields if f.name not in ("_text", "_lang")]
+    kinds = [T.BooleanType()] * 2 + [T.DoubleType()] * 3
+    schema = T.StructType([*passed, *[T.StructField(n, T.LongType()) for n, _ in BASE], *[T.StructField(n, k) for n, k in zip(VERDICTS, kinds, strict=True)]])
+    return rows.mapInArrow(_judge(references, *options, **ways), schema)
+
+
+def _in_blocks(source: DataFrame, refs: DataFrame, blocks: int, options: tuple) -> DataFrame:
+    """As ``_judged`` with all references at once."""
+    staged = R.materialize(source.withColumn("_rid", F.monotonically_increasing_id()), "rules-staged")
+    loaded = lambda k: _loaded(refs, k, blocks)
+    first = reduce(DataFrame.unionByName, [_judged(staged.where(_block_of(F.col("_lang"), blocks) == k), loaded(k), *options, others=False) for k in range(blocks)])
+    first = R.materialize(first, "rules-first")
+    doubt = staged.select("_rid", "_text", "_lang").join(first.where("not base_failed and _worst > 1").select("_rid"), "_rid", "left_semi")
+    tried = reduce(DataFrame.unionByName, [_judged(doubt, loaded(k), *options, own=False) for k in range(blocks)])
+    near = R.materialize(tried.groupBy("_rid").agg(F.min(F.struct("_worst", "class_distance", "word_distance")).alias("_near")), "rules-near")
+    better = F.coalesce(F.col("_near._worst") < F.col("_worst"), F.lit(False))
+    rows = first.join(near, "_rid", "left").withColumn("_better", better)
+    told = {c: F.when(F.col("_better"), F.col(f"_near.{c}")).otherwise(F.col(c)) for c in ("class_distance", "word_distance", "_worst")}
+    return rows.withColumns(told).withColumn("kept", ~F.col("base_failed") & (F.col("_worst") <= 1))
+
+
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, all columns as they were."""
     judged = judge_documents(docs, keep=tuple(docs.columns), **options)
