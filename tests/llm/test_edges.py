@@ -62,3 +62,35 @@ def test_parts_and_unequal_texts_with_equal_fingerprints(spark, prime):
         groups.setdefault("".join(t.split()), []).append((-len(t), i))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs, part_chars=300, chunk_bytes=64, salt_rows=4, prime=prime).collect()}
     assert got == {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+
+
+def test_a_text_of_64_mb_and_large_groups(spark):
+    """A huge text is cut in linear time; 3,000 copies meet in blocks of 16, with one text that only its end tells apart."""
+    import time
+
+    page = "words of a page " * 500
+    rows = [(i, page + " " * (i % 5)) for i in range(2, 3002)] + [(5000, page + "x"), (5001, None), (5002, "")]
+    small = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    docs = small.unionByName(spark.createDataFrame([(0,), (1,)], "doc_id long").select("doc_id", F.concat(F.repeat(F.lit("0123456789abcde "), 1 << 22), F.when(F.col("doc_id") == 1, "\n").otherwise("")).alias("text")))
+    began = time.time()
+    got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs, salt_rows=16).collect()}
+    assert time.time() - began < 200
+    assert (got[0]["keep_id"], got[0]["group_size"], got[1]["kept"]) == (1, 2, True)
+    assert {got[i]["group_size"] for i in range(2, 3002)} == {3000} and {got[i]["keep_id"] for i in range(2, 3002)} == {4} and got[5000]["group_size"] == 1
+    assert got[5001]["keep_id"] == got[5002]["keep_id"] == 5001
+
+
+def test_no_text_is_written_more_often_than_there_are_levels(spark, monkeypatch):
+    """Chunks of 2,000 copies in blocks of 8: each row once, and the first of a block again on the next level."""
+    written, plain = [], exact_dedup.R.materialize
+
+    def counted(df, name, *a, **k):
+        out = plain(df, name, *a, **k)
+        if name == "exact-members":
+            written.append(out.where("_n > 1").groupBy("_rid").count().agg(F.sum("count"), F.max("count")).first())
+        return out
+
+    monkeypatch.setattr(exact_dedup.R, "materialize", counted)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"))
+    assert {r["group_size"] for r in exact_dedup.exact_duplicates(docs, salt_rows=8).select("group_size").distinct().collect()} == {2000}
+    assert [r[1] for r in written if r[0]] == [1] * len([r for r in written if r[0]]) and sum(r[0] or 0 for r in written) <= 2000 * 1.2
