@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from trendweave.llm import near_dedup, runtime
 
 
@@ -83,3 +85,10 @@ def test_only_own_tables_are_dropped(spark, tmp_path):
     assert first.count() == 5
     left.release(mine, 1)
     assert first.scratch not in runtime._made
+
+
+def test_lanes_follow_a_pivots_own_pairs(spark):
+    """A pivot of 40,000 pairs has some 150 lanes of its text; the others one each, however large the table is."""
+    pairs = near_dedup.R.materialize(spark.range(40000).select(F.col("id").alias("_x"), F.lit(-1).cast("long").alias("_pivot")).unionByName(spark.range(3000).select(F.col("id").alias("_x"), (-2 - F.col("id") % 1000).alias("_pivot"))), "test-pairs")
+    lanes = {r["_pivot"]: r["n"] for r in near_dedup._lanes(pairs).select("_pivot", "_salt").distinct().groupBy("_pivot").agg(F.count("*").alias("n")).collect()}
+    assert 140 < lanes.pop(-1) <= 157 and set(lanes.values()) == {1} and len(lanes) == 1000

@@ -42,6 +42,7 @@ from .textops import LOWER, STEP, buffers, hash_spans, mix64, shingle_hashes, sl
 
 UNIVERSE = 1 << 20
 BITS = 16  # longs of a parity bitmap
+LANE_PAIRS = 256
 LANE = 4096  # members of a bucket in one lane
 
 
@@ -175,18 +176,28 @@ def _listed(width: int):
     return listed
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Exact overlap of each written pair (_x, _pivot).
+def _lanes(pairs: DataFrame) -> DataFrame:
+    """The pairs dealt by _salt: a lane of a pivot has about LANE_PAIRS of its pairs, or their square root where that is more.
 
-    The pairs of a pivot are dealt in lanes, one for each 256 pairs of the table, its own text once in each lane:
-    no lane grows with a pivot's fame, and a lane brings at most one more text for each of its pairs.
+    So a pivot's text is written once for each lane, no more than the square root of its pairs, and no lane has more pairs.
     """
-    lanes = 1 + pairs.count() // 256
-    dealt = pairs.select("_x", "_pivot", F.pmod(F.hash("_x"), F.lit(lanes)).alias("_salt"))
+    fame = R.materialize(pairs.groupBy("_pivot").agg(F.count("*").alias("_n")), "near-fame")
+    lanes = F.expr(f"cast(1 + _n / greatest({LANE_PAIRS}, sqrt(_n)) as int)")
+    counted = R.attach(pairs, fame, ["_pivot"], "_n", pairs.count(), "_x")
+    dealt = R.materialize(counted.select("_x", "_pivot", F.pmod(F.hash("_x"), lanes).alias("_salt")), "near-lanes")
+    R.drop_tables(fame)
+    return dealt
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Exact overlap of each written pair (_x, _pivot), in lanes of the pivot with its own text once in each."""
+    dealt = _lanes(pairs)
     members = dealt.select(F.col("_x").alias("_rid"), "_pivot", "_salt", F.lit(1).alias("_role"))
     pivots = dealt.select(F.col("_pivot").alias("_rid"), "_pivot", "_salt", F.lit(0).alias("_role")).distinct()
     rows = members.unionByName(pivots).join(texts, "_rid").repartition("_pivot", "_salt").sortWithinPartitions("_pivot", "_salt", "_role", "_rid")
-    return R.materialize(rows.mapInArrow(_compare(width), "_x long, _pivot long, _both long, _all long"), "near-verified")
+    done = R.materialize(rows.mapInArrow(_compare(width), "_x long, _pivot long, _both long, _all long"), "near-verified")
+    R.drop_tables(dealt)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
