@@ -9,8 +9,10 @@ anchor of the node can still use are dropped with all their rows.  Pairs of leav
 
 1. At home: each block meets its own part; the fifth best row of the same label there is a floor for what follows.
 2. Positives: blocks go to all parts whose summary can hold a row above the floors; best rows by anchor.
-3. Negatives: blocks go, with the bands that the positives set, to all parts that can hold a row of another label in
-   one; best rows by anchor and positive.
+3. Negatives: blocks go, with the bands that the positives set, to the most promising parts that can hold a row of another
+   label in a band, as many as the square root of their number; the last of the best rows found there is a floor, and
+   with it they go to the other parts; best rows by anchor and positive.  So an anchor's hits grow with the square root
+   of the parts, not with the parts.
 
 Each meeting is one shuffle of the rows by part, beside copies of the blocks; a task holds one part and one batch of
 blocks.  Summaries are broadcast while there are at most ``MOST_SUMMARIES`` parts (about 1.5 KB each); with more,
@@ -298,13 +300,16 @@ def _unpack(bounds: np.ndarray) -> tuple:
     return bounds[:, :d], bounds[:, d : 2 * d], bounds[:, 2 * d : 3 * d], bounds[:, -3], bounds[:, -2], bounds[:, -1]
 
 
-def _sent(parts: np.ndarray, summaries: np.ndarray | None, same: bool):
-    """Each block once for every part whose summary does not rule it out."""
+def _sent(parts: np.ndarray, summaries: np.ndarray | None, same: bool, wave: int | None):
+    """Each block once for every part whose summary does not rule it out; wave 0: of the most promising parts only, 1: of the others.
+
+    Which parts are promising follows from their summaries and labels alone, so both waves agree on it whatever the floors.
+    """
 
     def sent(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                to = parts
+                allowed, on, most = np.ones(len(parts), bool), np.ones(len(parts), bool), np.roll(np.arange(float(len(parts))), r["_block"] % max(1, len(parts)))
                 if summaries is not None:
                     own = np.array([r["_bounds"]])
                     d = max((own.shape[1] - 3) // 3, (summaries.shape[1] - 3) // 3)
@@ -313,8 +318,13 @@ def _sent(parts: np.ndarray, summaries: np.ndarray | None, same: bool):
                     least, most = intervals(low, high, centre, radius, low2, high2, centre2, radius2)
                     need, top = (min(r["_floor"]), FAR) if same else (min(r["_low"], default=FAR), max(r["_high"], default=-FAR))
                     on = (most >= need) & (least <= top)
-                    on &= ((first <= last2) & (first2 <= last)) if same else ~((first == last) & (first2 == last2) & (first == first2))
-                    to = parts[on]
+                    allowed = ((first <= last2) & (first2 <= last)) if same else ~((first == last) & (first2 == last2) & (first == first2))
+                if wave is not None:
+                    chosen = np.zeros(len(parts), bool)
+                    ranked = np.flatnonzero(allowed)[np.argsort(-most[allowed], kind="stable")]
+                    chosen[ranked[: int(np.ceil(np.sqrt(len(ranked))))]] = True
+                    allowed &= chosen == (wave == 0)
+                to = parts[on & allowed]
                 if len(to):
                     row = {k: r[k] for k in MEET.names}
                     yield from (pa.RecordBatch.from_pylist([row | {"_part": int(p)} for p in to[i : i + 64]], schema=MEET) for i in range(0, len(to), 64))
@@ -384,9 +394,20 @@ def _banded(n_positives: int, low: int, high: int, of: int):
     return banded
 
 
-def _met(rows: DataFrame, blocks: DataFrame, parts: np.ndarray, summaries: np.ndarray | None, k: int, same: bool) -> DataFrame:
+def _raised(blocks, floors):
+    """Blocks whose bands begin at the last of the best rows found so far."""
+    rows = []
+    for r in blocks.to_pylist():
+        low = np.array(r["_low"], np.int64)
+        at = _ints(floors.column("_a")).astype(np.int64) * (len(low) // len(r["_rids"])) + _ints(floors.column("_slot"))
+        low[at] = np.maximum(low[at], _ints(floors.column("_score")))
+        rows.append(r | {"_low": low})
+    return pa.Table.from_pylist(rows, schema=HOME)
+
+
+def _met(rows: DataFrame, blocks: DataFrame, parts: np.ndarray, summaries: np.ndarray | None, k: int, same: bool, wave: int | None = None) -> DataFrame:
     """The best rows of each block, anchor and slot in each part it is sent to."""
-    sent = blocks.mapInArrow(_sent(parts, summaries, same), MEET_DDL)
+    sent = blocks.mapInArrow(_sent(parts, summaries, same, wave), MEET_DDL)
     both = rows.select("_part", "_rid", "_id", "_label", "_vec").unionByName(sent, allowMissingColumns=True)
     dealt = both.repartition(max(1, min(2 * len(parts), 4096)), "_part").sortWithinPartitions("_part", F.col("_block").asc_nulls_first())
     return R.materialize(dealt.mapInArrow(_meet(k, same), HIT_DDL), "negatives-met")
@@ -431,9 +452,12 @@ def mine_negatives(
         met = _met(placed, blocks, parts, summaries, n_positives, True)
         positives = met.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n_positives).select("_block", "_a", "_rank", "_id", "_score")
         banded = R.materialize(blocks.groupBy("_block").cogroup(positives.groupBy("_block")).applyInArrow(_banded(n_positives, *band), BLOCK_DDL), "negatives-banded", block_bytes=1 << 24)
-        hits = _met(placed, banded, parts, summaries, n_negatives, False)
-    R.drop_tables(rows, home, met, banded)
-    best = Window.partitionBy("_block", "_a", "_slot").orderBy(F.desc("_score"), "_id", "_rid")
+        best = Window.partitionBy("_block", "_a", "_slot").orderBy(F.desc("_score"), "_id", "_rid")
+        near = _met(placed, banded, parts, summaries, n_negatives, False, 0)
+        last = near.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == n_negatives).select("_block", "_a", "_slot", "_score")
+        raised = R.materialize(banded.groupBy("_block").cogroup(last.groupBy("_block")).applyInArrow(_raised, BLOCK_DDL), "negatives-raised", block_bytes=1 << 24)
+        hits = near.unionByName(_met(placed, raised, parts, summaries, n_negatives, False, 1))
+    R.drop_tables(rows, home, met, banded, raised)
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_negatives)
     told = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return ranked.select(told("anchor_id").alias("anchor_id"), told("positive_id").alias("positive_id"), "rank", told("_id").alias("negative_id"), "positive_score", F.col("_score").alias("negative_score"))
