@@ -101,3 +101,23 @@ def fixed_text(x: Column, digits: int = 2) -> Column:
     zeros = "." + "0" * digits if digits else ""
     text = F.when(size < 1e-9, F.lit("0" + zeros)).when(size < 2.0**52, units.cast("string")).when(size < 1e21, F.concat(exact.cast("string"), F.lit(zeros)))
     return F.when(size < 1e21, F.concat(F.when(x < 0, "-").otherwise(""), text)).otherwise(x.cast("string"))
+
+
+def signed_percent(x: Column, lang: str = "en") -> Column:
+    """"+4.2%" as a language writes it; a dash for null."""
+    return F.when(x.isNull(), "—").otherwise(F.concat(F.when(x > 0, "+").otherwise(""), local_number(x, 1, lang), F.lit("%")))
+
+
+# Short forms of thousands, millions and so on.
+SHORT = {"en": ["", "K", "M", "B", "T"], "uk": ["", "\u00a0тис.", "\u00a0млн", "\u00a0млрд", "\u00a0трлн"]}
+
+
+def compact_number(x: Column, lang: str = "en") -> Column:
+    """"27.8K", "1.4M" or "27,8 тис.": at most one decimal, of the largest unit of which there is one after rounding; numbers of 1e15 and more in the last unit."""
+    units = SHORT.get(lang, SHORT["en"])
+    size = F.abs(x)
+    power = F.lit(0)
+    for k in range(1, len(units)):
+        power = F.when(round_half_up(size / 1000.0 ** (k - 1)) >= 1000, k).otherwise(power)
+    texts = F.array(*[F.concat(local_number(x / 1000.0**k, 1, lang), F.lit(u)) for k, u in enumerate(units)])
+    return F.get(texts, power)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..functions.numbers import fixed_text, let, local_number, mean, median, month_text, number_text, pct_change, round_half_up, tail, total
+from ..functions.numbers import fixed_text, let, local_number, mean, median, month_text, number_text, pct_change, round_half_up, signed_percent, tail, total
 from .ordering import numbered
 
 KEY = ["topic", "lang"]
@@ -266,7 +266,7 @@ def summary_rows(metrics: DataFrame) -> DataFrame:
 
 def report_rows(metrics: DataFrame, normalized: bool = True, lang: str = "en") -> DataFrame:
     """The figures of a report's table as texts of a language; columns by whether views are set against their edition."""
-    percent = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.concat(F.when(F.col(c) > 0, "+").otherwise(""), local_number(F.col(c), 1, lang), F.lit("%")))
+    percent = lambda c: signed_percent(F.col(c), lang)
     views = local_number(F.col("avg_last12").cast("double"), 0, lang).alias("views")
     trust = F.concat_ws(" ", "trust_label", F.col("trust").cast("string")).alias("trust")
     if normalized:

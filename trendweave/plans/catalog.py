@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import notes
-from ..functions.numbers import median, month_text, pct_change, round_half_up, tail
-from ..operators import charts, documents, drafts, evaluation, label_checks, periods, resolve, series, text_checks, transcripts
+from ..functions.numbers import compact_number, median, month_text, pct_change, round_half_up, tail
+from ..operators import charts, documents, drafts, evaluation, label_checks, periods, reports, resolve, series, text_checks, transcripts
 from ..sources import activity
 from ..sources.durable import shared_folder
 from ..streaming import incremental, monthly
@@ -306,6 +306,18 @@ def turn_checks(spark, sf_dir):
     return rows.select("run", "turn", "prompt", "answer", "tool_calls", *[F.concat_ws(",", c).alias(c) for c in ("analyses", "known")], F.array_join(F.transform("reports", report), ",").alias("reports"))
 
 
+def report_texts(spark, sf_dir):
+    """Reports made of documents, some of their texts too long, some lists too; with their views in short form."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id")
+    flat = F.regexp_replace(t, r"[|\s]+", " ")
+    findings = F.array_join(F.transform(F.sequence(F.lit(1), (k % 8 + 1).cast("int")), lambda i: F.concat(F.lit(" "), F.substring(flat, i, (k * 37 % 400).cast("int")), F.lit(" "))), "|")
+    rows = activity.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring(flat, F.lit(1), (k % 120).cast("int")).alias("title"), F.when(k % 3 > 0, F.substring(flat, 5, 300)).alias("verdict"), findings.alias("findings"), F.concat(F.lit("a||"), F.substring(flat, 3, 250)).alias("caveats"))
+    told = reports.report_inputs(rows, ["doc_id", "n_chars"])
+    short = [compact_number((F.col("n_chars") * F.col("n_chars") * 7).cast("double"), lang).alias(f"views_{lang}") for lang in ("en", "uk")]
+    size = lambda c: F.length(F.array_join(c, "")).alias(f"n_{c}")
+    return told.select("doc_id", F.length("title").alias("n_title"), F.coalesce(F.length("verdict"), F.lit(-1)).alias("n_verdict"), size("findings"), size("caveats"), F.array_join("problems", " / ").alias("problems"), *short)
+
+
 LATIN, GREEK_AND_CYRILLIC = [(0x21, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC)], [(0x370, 0x3FF), (0x400, 0x52F)]
 
 
@@ -382,7 +394,7 @@ def term_hints(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints, redirected_titles, analysis_documents, turn_checks, script_choices, label_places, incremental_metrics)
+    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints, redirected_titles, analysis_documents, turn_checks, script_choices, label_places, incremental_metrics, report_texts)
 }
 
 _BASE = f"""
@@ -666,6 +678,22 @@ SELECT n_nationkey, coalesce('Editions are not countries — ' || s || '. If the
     "term_hints": f"""
 WITH p AS (SELECT p_partkey AS k, p_partkey % 17 AS a, p_partkey % 5 AS b FROM part)
 SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '' ELSE {[f'{a} → {b}' for a, b in _TERMS]}[a + 1] || CASE WHEN a = b THEN '' ELSE ', ' || {[f'{a} → {b}' for a, b in _TERMS]}[b + 1] END END AS hints FROM p""",
+    "report_texts": r"""
+WITH d AS (SELECT doc_id, doc_id AS k, n_chars, regexp_replace(coalesce(text, ''), '[|\t\n\x0B\f\r ]+', ' ', 'g') AS f FROM documents),
+p AS (
+  SELECT *, substr(f, 1, k % 120) AS title, CASE WHEN k % 3 > 0 THEN substr(f, 5, 300) END AS verdict, list_filter(list_transform(range(1, k % 8 + 2), lambda i: trim(substr(f, i, k * 37 % 400))), lambda x: x <> '') AS fs,
+         list_filter(['a', trim(substr(f, 3, 250))], lambda x: x <> '') AS cs FROM d),
+q AS (
+  SELECT *, fs[1:5] AS f5, list_filter(list_concat([CASE WHEN len(fs) > 5 THEN len(fs) || ' findings given (max 5) — kept the first 5' END],
+    list_transform(fs[1:5], lambda x, i: CASE WHEN length(x) > 280 THEN 'finding ' || i || ' is ' || length(x) || ' chars (max 280) — shortened with "…"; rewrite it shorter' END),
+    [CASE WHEN length(title) > 90 THEN '--title is ' || length(title) || ' chars (max 90) — shortened with "…"; rewrite it shorter' END, CASE WHEN length(verdict) > 240 THEN '--verdict is ' || length(verdict) || ' chars (max 240) — shortened with "…"; rewrite it shorter' END],
+    list_transform(cs, lambda x, i: CASE WHEN length(x) > 200 THEN 'caveat ' || i || ' is ' || length(x) || ' chars (max 200) — shortened with "…"; rewrite it shorter' END)), lambda x: x IS NOT NULL) AS problems,
+    (n_chars::DOUBLE * n_chars * 7) AS v FROM p),
+u AS (SELECT *, CASE WHEN floor(v * 10 + 0.5) / 10 < 1000 THEN 0 WHEN floor(v / 1e3 * 10 + 0.5) / 10 < 1000 THEN 1 WHEN floor(v / 1e6 * 10 + 0.5) / 10 < 1000 THEN 2 ELSE 3 END AS w FROM q),
+n AS (SELECT *, regexp_replace(printf('%.1f', floor(v / pow(1000.0, w) * 10 + 0.5) / 10), '\.0$', '') AS t FROM u)
+SELECT doc_id, least(length(title), 90)::INT AS n_title, (CASE WHEN verdict IS NULL THEN -1 ELSE least(length(verdict), 240) END)::INT AS n_verdict, coalesce(list_sum(list_transform(f5, lambda x: least(length(x), 280))), 0)::INT AS n_findings,
+       coalesce(list_sum(list_transform(cs, lambda x: least(length(x), 200))), 0)::INT AS n_caveats, array_to_string(problems, ' / ') AS problems, t || ['', 'K', 'M', 'B'][w + 1] AS views_en,
+       replace(t, '.', ',') || ['', chr(160) || 'тис.', chr(160) || 'млн', chr(160) || 'млрд'][w + 1] AS views_uk FROM n""",
     "script_choices": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT doc_id, t, list_sort(list_distinct(regexp_extract_all(t, '[^\x{21}-\x{7E}\x{A1}-\x{24F}\x{2010}-\x{2027}\x{20AC}\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))) AS lacks FROM t)
