@@ -115,7 +115,8 @@ class Tree:
         while at < len(start):
             a, b = start[at], end[at]
             own = self.order[a:b]
-            cut = _cut(vectors[own], labels[own]) if b - a > leaf else None
+            mixed = b - a > leaf // 8 and labels[own].min() < labels[own].max()  # few labels in a leaf rule out more pairs than few rows
+            cut = _cut(vectors[own], labels[own]) if b - a > leaf or mixed else None
             if cut is not None:
                 left = _left(vectors[own], labels[own], *cut)
                 self.order[a:b] = np.concatenate([own[left], own[~left]])
