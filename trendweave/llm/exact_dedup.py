@@ -190,9 +190,11 @@ def _compared(rows: DataFrame, staged: DataFrame, key: list[str], chunk_bytes: i
             break
         salt = F.pmod(F.hash("_rid", F.lit(len(levels))), F.expr(f"cast(ceil(_size / {salt_rows}) as int)"))
         block = Window.partitionBy(*key, "_salt")
-        dealt = R.attach(current, groups, key, "_size", n, "_rid").withColumn("_salt", salt).withColumns({"_ref": F.min("_rid").over(block), "_n": F.count("*").over(block)})
+        dealt = R.attach(current, groups, key, "_size", n, "_rid").withColumn("_salt", salt).repartition(*key, "_salt").withColumns({"_ref": F.min("_rid").over(block), "_n": F.count("*").over(block)})
         members = R.materialize(dealt.select("_rid", *key, "_ref", "_n"), "exact-members")
-        chunks = members.where("_n > 1").select("_rid", "_ref").join(staged.select("_rid", "_text"), "_rid").mapInArrow(_chunks(chunk_bytes), "_ref long, _part int, _role int, _rid long, _bytes binary")
+        few = members.where("_n > 1").select("_rid", "_ref")
+        texts = staged.select("_rid", "_text").join(F.broadcast(few) if few.count() <= R.BROADCAST_ROWS else few, "_rid")
+        chunks = texts.mapInArrow(_chunks(chunk_bytes), "_ref long, _part int, _role int, _rid long, _bytes binary")
         bad = R.materialize(chunks.repartition("_ref").sortWithinPartitions("_ref", "_part", "_role", "_rid").mapInArrow(_differing, "_rid long").distinct(), "exact-differing")
         made += [members, bad]
         good = members
