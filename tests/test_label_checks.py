@@ -4,11 +4,11 @@ from trendweave.operators import label_checks
 
 VERDICTS = [("tr", "flat", "inside the band"), ("fr", "declining", "share"), ("id", "declining", "share of edition views")]
 SAID = {
-    "The Turkish audience is growing fast.": ("tr", "growing"),
-    "tr: interest is growing (+7%)": ("tr", "growing"),
-    "Турецька аудиторія зростає": ("tr", "growing"),
-    "Турецька аудиторія не зростає": None,
-    "Turkish interest is not really growing": None,
+    "Turkish pages keep rising month by month.": ("tr", "growing"),
+    "Two editions stand out (tr: readers are increasing)": ("tr", "growing"),
+    "Турецька сторінка зросла вдвічі": ("tr", "growing"),
+    "Турецьких читачів не зростає": None,
+    "Demand in Turkish is not really increasing": None,
     "Growing in Turkish but declining in Indonesian": None,
     "Turkish and French are growing": None,
     "French is declining": None,
@@ -40,8 +40,8 @@ def test_excuses_and_trust(spark):
 def test_language_problems(spark):
     rows = [
         ("Ринок растет", "uk", [], {"russian_words"}),
-        ("Турецька Wikipedia", "uk", [], {"latin_site_name"}),
-        ("Copilot flat", "uk", ["Copilot"], {"tool_terms"}),
+        ("Сторінки на wikipedia читають", "uk", [], {"latin_site_name"}),
+        ("Meridian: verdict", "uk", ["Meridian"], {"tool_terms"}),
         ("пошук на французькому, keyword", "uk", [], {"speech_calque", "latin_words"}),
         ("доля переглядів", "uk", [], {"share_calque"}),
         ("Частка переглядів спадає, довіра висока (80).", "uk", [], set()),

@@ -78,7 +78,7 @@ def test_notes(spark):
     assert "R²=0.12" in en and "R²=0,12" in uk
 
 
-@pytest.mark.parametrize(("topic", "title", "same"), [("Python", "Python (programming language)", True), ("Claude Code", "Claude (AI)", False), ("Rivers of Café", "The River Cafe", True)])
+@pytest.mark.parametrize(("topic", "title", "same"), [("Mercury", "Mercury (planet)", True), ("Solar Kite", "Solar (unit)", False), ("Rivers of Café", "The River Cafe", True)])
 def test_title_matches(spark, topic, title, same):
     d = spark.createDataFrame([(topic, title)], "a string, b string")
     assert d.select(resolve.title_matches(F.col("a"), F.col("b"))).first()[0] is same
@@ -92,3 +92,23 @@ def test_resolution(spark):
     pins = spark.createDataFrame([("chess", "pl", "Szachy")], "topic string, lang string, title string")
     got = {r["lang"]: (r["article"], r["method"], r["confidence"]) for r in resolve.resolve(topics, ["en", "fr", "de", "uk", "pl", "it"], hits, links, props, pins).collect()}
     assert got == {"en": ("Chess", "langlink", "high"), "fr": ("Échecs", "langlink", "high"), "de": ("Schach", "search", "high"), "uk": ("Гра", "search", "low"), "pl": ("Szachy", "explicit", "high"), "it": (None, "none", "low")}
+
+
+def test_lists_codes_and_pins(spark):
+    d = spark.createDataFrame([(" de, fr ,,de", "pt-br", " de = Haus = Hof "), ("", "English", "no sign"), (None, "simple", None)], "a string, b string, c string")
+    rows = d.select(text_checks.comma_list(F.col("a")).alias("a"), text_checks.is_lang_code(F.col("b")).alias("b"), text_checks.pinned(F.col("c")).alias("c")).collect()
+    assert [r["a"] for r in rows] == [["de", "fr"], [], None] and [r["b"] for r in rows] == [True, False, True]
+    assert tuple(rows[0]["c"]) == ("de", "Haus = Hof") and tuple(rows[1]["c"]) == ("", "")
+
+
+def test_constants(spark):
+    rows = [(10.4, False, True), (10.6, False, True), (2.5, True, False), (-2.5, True, False), (-2.5, False, False), (305.0, False, False), (308.0, False, False), (100.0, False, True)]
+    d = spark.createDataFrame(rows, "v double, s boolean, p boolean")
+    assert [r[0] for r in d.select(text_checks.allowed(F.col("v"), F.col("s"), F.col("p"))).collect()] == [True, False, True, False, True, True, False, False]
+
+
+def test_snippets_without_tags(spark):
+    from trendweave.sources import activity
+
+    hits = spark.createDataFrame([("en", "q", 1, "T", 'a <b class="x">bold</b> word'), ("en", "q", 6, "U", "late"), ("en", "q", 2, "V", None)], "lang string, query string, rank int, title string, snippet string")
+    assert sorted((r["title"], r["snippet"]) for r in activity.search_hits(hits).collect()) == [("T", "a bold word"), ("V", None)]

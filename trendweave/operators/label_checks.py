@@ -214,7 +214,7 @@ def language_problems(text: Column, lang: Column, names: Column, most: int = 8)
         ("latin_words", uk, latin),
         ("tool_terms", lang != "en", found(t, terms)),
     ]
-    all_ = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(on, F.slice(F.array_distinct(F.transform(w, F.trim)), 1, most)).otherwise(F.array().cast("array<string>")).alias("words")) for k, on, w in kinds])
+    all_ = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(on, F.slice(F.array_distinct(F.transform(w, lambda x: F.trim(x))), 1, most)).otherwise(F.array().cast("array<string>")).alias("words")) for k, on, w in kinds])
     return F.filter(all_, lambda p: F.size(p["words"]) > 0)
 
 

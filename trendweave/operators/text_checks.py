@@ -167,7 +167,7 @@ def slug(parts: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Distinct, trimmed, non-empty items of a comma list."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda x: x != ""))
 
 
 def is_lang_code(text: Column) -> Column:

@@ -306,6 +306,17 @@ def turn_checks(spark, sf_dir):
     return rows.select("run", "turn", "prompt", "answer", "tool_calls", *[F.concat_ws(",", c).alias(c) for c in ("analyses", "known")], F.array_join(F.transform("reports", report), ",").alias("reports"))
 
 
+PHRASES = ["Ринок растет повільно", "Доля переглядів мала", "Пишуть на німецькій мові", "Цей артикль новий", "Сайт Wikipedia великий", "Потрібен keyword tool", "Показник flat або YoY", "Частка зростає", "Эта новина свіжа", "Шукають на польському, чеському"]
+
+
+def ukrainian_problems(spark, sf_dir):
+    """Two phrases for each customer, some of them with words that do not belong in a Ukrainian text."""
+    k = F.col("c_custkey")
+    text = F.concat(_of(PHRASES, k % 10), F.lit(". "), _of(PHRASES, k * 7 % 10), F.when(k % 4 == 0, ' «some quoted words»').otherwise(" `code here`"), F.lit("."))
+    problems = label_checks.language_problems(text, F.lit("uk"), F.when(k % 3 == 0, F.array(F.lit("Keyword"))))
+    return activity.table(spark, sf_dir, "customer").select("c_custkey", F.explode(problems).alias("p")).select("c_custkey", "p.kind", F.array_join("p.words", "|").alias("words"))
+
+
 def report_texts(spark, sf_dir):
     """Reports made of documents, some of their texts too long, some lists too; with their views in short form."""
     t, k = F.coalesce("text", F.lit("")), F.col("doc_id")
@@ -394,7 +405,7 @@ def term_hints(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints, redirected_titles, analysis_documents, turn_checks, script_choices, label_places, incremental_metrics, report_texts)
+    for f in (series_metrics, dense_points, spikes, level_shifts, edition_growth, ranked_series, series_reasons, summary_rows, report_rows, indexed_points, export_rows, statement_sentences, statement_claims, claim_checks, draft_checks, label_contradictions, trust_percentages, language_problems, language_guesses, slugs, run_stats, config_delta, turn_segments, search_top_hits, monthly_events, topic_resolution, exclusions, resolution_warnings, periods_asked, tool_calls, tool_results, transcript_summaries, benchmark_summary, wire_views, edition_views, readers_notes, term_hints, redirected_titles, analysis_documents, turn_checks, script_choices, label_places, incremental_metrics, report_texts, ukrainian_problems)
 }
 
 _BASE = f"""
@@ -678,6 +689,19 @@ SELECT n_nationkey, coalesce('Editions are not countries — ' || s || '. If the
     "term_hints": f"""
 WITH p AS (SELECT p_partkey AS k, p_partkey % 17 AS a, p_partkey % 5 AS b FROM part)
 SELECT k AS p_partkey, CASE WHEN k % 4 = 0 THEN '' ELSE {[f'{a} → {b}' for a, b in _TERMS]}[a + 1] || CASE WHEN a = b THEN '' ELSE ', ' || {[f'{a} → {b}' for a, b in _TERMS]}[b + 1] END END AS hints FROM p""",
+    "ukrainian_problems": rf"""
+WITH r AS (SELECT c_custkey, {PHRASES}[c_custkey % 10 + 1] || '. ' || {PHRASES}[c_custkey * 7 % 10 + 1] || '.' AS raw FROM customer),
+t AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN replace(raw, 'keyword', ' ') ELSE raw END AS t FROM r),
+k AS (
+  SELECT c_custkey, 'share_calque' AS kind, regexp_extract_all(t, '(?i)(?:^|[^\p{{L}}])(дол[яіюе]) переглядів', 1) AS w FROM t
+  UNION ALL SELECT c_custkey, 'speech_calque', list_concat(regexp_extract_all(t, '(на \p{{L}}+ькій мові)', 1), regexp_extract_all(t, '(на \p{{L}}+ькому),', 1)) FROM t
+  UNION ALL SELECT c_custkey, 'article_calque', regexp_extract_all(t, '(артикл\p{{L}}*)', 1) FROM t
+  UNION ALL SELECT c_custkey, 'russian_words', list_concat(regexp_extract_all(t, '(Эта)', 1), regexp_extract_all(t, '(растет)', 1)) FROM t
+  UNION ALL SELECT c_custkey, 'latin_site_name', regexp_extract_all(t, '(Wikipedia)', 1) FROM t
+  UNION ALL SELECT c_custkey, 'latin_words', list_filter(regexp_extract_all(t, '(?:^|[^A-Za-z])([a-z]+)', 1), lambda w: w <> 'flat') FROM t
+  UNION ALL SELECT c_custkey, 'tool_terms', regexp_extract_all(t, '(flat|YoY)', 1) FROM t)
+SELECT c_custkey, kind, array_to_string(list_distinct_in_order, '|') AS words
+FROM (SELECT c_custkey, kind, list_reduce(list_transform(w, lambda x: [x]), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) AS list_distinct_in_order FROM k WHERE len(w) > 0)""",
     "report_texts": r"""
 WITH d AS (SELECT doc_id, doc_id AS k, n_chars, regexp_replace(coalesce(text, ''), '[|\t\n\x0B\f\r ]+', ' ', 'g') AS f FROM documents),
 p AS (
