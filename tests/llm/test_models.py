@@ -67,3 +67,10 @@ def test_secrets_that_no_pattern_describes(spark, small, share):
     found = [any(a < places[i] + len(key) and places[i] < b for a, b in got[i]) for i, key in planted.items()]
     assert np.mean(found) >= 0.9
     assert sum(map(len, (f for i, f in got.items() if i not in planted))) <= 0.08 * len(rows)
+
+
+def test_ordinary_words_are_no_secrets(spark, small):
+    """Of the documents as they are, at most two in a thousand gain a span."""
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet").repartition(4)
+    found = S.find_secrets(docs).collect()
+    assert sum(any(f["kind"] == "model" for f in r["findings"]) for r in found) <= 0.002 * len(found)

@@ -10,7 +10,7 @@ counts for at most ``SWAY``.  The own part is computed once for each distinct st
 where it can still lift a score to a threshold, which changes no finding.
 
 The network is trained on labelled findings: a bounded sample of the corpus' own candidates, labelled by the
-patterns, and generated findings of many shapes in many contexts.  What looks like a key but no pattern covers,
+patterns, its long words among them as often as all others, as these are what is most easily taken for a key, and generated findings of many shapes in many contexts.  What looks like a key but no pattern covers,
 and what a pattern covers but does not look like a key, has no label.  A quarter of the runs is held back to
 calibrate the scores (Platt) and to set two thresholds, for assigned and for bare runs: the highest that keep
 ``recall`` of the held-back secrets.
@@ -44,6 +44,9 @@ HEX = re.compile(rb"[0-9a-f]+")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 TOKEN = np.zeros(256, bool)
 TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
+LETTER = np.zeros(256, bool)
+LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+LONG_WORD, SHOUTED_WORD = 11, 6  # letters of a word, and of one in capitals, that is long enough to be taken for a key
 BEFORE, INSIDE, AFTER = 32, 40, 8
 WINDOW = BEFORE + INSIDE + AFTER
 SWAY = 4.0
@@ -361,7 +364,7 @@ def _labels(data: bytes, low: np.ndarray, high: np.ndarray, long_run: bool) -> n
 
 
 def _sample(batches):
-    """Runs of sampled documents with the windows and labels of their stretches: all with a finding, and a 32nd of the others."""
+    """Runs of sampled documents with the windows and labels of their stretches: all with a finding, a 32nd of the others, and a quarter of long words."""
     for batch in batches:
         raw, offsets = buffers(batch.column("_text"))
         starts, ends, run, low, high, doc, assigned, longest = read(raw, offsets)
@@ -372,23 +375,28 @@ def _sample(batches):
             y[own] = _labels(raw[offsets[i] : offsets[i + 1]].tobytes(), low[own] - offsets[i], high[own] - offsets[i], longest[i] >= 32)
         has = np.zeros(len(starts), bool)
         has[run[~(y == 0)]] = True
-        picked = has | (hash_spans(raw, np.maximum(starts - 8, offsets[doc]), ends) % np.uint64(32) == 0)
+        luck = hash_spans(raw, np.maximum(starts - 8, offsets[doc]), ends)
+        only = lambda kind: (total := np.concatenate([[0], np.cumsum(kind[raw])]))[ends] - total[starts] == ends - starts
+        shouted = ~has & (ends - starts >= SHOUTED_WORD) & only(LETTER & (np.arange(256) < 91))
+        word = shouted | (~has & (ends - starts >= LONG_WORD) & only(LETTER))
+        picked = has | (luck % np.uint64(32) == 0) | shouted | (word & (luck % np.uint64(4) == 0))
         first = np.searchsorted(run, np.arange(len(starts) + 1))
         rows = []
         for r in np.flatnonzero(picked):
             own = slice(first[r], min(first[r + 1], first[r] + 64))
             at = np.repeat(doc[r], own.stop - own.start)
-            rows.append({"w": windows(raw, low[own], high[own], offsets[at], offsets[at + 1]).astype(np.int32).ravel().tolist(), "y": y[own].tolist(), "assigned": bool(assigned[r]), "secret": bool((y[own] == 1).any())})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("w", pa.list_(pa.int32())), ("y", pa.list_(pa.float64())), ("assigned", pa.bool_()), ("secret", pa.bool_())]))
+            rows.append({"w": windows(raw, low[own], high[own], offsets[at], offsets[at + 1]).astype(np.int32).ravel().tolist(), "y": y[own].tolist(), "assigned": bool(assigned[r]), "secret": bool((y[own] == 1).any()), "word": bool(word[r])})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("w", pa.list_(pa.int32())), ("y", pa.list_(pa.float64())), ("assigned", pa.bool_()), ("secret", pa.bool_()), ("word", pa.bool_())]))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 5000, max_findings: int = 2000, n_generated: int = 3000, recall: float = 0.98) -> Network:
-    """Trained on at most max_findings runs, at most half of them secrets, of about max_docs documents, and on generated ones."""
+    """Trained on at most max_findings runs, at most half of them secrets, and as many long words, of about max_docs documents, and on generated ones."""
     step = max(1, docs.count() // max_docs)
     texts = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(step)) == 0).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = texts.mapInArrow(_sample, "w array<int>, y array<double>, assigned boolean, secret boolean").withColumn("_h", F.xxhash64("w")).persist()
+    found = texts.mapInArrow(_sample, "w array<int>, y array<double>, assigned boolean, secret boolean, word boolean").withColumn("_h", F.xxhash64("w")).persist()
     got = found.where("secret").orderBy("_h", "assigned").limit(max_findings // 2).collect()
-    got += found.where("not secret").orderBy("_h", "assigned").limit(max_findings - len(got)).collect()
+    got += found.where("not secret and not word").orderBy("_h", "assigned").limit(max_findings - len(got)).collect()
+    got += found.where("not secret and word").orderBy("_h", "assigned").limit(max_findings).collect()
     found.unpersist()
     w, y, run, assigned = _generated(n_generated)
     if got:
