@@ -121,20 +121,9 @@ def copies(rows):
         left -= sum(3 * total[s] for s in full)
         free = free - full if full else set()
     words = {s: math.floor(target[s] + 0.5) for s in sources}
-    all_words = sum(words.values())
-    block = max(1, min(64, all_words // 65536))
-    edges, upto = [], 0
-    for s in sources:
-        if words[s]:
-            upto += words[s]
-            edges.append((math.floor(upto / all_words * 2**31), s))
-    slots = Counter()
-    for k in range(-(-all_words // block)):
-        v = k % 2**31 * 1327217885 % 2**31
-        slots[next(s for e, s in edges if v < e)] += 1
     out = {}
     for s in sources:
-        given, at = min(slots[s] * block, 3 * total[s]), 0
+        given, at = words[s], 0
         for i in sorted(by[s], key=lambda i: (hashlib.md5(f"{i}:mix".encode()).hexdigest(), i)):
             taken = sum(max(0, min(size[i], given - at - e * total[s])) for e in range(3))
             at += size[i]
