@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from trendweave.functions import notes
 from trendweave.operators import resolve, text_checks
+from trendweave.plans import catalog
 
 SAID = {
     "In 2025 views grew 36.8% to 12 345": [(36.8, True), (12345.0, False)],
@@ -112,3 +113,9 @@ def test_snippets_without_tags(spark):
 
     hits = spark.createDataFrame([("en", "q", 1, "T", 'a <b class="x">bold</b> word'), ("en", "q", 6, "U", "late"), ("en", "q", 2, "V", None)], "lang string, query string, rank int, title string, snippet string")
     assert sorted((r["title"], r["snippet"]) for r in activity.search_hits(hits).collect()) == [("T", "a bold word"), ("V", None)]
+
+
+def test_each_pattern_runs_once(spark, small):
+    """No filter on the parts of a number repeats the patterns that found them."""
+    plan = catalog.statement_claims(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 0 and plan.count("regexp_replace(") == 6

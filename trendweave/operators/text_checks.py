@@ -22,6 +22,13 @@ KNOWN_RATIOS = [2.5, 20.0]
 SENTENCE_END = rf"(?<=[.!?;]){SPACE}+|\n+|[|]"
 
 
+def _number(parts: Column) -> Column:
+    """Struct of a number from its match and the parts of it: sign, whole, part, unit, times."""
+    at = lambda i: F.get(parts, F.lit(i))
+    digits = F.concat(F.translate(at(2), " \u00a0\u202f,", ""), F.when(at(3) != "", F.concat(F.lit("."), at(3))).otherwise(""))
+    return F.struct(at(0).alias("m"), at(1).alias("sign"), at(3).alias("part"), F.lower(F.translate(at(4), ".", "")).alias("_unit"), at(5).alias("times"), digits.try_cast("double").alias("_base"))
+
+
 def claims(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """One row per number stated in a text: id, _row, pos, raw, value, signed, percent, ratio.
 
@@ -29,7 +36,7 @@ def claims(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     unit.  Null and empty texts state nothing.  _row tells rows of a repeated id apart; pos is the place in the text.
 
     Long stretches without a digit are cut first, and a number is found once, as a whole; its parts are taken from
-    the short match.
+    the short match by one pattern, before the rows are made, so that no filter repeats a pattern.
     """
     t = F.regexp_replace(F.col(text_col), "([^0-9]{16})[^0-9]+([^0-9]{4})", "$1 $2")
     t = F.regexp_replace(t, YEAR_RANGE, " ")
@@ -37,11 +44,10 @@ def claims(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     t = F.regexp_replace(t, UNIT_RANGE, "$1$3 $2$3")
     t = F.regexp_replace(t, RANGE, "$1; ")
     d = docs.where(F.col(text_col).rlike("[0-9]")).select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), t.alias("_t"))
-    d = d.select(id_col, "_row", F.posexplode(F.regexp_extract_all("_t", F.lit(rf"(?iu)(?<![\p{{L}}\d.,]){NUMBER}"), F.lit(0))).alias("pos", "m"))
-    part = {n: F.regexp_extract("m", f"(?iu)^{NUMBER}$", i) for i, n in enumerate(("sign", "whole", "part", "unit", "times"), 1)}
-    unit = F.lower(F.regexp_replace("unit", r"\.", ""))
-    digits = F.concat(F.regexp_replace("whole", r"[ \u00a0\u202f,]", ""), F.when(F.col("part") != "", F.concat(F.lit("."), "part")).otherwise(""))
-    d = d.withColumns(part).withColumns({"_unit": unit, "_base": digits.try_cast("double")})
+    cut = "\x01"
+    whole = F.regexp_extract_all("_t", F.lit(rf"(?iu)(?<![\p{{L}}\d.,]){NUMBER}"), F.lit(0))
+    parts = F.transform(whole, lambda m: F.split(F.regexp_replace(m, f"(?iu)^{NUMBER}$", cut.join(f"${i}" for i in range(6))), cut))
+    d = d.select(id_col, "_row", F.posexplode(F.transform(parts, _number)).alias("pos", "_n")).select(id_col, "_row", "pos", "_n.*")
     times = F.when(F.col("_unit").isin("k", "тис"), 1e3).when(F.col("_unit").isin("m", "млн"), 1e6).otherwise(1.0)
     percent = F.col("_unit").startswith("pp") | F.col("_unit").startswith("п") | (F.col("_unit") == "%")
     ratio = ~percent & (times == 1.0) & (F.col("times") != "")
