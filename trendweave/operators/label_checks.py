@@ -6,6 +6,8 @@ look-aheads, so that direction words are counted inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ LANGUAGE_STEMS = {
     "lt": ["литовськ", "lithuanian"],
     "vi": ["в'єтнам", "vietnamese"],
 }
+STEM_CODES = {stem: code for code, stems in LANGUAGE_STEMS.items() for stem in stems}  # none begins with another
 # Words of rise and fall, negations before them, and words about a whole edition.
 UP = r"(?<!\p{L})(?:зроста|зріс|зросл|росте|ростуть|растущ|збільшу|підвищу|grow|rising|increas)|[↑📈]"
 DOWN = r"(?<!\p{L})(?:пада|спад|скороч|знижу|знижен|зменшу|впа[вл]|declin|falling|fell|drop|decreas)|[↓📉]"
@@ -93,30 +96,42 @@ UKRAINIAN_TERMS = {
 OTHER_CODES = ["en", "kk", "rm", "no", "nb", "lv", "et", "sl", "hi", "th", "ms", "ca", "eu", "gl", "az", "uz", "hy"]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, flags: str = "(?iu)") -> Column:
     """All matches of a pattern."""
     return F.regexp_extract_all(text, F.lit(f"{flags}({pattern})"), F.lit(1))
 
 
 def directions(text: Column, words: str) -> Column:
-    """How many direction words stand without a negation before them and without a word about the whole edition within 30 characters."""
+    """How many direction words stand without a negation before them and without a word about the whole edition within 30 characters.
+
+    What stands before is looked at where a direction word begins only.
+    """
     before = "|".join(f"{w}.{{0,{30 - len(w)}}}" for w in EDITION_WORDS)
     after = "|".join(f".{{0,{30 - len(w)}}}{w}" for w in EDITION_WORDS)
-    plain = rf"(?<!(?<!\p{{L}})(?:{NEGATIONS})\s{{1,3}}(?:\p{{L}}{{1,19}}\s{{1,3}})?)(?<!{before})(?:{words})(?!{after})"
+    plain = rf"(?={words})(?<!(?<!\p{{L}})(?:{NEGATIONS})\s{{1,3}}(?:\p{{L}}{{1,19}}\s{{1,3}})?)(?<!{before})(?:{words})(?!{after})"
     return F.size(found(text, plain, "(?ius)"))
 
 
 def split_sentences(docs: DataFrame, id_col: str, text_col: str, ends: str = SENTENCE_END) -> DataFrame:
-    rows = docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(F.col(text_col), ends)).alias("pos", "sentence"))
-    return rows.withColumn("sentence", F.regexp_replace("sentence", rf"^{SPACE}+|{SPACE}+$", "")).where("sentence <> ''")
+    trimmed = F.transform(F.split(F.col(text_col), ends), lambda s: F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+$", ""))
+    return docs.select(id_col, F.monotonically_increasing_id().alias("_row"), F.posexplode(trimmed).alias("pos", "sentence")).where("sentence <> ''")
 
 
 def named_languages(sentence: Column) -> Column:
-    """Codes of the languages that a sentence names, by a stem or as "code:" or "code)"."""
-    low = F.lower(sentence)
-    stems = [F.when(low.rlike("|".join(s)), F.lit(code)) for code, s in LANGUAGE_STEMS.items()]
-    codes = F.regexp_extract_all(low, F.lit(rf"(?:^|[\s(])([a-z]{{2,3}}(?:-[a-z]{{2,8}})*)(?=[:)])"), F.lit(1))
-    return F.array_union(F.array_compact(F.array(*stems)), codes)
+    """Codes of the languages that a sentence names, by a stem or as "code:" or "code)"; all stems are looked for at once."""
+    table = F.create_map(*[F.lit(x) for pair in STEM_CODES.items() for x in pair])
+
+    def codes(low: Column) -> Column:
+        said = F.transform(F.regexp_extract_all(low, F.lit(f"(?=({'|'.join(STEM_CODES)}))"), F.lit(1)), lambda s: F.element_at(table, s))
+        written = F.regexp_extract_all(low, F.lit(rf"(?:^|[\s(])([a-z]{{2,3}}(?:-[a-z]{{2,8}})*)(?=[:)])"), F.lit(1))
+        return F.array_union(once(said, lambda held: F.filter(F.array(*map(F.lit, LANGUAGE_STEMS)), lambda c: F.array_contains(held, c))), written)
+
+    return once(F.lower(sentence), codes)
 
 
 def trust_percentages(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -148,7 +163,8 @@ def edition_excuses(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col:
 def _opinions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Sentences that tell one direction, a row for each language they name."""
     rows = split_sentences(docs, id_col, text_col)
-    rows = rows.withColumns({"_up": directions(F.col("sentence"), UP), "_down": directions(F.col("sentence"), DOWN)}).where("(_up > 0) <> (_down > 0)")
+    told = F.struct(directions(F.col("sentence"), UP).alias("_up"), directions(F.col("sentence"), DOWN).alias("_down"))
+    rows = rows.withColumn("_told", F.explode(F.array(told))).select(id_col, "_row", "pos", "sentence", "_told.*").where("(_up > 0) <> (_down > 0)")
     return rows.withColumn("lang", F.explode(F.array_distinct(named_languages(F.col("sentence")))))
 
 
@@ -168,7 +184,7 @@ def label_contradictions(docs: DataFrame, verdicts: DataFrame, id_col: str, text
     """
     known = verdicts.groupBy("lang").agg(F.first("label").alias("label"), F.first("basis").alias("basis"), F.count("*").alias("_n"))
     several = known.where("_n > 1").limit(1).select(F.lit(1).alias("_one"))
-    met = _opinions(docs, id_col, text_col).join(known, "lang").withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one", "left_anti")
+    met = _opinions(docs, id_col, text_col).join(F.broadcast(known), "lang").withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one", "left_anti")
     return _contradicting(met, id_col)
 
 

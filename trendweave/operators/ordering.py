@@ -14,6 +14,11 @@ from ..sources.durable import durable
 IN_PARTITION = (1 << 33) - 1
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly among tasks: narrow rows lie in few files, however much work each of them makes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Adds the place of each row, from 1, in an order that ends in a column that tells rows apart.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import notes
 from ..functions.numbers import compact_number, median, month_text, pct_change, round_half_up, tail
 from ..operators import charts, documents, drafts, evaluation, label_checks, periods, reports, resolve, series, text_checks, transcripts
+from ..operators.ordering import spread
 from ..sources import activity
 from ..sources.durable import shared_folder
 from ..streaming import incremental, monthly
@@ -108,7 +109,7 @@ def _nation_verdicts(spark, sf_dir):
 def label_contradictions(spark, sf_dir):
     """A sentence for each customer, on the language that stands in for the nation, against verdicts made of all nations."""
     said = F.concat(F.lit("The "), _of(NATION_WORDS, F.col("c_nationkey")), F.lit(" audience is "), F.when(F.col("c_custkey") % 3 == 0, "not ").otherwise(""), F.when(F.col("c_acctbal") >= 0, "growing.").otherwise("declining."))
-    docs = activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
+    docs = spread(activity.table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("doc_id"), said.alias("text"))
     return label_checks.label_contradictions(docs, _nation_verdicts(spark, sf_dir), "doc_id").select("doc_id", "said", "lang", "claim", "label", "basis")
 
 
@@ -222,7 +223,7 @@ def statement_claims(spark, sf_dir):
 
 def trust_percentages(spark, sf_dir):
     said = F.concat(F.lit("Fine; trust high ("), F.col("c_custkey") % 100, F.when(F.col("c_custkey") % 4 == 0, "%)").otherwise(")"))
-    return label_checks.trust_percentages(activity.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("text")), "doc_id")
+    return label_checks.trust_percentages(spread(activity.table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), said.alias("text")), "doc_id")
 
 
 def language_problems(spark, sf_dir):
