@@ -65,7 +65,7 @@ RAW_NUMBERS = r"raw|absolute|removes|already removed|сир\p{L}*|абсолют
 TRUST_PERCENT = r"\d+(?:[.,]\d+)?\s?%\s*(?:trust|confidence|довір\p{L}*)|(?:trust|confidence|довір\p{L}*)(?:\s+\p{L}+)?\s*[(:]?\s*\d+(?:[.,]\d+)?\s?%"
 # Words and endings that do not belong in a Ukrainian text, and terms that a text should translate.
 RUSSIAN_WORDS = r"(?<!\p{L})(?:растет|растут|растущ\p{L}*|растуч\p{L}*|рост|меньш\p{L}*|больш\p{L}*|лучш\p{L}*|всего|прокси|википеди\p{L}*|также|котор\p{L}*|если|чтобы|только|сейчас|однако|исключ\p{L}*|нужно|можно|очень|сегодня|что|как|или|и|еще|сниж\p{L}*|падени\p{L}*|увелич\p{L}*|интерес\p{L}*|статья|статьи|статью|пользоват\p{L}*|приложени\p{L}*|трафик\p{L}*|аналитик\p{L}*|мобильн\p{L}*|стабильн\p{L}*|английск\p{L}*|испанск\p{L}*|немецк\p{L}*|французск\p{L}*|польск\p{L}*|турецк\p{L}*|чешск\p{L}*|украинск\p{L}*|сравнени\p{L}*)(?!\p{L})"
-RUSSIAN_LETTERS = r"\p{L}*[ыэъё]\p{L}*"
+RUSSIAN_LETTERS = r"(?<!\p{L})\p{L}*[ыэъё]\p{L}*"
 RUSSIAN_ENDINGS = r"(?<!\p{L})\p{IsCyrillic}{3,}(?:ия|ии|ию|ией|ость|остью|уется|ается|яется)(?!\p{L})|(?<!\p{L})\p{IsCyrillic}+(?:ськую|цькую)(?!\p{L})|(?<!\p{L})\p{IsCyrillic}{2,}[\p{IsCyrillic}&&[^ь]]тся(?!\p{L})"
 SHARE_CALQUE = r"(?<!\p{L})(?:відносна\s+)?дол[яіюею]\p{L}*(?=\s+(?:інтерес|перегляд|трафік|бот|ринк|аудитор|статт))"
 SPEECH_CALQUE = r"(?<!\p{L})на\s+\p{L}+[сцз]ькій\s+мові(?!\p{L})|(?<!\p{L})на\s+\p{L}+[сцз]ькому(?=\s*[,.;:!?)]|\s*$)"
@@ -216,6 +216,10 @@ def language_problems(text: Column, lang: Column, names: Column, most: int = 8)
     Placeholders, code, links, paths and proper names are not judged.  A null text has no problems.
     """
     t = masked(F.regexp_replace(F.coalesce(text, F.lit("")), r"\]\([^)]*\)", "] "), F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.length(n) > 1))
+    return once(t, lambda judged: _problems(judged, lang, most))
+
+
+def _problems(t: Column, lang: Column, most: int) -> Column:
     unquoted = F.regexp_replace(t, QUOTED, " ")
     kept = [*LANGUAGE_STEMS, *OTHER_CODES, *TOOL_TERMS[:11]]
     latin = F.filter(found(unquoted, LATIN_WORD, ""), lambda w: ~w.isin(kept) & ~w.startswith("wikipedi"))

@@ -231,7 +231,7 @@ def language_problems(spark, sf_dir):
     text = F.concat("p_brand", F.element_at(F.array(*map(F.lit, (" flat", " Views", " fein"))), F.col("p_size") % 3 + 1))
     lang = F.when(F.col("p_partkey") % 2 == 0, "de").otherwise("en")
     problems = label_checks.language_problems(text, lang, F.array(F.lit("Brand")))
-    return activity.table(spark, sf_dir, "part").select("p_partkey", F.explode(problems).alias("p")).select("p_partkey", "p.kind", F.concat_ws(" ", "p.words").alias("words"))
+    return spread(activity.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")).select("p_partkey", F.explode(problems).alias("p")).select("p_partkey", "p.kind", F.concat_ws(" ", "p.words").alias("words"))
 
 
 def language_guesses(spark, sf_dir):
@@ -315,7 +315,7 @@ def ukrainian_problems(spark, sf_dir):
     k = F.col("c_custkey")
     text = F.concat(_of(PHRASES, k % 10), F.lit(". "), _of(PHRASES, k * 7 % 10), F.when(k % 4 == 0, ' «some quoted words»').otherwise(" `code here`"), F.lit("."))
     problems = label_checks.language_problems(text, F.lit("uk"), F.when(k % 3 == 0, F.array(F.lit("Keyword"))))
-    return activity.table(spark, sf_dir, "customer").select("c_custkey", F.explode(problems).alias("p")).select("c_custkey", "p.kind", F.array_join("p.words", "|").alias("words"))
+    return spread(activity.table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.explode(problems).alias("p")).select("c_custkey", "p.kind", F.array_join("p.words", "|").alias("words"))
 
 
 def report_texts(spark, sf_dir):
