@@ -119,7 +119,7 @@ def _drafts(spark, sf_dir):
     n = F.floor(F.col("c_acctbal") / 10) * 10
     tail_ = F.concat(F.when(k % 4 == 0, ", 3 times more.").otherwise("."), F.when(k % 5 == 0, " Trust high (90%).").otherwise(""), F.when(k % 6 == 0, " The change is due to the platform.").otherwise(""))
     said = F.concat(F.lit("The "), _of(NATION_WORDS, F.col("c_nationkey")), F.lit(" audience is growing: "), F.abs(n).cast("long").cast("string"), F.lit(" readers"), tail_)
-    rows = activity.table(spark, sf_dir, "customer").join(activity.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(activity.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")).join(F.broadcast(activity.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     docs = rows.select(k.alias("doc_id"), said.alias("text"), F.when(k % 7 == 0, "de").otherwise("en").alias("lang"), F.col("n_regionkey").alias("_region"))
     own = F.array(F.col("_region"), F.when(F.col("doc_id") % 3 == 0, (F.col("_region") + 1) % 5))
     return docs.drop("_region"), docs.select("doc_id", F.explode(F.array_compact(own)).alias("analysis"))
