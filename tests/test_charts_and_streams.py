@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from trendweave.operators import charts
+from trendweave.plans import catalog
 from trendweave.streaming import incremental
 
 
@@ -55,3 +56,12 @@ def test_stream_equals_batch(spark, tmp_path):
     incremental.upsert(frame(parts[1]), 1, ["k"], f"{tmp_path}/out", compute)  # a batch that runs again
     again = incremental.current(spark.read.parquet(f"{tmp_path}/out/metrics"), ["k"])
     assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
+
+
+def test_what_offends_is_looked_for_once(spark, small):
+    plan = catalog.script_choices(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "&&" not in plan
+
+
+def test_ranges_without_others():
+    assert charts._without([(5, 9), (1, 3), (4, 4), (20, 30)], [(2, 2), (25, 40)]) == [(1, 1), (3, 9), (20, 24)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .label_checks import once
+
 # Code points that need shaping (right-to-left, Indic and South-East Asian scripts and their presentation forms).
 SHAPED = [(0x0590, 0x08FF), (0x0900, 0x0DFF), (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0xFB1D, 0xFDFF), (0xFE70, 0xFEFF)]
 SPACES = [(0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
@@ -29,6 +31,19 @@ def placed_labels(labels: DataFrame, chart: list[str], y: str, height: float, or
     return rows.withColumn("label_y", F.when(~F.col("_none"), F.least(up, floor) + F.col("_i") * gap)).drop("_none", "_i", "_n", "_free", "_down")
 
 
+def _without(ranges: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The code points of ranges that are not in taken, as ranges in order that neither touch nor overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    for x, y in taken:
+        out = [r for a, b in out for r in ((a, min(b, x - 1)), (max(a, y + 1), b)) if r[0] <= r[1]]
+    return out
+
+
 def _class(ranges: list[tuple[int, int]]) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
@@ -38,11 +53,16 @@ def script_support(text: Column, base: list[tuple[int, int]], fallback: list[tup
 
     base, fallback: ranges of code points that each face covers.  Characters that need shaping rule both out.  offending:
     the different characters, in code-point order, that need shaping or that the base face lacks; white space is in
-    every face.  A null text is an empty one.  Patterns leave of a text what offends, so few characters are taken apart.
+    every face.  A null text is an empty one.  Patterns of one range each leave of a text what offends, so few characters are
+    taken apart; the face is chosen by the different ones of them.
     """
-    t = F.coalesce(text, F.lit(""))
-    odd = F.regexp_replace(t, f"[{_class([*SPACES, *base])}&&[^{_class(SHAPED)}]]+", "")
-    shaped = t.rlike(f"[{_class(SHAPED)}]")
-    other = ~odd.rlike(f"[^{_class(fallback)}]") if fallback else F.lit(False)
-    choice = F.when(shaped, "none").when(odd == "", "base").when(other, "fallback").otherwise("none")
-    return F.struct(choice.alias("choice"), F.array_sort(F.array_distinct(F.filter(F.split(odd, ""), lambda c: c != ""))).alias("offending"))
+    fine = "|".join(f"[{_class([r])}]+" for r in _without([*SPACES, *base], SHAPED))
+    odd = F.regexp_replace(F.coalesce(text, F.lit("")), fine, "")
+
+    def chosen(offending: Column) -> Column:
+        lacks = F.array_join(offending, "")
+        other = ~lacks.rlike(f"[^{_class(fallback)}]") if fallback else F.lit(False)
+        choice = F.when(lacks == "", "base").when(lacks.rlike(f"[{_class(SHAPED)}]"), "none").when(other, "fallback").otherwise("none")
+        return F.struct(choice.alias("choice"), offending.alias("offending"))
+
+    return once(F.array_sort(F.array_remove(F.array_distinct(F.split(odd, "")), "")), chosen)
