@@ -87,3 +87,12 @@ def test_mixed_documents(docs):
     for (i, _), (taken, size) in counts.items():
         assert got[i] == (1 if size == 0 else (2 * taken + size) // (2 * size))
     assert source_mix.mix_documents(docs.limit(0)).count() == source_mix.mixture(docs.limit(0)).count() == 0
+
+
+def test_slots_are_many(spark, docs):
+    """Without a block of its own the mix has a slot for each word, or 65,536 slots, or one for every 64 words."""
+    words = lambda table: [r["n"] for r in source_mix.mixture(table).groupBy("position").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()]
+    assert set(words(docs)) == {1}
+    large = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(900)).alias("text"), F.when(F.col("id") > 0, "a").alias("source"))
+    n = words(large)
+    assert max(n) == 64 and len(n) >= sum(n) // 64 >= 65536

@@ -164,13 +164,14 @@ r AS (
 v AS (SELECT *, (total - capped)::DOUBLE / others::DOUBLE AS level FROM r),
 f AS (SELECT arg_min(level, turn) AS level FROM v WHERE level * weight <= source_size * 3),
 t AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, f.level * weight) AS target FROM v, f),
-e AS (SELECT source, floor(target + 0.5)::BIGINT AS words, (floor(target + 0.5)::BIGINT + 1023) // 1024 AS n FROM t WHERE floor(target + 0.5) > 0),
+b AS (SELECT greatest(1, least(64, coalesce(sum(floor(target + 0.5)::BIGINT), 0)::BIGINT // 65536))::BIGINT AS block FROM t),
+e AS (SELECT source, floor(target + 0.5)::BIGINT AS words, (floor(target + 0.5)::BIGINT + block - 1) // block AS n FROM t, b WHERE floor(target + 0.5) > 0),
 g AS (SELECT source, sum(n) OVER (ORDER BY source NULLS LAST) AS hi, sum(n) OVER (ORDER BY source NULLS LAST) - n AS lo FROM e),
 m AS (SELECT coalesce(sum(n), 0)::BIGINT AS m FROM e),
 step AS (SELECT m, min(x) AS step FROM (SELECT m, unnest(range((m::HUGEINT * 1327217885 // 2147483648)::BIGINT, (m::HUGEINT * 1327217885 // 2147483648)::BIGINT + 1000)) AS x FROM m) WHERE gcd(x, m) = 1 GROUP BY m),
 points AS (SELECT i, (i::HUGEINT * step % m)::BIGINT AS v FROM (SELECT unnest(range(m)) AS i, step, m FROM step)),
 slots AS (SELECT source, i AS position, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS k FROM points JOIN g ON v >= lo AND v < hi),
-given AS (SELECT t.source, t.source_size, t.target, 1024::BIGINT AS block, floor(t.target + 0.5)::BIGINT AS words FROM t),
+given AS (SELECT t.source, t.source_size, t.target, b.block, floor(t.target + 0.5)::BIGINT AS words FROM t, b),
 p AS (
   SELECT d.*, given.source_size, given.target, given.block, given.words,
          (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS a

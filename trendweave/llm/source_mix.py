@@ -3,7 +3,9 @@
 Sizes are words.  Sources in code point order (null last) weigh 1, 2, 3, repeating, and share the sum of
 all sizes; a target stops at ``max_epochs`` times its source's size and the excess goes to the others by
 weight.  A source has a slot for each ``block_words`` words of its target, the last one for what is left of it, so
-a target of one word has a slot as well, and every source gives its target, rounded to a whole word.  The N slots of all
+a target of one word has a slot as well, and every source gives its target, rounded to a whole word.  Without
+``block_words`` a block has BLOCK_WORDS words, fewer where that would make fewer than MANY slots; what a document gives
+does not depend on it.  The N slots of all
 sources lie side by side; the schedule visits them in golden-ratio steps modulo N, by a step without a common factor with N,
 so that each is visited once.  Slots are ranked per source by their position in the schedule, and slot k takes the k-th block
 of the source's shuffled stream, which starts again from its beginning when it ends, ``max_epochs`` times at
@@ -29,7 +31,8 @@ from . import runtime as R
 WORD = r"[^\x20\x09-\x0D]+"
 SPAN = 1 << 31
 GOLDEN = 1327217885  # the odd number next to SPAN divided by the golden ratio
-BLOCK_WORDS = 1024
+BLOCK_WORDS = 64
+MANY = 1 << 16
 
 
 def _targets(sizes: DataFrame, max_epochs: int) -> DataFrame:
@@ -61,10 +64,17 @@ def golden_step(n: int) -> int:
     return step
 
 
-def _schedule(targets: DataFrame, block_words: int) -> DataFrame:
+def _block(targets: DataFrame, block_words: int | None) -> int:
+    """Words of a slot, as asked or so that there are MANY slots."""
+    if block_words is not None:
+        return block_words
+    return max(1, min(BLOCK_WORDS, targets.agg(F.coalesce(F.sum("_words"), F.lit(0))).first()[0] // MANY))
+
+
+def _schedule(targets: DataFrame, block: int) -> DataFrame:
     """Slots (_src, _k, position) with their rank in the source."""
     spark = targets.sparkSession
-    need = targets.where("_words > 0").withColumn("_slots", F.expr(f"(_words + {block_words - 1}L) div {block_words}L"))
+    need = targets.where("_words > 0").withColumn("_slots", F.expr(f"(_words + {block - 1}L) div {block}L"))
     n_sources, n_slots = need.agg(F.count("*"), F.coalesce(F.sum("_slots"), F.lit(0))).first()
     back = pow(golden_step(n_slots), -1, n_slots) if n_slots else 0  # from a slot to its position
     wide = max(1, n_slots >> max(12, (4 * n_sources - 1).bit_length()))
@@ -89,14 +99,15 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), key.alias("_key"), src.alias("_src"), F.substring(key, 1, 3).alias("_bucket"), *([F.struct(*rest).alias("_row")] if rest else [])).withColumn("_rid", F.monotonically_increasing_id())
 
 
-def _placed(staged: DataFrame, block_words: int, max_epochs: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their source's figures and place in its stream; and the schedule.
+def _placed(staged: DataFrame, block_words: int | None, max_epochs: int) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with their source's figures and place in its stream; the schedule; and the size of a block.
 
     _given: the words that the slots of the source take from its stream.
     """
     sums = R.materialize(staged.groupBy("_src", "_source", "_bucket").agg(F.sum("_size").alias("_in_bucket")), "mix-buckets")
     targets = R.materialize(_targets(sums.groupBy("_src", "_source").agg(F.sum("_in_bucket").alias("_source_size")), max_epochs), "mix-targets")
-    slots = _schedule(targets, block_words)
+    block = _block(targets, block_words)
+    slots = _schedule(targets, block)
     sources = targets.select("_src", "_source_size", "_target", F.col("_words").alias("_given"))
     ahead = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = sums.withColumn("_ahead", F.coalesce(F.sum("_in_bucket").over(ahead), F.lit(0))).select("_src", "_bucket", "_ahead").join(sources, "_src")
@@ -105,42 +116,42 @@ def _placed(staged: DataFrame, block_words: int, max_epochs: int) -> tuple[DataF
     start = F.col("_ahead") + F.sum("_size").over(own) - F.col("_size")
     placed = R.materialize(rows.select("_rid", "_id", "_src", "_source", "_size", "_source_size", "_target", "_given", start.alias("_start")), "mix-placed")
     R.drop_tables(sums)
-    return placed, slots
+    return placed, slots, block
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int | None = None, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: for each slot of the schedule, by position, which words of which documents it takes."""
-    placed, slots = _placed(R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes"), block_words, max_epochs)
+    placed, slots, block = _placed(R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes"), block_words, max_epochs)
     spans = (
         placed.where("_size > 0 and _given > 0")
         .withColumn("_epoch", F.explode(F.expr("sequence(0L, (_given - 1) div _source_size)")))
         .withColumn("_from", F.expr("_epoch * _source_size + _start"))
         .withColumn("_to", F.expr("least(_from + _size, _given)"))
         .where("_from < _given")
-        .withColumn("_k", F.explode(F.expr(f"sequence(_from div {block_words}L, (_to - 1) div {block_words}L)")))
+        .withColumn("_k", F.explode(F.expr(f"sequence(_from div {block}L, (_to - 1) div {block}L)")))
     )
-    taken = spans.join(slots, ["_src", "_k"]).withColumns({"_a": F.expr(f"greatest(_from, _k * {block_words}L)"), "_b": F.expr(f"least(_to, (_k + 1) * {block_words}L)")})
+    taken = spans.join(slots, ["_src", "_k"]).withColumns({"_a": F.expr(f"greatest(_from, _k * {block}L)"), "_b": F.expr(f"least(_to, (_k + 1) * {block}L)")})
     return taken.select("position", F.col("_source").alias(source_col), F.col("_epoch").alias("epoch"), F.col("_id").alias(id_col), (F.col("_a") - F.col("_from")).alias("from_word"), (F.col("_b") - F.col("_from")).alias("to_word"))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int | None = None, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """Per document: id, size, source_size, target of its source, words the mix takes of it, first position (-1: none) and number of slots."""
     staged = R.materialize(_sized(docs, id_col, text_col, source_col, seed, []), "mix-sizes")
     return _counts(staged, block_words, max_epochs).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "taken", "first_position", "n_slots")
 
 
-def _counts(staged: DataFrame, block_words: int, max_epochs: int) -> DataFrame:
+def _counts(staged: DataFrame, block_words: int | None, max_epochs: int) -> DataFrame:
     """Every epoch of a document as its part of what the source gives, and the slot that its first word falls to."""
-    placed, slots = _placed(staged, block_words, max_epochs)
+    placed, slots, block = _placed(staged, block_words, max_epochs)
     part = lambda e: f"greatest(0L, least(_size, _given - _start - {e} * _source_size))"
-    over = lambda e: f"if({part(e)} > 0, (_start + {e} * _source_size + {part(e)} - 1) div {block_words}L - (_start + {e} * _source_size) div {block_words}L + 1, 0L)"
+    over = lambda e: f"if({part(e)} > 0, (_start + {e} * _source_size + {part(e)} - 1) div {block}L - (_start + {e} * _source_size) div {block}L + 1, 0L)"
     sums = {c: F.expr(" + ".join(f(e) for e in range(max_epochs))) for c, f in (("taken", part), ("n_slots", over))}
-    first = F.when(F.col("taken") > 0, F.expr(f"_start div {block_words}L"))
+    first = F.when(F.col("taken") > 0, F.expr(f"_start div {block}L"))
     rows = placed.withColumns(sums).withColumn("_k", first)
     return rows.join(slots.withColumnRenamed("position", "first_position"), ["_src", "_k"], "left").fillna(-1, ["first_position"])
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int | None = None, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The documents as the mix repeats or drops them, all columns: as many copies as it takes of their words, to the nearest whole.
 
     Documents without a word carry no weight in a mix and stay once.
