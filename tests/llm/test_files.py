@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from trendweave.llm import packing, token_files
-from trendweave.llm.tokens import encode, vocabulary
+from trendweave.llm.tokens import encode, pieces, vocabulary
 
 
 def _library(name, texts):
@@ -62,3 +62,11 @@ def test_full_pieces_are_sequences(spark):
     full = [r for r in rows if r["length"] == 1024]
     assert len(full) >= 9 and len({r["sequence_id"] for r in full}) == len(full) and {r["offset"] for r in full} == {0}
     assert not {r["sequence_id"] for r in full} & {r["sequence_id"] for r in rows if r["length"] < 1024}
+
+
+def test_single_words_need_the_model_alone():
+    """Words of letters have the ids that whole texts give them, without the steps around the model."""
+    known = pieces.__wrapped__(vocabulary("byte_bpe_50k.json"))
+    words = ["word", " word", "W", " a", "antidisestablishmentarianism", " zqxjkv", "x" * 300, " " + "y" * 300]
+    assert known.bytewise and [known.word(w) for w in words] == [known.encoded(w) for w in words]
+    assert not pieces.__wrapped__(vocabulary("word_bpe_49k.json")).bytewise

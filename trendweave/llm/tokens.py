@@ -51,14 +51,20 @@ class Pieces(dict):
         self.fold = self.tokenizer.normalizer is not None
         self.cut = WORD_ENDS if self.fold else BYTE_LEVEL
         self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.bytewise = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, piece: str) -> bytes:
+        """Ids of ASCII letters, with a space before them or not: one pre-token, so the library's model is asked alone."""
+        return np.array([t.id for t in self.model.tokenize(piece.replace(" ", "Ġ"))], "<u4").tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.encoded(piece)
+            ids = self.word(piece) if self.bytewise and piece.isascii() and piece.removeprefix(" ").isalpha() else self.encoded(piece)
         if len(piece) <= LONG_PIECE:
             if len(self) >= MOST_PIECES:
                 self.older = dict(self)
